@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("derived", "profile", "anomalies")
+_MODULES = ("derived", "profile", "anomalies", "rules")
 
 
 def load():
