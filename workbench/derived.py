@@ -283,3 +283,108 @@ FROM (SELECT event_type, date_trunc('day', ts) AS run_at, count(*) AS row_count,
              count(*) FILTER (WHERE value > 400) AS nulls, sum(CAST(round(value * 100) AS BIGINT)) AS cents
       FROM events GROUP BY 1, 2)
 """)
+
+# --- dictionary and critical data elements -----------------------------------
+
+def dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """One dictionary entry per part: its brand is the table."""
+    p = table(spark, sf, "part")
+    brand, size = F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.col("p_size")
+    layer = F.when(size <= 12, "RAW").when(size <= 25, "BRONZE").when(size <= 38, "SILVER").otherwise("GOLD")
+    fqn = F.concat(F.lower(layer), F.lit("."), brand)
+    column = F.concat(F.lower("p_type"), F.lit("_"), F.col("p_partkey").cast("string"))
+    return p.select(
+        F.concat(fqn, F.lit("."), column).alias("column_id"), F.concat(F.lit("conn_"), (F.col("p_partkey") % 2).cast("string")).alias("connection_id"),
+        fqn.alias("table_fqn"), layer.alias("layer"), column.alias("column_name"), F.col("p_type").alias("data_type"),
+        F.when(size % 3 != 0, F.initcap("p_name")).alias("business_name"),
+        F.when(size % 5 != 0, F.concat(F.lit("="), F.col("p_name"))).alias("description"),
+        (size > 40).alias("is_cde"), (F.col("p_type") == "PROMO").alias("is_pii"),
+        F.when(size % 4 != 0, (size * 2).cast("double")).alias("cde_score"),
+        F.when(size % 7 == 0, "approved").when(size % 7 == 1, "rejected").otherwise("draft").alias("status"))
+
+
+cte("w_dict", """
+SELECT table_fqn || '.' || column_name AS column_id, connection_id, table_fqn, layer, column_name, data_type,
+       CASE WHEN p_size % 3 <> 0 THEN upper(p_name[1:1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1:1]) || split_part(p_name, ' ', 2)[2:] END AS business_name,
+       CASE WHEN p_size % 5 <> 0 THEN '=' || p_name END AS description, p_size > 40 AS is_cde, p_type = 'PROMO' AS is_pii,
+       CASE WHEN p_size % 4 <> 0 THEN (p_size * 2)::DOUBLE END AS cde_score,
+       CASE WHEN p_size % 7 = 0 THEN 'approved' WHEN p_size % 7 = 1 THEN 'rejected' ELSE 'draft' END AS status
+FROM (SELECT *, lower(layer) || '.' || lower(replace(p_brand, '#', '_')) AS table_fqn FROM (
+  SELECT *, CASE WHEN p_size <= 12 THEN 'RAW' WHEN p_size <= 25 THEN 'BRONZE' WHEN p_size <= 38 THEN 'SILVER' ELSE 'GOLD' END AS layer,
+         lower(p_type) || '_' || p_partkey AS column_name, 'conn_' || (p_partkey % 2) AS connection_id, p_type AS data_type FROM part))
+""")
+
+
+def registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Registered critical data elements: those of the dictionary with a score."""
+    return dictionary(spark, sf).filter(F.col("is_cde") & F.col("cde_score").isNotNull()).select(
+        "connection_id", "table_fqn", "column_name", "cde_score",
+        F.when(F.col("status") == "rejected", "FAIL").when(F.col("status") == "approved", "PASS").otherwise("HEALTHY").alias("health"),
+        F.lit("ana@example.com").alias("promoted_by"), F.lit(0).alias("rule_count"))
+
+
+cte("w_cde", """
+SELECT connection_id, table_fqn, column_name, cde_score,
+       CASE status WHEN 'rejected' THEN 'FAIL' WHEN 'approved' THEN 'PASS' ELSE 'HEALTHY' END AS health, 'ana@example.com' AS promoted_by, 0 AS rule_count
+FROM w_dict WHERE is_cde AND cde_score IS NOT NULL
+""")
+
+
+# --- model calls -------------------------------------------------------------
+
+_MODELS = ("claude-haiku-3", "gpt-4o-mini-2024", "azure/gpt-4o", "ollama/llama3", "mystery-1", None)
+
+
+def model_calls(spark: SparkSession, sf: str, rule_log: bool) -> DataFrame:
+    """Model calls from events: errors and signups in the rule log, the rest in the usage log."""
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    in_rule_log = F.col("event_type").isin("error", "signup")
+    e = e.filter(in_rule_log if rule_log else ~in_rule_log)
+    status = (F.when(k >= 90, "error").when(F.lit(rule_log), "success").when(k >= 70, "fallback").otherwise("ai"))
+    return e.select(
+        F.col("event_type").alias("call_type" if rule_log else "feature"),
+        F.get(F.array(*[F.lit(m).cast("string") for m in _MODELS]), (k % 6).cast("int")).alias("model"), status.alias("status"),
+        F.round(F.col("value") * 100).cast("bigint").alias("input_tokens"), F.round(F.col("value") * 10).cast("bigint").alias("output_tokens"),
+        F.when(k != 13, k * 17).cast("bigint").alias("latency_ms"), F.col("ts").alias("created_at"))
+
+
+cte("w_calls", f"""
+SELECT event_type AS feature, CASE k % 6 {' '.join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MODELS) if m)} END AS model,
+       CASE WHEN k >= 90 THEN 'error' WHEN event_type IN ('error', 'signup') THEN 'success' WHEN k >= 70 THEN 'fallback' ELSE 'ai' END AS status,
+       CAST(round(value * 100) AS BIGINT) AS input_tokens, CAST(round(value * 10) AS BIGINT) AS output_tokens,
+       CASE WHEN k <> 13 THEN CAST(k * 17 AS BIGINT) END AS latency_ms
+FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+""")
+
+# --- lineage between monitored tables ----------------------------------------
+
+def table_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree over the monitored tables: supplier s feeds suppliers 3s to 3s+2."""
+    t = tables(spark, sf)
+    up = t.select((F.col("s_suppkey")).alias("up"), F.col("table_fqn").alias("source"))
+    down = t.filter("s_suppkey > 0").select(F.floor(F.col("s_suppkey") / 3).alias("up"), F.col("table_fqn").alias("target"))
+    return down.join(up, "up").select("source", "target", F.lit("FEEDS").alias("edge_type"), F.lit("confirmed").alias("status"),
+                                      F.lit("fk").alias("discovered_via"), F.lit(None).cast("double").alias("confidence"))
+
+
+cte("w_tedges", """
+SELECT u.table_fqn AS source, t.table_fqn AS target, 'FEEDS' AS edge_type, 'confirmed' AS status, 'fk' AS discovered_via, NULL::DOUBLE AS confidence
+FROM w_tables t JOIN w_tables u ON u.s_suppkey = t.s_suppkey // 3 WHERE t.s_suppkey > 0
+""")
+
+
+def table_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Lineage nodes of the monitored tables; a negative balance is a failure."""
+    bal = F.col("s_acctbal")
+    return tables(spark, sf).select(
+        "connection_id", F.col("table_fqn").alias("external_id"), F.col("table_fqn").alias("label"), "layer",
+        F.when(F.col("layer") == "GOLD", "report").otherwise("table").alias("node_type"),
+        F.when(bal < 0, "fail").when(bal < 1000, "warn").otherwise("ok").alias("health_status"))
+
+
+cte("w_tnodes", """
+SELECT connection_id, table_fqn AS external_id, table_fqn AS label, layer, CASE WHEN layer = 'GOLD' THEN 'report' ELSE 'table' END AS node_type,
+       CASE WHEN s_acctbal < 0 THEN 'fail' WHEN s_acctbal < 1000 THEN 'warn' ELSE 'ok' END AS health_status
+FROM w_tables
+""")

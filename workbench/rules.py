@@ -135,9 +135,9 @@ def r10(spark, sf):
 
 @query("r10_never_run", """
 SELECT rule_id, table_fqn FROM w_rules r WHERE status IN ('approved', 'active')
-AND NOT EXISTS (SELECT 1 FROM w_results x WHERE x.rule_id = r.rule_id AND x.run_timestamp >= TIMESTAMP '2001-09-01')""")
+AND NOT EXISTS (SELECT 1 FROM w_results x WHERE x.rule_id = r.rule_id AND x.run_timestamp >= TIMESTAMP '2001-11-01')""")
 def r10_never(spark, sf):
-    recent = d.results(spark, sf).filter(F.col("run_timestamp") >= d.as_of("2001-09-01"))
+    recent = d.results(spark, sf).filter(F.col("run_timestamp") >= d.as_of("2001-11-01"))
     return rule_results.never_run(d.rules(spark, sf), recent).select("rule_id", "table_fqn")
 
 
