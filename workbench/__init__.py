@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("derived", "profile", "anomalies", "rules", "trust", "intel")
+_MODULES = ("derived", "profile", "anomalies", "rules", "trust", "intel", "lineage")
 
 
 def load():
