@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("derived", "profile", "anomalies", "rules", "trust", "intel", "lineage", "catalog")
+_MODULES = ("derived", "profile", "anomalies", "rules", "trust", "intel", "lineage", "catalog", "sources", "streams")
 
 
 def load():
