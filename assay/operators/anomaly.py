@@ -1,8 +1,8 @@
 """Anomaly detection against run history.
 
-A history frame holds one row per run and table (or column), so a window over
-one key is bounded by the number of runs, never by the size of the table.
-``latest_only`` scans keep eight runs per key, trimmed before the shuffle.
+A history frame holds one row per run and table (or column).  ``latest_only``
+scans keep eight runs per key, trimmed before the shuffle; scans of all past
+runs look at each key month by month (see ``relational.trailing``).
 
 Scores are compared after rounding to nine decimals: the exact value of a
 whole-number baseline is then not lost to the last bit of a double.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.exact import ratio, scaled
 from assay.functions.severity import lookup, severity_rank
-from assay.operators.relational import exists_flag, latest_per_key, merge_keyed, newest_values
+from assay.operators.relational import exists_flag, latest_per_key, merge_keyed, newest_values, trailing
 
 BASELINE_RUNS = 7
 MIN_BASELINE = 3
@@ -66,14 +66,14 @@ def with_thresholds(df: DataFrame, thresholds: DataFrame | None) -> DataFrame:
 def with_baseline(history: DataFrame, keys: Sequence[str], value: Column, latest_only: bool) -> DataFrame:
     """Count, sum, mean and deviation of the up to seven runs before each run."""
     h = history.withColumn("_v", value)
-    order = [F.desc("run_at")]
+    stats = {"_n": lambda w: F.count("_v").over(w), "_sum": lambda w: F.sum("_v").over(w),
+             "_mean": lambda w: F.avg("_v").over(w), "_sd": lambda w: F.stddev_samp("_v").over(w)}
     if latest_only:
-        h = latest_per_key(h, keys, order, BASELINE_RUNS + 1, rank="_newest")
-    w = Window.partitionBy(*keys).orderBy("run_at").rowsBetween(-BASELINE_RUNS, -1)
-    h = h.withColumns({"_n": F.count("_v").over(w), "_sum": F.sum("_v").over(w),
-                       "_mean": F.avg("_v").over(w), "_sd": F.stddev_samp("_v").over(w)})
-    if latest_only:
-        h = h.filter(F.col("_newest") == 1).drop("_newest")
+        eight = latest_per_key(h, keys, [F.desc("run_at")], BASELINE_RUNS + 1, rank="_newest")
+        w = Window.partitionBy(*keys).orderBy("run_at").rowsBetween(-BASELINE_RUNS, -1)
+        h = eight.withColumns({k: make(w) for k, make in stats.items()}).filter(F.col("_newest") == 1).drop("_newest")
+    else:
+        h = trailing(h, keys, "run_at", BASELINE_RUNS, stats)
     return h.filter(F.col("_n") >= MIN_BASELINE)
 
 

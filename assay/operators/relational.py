@@ -10,9 +10,9 @@ Two habits keep these shapes safe when one key holds a large share of the rows:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -71,11 +71,43 @@ def touching(nodes: DataFrame, node_key: str, edges: DataFrame, source: str, tar
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Sequence[str]) -> DataFrame:
-    """Each row next to its predecessor's values (``prev_<name>``)."""
+    """Each row next to its predecessor's values (``prev_<name>``).
+
+    For frames with a bounded number of rows per key; :func:`previous_run`
+    takes a whole history.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumns({f"prev_{v}": F.lag(v).over(w) for v in values})
 
 
+def previous_run(history: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str]) -> DataFrame:
+    """J9 over a history of any length."""
+    return trailing(history, keys, ts, 1, {f"prev_{v}": (lambda w, v=v: F.last(v).over(w)) for v in values})
+
+
+def trailing(df: DataFrame, keys: Sequence[str], ts: str, n: int, exprs: dict[str, Callable[[WindowSpec], Column]],
+             unit: str = "month") -> DataFrame:
+    """Expressions over the ``n`` rows before each row of a key, in order of ``ts``.
+
+    The result is that of one window per key, but no task sees a whole key:
+    rows are windowed per key and ``unit`` of time.  Only the first ``n`` rows
+    of a unit look back further; they are computed from the first and last
+    ``n`` rows of each unit, which is all they can reach.  ``ts`` must be
+    unique within a key.
+    """
+    unit_keys = [*keys, "_unit"]
+    parts = df.withColumn("_unit", F.date_trunc(unit, F.col(ts)))
+    forward = Window.partitionBy(*unit_keys).orderBy(ts)
+    numbered = parts.withColumns({
+        "_pos": F.row_number().over(forward), "_size": F.count(F.lit(1)).over(Window.partitionBy(*unit_keys)),
+        **{name: make(forward.rowsBetween(-n, -1)) for name, make in exprs.items()}})
+    inner = numbered.filter(F.col("_pos") > n)
+    edges = numbered.filter((F.col("_pos") <= n) | (F.col("_pos") > F.col("_size") - n)).drop(*exprs)
+    across = Window.partitionBy(*keys).orderBy(ts).rowsBetween(-n, -1)
+    heads = edges.withColumns({name: make(across) for name, make in exprs.items()}).filter(F.col("_pos") <= n)
+    return inner.unionByName(heads).drop("_unit", "_pos", "_size")
+
+
 def merge_keyed(existing: DataFrame, updates: DataFrame, keys: Sequence[str],
                 set_columns: Sequence[str] | None = None, insert_only: bool = False,
                 replace_when: Column | None = None) -> DataFrame:

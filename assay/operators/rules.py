@@ -14,8 +14,8 @@ single window task.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
@@ -42,6 +42,8 @@ class Rule:
     severity: str = "MEDIUM"
     is_cde_rule: bool = False
     status: str = "approved"
+    # A typed check, e.g. ``lambda df, tables: unique(df, ["id"])``, run instead of the text.
+    check: Callable[[DataFrame, dict[str, DataFrame]], DataFrame] | None = field(default=None, compare=False)
 
 
 def quote(name: str) -> str:
@@ -134,7 +136,9 @@ def count_failures(tables: dict[str, DataFrame], rules: Iterable[Rule]) -> DataF
     parts, errors, per_table = [], [], {}
     for r in rules:
         df = tables.get(r.table_fqn)
-        if df is None or not _analyses(lambda: check_rule(df, r.rule_expression)):
+        if df is not None and r.check is not None and _analyses(lambda: r.check(df, tables)):
+            parts.append(r.check(df, tables).select(F.lit(r.rule_id).alias("rule_id"), "total_records", "failed_records"))
+        elif df is None or r.check is not None or not _analyses(lambda: check_rule(df, r.rule_expression)):
             errors.append(r)
         elif _analyses(lambda: check_rules(df, {r.rule_id: r.rule_expression})):
             per_table.setdefault(r.table_fqn, {})[r.rule_id] = r.rule_expression

@@ -78,6 +78,8 @@ _RUN = [
     rules.Rule("c3", "silver.customer", "no_such_column > 1", "broken", "SILVER", "MEDIUM"),
     rules.Rule("o1", "gold.orders", "o_orderstatus IN ('O', 'F')", "status", "GOLD", "CRITICAL", True),
     rules.Rule("o2", "gold.orders", "COUNT(*) OVER (PARTITION BY o_orderkey) = 1", "key", "GOLD", "CRITICAL"),
+    rules.Rule("o4", "gold.orders", rules.unique_text(["o_custkey", "o_orderdate"]), "one a day", "GOLD", "MEDIUM",
+               check=lambda df, tables: rules.unique(df, ["o_custkey", "o_orderdate"])),
     rules.Rule("o3", "gold.orders", "EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = t.o_custkey AND c.c_acctbal >= 0)", "fk", "GOLD", "HIGH"),
     rules.Rule("p1", "bronze.part", "p_size BETWEEN 1 AND 40", "size", "BRONZE", "MEDIUM"),
     rules.Rule("x1", "raw.nowhere", "a = 1", "lost", "RAW", "HIGH"),
@@ -93,6 +95,7 @@ FROM (SELECT *, {percent('failed_records', 'total_records')} AS fail_pct,
   UNION ALL SELECT 'o1', 'gold.orders', 'GOLD', 'CRITICAL', 2, FALSE, count(*), count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) FROM orders
   UNION ALL SELECT 'o2', 'gold.orders', 'GOLD', 'CRITICAL', 1, FALSE, count(*), count(*) - count(DISTINCT o_orderkey) FROM orders
   UNION ALL SELECT 'o3', 'gold.orders', 'GOLD', 'HIGH', 1, FALSE, count(*), count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal >= 0)) FROM orders o
+  UNION ALL SELECT 'o4', 'gold.orders', 'GOLD', 'MEDIUM', 1, FALSE, CAST(sum(n) AS BIGINT), CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderdate)
   UNION ALL SELECT 'p1', 'bronze.part', 'BRONZE', 'MEDIUM', 1, FALSE, count(*), count(*) FILTER (WHERE NOT p_size BETWEEN 1 AND 40) FROM part
   UNION ALL SELECT 'x1', 'raw.nowhere', 'RAW', 'HIGH', 1, TRUE, 0, 0))"""
 _W2 = "CASE severity WHEN 'CRITICAL' THEN 6 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 2 END"

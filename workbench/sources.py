@@ -283,7 +283,7 @@ def j8(spark, sf):
 
 @query("j9_previous_run", "SELECT report_id, row_count, lag(row_count) OVER (PARTITION BY table_fqn ORDER BY run_at) AS prev_row_count FROM w_reports")
 def j9(spark, sf):
-    return relational.with_previous(d.reports(spark, sf), ["table_fqn"], [F.asc("run_at")], ["row_count"]).select("report_id", "row_count", "prev_row_count")
+    return relational.previous_run(d.reports(spark, sf), ["table_fqn"], "run_at", ["row_count"]).select("report_id", "row_count", "prev_row_count")
 
 
 @query("j10_composite_match", """
