@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from assay.functions.exact import ratio, scaled
 from assay.functions.severity import lookup, severity_rank
 from assay.operators.relational import exists_flag, latest_per_key, merge_keyed, newest_values, trailing
+from assay.session import cut_lineage
 
 BASELINE_RUNS = 7
 MIN_BASELINE = 3
@@ -63,11 +64,12 @@ def with_thresholds(df: DataFrame, thresholds: DataFrame | None) -> DataFrame:
     return joined.withColumns({k: F.coalesce(F.col(k).cast("double"), F.lit(v)) for k, v in names.items()})
 
 
-def with_baseline(history: DataFrame, keys: Sequence[str], value: Column, latest_only: bool) -> DataFrame:
+def with_baseline(history: DataFrame, keys: Sequence[str], value: Column, latest_only: bool,
+                  extra: dict | None = None) -> DataFrame:
     """Count, sum, mean and deviation of the up to seven runs before each run."""
     h = history.withColumn("_v", value)
     stats = {"_n": lambda w: F.count("_v").over(w), "_sum": lambda w: F.sum("_v").over(w),
-             "_mean": lambda w: F.avg("_v").over(w), "_sd": lambda w: F.stddev_samp("_v").over(w)}
+             "_mean": lambda w: F.avg("_v").over(w), "_sd": lambda w: F.stddev_samp("_v").over(w), **(extra or {})}
     if latest_only:
         eight = latest_per_key(h, keys, [F.desc("run_at")], BASELINE_RUNS + 1, rank="_newest")
         w = Window.partitionBy(*keys).orderBy("run_at").rowsBetween(-BASELINE_RUNS, -1)
@@ -93,7 +95,7 @@ def _whole(x: Column) -> Column:
     return F.format_number(F.round(x, 0).cast("bigint"), 0)
 
 
-def _record(fired: DataFrame, anomaly_type: str, column: Column | None = None) -> DataFrame:
+def _record(fired: DataFrame, anomaly_type: str, column: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     column = F.lit(None).cast("string") if column is None else column
     key = F.concat_ws("|", F.lit(anomaly_type), "connection_id", "table_fqn", F.coalesce(column, F.lit("")),
                       F.date_format("run_at", "yyyy-MM-dd HH:mm:ss"))
@@ -102,11 +104,15 @@ def _record(fired: DataFrame, anomaly_type: str, column: Column | None = None) -
             .withColumn("anomaly_type", F.lit(anomaly_type))
             .withColumn("detected_at", F.col("run_at"))
             .withColumn("status", F.lit("open"))
-            .select(*COLUMNS))
+            .select(*COLUMNS, *keep))
 
 
-def detect_volume(history: DataFrame, thresholds: DataFrame | None = None, latest_only: bool = True) -> DataFrame:
-    """A1: row count off its baseline by two deviations and by ``vol_pct`` percent."""
+def detect_volume(history: DataFrame, thresholds: DataFrame | None = None, latest_only: bool = True,
+                  keep: Sequence[str] = ()) -> DataFrame:
+    """A1: row count off its baseline by two deviations and by ``vol_pct`` percent.
+
+    ``keep`` names further history columns to carry along.
+    """
     h = with_baseline(history, ["connection_id", "table_fqn"], F.col("row_count").cast("bigint"), latest_only)
     z, pct = sigmas(1), _percent_off()
     h = with_thresholds(h.withColumn("_z", z).withColumn("deviation_pct", pct), thresholds)
@@ -117,7 +123,7 @@ def detect_volume(history: DataFrame, thresholds: DataFrame | None = None, lates
     return _record(hit.withColumn("description", text)
                    .withColumn("severity", F.when(F.abs("_z") > SIGMA_CRITICAL, "CRITICAL").otherwise("HIGH"))
                    .withColumn("metric_value", F.col("_v").cast("double"))
-                   .withColumn("baseline_value", ratio(F.col("_sum"), F.col("_n"), 0)), "VOLUME")
+                   .withColumn("baseline_value", ratio(F.col("_sum"), F.col("_n"), 0)), "VOLUME", keep=keep)
 
 
 def detect_null_rate(history: DataFrame, thresholds: DataFrame | None = None, latest_only: bool = True) -> DataFrame:
@@ -140,9 +146,13 @@ def detect_null_rate(history: DataFrame, thresholds: DataFrame | None = None, la
 def detect_metric(history: DataFrame, thresholds: DataFrame | None = None, latest_only: bool = True) -> DataFrame:
     """A3: column mean off its baseline; runs without a mean are skipped."""
     known = history.filter(F.col("mean_value").isNotNull())
-    h = with_baseline(known, ["connection_id", "table_fqn", "column_name"], F.col("mean_value").cast("double"), latest_only)
-    off = (F.col("_v") - F.col("_mean")) / F.greatest(F.abs("_mean"), F.lit(1.0)) * 100
-    h = with_thresholds(h.withColumn("_z", sigmas(1)).withColumn("deviation_pct", F.round(off, 1)), thresholds)
+    # Sums of decimals do not depend on their order; doubles would round differently from run to run.
+    exact = F.col("mean_value").cast("decimal(24,6)")
+    h = with_baseline(known, ["connection_id", "table_fqn", "column_name"], F.col("mean_value").cast("double"), latest_only,
+                      {"_total": lambda w: F.sum(exact).over(w)})
+    n, total = F.col("_n"), F.col("_total")
+    off = (exact * n - total) * 100 / F.greatest(F.abs(total), n)
+    h = with_thresholds(h.withColumn("_z", sigmas(1)).withColumn("deviation_pct", F.round(off, 1).cast("double")), thresholds)
     hit = h.filter((F.abs("_z") >= SIGMA) & (F.abs("deviation_pct") >= F.col("vol_pct")))
     way = F.when(F.col("_v") < F.col("_mean"), "below").otherwise("above")
     text = F.concat("column_name", F.lit(" is "), _whole(F.abs("deviation_pct")), F.lit("% "), way,
@@ -150,7 +160,7 @@ def detect_metric(history: DataFrame, thresholds: DataFrame | None = None, lates
     return _record(hit.withColumn("description", text)
                    .withColumn("severity", F.when(F.abs("_z") > SIGMA_CRITICAL, "CRITICAL").otherwise("HIGH"))
                    .withColumn("metric_value", F.col("_v"))
-                   .withColumn("baseline_value", F.round("_mean", 2)), "THRESHOLD", F.col("column_name"))
+                   .withColumn("baseline_value", F.round(F.col("_total") / F.col("_n"), 2).cast("double")), "THRESHOLD", F.col("column_name"))
 
 
 def detect_freshness(last_seen: DataFrame, as_of: Column, thresholds: DataFrame | None = None) -> DataFrame:
@@ -186,28 +196,27 @@ def segment_history(rows: DataFrame, segment: str, ts: str, unit: str = "day") -
     """Rows per segment and period, with 0 where a segment is silent.
 
     The calendar runs from the first to the last period of the data, so its
-    size is periods times segments, independent of the number of rows.
+    size is periods times segments, independent of the number of rows.  Rows
+    are counted once and the counts kept in the shared folder.
     """
-    counted = rows.groupBy(F.col(segment).cast("string").alias("segment"), F.date_trunc(unit, F.col(ts)).alias("run_at")).agg(
-        F.count(F.lit(1)).alias("rows"))
-    bounds = counted.agg(F.min("run_at").alias("lo"), F.max("run_at").alias("hi"))
-    step = F.expr(f"INTERVAL 1 {unit.upper()}")
-    periods = F.explode(F.sequence(bounds.select("lo").scalar(), bounds.select("hi").scalar(), step))
+    counted = cut_lineage(rows.groupBy(F.col(segment).cast("string").alias("segment"), F.date_trunc(unit, F.col(ts)).alias("run_at")).agg(
+        F.count(F.lit(1)).alias("rows")))
+    bounds = counted.agg(F.struct(F.min("run_at").alias("lo"), F.max("run_at").alias("hi")).alias("b")).scalar()
+    periods = F.explode(F.sequence(bounds["lo"], bounds["hi"], F.expr(f"INTERVAL 1 {unit.upper()}")))
     calendar = counted.select("segment").distinct().select("segment", periods.alias("run_at"))
     filled = calendar.join(counted, ["segment", "run_at"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
-    totals = filled.groupBy("run_at").agg(F.sum("rows").alias("all_rows"))
-    return filled.join(totals, "run_at")
+    # One period holds one row per segment.
+    return filled.withColumn("all_rows", F.sum("rows").over(Window.partitionBy("run_at")))
 
 
 def detect_segment(history: DataFrame, connection_id: str, table_fqn: str, layer: str,
                    thresholds: DataFrame | None = None, latest_only: bool = True) -> DataFrame:
     """A6 (extension): A1 per segment, with the segment's share of the period."""
     h = history.withColumns({"connection_id": F.lit(connection_id), "table_fqn": F.concat(F.lit(table_fqn + "/"), "segment"),
-                             "layer": F.lit(layer), "row_count": F.col("rows")})
-    hits = detect_volume(h, thresholds, latest_only)
-    share = h.select("table_fqn", F.col("run_at").alias("detected_at"), "segment",
-                     ratio(F.col("rows") * 100, F.col("all_rows"), 2).alias("share_pct"))
-    return hits.withColumn("anomaly_type", F.lit("SEGMENT")).join(share, ["table_fqn", "detected_at"])
+                             "layer": F.lit(layer), "row_count": F.col("rows"),
+                             "share_pct": ratio(F.col("rows") * 100, F.col("all_rows"), 2)})
+    hits = detect_volume(h, thresholds, latest_only, keep=("segment", "share_pct"))
+    return hits.withColumn("anomaly_type", F.lit("SEGMENT"))
 
 
 # --- the inbox ---------------------------------------------------------------

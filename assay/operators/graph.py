@@ -3,7 +3,7 @@
 Edges are (source, target) and may contain cycles, diamonds and self loops.
 Each step joins the frontier with the edges, drops what was seen before and is
 written to the shared checkpoint folder, so plans stay flat and a lost executor
-costs one step.  Only emptiness checks come back to the driver.
+costs one step.  Only row counts come back to the driver.
 
 Starts are always restricted to what a question needs: all-pairs closure is
 quadratic and no operator here computes it.
@@ -16,10 +16,22 @@ from pyspark.sql import functions as F
 
 from assay.session import cut_lineage
 
+# A frontier of at most this many (id, id) rows takes a few megabytes.
+BROADCAST_ROWS = 50_000
+
 
 def edge_set(edges: DataFrame) -> DataFrame:
-    """Distinct (source, target), materialised once for the following steps."""
-    return cut_lineage(edges.select("source", "target").distinct().repartition("source"))
+    """Distinct (source, target), materialised once for the following steps.
+
+    The rows stay spread by both ends: a hub's edges are not put into one
+    partition.
+    """
+    return cut_lineage(edges.select("source", "target").distinct())
+
+
+def _small(frontier: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a frontier of few rows; a larger one is shuffled, with AQE splitting hubs."""
+    return F.broadcast(frontier) if rows <= BROADCAST_ROWS else frontier
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -33,23 +45,26 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, ready: bool = False) -> DataFrame:
     """(start, node, depth) for every node reachable in one step or more.
 
     ``starts`` has a column ``start``; ``depth`` is the first step at which the
-    node is seen.  A start that lies on a cycle reaches itself.
+    node is seen.  A start that lies on a cycle reaches itself.  ``ready`` says
+    that ``edges`` is an :func:`edge_set` already.
     """
-    e = edge_set(edges)
-    frontier = starts.select(F.col("start"), F.col("start").alias("node")).distinct()
+    e = edges if ready else edge_set(edges)
+    frontier = cut_lineage(starts.select(F.col("start"), F.col("start").alias("node")).distinct())
+    rows = frontier.count()
     found: list[DataFrame] = []
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(e, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
+        step = e.join(_small(frontier, rows), F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
         if found:
             step = step.join(_union(found).select("start", "node"), ["start", "node"], "left_anti")
         step = cut_lineage(step.withColumn("depth", F.lit(depth)))
-        if step.isEmpty():
+        rows = step.count()
+        if rows == 0:
             break
         found.append(step)
         frontier = step.select("start", "node")
@@ -86,24 +101,26 @@ def downstream_graph(edges: DataFrame, nodes: DataFrame, root: str) -> tuple[Dat
     return inside, kept
 
 
-def _spread_labels(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+def _spread_labels(e: DataFrame, seeds: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """(node, lo, hi): smallest and largest seed label that reaches each node.
 
     ``seeds`` has (node, lo, hi); a seed's own label counts for its node only
     if it comes back around a cycle.  Labels do not pass through ``stop`` nodes.
+    ``e`` is an :func:`edge_set`.
     """
-    e = edge_set(edges)
-    frontier = seeds
+    frontier = cut_lineage(seeds)
+    rows = frontier.count()
     deltas: list[DataFrame] = []
     while True:
-        sent = frontier.join(e, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg(
+        sent = e.join(_small(frontier, rows), F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg(
             F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         if deltas:
             known = _union(deltas).groupBy("node").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
             sent = sent.join(known, "node", "left").filter(
                 F.col("_lo").isNull() | (F.col("lo") < F.col("_lo")) | (F.col("hi") > F.col("_hi"))).select("node", "lo", "hi")
         step = cut_lineage(sent)
-        if step.isEmpty():
+        rows = step.count()
+        if rows == 0:
             break
         deltas.append(step)
         frontier = step if stop is None else step.join(stop, "node", "left_anti")
@@ -119,24 +136,25 @@ def root_causes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     from failing nodes up to the next failing node, which is linear in the
     edges.  Only the roots' own downstream sets are then enumerated.
     """
+    e = edge_set(edges)
     failing = cut_lineage(nodes.filter("health_status = 'fail'").select(F.col("external_id").alias("node")).distinct())
-    labels = _spread_labels(edges, failing.select("node", F.col("node").alias("lo"), F.col("node").alias("hi")), stop=failing)
+    labels = _spread_labels(e, failing.select("node", F.col("node").alias("lo"), F.col("node").alias("hi")), stop=failing)
     symptoms = labels.filter((F.col("lo") != F.col("node")) | (F.col("hi") != F.col("node"))).select("node")
     roots = cut_lineage(failing.join(symptoms, "node", "left_anti"))
-    counted = reach(edges, roots.select(F.col("node").alias("start"))).groupBy(F.col("start").alias("node")).agg(
+    counted = reach(e, roots.select(F.col("node").alias("start")), ready=True).groupBy(F.col("start").alias("node")).agg(
         F.count(F.lit(1)).alias("downstream_impact_count"))
     return roots.join(counted, "node", "left").select(
         F.col("node").alias("external_id"), F.coalesce("downstream_impact_count", F.lit(0)).alias("downstream_impact_count"),
     ).orderBy(F.desc("downstream_impact_count"), "external_id")
 
 
-def closes_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+def closes_cycle(edges: DataFrame, candidates: DataFrame, ready: bool = False) -> DataFrame:
     """Candidates (source, target) whose target already reaches their source.
 
     A self loop always closes a cycle.
     """
     pairs = candidates.select("source", "target").distinct()
-    hit = reach(edges, pairs.filter(F.col("source") != F.col("target")).select(F.col("target").alias("start")))
+    hit = reach(edges, pairs.filter(F.col("source") != F.col("target")).select(F.col("target").alias("start")), ready=ready)
     back = hit.select(F.col("start").alias("target"), F.col("node").alias("source"))
     return pairs.join(back, ["source", "target"], "left_semi").unionByName(pairs.filter(F.col("source") == F.col("target"))).distinct()
 
@@ -168,14 +186,14 @@ def accept_edges(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     confirmed = cut_lineage(existing.filter("status = 'confirmed'").select(*pair).distinct())
     pending = fresh.filter("status = 'confirmed'").select(*pair, "rank")
     while not pending.isEmpty():
-        closing = closes_cycle(confirmed, pending)
+        closing = closes_cycle(confirmed, pending, ready=True)
         rejected = cut_lineage(pending.join(closing, pair, "left_semi"))
         outcomes.append(rejected.withColumn("outcome", F.lit("cycle")))
         open_ = cut_lineage(pending.join(rejected, pair, "left_anti"))
         if open_.isEmpty():
             break
-        together = confirmed.unionByName(open_.select(*pair))
-        conflicted = cut_lineage(open_.join(closes_cycle(together, open_), pair, "left_semi"))
+        together = cut_lineage(confirmed.unionByName(open_.select(*pair)))
+        conflicted = cut_lineage(open_.join(closes_cycle(together, open_, ready=True), pair, "left_semi"))
         safe = open_.join(conflicted, pair, "left_anti")
         winners = safe
         if not conflicted.isEmpty():

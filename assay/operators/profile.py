@@ -123,16 +123,16 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None,
         as_text = text.shuffle_key(c, t) if f.name in long_text else text.comparable(c, t)
         cells.append(F.struct(
             F.lit(i).alias("ordinal"),
-            F.lit(f.name).alias("column_name"),
             (F.lit(None) if is_time or is_float or is_whole else as_text).cast("string").alias("_s"),
             (c if is_whole else F.lit(None)).cast("bigint").alias("_l"),
             (text.comparable(c, t) if is_float else F.lit(None)).cast("double").alias("_d"),
             (c if is_time else F.lit(None)).cast("timestamp_ntz").alias("_t"),
         ))
-    keys = ["ordinal", "column_name", "_s", "_l", "_d", "_t"]
+    keys = ["ordinal", "_s", "_l", "_d", "_t"]
+    name = F.get(F.array(*[F.lit(f.name) for f in fields]), F.col("ordinal"))
     counted = df.select(F.inline(F.array(*cells))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     value = F.coalesce("_s", F.col("_l").cast("string"), F.col("_d").cast("string"), F.col("_t").cast("string"))
-    return counted.select("ordinal", "column_name", value.alias("value"), "n")
+    return counted.select("ordinal", name.alias("column_name"), value.alias("value"), "n")
 
 
 def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:

@@ -216,19 +216,23 @@ def select_rules(rules: DataFrame, connection_id: str, rule_id: str | None = Non
     return out.orderBy(layer_rank(F.col("layer")), severity_rank(F.col("severity")), "rule_id")
 
 
-def weighted_score(results: DataFrame, *keys: str) -> DataFrame:
-    """Severity-weighted mean of the scores; 0 without results."""
+def overall_score() -> Column:
+    """R6 as an aggregate: severity-weighted mean of the scores; 0 without results."""
     weight = lookup(F.col("severity"), _DOUBLE_WEIGHT, 2)
-    return results.groupBy(*keys).agg(
-        F.coalesce(ratio(F.sum(scaled(F.col("quality_score"), 1) * weight), F.sum(weight) * 10, 1), F.lit(0.0)).alias("overall_quality_score"))
+    return F.coalesce(ratio(F.sum(scaled(F.col("quality_score"), 1) * weight), F.sum(weight) * 10, 1), F.lit(0.0))
+
+
+def weighted_score(results: DataFrame, *keys: str) -> DataFrame:
+    """R6 per group."""
+    return results.groupBy(*keys).agg(overall_score().alias("overall_quality_score"))
 
 
 def run_summary(results: DataFrame) -> DataFrame:
     """Totals of each run."""
-    counts = results.groupBy("run_id").agg(
+    return results.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("total_rules"), F.count_if(F.col("status") == "PASS").alias("passed"),
-        F.count_if(F.col("status") == "FAIL").alias("failed"), F.count_if(F.col("status") == "ERROR").alias("errors"))
-    return counts.join(weighted_score(results, "run_id"), "run_id")
+        F.count_if(F.col("status") == "FAIL").alias("failed"), F.count_if(F.col("status") == "ERROR").alias("errors"),
+        overall_score().alias("overall_quality_score"))
 
 
 # --- typed checks ------------------------------------------------------------

@@ -10,7 +10,7 @@ from assay.functions.severity import LAYERS, first_filled, layer_rank, layer_sta
 from assay.operators.anomaly import by_severity, type_intent, type_label
 from assay.operators.history import latest_reports
 from assay.operators.relational import anti_join, latest_per_key
-from assay.operators.rules import weighted_score
+from assay.operators.rules import overall_score
 
 LIVE = ("approved", "active")
 FRESH_HOURS = 24
@@ -59,10 +59,9 @@ def issues_by_severity(results: DataFrame) -> DataFrame:
 
 def latest_run_health(results: DataFrame) -> DataFrame:
     """Score and error count of the newest run."""
-    run = in_latest_run(results)
-    return run.groupBy("run_id").agg(
-        F.count_if(F.col("status") == "ERROR").alias("errors"), F.max("run_timestamp").alias("run_timestamp")
-    ).join(weighted_score(run, "run_id"), "run_id")
+    return in_latest_run(results).groupBy("run_id").agg(
+        F.count_if(F.col("status") == "ERROR").alias("errors"), F.max("run_timestamp").alias("run_timestamp"),
+        overall_score().alias("overall_quality_score"))
 
 
 def run_counts(results: DataFrame) -> DataFrame:
@@ -131,21 +130,21 @@ def layer_health(reports: DataFrame, results: DataFrame) -> DataFrame:
 def trust_summary(reports: DataFrame, results: DataFrame, anomalies: DataFrame, registry: DataFrame) -> DataFrame:
     """The headline row; the newest run's score wins over profiling scores."""
     profiled = layer_averages(reports).agg(F.round(F.avg("score"), 1)).scalar()
-    run = latest_run_health(results)
-    failed = in_latest_run(results).filter("status = 'FAIL'").agg(
-        F.count_if(F.col("severity") == "CRITICAL").alias("c"), F.count_if(F.col("severity") == "HIGH").alias("h"),
-        F.count_if(F.col("severity") == "MEDIUM").alias("m"))
-    last = reports.agg(F.max("run_at")).scalar()
-    return (failed.withColumns({
-        "overall_score": F.coalesce(run.select("overall_quality_score").scalar(), profiled, F.lit(0.0)),
-        "open_errors": F.coalesce(run.select("errors").scalar(), F.lit(0)),
+    run = in_latest_run(results)
+    failed = lambda sev: F.count_if((F.col("status") == "FAIL") & (F.col("severity") == sev))
+    head = run.agg(
+        F.when(F.count(F.lit(1)) > 0, overall_score()).alias("_run_score"), F.max("run_timestamp").alias("_run_at"),
+        failed("CRITICAL").alias("open_critical"), failed("HIGH").alias("open_high"), failed("MEDIUM").alias("open_medium"),
+        F.count_if(F.col("status") == "ERROR").alias("open_errors"))
+    return (head.withColumns({
+        "overall_score": F.coalesce("_run_score", profiled, F.lit(0.0)),
         "active_anomalies": anomalies.filter("status = 'open'").agg(F.count(F.lit(1))).scalar(),
         "cde_health_pct": cde_health(registry).scalar(),
         "profiled_table_count": latest_reports(reports).agg(F.count(F.lit(1))).scalar(),
-        "last_run_at": F.greatest(last, run.select("run_timestamp").scalar())})
-        .withColumn("pipeline_status", F.when((F.col("c") > 0) | (F.col("open_errors") > 0), "ISSUES")
-                    .when(F.col("h") > 0, "RECOVERING").otherwise("HEALTHY"))
-        .withColumnsRenamed({"c": "open_critical", "h": "open_high", "m": "open_medium"}))
+        "last_run_at": F.greatest(reports.agg(F.max("run_at")).scalar(), F.col("_run_at"))})
+        .withColumn("pipeline_status", F.when((F.col("open_critical") > 0) | (F.col("open_errors") > 0), "ISSUES")
+                    .when(F.col("open_high") > 0, "RECOVERING").otherwise("HEALTHY"))
+        .drop("_run_score", "_run_at"))
 
 
 def trust_snapshot(reports: DataFrame, results: DataFrame) -> DataFrame:
@@ -158,15 +157,14 @@ def trust_snapshot(reports: DataFrame, results: DataFrame) -> DataFrame:
     newest = day.groupBy("connection_id", "score_date").agg(F.max_by("run_id", F.struct("run_timestamp", "run_id")).alias("run_id"))
     keys = ["connection_id", "score_date"]
     run = day.join(newest, [*keys, "run_id"], "left_semi")
-    counts = run.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rules_total"), F.count_if(F.col("status") == "PASS").alias("rules_passed"),
-        F.count_if(F.col("status") == "FAIL").alias("rules_failed"))
-    overall = weighted_score(run, *keys).join(counts, keys)
+    overall = run.groupBy(*keys).agg(
+        overall_score().alias("overall_score"), F.count(F.lit(1)).alias("rules_total"),
+        F.count_if(F.col("status") == "PASS").alias("rules_passed"), F.count_if(F.col("status") == "FAIL").alias("rules_failed"))
     per_layer = reports.groupBy("connection_id", F.to_date("run_at").alias("score_date")).agg(*[
         F.when(F.count_if(F.col("layer") == x) > 0, ratio(
             F.sum(F.when(F.col("layer") == x, scaled(F.col("quality_score"), 1))),
             F.count_if(F.col("layer") == x) * 10, 1)).alias(f"{x.lower()}_score") for x in LAYERS])
-    return overall.withColumnRenamed("overall_quality_score", "overall_score").join(per_layer, keys, "left")
+    return overall.join(per_layer, keys, "left")
 
 
 def overdue_tasks(tasks: DataFrame, as_of: Column) -> DataFrame:

@@ -12,7 +12,7 @@ _OUT = "anomaly_id, connection_id, table_fqn, column_name, anomaly_type, severit
 
 
 def _window(source: str, keys: str, value: str, where: str = "TRUE") -> str:
-    return f"""SELECT *, count(v) OVER w AS bn, sum(v) OVER w AS bs, avg(v) OVER w AS bm, stddev_samp(v) OVER w AS bsd,
+    return f"""SELECT *, count(v) OVER w AS bn, sum(v) OVER w AS bs, avg(v) OVER w AS bm, stddev_samp(v) OVER w AS bsd, CAST(sum(CAST(round(v * 10000) AS BIGINT)) OVER w AS BIGINT) AS bs4,
        row_number() OVER (PARTITION BY {keys} ORDER BY run_at DESC) AS newest
 FROM (SELECT *, {value} AS v FROM {source} WHERE {where})
 WINDOW w AS (PARTITION BY {keys} ORDER BY run_at ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"""
@@ -49,10 +49,11 @@ WHERE bn >= 3 AND v > 0 AND {_z('50')} >= 2 AND {_OFF} >= 20{' AND newest = 1' i
 
 
 def metric_sql(source: str, latest: bool) -> str:
-    off = "round((v - bm) / greatest(abs(bm), 1.0) * 100, 1)"
+    w4 = "CAST(round(v * 10000) AS BIGINT)"
+    off = ratio(f"100 * (bn * {w4} - bs4)", "greatest(abs(bs4), 10000 * bn)", 1)
     return f"""SELECT {_id('THRESHOLD', 'column_name')} AS anomaly_id, connection_id, run_at AS detected_at, layer, table_fqn, column_name,
        'THRESHOLD' AS anomaly_type, CASE WHEN abs({_z('1')}) > 3 THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
-       v AS metric_value, round(bm, 2) AS baseline_value, {off} AS deviation_pct, column_name || ' moved' AS description
+       v AS metric_value, {ratio('bs4', '10000 * bn', 2)} AS baseline_value, {off} AS deviation_pct, column_name || ' moved' AS description
 FROM ({_window(source, 'connection_id, table_fqn, column_name', 'mean_value', 'mean_value IS NOT NULL')})
 WHERE bn >= 3 AND abs({_z('1')}) >= 2 AND abs({off}) >= 30{' AND newest = 1' if latest else ''}"""
 
@@ -76,7 +77,8 @@ UNION ALL BY NAME {metric_sql('w_stats', False)})
 
 def anomaly_log(spark, sf):
     """Anomalies of every past month; those of the last year are still open."""
-    reports, stats = d.reports(spark, sf), d.column_stats(spark, sf)
+    base = d.stage(d.monthly(spark, sf))
+    reports, stats = d.reports(spark, sf, base), d.column_stats(spark, sf, base)
     found = (anomaly.detect_volume(reports, latest_only=False)
              .unionByName(anomaly.detect_null_rate(stats, latest_only=False))
              .unionByName(anomaly.detect_metric(stats, latest_only=False)))
@@ -125,7 +127,8 @@ def a4(spark, sf):
 @query("a5_scan", f"SELECT {_OUT} FROM ({freshness_sql('w_reports', d.AS_OF)} UNION ALL BY NAME {volume_sql('w_reports', True)} "
        f"UNION ALL BY NAME {null_sql('w_stats', True)} UNION ALL BY NAME {metric_sql('w_stats', True)})")
 def a5(spark, sf):
-    return _pick(anomaly.scan(d.reports(spark, sf), d.column_stats(spark, sf), d.as_of()))
+    base = d.stage(d.monthly(spark, sf))
+    return _pick(anomaly.scan(d.reports(spark, sf, base), d.column_stats(spark, sf, base), d.as_of()))
 
 
 _SEG = f"""
@@ -182,18 +185,18 @@ WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.status = 'open' AND n.connection_i
                   AND coalesce(n.column_name, '') = coalesce(o.column_name, '') AND n.anomaly_type = o.anomaly_type)""")
 def a8(spark, sf):
     from assay.operators.relational import latest_per_key
-    log = anomaly_log(spark, sf).filter((F.col("anomaly_type") != "THRESHOLD") & (F.col("detected_at") < d.as_of("2001-08-01")))
+    log = d.stage(anomaly_log(spark, sf)).filter((F.col("anomaly_type") != "THRESHOLD") & (F.col("detected_at") < d.as_of("2001-08-01")))
     log = latest_per_key(log.withColumn("_c", F.coalesce("column_name", F.lit(""))),
                          ["connection_id", "table_fqn", "_c", "anomaly_type", "status"],
                          [F.asc("detected_at"), F.asc("anomaly_id")]).drop("_c")
     fresh = anomaly.detect_volume(d.reports(spark, sf)).unionByName(anomaly.detect_null_rate(d.column_stats(spark, sf)))
-    return anomaly.save_anomalies(log, fresh).select(
+    return anomaly.save_anomalies(log, d.stage(fresh)).select(
         "anomaly_id", "table_fqn", "anomaly_type", "severity", "metric_value",
         F.date_format("detected_at", "yyyy-MM-dd").alias("detected_on"), "status", "is_new")
 
 
-def fingerprints(spark, sf):
-    log = anomaly_log(spark, sf).filter("status = 'acknowledged'")
+def fingerprints(spark, sf, log=None):
+    log = (anomaly_log(spark, sf) if log is None else log).filter("status = 'acknowledged'")
     noted = (log.withColumn("ack_note", F.when(F.col("severity") == "CRITICAL", F.concat(F.lit(" reload "), F.lower("anomaly_type"), F.lit(" "))))
              .withColumn("acknowledged_by", F.lit("ana@example.com")))
     known = d.tables(spark, sf).filter("layer = 'RAW'").select(
@@ -218,7 +221,8 @@ SELECT a.anomaly_id, a.table_fqn, a.severity, CASE WHEN a.anomaly_type = 'VOLUME
        EXISTS (SELECT 1 FROM w_fp f WHERE f.connection_id = a.connection_id AND f.related_table = a.table_fqn) AS has_fingerprint
 FROM w_anoms a LEFT JOIN h USING (connection_id, table_fqn) WHERE a.status = 'open'""")
 def a9(spark, sf):
-    box = anomaly.inbox(anomaly_log(spark, sf), d.reports(spark, sf), fingerprints(spark, sf))
+    log = d.stage(anomaly_log(spark, sf))
+    box = anomaly.inbox(log, d.reports(spark, sf), fingerprints(spark, sf, log))
     return box.select("anomaly_id", "table_fqn", "severity", F.array_join("history_values", ",").alias("history_values"), "has_fingerprint")
 
 

@@ -11,12 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions import exact
+from assay.session import cut_lineage
 from workbench.registry import cte, percent, ratio, table
 
 AS_OF = "2001-10-15 06:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 
 
+# A relation that a query uses several times is written once to the shared folder.
+stage = cut_lineage
+
+
 def as_of(text: str = AS_OF):
     return F.lit(text).cast("timestamp")
 
@@ -75,9 +80,9 @@ SELECT m.*, t.* FROM (
 
 # --- profiling history -------------------------------------------------------
 
-def reports(spark: SparkSession, sf: str) -> DataFrame:
+def reports(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     n = F.col("n")
-    m = (monthly(spark, sf)
+    m = ((monthly(spark, sf) if base is None else base)
          .withColumn("completeness_score", exact.percent(n - F.col("missing"), n, 1))
          .withColumn("uniqueness_score", exact.percent(n - F.col("returned"), n, 1))
          .withColumn("consistency_score", exact.percent(n - F.col("disc_high"), n, 1))
@@ -103,14 +108,14 @@ FROM (SELECT table_fqn || '@' || strftime(run_at, '%Y-%m') AS report_id, connect
 """)
 
 
-def column_stats(spark: SparkSession, sf: str) -> DataFrame:
+def column_stats(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     n, zero, none = F.col("n"), F.lit(0.0), F.lit(None).cast("double")
 
     def cell(name, dtype, pct, distinct, mean):
         return F.struct(F.lit(name).alias("column_name"), F.lit(dtype).alias("data_type"), pct.alias("null_pct"),
                         distinct.cast("bigint").alias("distinct_count"), mean.alias("mean_value"))
 
-    return monthly(spark, sf).select(
+    return (monthly(spark, sf) if base is None else base).select(
         F.concat("table_fqn", F.lit("@"), F.date_format("run_at", "yyyy-MM")).alias("report_id"),
         "connection_id", "table_fqn", "layer", "run_at", n.alias("row_count"),
         F.inline(F.array(
@@ -270,14 +275,14 @@ def event_days(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("value") > 400).alias("nulls"),
         F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
     return d.select(
-        F.lit("conn_e").alias("connection_id"), F.concat(F.lit("bronze.events_"), F.col("event_type")).alias("table_fqn"),
+        F.concat(F.lit("conn_"), F.col("event_type")).alias("connection_id"), F.concat(F.lit("bronze.events_"), F.col("event_type")).alias("table_fqn"),
         F.lit("BRONZE").alias("layer"), "run_at", "row_count",
         exact.percent(F.col("nulls"), F.col("row_count")).alias("null_pct"),
         exact.ratio(F.col("cents"), F.col("row_count") * 100, 4).alias("mean_value"))
 
 
 cte("w_event_days", f"""
-SELECT 'conn_e' AS connection_id, 'bronze.events_' || event_type AS table_fqn, 'BRONZE' AS layer, run_at, row_count,
+SELECT 'conn_' || event_type AS connection_id, 'bronze.events_' || event_type AS table_fqn, 'BRONZE' AS layer, run_at, row_count,
        {percent('nulls', 'row_count')} AS null_pct, {ratio('cents', '100 * row_count', 4)} AS mean_value
 FROM (SELECT event_type, date_trunc('day', ts) AS run_at, count(*) AS row_count,
              count(*) FILTER (WHERE value > 400) AS nulls, sum(CAST(round(value * 100) AS BIGINT)) AS cents

@@ -8,7 +8,7 @@ from assay.operators import intel, trust
 from workbench import derived as d
 from workbench.anomalies import anomaly_log, fingerprints
 from workbench.registry import cte, query, ratio
-from workbench.trust import _S10, trust_history
+from workbench.trust import _S10
 
 _NOW = f"TIMESTAMP '{d.AS_OF}'"
 cte("w_connrun", "SELECT x.* FROM w_results x JOIN (SELECT connection_id, arg_max(run_id, run_timestamp) AS run_id FROM w_results GROUP BY 1) r USING (connection_id, run_id)")
@@ -31,8 +31,11 @@ LEFT JOIN (SELECT connection_id, round((epoch({_NOW}) - epoch(max(run_at))) / 36
 LEFT JOIN (SELECT connection_id, round((epoch({_NOW}) - epoch(max(run_timestamp))) / 3600.0::DOUBLE, 1) AS execution_h FROM w_results GROUP BY 1) USING (connection_id))""")
 
 
-def _signals(spark, sf):
-    return intel.advisory_signals(d.tables(spark, sf), anomaly_log(spark, sf), d.results(spark, sf), d.reports(spark, sf), d.as_of(), 60)
+def _signals(spark, sf, log=None, results=None, reports=None):
+    log = d.stage(anomaly_log(spark, sf)) if log is None else log
+    results = d.stage(d.results(spark, sf)) if results is None else results
+    reports = d.stage(d.reports(spark, sf)) if reports is None else reports
+    return intel.advisory_signals(d.tables(spark, sf), log, results, reports, d.as_of(), 60)
 
 
 @query("i1_open_by_severity", "SELECT connection_id, severity, count(*) AS n FROM w_anoms WHERE status = 'open' GROUP BY 1, 2")
@@ -105,14 +108,18 @@ UNION ALL SELECT connection_id, 4, 1, 'med', 'Profiling is stale' FROM w_signals
 QUALIFY reason_no <= 5""")
 
 
-def _reasons(spark, sf):
-    return intel.risk_reasons(_signals(spark, sf), intel.failing_rules(d.results(spark, sf), d.rules(spark, sf)),
-                              intel.top_volume_trends(intel.volume_trends(d.reports(spark, sf))))
+def _history(spark, sf):
+    return d.stage(anomaly_log(spark, sf)), d.stage(d.results(spark, sf)), d.stage(d.reports(spark, sf))
+
+
+def _reasons(spark, sf, log, results, reports):
+    signals = d.stage(_signals(spark, sf, log, results, reports))
+    return intel.risk_reasons(signals, intel.failing_rules(results, d.rules(spark, sf)), intel.top_volume_trends(intel.volume_trends(reports)))
 
 
 @query("i10_reasons", "SELECT * FROM w_reasons")
 def i10(spark, sf):
-    return _reasons(spark, sf)
+    return _reasons(spark, sf, *_history(spark, sf))
 
 
 cte("w_tabrun", "SELECT x.* FROM w_results x JOIN (SELECT connection_id, table_fqn, arg_max(run_id, run_timestamp) AS run_id FROM w_results GROUP BY 1, 2) r USING (connection_id, table_fqn, run_id)")
@@ -131,7 +138,8 @@ WHERE s.null_pct >= 10 AND NOT EXISTS (SELECT 1 FROM f WHERE f.table_fqn = s.tab
 
 
 def _receipt_inputs(spark, sf):
-    return d.reports(spark, sf), d.column_stats(spark, sf), d.results(spark, sf), d.rules(spark, sf), anomaly_log(spark, sf)
+    log, results, reports = _history(spark, sf)
+    return reports, d.stage(d.column_stats(spark, sf)), results, d.rules(spark, sf), log
 
 
 @query("i11_receipt", """
@@ -146,7 +154,7 @@ SELECT table_fqn, column_name, 'ok', 'passing all checks, <1% null' FROM (SELECT
   QUALIFY row_number() OVER (PARTITION BY s.connection_id, s.table_fqn ORDER BY s.column_name) <= 2)""")
 def i11(spark, sf):
     reports, stats, results, rules, anomalies = _receipt_inputs(spark, sf)
-    signals = intel.receipt_signals(reports, stats, results, rules, anomalies)
+    signals = d.stage(intel.receipt_signals(reports, stats, results, rules, anomalies))
     return intel.receipt_fields(signals, reports, stats).drop("connection_id")
 
 
@@ -187,7 +195,8 @@ JOIN (SELECT connection_id, count(*) FILTER (WHERE CAST(detected_at AS DATE) = D
 JOIN (SELECT connection_id, {ratio('CAST(round(q * 10) AS BIGINT) - CAST(round(p * 10) AS BIGINT)', '10', 1)} AS delta FROM (
   SELECT connection_id, overall_score AS q, lead(overall_score) OVER w AS p, row_number() OVER w AS rn FROM w_trust WINDOW w AS (PARTITION BY connection_id ORDER BY score_date DESC)) WHERE rn = 1) USING (connection_id)""")
 def i14(spark, sf):
-    return intel.daily_facts(d.tables(spark, sf), trust_history(spark, sf), d.results(spark, sf), anomaly_log(spark, sf), d.as_of(_FACT_DAY))
+    log, results, reports = _history(spark, sf)
+    return intel.daily_facts(d.tables(spark, sf), trust.trust_snapshot(reports, results), results, log, d.as_of(_FACT_DAY))
 
 
 @query("i14_decisions_today", "SELECT event_type, count(*) AS n FROM w_audit WHERE CAST(event_timestamp AS DATE) = DATE '2024-01-15' GROUP BY 1 ORDER BY n DESC, event_type LIMIT 6")
@@ -207,7 +216,7 @@ UNION ALL SELECT 2, 1, 'Triage the ' || count(*) || ' critical rule failures fir
 UNION ALL SELECT 3, 1, 'Review ' || count(*) || ' open anomalies, starting with ' || (SELECT table_fqn FROM w_anoms WHERE status = 'open' ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, detected_at DESC, anomaly_id LIMIT 1) FROM w_anoms WHERE status = 'open'
 UNION ALL SELECT 4, ascii(layer), 'Re-run ' || layer || ' once its failing rules are addressed' FROM w_lastrun WHERE status = 'FAIL' AND layer <> 'UNKNOWN' GROUP BY layer) ORDER BY kind, no, text LIMIT 5""")
 def i17(spark, sf):
-    reports, results, log = d.reports(spark, sf), d.results(spark, sf), anomaly_log(spark, sf)
-    advisory = _reasons(spark, sf).filter("connection_id = 'conn_0' AND reason_no <= 2")
+    log, results, reports = _history(spark, sf)
+    advisory = _reasons(spark, sf, log, results, reports).filter("connection_id = 'conn_0' AND reason_no <= 2")
     summary = trust.trust_summary(reports, results, log, d.registry(spark, sf))
     return intel.recommendations(advisory, summary, log, trust.layer_health(reports, results), d.as_of()).select("text")
