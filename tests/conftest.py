@@ -12,7 +12,7 @@ SF = os.environ.get("ASSAY_TEST_SF", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", master="local[8]", cpus=4)
+    session = build_session("tests", master="local[8]", cpus=2)
     yield session
     session.stop()
 

@@ -79,7 +79,7 @@ def one_by_one(existing, candidates):
     return out
 
 
-@pytest.mark.parametrize("seed", [5, 6, 7])
+@pytest.mark.parametrize("seed", [5, 6])
 def test_accepting_edges_equals_one_by_one(spark, seed):
     rng = random.Random(seed)
     pairs = random_edges(seed, 8, 26, False)

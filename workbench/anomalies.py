@@ -75,9 +75,9 @@ UNION ALL BY NAME {metric_sql('w_stats', False)})
 """)
 
 
-def anomaly_log(spark, sf):
+def anomaly_log(spark, sf, base=None):
     """Anomalies of every past month; those of the last year are still open."""
-    base = d.stage(d.monthly(spark, sf))
+    base = d.stage(d.monthly(spark, sf)) if base is None else base
     reports, stats = d.reports(spark, sf, base), d.column_stats(spark, sf, base)
     found = (anomaly.detect_volume(reports, latest_only=False)
              .unionByName(anomaly.detect_null_rate(stats, latest_only=False))
@@ -185,12 +185,13 @@ WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.status = 'open' AND n.connection_i
                   AND coalesce(n.column_name, '') = coalesce(o.column_name, '') AND n.anomaly_type = o.anomaly_type)""")
 def a8(spark, sf):
     from assay.operators.relational import latest_per_key
-    log = d.stage(anomaly_log(spark, sf)).filter((F.col("anomaly_type") != "THRESHOLD") & (F.col("detected_at") < d.as_of("2001-08-01")))
+    base = d.stage(d.monthly(spark, sf))
+    log = d.stage(anomaly_log(spark, sf, base)).filter((F.col("anomaly_type") != "THRESHOLD") & (F.col("detected_at") < d.as_of("2001-08-01")))
     log = latest_per_key(log.withColumn("_c", F.coalesce("column_name", F.lit(""))),
                          ["connection_id", "table_fqn", "_c", "anomaly_type", "status"],
                          [F.asc("detected_at"), F.asc("anomaly_id")]).drop("_c")
-    fresh = anomaly.detect_volume(d.reports(spark, sf)).unionByName(anomaly.detect_null_rate(d.column_stats(spark, sf)))
-    return anomaly.save_anomalies(log, d.stage(fresh)).select(
+    fresh = anomaly.detect_volume(d.reports(spark, sf, base)).unionByName(anomaly.detect_null_rate(d.column_stats(spark, sf, base)))
+    return anomaly.save_anomalies(log, fresh).select(
         "anomaly_id", "table_fqn", "anomaly_type", "severity", "metric_value",
         F.date_format("detected_at", "yyyy-MM-dd").alias("detected_on"), "status", "is_new")
 
@@ -221,8 +222,9 @@ SELECT a.anomaly_id, a.table_fqn, a.severity, CASE WHEN a.anomaly_type = 'VOLUME
        EXISTS (SELECT 1 FROM w_fp f WHERE f.connection_id = a.connection_id AND f.related_table = a.table_fqn) AS has_fingerprint
 FROM w_anoms a LEFT JOIN h USING (connection_id, table_fqn) WHERE a.status = 'open'""")
 def a9(spark, sf):
-    log = d.stage(anomaly_log(spark, sf))
-    box = anomaly.inbox(log, d.reports(spark, sf), fingerprints(spark, sf, log))
+    base = d.stage(d.monthly(spark, sf))
+    log = d.stage(anomaly_log(spark, sf, base))
+    box = anomaly.inbox(log, d.reports(spark, sf, base), fingerprints(spark, sf, log))
     return box.select("anomaly_id", "table_fqn", "severity", F.array_join("history_values", ",").alias("history_values"), "has_fingerprint")
 
 

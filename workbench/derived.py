@@ -180,14 +180,14 @@ FROM (SELECT *, unnest([{', '.join(_sql_rule(i, r) for i, r in enumerate(_RULES)
 """)
 
 
-def results(spark: SparkSession, sf: str) -> DataFrame:
+def results(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """Four rules per supplier and month, counted in the one scan of ``monthly``."""
     n = F.col("n")
     cells = F.array(*[F.struct(F.lit(i).alias("rule_no"), F.col(c).alias("failed"), F.lit(name).alias("rule_name"),
                                F.lit(sev).alias("severity"), F.lit(cde).alias("is_cde_rule"))
                       for i, c, name, sev, cde in _RESULT_RULES])
     readable = n > 2
-    m = (monthly(spark, sf).select("*", F.inline(cells))
+    m = ((monthly(spark, sf) if base is None else base).select("*", F.inline(cells))
          .withColumn("total_records", F.when(readable, n).otherwise(0))
          .withColumn("failed_records", F.when(readable, F.col("failed")).otherwise(0))
          .withColumn("fail_pct", exact.percent(F.col("failed_records"), F.col("total_records"))))

@@ -31,10 +31,14 @@ LEFT JOIN (SELECT connection_id, round((epoch({_NOW}) - epoch(max(run_at))) / 36
 LEFT JOIN (SELECT connection_id, round((epoch({_NOW}) - epoch(max(run_timestamp))) / 3600.0::DOUBLE, 1) AS execution_h FROM w_results GROUP BY 1) USING (connection_id))""")
 
 
-def _signals(spark, sf, log=None, results=None, reports=None):
-    log = d.stage(anomaly_log(spark, sf)) if log is None else log
-    results = d.stage(d.results(spark, sf)) if results is None else results
-    reports = d.stage(d.reports(spark, sf)) if reports is None else reports
+def _history(spark, sf, keep_log=False):
+    """Anomalies, results and reports from one staged count of lineitem."""
+    base = d.stage(d.monthly(spark, sf))
+    log = anomaly_log(spark, sf, base)
+    return d.stage(log) if keep_log else log, d.results(spark, sf, base), d.reports(spark, sf, base), base
+
+
+def _signals(spark, sf, log, results, reports):
     return intel.advisory_signals(d.tables(spark, sf), log, results, reports, d.as_of(), 60)
 
 
@@ -95,7 +99,7 @@ def i8(spark, sf):
 
 @query("i9_predicted", "SELECT * FROM w_signals")
 def i9(spark, sf):
-    return _signals(spark, sf)
+    return _signals(spark, sf, *_history(spark, sf)[:3])
 
 
 cte("w_topswings", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY connection_id ORDER BY abs(delta_pct) DESC, table_fqn) AS rank FROM w_swings) WHERE rank <= 5")
@@ -108,10 +112,6 @@ UNION ALL SELECT connection_id, 4, 1, 'med', 'Profiling is stale' FROM w_signals
 QUALIFY reason_no <= 5""")
 
 
-def _history(spark, sf):
-    return d.stage(anomaly_log(spark, sf)), d.stage(d.results(spark, sf)), d.stage(d.reports(spark, sf))
-
-
 def _reasons(spark, sf, log, results, reports):
     signals = d.stage(_signals(spark, sf, log, results, reports))
     return intel.risk_reasons(signals, intel.failing_rules(results, d.rules(spark, sf)), intel.top_volume_trends(intel.volume_trends(reports)))
@@ -119,7 +119,7 @@ def _reasons(spark, sf, log, results, reports):
 
 @query("i10_reasons", "SELECT * FROM w_reasons")
 def i10(spark, sf):
-    return _reasons(spark, sf, *_history(spark, sf))
+    return _reasons(spark, sf, *_history(spark, sf)[:3])
 
 
 cte("w_tabrun", "SELECT x.* FROM w_results x JOIN (SELECT connection_id, table_fqn, arg_max(run_id, run_timestamp) AS run_id FROM w_results GROUP BY 1, 2) r USING (connection_id, table_fqn, run_id)")
@@ -138,8 +138,8 @@ WHERE s.null_pct >= 10 AND NOT EXISTS (SELECT 1 FROM f WHERE f.table_fqn = s.tab
 
 
 def _receipt_inputs(spark, sf):
-    log, results, reports = _history(spark, sf)
-    return reports, d.stage(d.column_stats(spark, sf)), results, d.rules(spark, sf), log
+    log, results, reports, base = _history(spark, sf, keep_log=True)
+    return reports, d.column_stats(spark, sf, base), results, d.rules(spark, sf), log
 
 
 @query("i11_receipt", """
@@ -195,7 +195,7 @@ JOIN (SELECT connection_id, count(*) FILTER (WHERE CAST(detected_at AS DATE) = D
 JOIN (SELECT connection_id, {ratio('CAST(round(q * 10) AS BIGINT) - CAST(round(p * 10) AS BIGINT)', '10', 1)} AS delta FROM (
   SELECT connection_id, overall_score AS q, lead(overall_score) OVER w AS p, row_number() OVER w AS rn FROM w_trust WINDOW w AS (PARTITION BY connection_id ORDER BY score_date DESC)) WHERE rn = 1) USING (connection_id)""")
 def i14(spark, sf):
-    log, results, reports = _history(spark, sf)
+    log, results, reports, _ = _history(spark, sf)
     return intel.daily_facts(d.tables(spark, sf), trust.trust_snapshot(reports, results), results, log, d.as_of(_FACT_DAY))
 
 
@@ -216,7 +216,7 @@ UNION ALL SELECT 2, 1, 'Triage the ' || count(*) || ' critical rule failures fir
 UNION ALL SELECT 3, 1, 'Review ' || count(*) || ' open anomalies, starting with ' || (SELECT table_fqn FROM w_anoms WHERE status = 'open' ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, detected_at DESC, anomaly_id LIMIT 1) FROM w_anoms WHERE status = 'open'
 UNION ALL SELECT 4, ascii(layer), 'Re-run ' || layer || ' once its failing rules are addressed' FROM w_lastrun WHERE status = 'FAIL' AND layer <> 'UNKNOWN' GROUP BY layer) ORDER BY kind, no, text LIMIT 5""")
 def i17(spark, sf):
-    log, results, reports = _history(spark, sf)
+    log, results, reports, _ = _history(spark, sf, keep_log=True)
     advisory = _reasons(spark, sf, log, results, reports).filter("connection_id = 'conn_0' AND reason_no <= 2")
     summary = trust.trust_summary(reports, results, log, d.registry(spark, sf))
     return intel.recommendations(advisory, summary, log, trust.layer_health(reports, results), d.as_of()).select("text")

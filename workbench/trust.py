@@ -101,7 +101,8 @@ SELECT l.layer, round(coalesce(a.score, 0), 1) AS score, CASE WHEN coalesce(a.sc
        coalesce(c.open_issues, 0) AS open_issues, coalesce(c.rule_count, 0) AS rule_count, t.trend_delta
 FROM {_LAYERS} LEFT JOIN ({_LAYER_AVG}) a USING (layer) LEFT JOIN ({_T4}) c USING (layer) LEFT JOIN ({_T5}) t USING (layer)""")
 def t9_layers(spark, sf):
-    return trust.layer_health(d.stage(d.reports(spark, sf)), d.stage(d.results(spark, sf)))
+    base = d.stage(d.monthly(spark, sf))
+    return trust.layer_health(d.reports(spark, sf, base), d.results(spark, sf, base))
 
 
 @query("t9_summary", f"""
@@ -113,7 +114,8 @@ SELECT {_score_sql()} AS overall_score, count(*) FILTER (WHERE status = 'FAIL' A
             WHEN count(*) FILTER (WHERE status = 'FAIL' AND severity = 'HIGH') > 0 THEN 'RECOVERING' ELSE 'HEALTHY' END AS pipeline_status,
        strftime(greatest(max(run_timestamp), (SELECT max(run_at) FROM w_reports)), '%Y-%m-%d') AS last_run_day FROM w_lastrun""")
 def t9(spark, sf):
-    out = trust.trust_summary(d.stage(d.reports(spark, sf)), d.stage(d.results(spark, sf)), anomaly_log(spark, sf), d.registry(spark, sf))
+    base = d.stage(d.monthly(spark, sf))
+    out = trust.trust_summary(d.reports(spark, sf, base), d.results(spark, sf, base), anomaly_log(spark, sf, base), d.registry(spark, sf))
     return out.withColumn("last_run_day", F.date_format("last_run_at", "yyyy-MM-dd")).drop("last_run_at")
 
 
@@ -132,8 +134,9 @@ UNION ALL SELECT * FROM (SELECT 'rule', x.rule_id, x.severity, 'Rule failing: '
 UNION ALL SELECT * FROM (SELECT 'task', CAST(task_id AS VARCHAR), priority, 'Overdue task: ' || title, NULL FROM w_tasks WHERE status IN ('open', 'in_progress') AND due_date < DATE '{d.AS_OF[:10]}' ORDER BY due_date, task_id LIMIT 5))
 ORDER BY {_RANK.replace('ELSE 3', "WHEN 'LOW' THEN 3 ELSE 9")}, ts IS NULL, ts, kind, entity_id LIMIT 10""")
 def t13(spark, sf):
-    log = anomaly_log(spark, sf).withColumn("description", F.concat("anomaly_type", "table_fqn"))
-    q = trust.attention_queue(log, d.stage(d.results(spark, sf)), d.rules(spark, sf), d.tasks(spark, sf), d.as_of())
+    base = d.stage(d.monthly(spark, sf))
+    log = anomaly_log(spark, sf, base).withColumn("description", F.concat("anomaly_type", "table_fqn"))
+    q = trust.attention_queue(log, d.results(spark, sf, base), d.rules(spark, sf), d.tasks(spark, sf), d.as_of())
     return q.select("kind", "entity_id", "severity", "title", "ts")
 
 
