@@ -48,9 +48,8 @@ def _verdict(key: str, confidence: float) -> Column:
     return F.struct(F.lit(key).alias("key"), F.lit(confidence).alias("confidence"))
 
 
-def classification(text: Column) -> Column:
-    """Struct (key, confidence); the first rule that matches decides."""
-    t = F.lower(text)
+def classification(t: Column) -> Column:
+    """Struct (key, confidence) of a lower-cased text; the first rule that matches decides."""
     absent = _any(t, ABSENCE)
     whitelist = (_has(t, "whitelist") | (_has(t, "invalid") & _has(t, "value")) | _has(t, "unapproved")
                  | t.rlike(NOT_IN_ENUM) | t.rlike(ODD_VALUE) | t.rlike(CODE_APPEARS))
@@ -67,8 +66,9 @@ def classification(text: Column) -> Column:
 
 
 def classify(reports: DataFrame, text: str = "text") -> DataFrame:
-    """Reports with ``key`` and ``confidence``."""
-    return reports.withColumn("_v", classification(F.col(text))).select("*", "_v.key", "_v.confidence").drop("_v")
+    """Reports with ``key`` and ``confidence``; each text is lower-cased once."""
+    lowered = reports.withColumn("_t", F.lower(text))
+    return lowered.withColumn("_v", classification(F.col("_t"))).select("*", "_v.key", "_v.confidence").drop("_v", "_t")
 
 
 def confusion(labelled: DataFrame, expected: str = "expected_key") -> DataFrame:
