@@ -34,8 +34,10 @@ ONLY_COUNT = r"\bonly\s+\d+\s+(record|row|order)"
 
 
 def _any(t: Column, words: Sequence[str]) -> Column:
-    out = F.contains(t, F.lit(words[0]))
-    for w in words[1:]:
+    """Any of the words; one that contains another of them adds nothing."""
+    needed = [w for w in words if not any(o != w and o in w for o in words)]
+    out = F.contains(t, F.lit(needed[0]))
+    for w in needed[1:]:
         out = out | F.contains(t, F.lit(w))
     return out
 
