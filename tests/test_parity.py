@@ -5,9 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from workbench import load
 from workbench.verify import compare
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: entry.queries()[name] for name in load().QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 SAMPLE = ("p3_distinct_lineitem p4_top_texts_documents p9_key_dups_lineitem p12_score_lineitem p14_risks_lineitem r1_unique_lineitem "
           "r2_batch_customer r7_full_run r17_regenerate_drafts r25_ship_after_order r40_46_lint a1_volume_latest a3_metric_events a6_segment_events "
           "a8_dedupe t9_layer_health t13_attention t22_ai_cost i9_predicted i12_receipt_score g5_cycles g8_root_causes g11_paths g17_review "
