@@ -117,9 +117,9 @@ def detect_volume(history: DataFrame, thresholds: DataFrame | None = None, lates
     z, pct = sigmas(1), _percent_off()
     h = with_thresholds(h.withColumn("_z", z).withColumn("deviation_pct", pct), thresholds)
     hit = h.filter((F.abs("_z") >= SIGMA) & (F.abs("deviation_pct") >= F.col("vol_pct")))
-    way = F.when(F.col("_v") < F.col("_mean"), "dropped").otherwise("spiked")
-    text = F.concat(F.lit("Row count "), way, F.lit(" to "), F.format_number("_v", 0), F.lit(" vs baseline avg "),
-                    F.format_number(F.floor("_mean"), 0), F.lit(" ("), _whole(F.abs("deviation_pct")), F.lit("% deviation)"))
+    way = F.when(F.col("_v") < F.col("_mean"), "Fewer").otherwise("More")
+    text = F.concat(way, F.lit(" rows than usual: "), F.format_number("_v", 0), F.lit(" where recent runs had about "),
+                    F.format_number(F.floor("_mean"), 0), F.lit(", "), _whole(F.abs("deviation_pct")), F.lit("% off"))
     return _record(hit.withColumn("description", text)
                    .withColumn("severity", F.when(F.abs("_z") > SIGMA_CRITICAL, "CRITICAL").otherwise("HIGH"))
                    .withColumn("metric_value", F.col("_v").cast("double"))
@@ -134,8 +134,8 @@ def detect_null_rate(history: DataFrame, thresholds: DataFrame | None = None, la
     hit = with_thresholds(h, thresholds).filter(
         (F.col("_v") > 0) & (F.col("_z") >= SIGMA) & (F.col("deviation_pct") >= F.col("dist_pct")))
     metric, mean = F.col("_v") / 100.0, F.col("_mean") / 100.0
-    text = F.concat("column_name", F.lit(" null rate is "), F.format_number(metric, 1), F.lit("% vs baseline "),
-                    F.format_number(mean, 1), F.lit("% ("), _whole(F.col("deviation_pct")), F.lit("% above average)"))
+    text = F.concat(F.lit("NULL share of "), "column_name", F.lit(": "), F.format_number(metric, 1), F.lit("%, recent runs had "),
+                    F.format_number(mean, 1), F.lit("%, a rise by "), _whole(F.col("deviation_pct")), F.lit("%"))
     return _record(hit.withColumn("description", text)
                    .withColumn("severity", F.when(F.col("_v") > 1000, "CRITICAL").otherwise("HIGH"))
                    .withColumn("metric_value", metric)
@@ -154,9 +154,9 @@ def detect_metric(history: DataFrame, thresholds: DataFrame | None = None, lates
     off = (exact * n - total) * 100 / F.greatest(F.abs(total), n)
     h = with_thresholds(h.withColumn("_z", sigmas(1)).withColumn("deviation_pct", F.round(off, 1).cast("double")), thresholds)
     hit = h.filter((F.abs("_z") >= SIGMA) & (F.abs("deviation_pct") >= F.col("vol_pct")))
-    way = F.when(F.col("_v") < F.col("_mean"), "below").otherwise("above")
-    text = F.concat("column_name", F.lit(" is "), _whole(F.abs("deviation_pct")), F.lit("% "), way,
-                    F.lit(" the 7-day average (current: "), _whole(F.col("_v")), F.lit(", avg: "), _whole(F.col("_mean")), F.lit(")"))
+    way = F.when(F.col("_v") < F.col("_mean"), "fell").otherwise("rose")
+    text = F.concat(F.lit("Mean of "), "column_name", F.lit(" "), way, F.lit(" by "), _whole(F.abs("deviation_pct")), F.lit("%, from about "),
+                    _whole(F.col("_mean")), F.lit(" in recent runs to "), _whole(F.col("_v")))
     return _record(hit.withColumn("description", text)
                    .withColumn("severity", F.when(F.abs("_z") > SIGMA_CRITICAL, "CRITICAL").otherwise("HIGH"))
                    .withColumn("metric_value", F.col("_v"))
@@ -175,8 +175,8 @@ def detect_freshness(last_seen: DataFrame, as_of: Column, thresholds: DataFrame
     h = with_thresholds(newest.withColumn("_age", age), thresholds)
     sla = F.col("freshness_hours")
     hit = h.filter(F.col("run_at").isNotNull() & (sla > 0) & (F.col("_age") > sla))
-    text = F.concat(F.lit("No fresh data snapshot in "), _whole(F.col("_age")), F.lit("h: freshness SLA is "), _whole(sla),
-                    F.lit("h (last profiled "), F.date_format("run_at", "MMM dd HH:mm"), F.lit(" UTC)"))
+    text = F.concat(F.lit("Not seen since "), F.date_format("run_at", "yyyy-MM-dd HH:mm"), F.lit(", that is "), _whole(F.col("_age")),
+                    F.lit(" hours; agreed are "), _whole(sla))
     return _record(hit.withColumn("description", text)
                    .withColumn("severity", F.when(F.col("_age") > sla * 2, "HIGH").otherwise("MEDIUM"))
                    .withColumn("metric_value", F.round("_age", 1))
@@ -205,8 +205,8 @@ def segment_history(rows: DataFrame, segment: str, ts: str, unit: str = "day") -
     periods = F.explode(F.sequence(bounds["lo"], bounds["hi"], F.expr(f"INTERVAL 1 {unit.upper()}")))
     calendar = counted.select("segment").distinct().select("segment", periods.alias("run_at"))
     filled = calendar.join(counted, ["segment", "run_at"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
-    # One period holds one row per segment.
-    return filled.withColumn("all_rows", F.sum("rows").over(Window.partitionBy("run_at")))
+    totals = counted.groupBy("run_at").agg(F.sum("rows").alias("all_rows"))
+    return filled.join(totals, "run_at", "left").withColumn("all_rows", F.coalesce("all_rows", F.lit(0)))
 
 
 def detect_segment(history: DataFrame, connection_id: str, table_fqn: str, layer: str,
@@ -265,7 +265,7 @@ def fingerprints_from(acknowledged: DataFrame, known: DataFrame, as_of: Column)
     first = latest_per_key(noted, keys, [F.asc("detected_at"), F.asc("anomaly_id")])
     fresh = first.join(known.select(*keys).distinct(), keys, "left_anti")
     cause = F.when(F.col("description").isNull(), F.col("anomaly_type")).otherwise(
-        F.substring(F.concat_ws(": ", "anomaly_type", "description"), 1, 500))
+        F.concat_ws(": ", "anomaly_type", "description"))
     return fresh.select(
         "connection_id", F.lit(100).alias("similarity_pct"), as_of.cast("date").alias("incident_date"),
         F.date_format(as_of, "EEEE").alias("incident_day"), cause.alias("root_cause"), "resolution",

@@ -16,16 +16,19 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def _cols(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]
+def first_rows(df: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows, or all for None."""
+    return df if n is None else df.limit(n)
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1,
+def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None = 1,
                    rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each key in ``order``; ``order`` must be total."""
+    """The first ``n`` rows of each key in ``order``, or all for None; ``order`` must be total."""
+    if n is None and not rank:
+        return df
     name = rank or "_rank"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    kept = ranked.filter(F.col(name) <= n)
+    kept = ranked if n is None else ranked.filter(F.col(name) <= n)
     return kept if rank else kept.drop(name)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from assay.functions.exact import mean_of, percent, ratio, scaled
 from assay.functions.severity import LAYERS, first_filled, layer_rank, layer_status, severity_rank
 from assay.operators.anomaly import by_severity, type_intent, type_label
 from assay.operators.history import latest_reports
-from assay.operators.relational import anti_join, latest_per_key
+from assay.operators.relational import anti_join, first_rows, latest_per_key
 from assay.operators.rules import overall_score
 
 LIVE = ("approved", "active")
@@ -37,53 +39,62 @@ def layers_frame(spark) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in LAYERS])).alias("layer"))
 
 
-def latest_run_id(results: DataFrame) -> Column:
-    """Id of the newest run, as a scalar subquery."""
-    return results.agg(F.max_by("run_id", F.struct("run_timestamp", "run_id")).alias("run_id")).scalar()
+def latest_runs(results: DataFrame, keys: Sequence[str] = ("connection_id",)) -> DataFrame:
+    """Newest run of each connection, or of each value of ``keys``."""
+    return results.groupBy(*keys).agg(F.max_by("run_id", F.struct("run_timestamp", "run_id")).alias("run_id"))
 
 
-def in_latest_run(results: DataFrame) -> DataFrame:
-    return results.filter(F.col("run_id") == latest_run_id(results))
+def in_latest_run(results: DataFrame, keys: Sequence[str] = ("connection_id",)) -> DataFrame:
+    """Results of the newest run of each connection, or of each value of ``keys``."""
+    return results.join(latest_runs(results, keys), [*keys, "run_id"], "left_semi")
 
 
 def layer_averages(reports: DataFrame) -> DataFrame:
-    """Mean of the latest scores of each layer's tables."""
-    return latest_reports(reports).groupBy(F.coalesce("layer", F.lit("UNKNOWN")).alias("layer")).agg(
+    """Mean of the latest scores of each connection's and layer's tables."""
+    return latest_reports(reports).groupBy("connection_id", F.coalesce("layer", F.lit("UNKNOWN")).alias("layer")).agg(
         mean_of(F.col("quality_score"), 1, 4).alias("score"), F.count(F.lit(1)).alias("profiled_tables"))
 
 
 def issues_by_severity(results: DataFrame) -> DataFrame:
-    """Failures of the newest run by severity."""
-    return in_latest_run(results).filter("status = 'FAIL'").groupBy("severity").agg(F.count(F.lit(1)).alias("issues"))
+    """Failures of each connection's newest run by severity."""
+    return in_latest_run(results).filter("status = 'FAIL'").groupBy("connection_id", "severity").agg(F.count(F.lit(1)).alias("issues"))
 
 
 def latest_run_health(results: DataFrame) -> DataFrame:
-    """Score and error count of the newest run."""
-    return in_latest_run(results).groupBy("run_id").agg(
+    """Score and error count of each connection's newest run."""
+    return in_latest_run(results).groupBy("connection_id", "run_id").agg(
         F.count_if(F.col("status") == "ERROR").alias("errors"), F.max("run_timestamp").alias("run_timestamp"),
         overall_score().alias("overall_quality_score"))
 
 
 def run_counts(results: DataFrame) -> DataFrame:
-    """T4: number of runs; failures and rules per layer in the newest one."""
-    runs = results.agg(F.count_distinct("run_id").alias("runs")).scalar()
-    return in_latest_run(results).filter(F.col("layer").isNotNull()).groupBy("layer").agg(
-        F.count_if(F.col("status") == "FAIL").alias("open_issues"), F.count(F.lit(1)).alias("rule_count")
-    ).withColumn("execution_runs", runs)
+    """T4: number of runs of each connection; failures and rules per layer in the newest one."""
+    runs = results.groupBy("connection_id").agg(F.count_distinct("run_id").alias("execution_runs"))
+    return in_latest_run(results).filter(F.col("layer").isNotNull()).groupBy("connection_id", "layer").agg(
+        F.count_if(F.col("status") == "FAIL").alias("open_issues"), F.count(F.lit(1)).alias("rule_count")).join(runs, "connection_id")
 
 
 def layer_trend(reports: DataFrame) -> DataFrame:
-    """T5: mean change of the latest score against the one before, per layer."""
-    two = latest_per_key(reports, ["table_fqn"], [F.desc("run_at"), F.desc("report_id")], 2, rank="rn")
+    """T5: mean change of the latest score against the one before, per connection and layer."""
+    keys = ["connection_id", "table_fqn"]
+    two = latest_per_key(reports, keys, [F.desc("run_at"), F.desc("report_id")], 2, rank="rn")
     cur, prev = F.col("rn") == 1, F.col("rn") == 2
-    per_table = two.groupBy("table_fqn").agg(
+    per_table = two.groupBy(*keys).agg(
         F.max(F.when(cur, F.coalesce("layer", F.lit("UNKNOWN")))).alias("layer"),
         F.max(F.when(cur, scaled(F.coalesce("quality_score", F.lit(0.0)), 1))).alias("cur"),
         F.max(F.when(prev, scaled(F.coalesce("quality_score", F.lit(0.0)), 1))).alias("prev"))
-    return per_table.filter(F.col("prev").isNotNull()).groupBy("layer").agg(
+    return per_table.filter(F.col("prev").isNotNull()).groupBy("connection_id", "layer").agg(
         ratio(F.sum(F.col("cur") - F.col("prev")), F.count(F.lit(1)) * 10, 1).alias("trend_delta"))
 
 
+def connections_of(*frames: DataFrame) -> DataFrame:
+    """Every connection that one of the frames mentions."""
+    out = frames[0].select("connection_id")
+    for f in frames[1:]:
+        out = out.unionByName(f.select("connection_id"))
+    return out.distinct()
+
+
 def anomaly_breakdown(anomalies: DataFrame) -> DataFrame:
     """Open anomalies by type, with label and intent."""
     return (anomalies.filter("status = 'open'").groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("n"))
@@ -98,9 +109,12 @@ def anomalies_by_layer(anomalies: DataFrame) -> DataFrame:
 
 def cde_health(registry: DataFrame) -> DataFrame:
     """Share of healthy critical data elements, 100 when there are none."""
-    healthy = F.count_if(F.col("health").isin("PASS", "HEALTHY"))
+    return registry.agg(cde_share().alias("cde_health_pct"))
+
+
+def cde_share() -> Column:
     total = F.count(F.lit(1))
-    return registry.agg(F.when(total == 0, 100.0).otherwise(percent(healthy, total, 1)).alias("cde_health_pct"))
+    return F.when(total == 0, 100.0).otherwise(percent(F.count_if(F.col("health").isin("PASS", "HEALTHY")), total, 1))
 
 
 def score_delta(history: DataFrame) -> DataFrame:
@@ -117,34 +131,43 @@ def score_delta(history: DataFrame) -> DataFrame:
 
 
 def layer_health(reports: DataFrame, results: DataFrame) -> DataFrame:
-    """One row per layer: score, status, open issues, rules and trend."""
-    return (layers_frame(reports.sparkSession)
-            .join(layer_averages(reports), "layer", "left").join(run_counts(results), "layer", "left")
-            .join(layer_trend(reports), "layer", "left")
+    """One row per connection and layer: score, status, open issues, rules and trend."""
+    keys = ["connection_id", "layer"]
+    every = connections_of(reports, results).select("connection_id", F.explode(F.array(*[F.lit(x) for x in LAYERS])).alias("layer"))
+    return (every.join(layer_averages(reports), keys, "left").join(run_counts(results), keys, "left").join(layer_trend(reports), keys, "left")
             .withColumn("score", F.coalesce("score", F.lit(0.0)))
-            .select("layer", F.round("score", 1).alias("score"), layer_status(F.col("score")).alias("status"),
+            .select(*keys, F.round("score", 1).alias("score"), layer_status(F.col("score")).alias("status"),
                     F.coalesce("open_issues", F.lit(0)).alias("open_issues"),
                     F.coalesce("rule_count", F.lit(0)).alias("rule_count"), "trend_delta"))
 
 
 def trust_summary(reports: DataFrame, results: DataFrame, anomalies: DataFrame, registry: DataFrame) -> DataFrame:
-    """The headline row; the newest run's score wins over profiling scores."""
-    profiled = layer_averages(reports).agg(F.round(F.avg("score"), 1)).scalar()
-    run = in_latest_run(results)
+    """The headline row of each connection; the newest run's score wins over profiling scores.
+
+    The registry of critical data elements is shared unless it names connections.
+    """
+    key = "connection_id"
     failed = lambda sev: F.count_if((F.col("status") == "FAIL") & (F.col("severity") == sev))
-    head = run.agg(
-        F.when(F.count(F.lit(1)) > 0, overall_score()).alias("_run_score"), F.max("run_timestamp").alias("_run_at"),
+    head = in_latest_run(results).groupBy(key).agg(
+        overall_score().alias("_run_score"), F.max("run_timestamp").alias("_run_at"),
         failed("CRITICAL").alias("open_critical"), failed("HIGH").alias("open_high"), failed("MEDIUM").alias("open_medium"),
         F.count_if(F.col("status") == "ERROR").alias("open_errors"))
-    return (head.withColumns({
-        "overall_score": F.coalesce("_run_score", profiled, F.lit(0.0)),
-        "active_anomalies": anomalies.filter("status = 'open'").agg(F.count(F.lit(1))).scalar(),
-        "cde_health_pct": cde_health(registry).scalar(),
-        "profiled_table_count": latest_reports(reports).agg(F.count(F.lit(1))).scalar(),
-        "last_run_at": F.greatest(reports.agg(F.max("run_at")).scalar(), F.col("_run_at"))})
-        .withColumn("pipeline_status", F.when((F.col("open_critical") > 0) | (F.col("open_errors") > 0), "ISSUES")
-                    .when(F.col("open_high") > 0, "RECOVERING").otherwise("HEALTHY"))
-        .drop("_run_score", "_run_at"))
+    profiled = layer_averages(reports).groupBy(key).agg(F.round(F.avg("score"), 1).alias("_profiled"), F.sum("profiled_tables").alias("profiled_table_count"))
+    last = reports.groupBy(key).agg(F.max("run_at").alias("_profiled_at"))
+    open_ = anomalies.filter("status = 'open'").groupBy(key).agg(F.count(F.lit(1)).alias("active_anomalies"))
+    out = connections_of(reports, results, anomalies)
+    for part in (head, profiled, last, open_):
+        out = out.join(part, key, "left")
+    if key in registry.columns:
+        out = out.join(registry.groupBy(key).agg(cde_share().alias("cde_health_pct")), key, "left").fillna(100.0, ["cde_health_pct"])
+    else:
+        out = out.withColumn("cde_health_pct", cde_health(registry).scalar())
+    out = out.fillna(0, ["open_critical", "open_high", "open_medium", "open_errors", "profiled_table_count", "active_anomalies"])
+    return (out.withColumn("overall_score", F.coalesce("_run_score", "_profiled", F.lit(0.0)))
+            .withColumn("last_run_at", F.greatest("_profiled_at", "_run_at"))
+            .withColumn("pipeline_status", F.when((F.col("open_critical") > 0) | (F.col("open_errors") > 0), "ISSUES")
+                        .when(F.col("open_high") > 0, "RECOVERING").otherwise("HEALTHY"))
+            .drop("_run_score", "_run_at", "_profiled", "_profiled_at"))
 
 
 def trust_snapshot(reports: DataFrame, results: DataFrame) -> DataFrame:
@@ -179,32 +202,41 @@ def task_list(tasks: DataFrame) -> DataFrame:
     return tasks.orderBy(severity_rank(F.col("priority")), F.desc("created_at"), "task_id")
 
 
+ATTENTION = {"anomaly": 10, "rule": 8, "task": 5}
+
+
 def attention_queue(anomalies: DataFrame, results: DataFrame, rules: DataFrame, tasks: DataFrame, as_of: Column,
-                    size: int = 10) -> DataFrame:
-    """What needs a person first.  The per-kind limits are part of the report."""
+                    size: int | None = 10, per_kind: dict[str, int | None] = ATTENTION) -> DataFrame:
+    """What needs a person first, per connection.
+
+    ``size`` and ``per_kind`` limit what is shown; None shows all.  Tasks
+    without a connection are nobody's in particular and form a queue of their own.
+    """
+    key, stamp = F.col("connection_id"), "yyyy-MM-dd HH:mm:ss"
     kind = lambda name: F.lit(name).alias("kind")
-    stamp = "yyyy-MM-dd HH:mm:ss"
-    a = anomalies.filter("status = 'open'").orderBy(*by_severity(anomalies)).limit(10).select(
-        kind("anomaly"), F.col("anomaly_id").alias("entity_id"), F.coalesce("severity", F.lit("MEDIUM")).alias("severity"),
+    first = lambda df, name, order: latest_per_key(df, ["connection_id"], order, per_kind.get(name))
+    a = first(anomalies.filter("status = 'open'"), "anomaly", by_severity(anomalies)).select(
+        key, kind("anomaly"), F.col("anomaly_id").alias("entity_id"), F.coalesce("severity", F.lit("MEDIUM")).alias("severity"),
         F.coalesce("description", F.lit("Anomaly")).alias("title"),
         F.concat_ws(" / ", F.coalesce("anomaly_type", F.lit("anomaly")), F.coalesce("table_fqn", F.lit("unknown table"))).alias("detail"),
         F.date_format("detected_at", stamp).alias("ts"))
     named = with_rule_names(in_latest_run(results), rules, "unnamed rule")
-    r = named.filter((F.col("status") == "FAIL") & ~F.coalesce("is_expected_failure", F.lit(False))).orderBy(
-        severity_rank(F.col("severity")), F.desc("fail_pct"), "rule_id").limit(8).select(
-        kind("rule"), F.col("rule_id").alias("entity_id"), F.coalesce("severity", F.lit("MEDIUM")).alias("severity"),
+    failing = named.filter((F.col("status") == "FAIL") & ~F.coalesce("is_expected_failure", F.lit(False)))
+    r = first(failing, "rule", [severity_rank(F.col("severity")), F.desc("fail_pct"), F.asc("rule_id")]).select(
+        key, kind("rule"), F.col("rule_id").alias("entity_id"), F.coalesce("severity", F.lit("MEDIUM")).alias("severity"),
         F.concat(F.lit("Rule failing: "), "shown_name").alias("title"),
         F.concat("table_fqn", F.lit(": "), F.format_number("failed_records", 0), F.lit(" rows failing in the latest run")).alias("detail"),
         F.date_format("run_timestamp", stamp).alias("ts"))
-    t = overdue_tasks(tasks, as_of).orderBy("due_date", "task_id").limit(5).select(
-        kind("task"), F.col("task_id").cast("string").alias("entity_id"), F.coalesce("priority", F.lit("MEDIUM")).alias("severity"),
+    owned = tasks if "connection_id" in tasks.columns else tasks.withColumn("connection_id", F.lit(None).cast("string"))
+    t = first(overdue_tasks(owned, as_of), "task", [F.asc("due_date"), F.asc("task_id")]).select(
+        key, kind("task"), F.col("task_id").cast("string").alias("entity_id"), F.coalesce("priority", F.lit("MEDIUM")).alias("severity"),
         F.concat(F.lit("Overdue task: "), "title").alias("title"),
         F.concat(F.lit("due "), F.date_format("due_date", "yyyy-MM-dd"), F.lit(" ("), F.col("days_overdue").cast("string"),
                  F.when(F.col("days_overdue") == 1, " day ago), owner ").otherwise(" days ago), owner "),
                  F.coalesce("owner", F.lit("unassigned"))).alias("detail"),
         F.lit(None).cast("string").alias("ts"))
-    return a.unionByName(r).unionByName(t).orderBy(
-        severity_rank(F.col("severity"), 9), F.col("ts").isNull(), "ts", "kind", "entity_id").limit(size)
+    order = [severity_rank(F.col("severity"), 9), F.col("ts").isNull(), F.asc("ts"), F.asc("kind"), F.asc("entity_id")]
+    return latest_per_key(a.unionByName(r).unionByName(t), ["connection_id"], order, size, rank="place")
 
 
 def with_rule_names(results: DataFrame, rules: DataFrame, default: str) -> DataFrame:
@@ -221,14 +253,14 @@ def new_anomalies(anomalies: DataFrame, as_of: Column, hours: int = 24) -> DataF
 
 
 def newly_failing(results: DataFrame) -> DataFrame:
-    """Rules that fail in the newest run and did not in the run before."""
-    runs = results.groupBy("run_id").agg(F.max("run_timestamp").alias("ts"))
-    two = runs.orderBy(F.desc("ts"), F.desc("run_id")).limit(2)
-    bounds = two.agg(F.max_by("run_id", F.struct("ts", "run_id")).alias("cur"), F.min_by("run_id", F.struct("ts", "run_id")).alias("prev"))
+    """Rules that fail in their connection's newest run and did not in the run before; none after a first run."""
+    key = ["connection_id"]
+    runs = results.groupBy(*key, "run_id").agg(F.max("run_timestamp").alias("ts"))
+    two = latest_per_key(runs, key, [F.desc("ts"), F.desc("run_id")], 2, rank="rn").drop("ts")
+    at = lambda n: two.filter(F.col("rn") == n).drop("rn")
     failing = results.filter("status = 'FAIL'")
-    cur, prev = bounds.select("cur").scalar(), bounds.select("prev").scalar()
-    now = failing.filter((F.col("run_id") == cur) & (cur != prev)).select("rule_id", "table_fqn").distinct()
-    return anti_join(now, failing.filter(F.col("run_id") == prev), ["rule_id"])
+    now = failing.join(at(1), [*key, "run_id"], "left_semi").join(at(2).select(*key), key, "left_semi").select(*key, "rule_id", "table_fqn").distinct()
+    return anti_join(now, failing.join(at(2), [*key, "run_id"], "left_semi"), [*key, "rule_id"])
 
 
 def layer_freshness(reports: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
@@ -267,10 +299,10 @@ def cde_status(dictionary: DataFrame, column_stats: DataFrame, rules: DataFrame,
     return out.withColumn("health", health).orderBy(F.desc_nulls_last("cde_score"), "column_id")
 
 
-def audit_list(audit: DataFrame, limit: int = 20) -> DataFrame:
-    """Newest audit entries with a composed entity label."""
+def audit_list(audit: DataFrame, limit: int | None = 20) -> DataFrame:
+    """Newest audit entries with a composed entity label; ``limit`` None lists all."""
     label = F.concat_ws(" · ", "entity_type", F.coalesce("entity_name", "entity_id"))
-    return audit.orderBy(F.desc("event_timestamp"), F.desc("audit_id")).limit(limit).select(
+    return first_rows(audit.orderBy(F.desc("event_timestamp"), F.desc("audit_id")), limit).select(
         "audit_id", F.date_format("event_timestamp", "HH:mm").alias("time"), F.date_format("event_timestamp", "yyyy-MM-dd").alias("date"),
         F.coalesce("user_name", F.lit("System")).alias("user"), F.coalesce("event_type", F.lit("—")).alias("action"),
         F.when(F.col("entity_type").isNull(), "—").otherwise(label).alias("entity"))
@@ -333,6 +365,6 @@ def layer_coverage(dictionary: DataFrame, rules: DataFrame) -> DataFrame:
                     percent(F.least("rule_columns", "total"), F.col("total"), 0).alias("rule_pct")).orderBy(layer_rank(F.col("layer")), "layer")
 
 
-def top_anomalies(anomalies: DataFrame, n: int = 3) -> DataFrame:
-    """The most severe open anomalies, newest first."""
-    return anomalies.filter("status = 'open'").orderBy(*by_severity(anomalies)).limit(n)
+def top_anomalies(anomalies: DataFrame, n: int | None = 3) -> DataFrame:
+    """The most severe open anomalies of each connection, newest first."""
+    return latest_per_key(anomalies.filter("status = 'open'"), ["connection_id"], by_severity(anomalies), n, rank="place")

@@ -92,7 +92,7 @@ def test_predicted_score_caps(spark):
 
 
 def test_newly_failing_needs_two_runs(spark):
-    r = spark.createDataFrame([("r1", "a", "FAIL", dt.datetime(2024, 1, 1))], "run_id string, rule_id string, status string, run_timestamp timestamp").withColumn("table_fqn", F.lit("t"))
+    r = spark.createDataFrame([("r1", "a", "FAIL", dt.datetime(2024, 1, 1))], "run_id string, rule_id string, status string, run_timestamp timestamp").withColumns({"table_fqn": F.lit("t"), "connection_id": F.lit("c")})
     assert trust.newly_failing(r).count() == 0
     two = r.unionByName(r.withColumns({"run_id": F.lit("r2"), "rule_id": F.lit("b"), "run_timestamp": F.lit("2024-01-02").cast("timestamp")}))
     assert [x.rule_id for x in trust.newly_failing(two).collect()] == ["b"]

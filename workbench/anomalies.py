@@ -33,8 +33,8 @@ def volume_sql(source: str, latest: bool, pct: str = "30") -> str:
     return f"""SELECT {_id('VOLUME', "''")} AS anomaly_id, connection_id, run_at AS detected_at, layer, table_fqn, NULL::VARCHAR AS column_name,
        'VOLUME' AS anomaly_type, CASE WHEN abs({_z('1')}) > 3 THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
        v::DOUBLE AS metric_value, {ratio('bs', 'bn', 0)} AS baseline_value, {_OFF} AS deviation_pct,
-       'Row count ' || CASE WHEN v < bm THEN 'dropped' ELSE 'spiked' END || ' to ' || format('{{:,}}', v) || ' vs baseline avg '
-         || format('{{:,}}', CAST(floor(bm) AS BIGINT)) || ' (' || format('{{:,}}', CAST(round(abs({_OFF})) AS BIGINT)) || '% deviation)' AS description
+       CASE WHEN v < bm THEN 'Fewer' ELSE 'More' END || ' rows than usual: ' || format('{{:,}}', v) || ' where recent runs had about '
+         || format('{{:,}}', CAST(floor(bm) AS BIGINT)) || ', ' || format('{{:,}}', CAST(round(abs({_OFF})) AS BIGINT)) || '% off' AS description
 FROM ({_window(source, 'connection_id, table_fqn', 'CAST(row_count AS BIGINT)')})
 WHERE bn >= 3 AND abs({_z('1')}) >= 2 AND abs({_OFF}) >= {pct}{' AND newest = 1' if latest else ''}"""
 
@@ -166,13 +166,13 @@ def a7(spark, sf):
     return anomaly.with_thresholds(hits, th).select("anomaly_id", "table_fqn", "deviation_pct", "vol_pct")
 
 
-_NEW = f"""(SELECT * FROM ({volume_sql('w_reports', True)}) UNION ALL BY NAME SELECT * FROM ({null_sql('w_stats', True)}))"""
+_NEW = f"""(SELECT * FROM ({volume_sql('w_reports', True)}) UNION ALL BY NAME SELECT * FROM ({null_sql('w_stats', True)}) UNION ALL BY NAME SELECT * FROM ({metric_sql('w_stats', True)}))"""
 
 
 @query("a8_dedupe", f"""
 WITH det AS {_NEW},
 old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY connection_id, table_fqn, coalesce(column_name, ''), anomaly_type, status ORDER BY detected_at, anomaly_id) AS rn
-        FROM w_anoms WHERE anomaly_type <> 'THRESHOLD' AND detected_at < TIMESTAMP '2001-08-01') WHERE rn = 1),
+        FROM w_anoms) WHERE rn = 1),
 k AS (SELECT o.*, n.anomaly_id AS n_id, n.detected_at AS n_at, n.severity AS n_sev, n.metric_value AS n_mv FROM old o LEFT JOIN det n
       ON o.status = 'open' AND n.connection_id = o.connection_id AND n.table_fqn = o.table_fqn
          AND coalesce(n.column_name, '') = coalesce(o.column_name, '') AND n.anomaly_type = o.anomaly_type)
@@ -186,11 +186,12 @@ WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.status = 'open' AND n.connection_i
 def a8(spark, sf):
     from assay.operators.relational import latest_per_key
     base = d.stage(d.monthly(spark, sf))
-    log = d.stage(anomaly_log(spark, sf, base)).filter((F.col("anomaly_type") != "THRESHOLD") & (F.col("detected_at") < d.as_of("2001-08-01")))
+    log = d.stage(anomaly_log(spark, sf, base))
     log = latest_per_key(log.withColumn("_c", F.coalesce("column_name", F.lit(""))),
                          ["connection_id", "table_fqn", "_c", "anomaly_type", "status"],
                          [F.asc("detected_at"), F.asc("anomaly_id")]).drop("_c")
-    fresh = anomaly.detect_volume(d.reports(spark, sf, base)).unionByName(anomaly.detect_null_rate(d.column_stats(spark, sf, base)))
+    stats = d.column_stats(spark, sf, base)
+    fresh = anomaly.detect_volume(d.reports(spark, sf, base)).unionByName(anomaly.detect_null_rate(stats)).unionByName(anomaly.detect_metric(stats))
     return anomaly.save_anomalies(log, d.stage(fresh)).select(
         "anomaly_id", "table_fqn", "anomaly_type", "severity", "metric_value",
         F.date_format("detected_at", "yyyy-MM-dd").alias("detected_on"), "status", "is_new")

@@ -365,16 +365,16 @@ FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
 # --- lineage between monitored tables ----------------------------------------
 
 def table_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """A tree over the monitored tables: supplier s feeds suppliers 3s to 3s+2."""
+    """A tree over the monitored tables: supplier s feeds suppliers 3s to 3s+2.  The source decides the connection."""
     t = tables(spark, sf)
-    up = t.select((F.col("s_suppkey")).alias("up"), F.col("table_fqn").alias("source"))
+    up = t.select((F.col("s_suppkey")).alias("up"), "connection_id", F.col("table_fqn").alias("source"))
     down = t.filter("s_suppkey > 0").select(F.floor(F.col("s_suppkey") / 3).alias("up"), F.col("table_fqn").alias("target"))
-    return down.join(up, "up").select("source", "target", F.lit("FEEDS").alias("edge_type"), F.lit("confirmed").alias("status"),
+    return down.join(up, "up").select("connection_id", "source", "target", F.lit("FEEDS").alias("edge_type"), F.lit("confirmed").alias("status"),
                                       F.lit("fk").alias("discovered_via"), F.lit(None).cast("double").alias("confidence"))
 
 
 cte("w_tedges", """
-SELECT u.table_fqn AS source, t.table_fqn AS target, 'FEEDS' AS edge_type, 'confirmed' AS status, 'fk' AS discovered_via, NULL::DOUBLE AS confidence
+SELECT u.connection_id, u.table_fqn AS source, t.table_fqn AS target, 'FEEDS' AS edge_type, 'confirmed' AS status, 'fk' AS discovered_via, NULL::DOUBLE AS confidence
 FROM w_tables t JOIN w_tables u ON u.s_suppkey = t.s_suppkey // 3 WHERE t.s_suppkey > 0
 """)
 

@@ -102,19 +102,22 @@ def i9(spark, sf):
     return _signals(spark, sf, *_history(spark, sf)[:3])
 
 
-cte("w_topswings", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY connection_id ORDER BY abs(delta_pct) DESC, table_fqn) AS rank FROM w_swings) WHERE rank <= 5")
+cte("w_topswings", "SELECT *, row_number() OVER (PARTITION BY connection_id ORDER BY abs(delta_pct) DESC, table_fqn) AS rank FROM w_swings")
 cte("w_reasons", """
 SELECT connection_id, CAST(row_number() OVER (PARTITION BY connection_id ORDER BY k, rank) AS INTEGER) AS reason_no, risk, text FROM (
-SELECT connection_id, 1 AS k, 1 AS rank, CASE WHEN critical > 0 THEN 'high' ELSE 'med' END AS risk, open_total || ' anomalies are still open' AS text FROM w_signals WHERE open_total > 0
-UNION ALL SELECT connection_id, 2, rank, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'high' ELSE 'med' END, shown_name || ' on ' || table_fqn || ' is failing at ' || fail_pct || '%' FROM w_failing WHERE rank <= 2
-UNION ALL SELECT connection_id, 3, rank, CASE WHEN abs(delta_pct) >= 40 THEN 'high' ELSE 'med' END, table_fqn || ' volume changed from ' || prev || ' to ' || cur || ' rows' FROM w_topswings WHERE rank <= 2
-UNION ALL SELECT connection_id, 4, 1, 'med', 'Profiling is stale' FROM w_signals WHERE profiling_h IS NULL OR profiling_h > 48)
+SELECT connection_id, 1 AS k, 1 AS rank, CASE WHEN critical > 0 THEN 'high' ELSE 'med' END AS risk,
+       'Open anomalies: ' || open_total || ' (critical ' || critical || ', high ' || high || '), most of them on ' || (SELECT arg_min(table_fqn, (-n, table_fqn)) FROM (
+          SELECT table_fqn, count(*) AS n FROM w_anoms a WHERE a.status = 'open' AND a.connection_id = w_signals.connection_id GROUP BY 1)) AS text FROM w_signals WHERE open_total > 0
+UNION ALL SELECT connection_id, 2, rank, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'high' ELSE 'med' END, 'Rule ' || shown_name || ' of ' || table_fqn || ': ' || fail_pct || '% of the rows fail' FROM w_failing WHERE rank <= 2
+UNION ALL SELECT connection_id, 3, rank, CASE WHEN abs(delta_pct) >= 40 THEN 'high' ELSE 'med' END, 'Rows of ' || table_fqn || ': ' || prev || ' before, ' || cur || ' now' FROM w_topswings WHERE rank <= 2
+UNION ALL SELECT connection_id, 4, 1, 'med', 'No profile within 48 hours' FROM w_signals WHERE profiling_h IS NULL OR profiling_h > 48)
 QUALIFY reason_no <= 5""")
 
 
 def _reasons(spark, sf, log, results, reports):
     signals = d.stage(_signals(spark, sf, log, results, reports))
-    return intel.risk_reasons(signals, intel.failing_rules(results, d.rules(spark, sf)), intel.top_volume_trends(intel.volume_trends(reports)))
+    return intel.risk_reasons(signals, intel.failing_rules(results, d.rules(spark, sf)), intel.top_volume_trends(intel.volume_trends(reports)),
+                              intel.top_affected_tables(log))
 
 
 @query("i10_reasons", "SELECT * FROM w_reasons")
@@ -123,33 +126,32 @@ def i10(spark, sf):
 
 
 cte("w_tabrun", "SELECT x.* FROM w_results x JOIN (SELECT connection_id, table_fqn, arg_max(run_id, run_timestamp) AS run_id FROM w_results GROUP BY 1, 2) r USING (connection_id, table_fqn, run_id)")
-cte("w_tabanoms", """SELECT * FROM w_anoms WHERE status = 'open'
-QUALIFY row_number() OVER (PARTITION BY connection_id, table_fqn ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, detected_at DESC, anomaly_id) <= 6""")
 cte("w_rsig", """
 WITH f AS (
 SELECT x.connection_id, x.table_fqn, r.column_name AS field, CASE WHEN x.status = 'FAIL' AND x.severity IN ('CRITICAL', 'HIGH') THEN 2 ELSE 1 END AS rank, 0 AS source,
-       CASE WHEN x.status = 'FAIL' THEN 'rule ' || coalesce(nullif(x.rule_name, ''), 'rule') || ' failing at ' || fail_pct || '% (severity ' || x.severity || ')'
-            ELSE 'rule ' || coalesce(nullif(x.rule_name, ''), 'rule') || ' could not execute (source error)' END AS signal
+       CASE WHEN x.status = 'FAIL' THEN coalesce(nullif(x.rule_name, ''), 'rule') || ': ' || fail_pct || '% of the rows fail, ' || lower(x.severity)
+            ELSE coalesce(nullif(x.rule_name, ''), 'rule') || ': not evaluated, the run had an error' END AS signal
 FROM w_tabrun x LEFT JOIN w_rules r ON r.rule_id = x.rule_id WHERE x.status IN ('FAIL', 'ERROR')
-UNION ALL SELECT connection_id, table_fqn, coalesce(column_name, 'Entire table'), CASE WHEN severity = 'CRITICAL' THEN 2 ELSE 1 END, 1, 'open ' || severity || ' ' || anomaly_type || ' anomaly' FROM w_tabanoms)
+UNION ALL SELECT connection_id, table_fqn, coalesce(column_name, 'Entire table'), CASE WHEN severity = 'CRITICAL' THEN 2 ELSE 1 END, 1, lower(severity) || ' ' || lower(anomaly_type) || ' anomaly: ' || severity || '/' || table_fqn FROM (SELECT * FROM w_anoms WHERE status = 'open'))
 SELECT * FROM f UNION ALL
-SELECT s.connection_id, s.table_fqn, s.column_name, 1, 2, s.null_pct || '% null in the latest profiling' FROM w_stats s JOIN w_latest l USING (report_id)
+SELECT s.connection_id, s.table_fqn, s.column_name, 1, 2, 'NULL share ' || s.null_pct || '% at the last profile' FROM w_stats s JOIN w_latest l USING (report_id)
 WHERE s.null_pct >= 10 AND NOT EXISTS (SELECT 1 FROM f WHERE f.table_fqn = s.table_fqn AND f.field = s.column_name)""")
 
 
 def _receipt_inputs(spark, sf):
     log, results, reports, base = _history(spark, sf, keep_log=True)
+    log = log.withColumn("description", F.concat_ws("/", "severity", "table_fqn"))
     return reports, d.column_stats(spark, sf, base), results, d.rules(spark, sf), log
 
 
 @query("i11_receipt", """
-WITH v AS (SELECT connection_id, table_fqn, field, max(rank) AS rank, min(source) AS source FROM w_rsig GROUP BY 1, 2, 3
+WITH v AS (SELECT connection_id, table_fqn, field, max(rank) AS rank, min(source) AS source, count(*) AS signals FROM w_rsig GROUP BY 1, 2, 3
   QUALIFY row_number() OVER (PARTITION BY connection_id, table_fqn ORDER BY max(rank) DESC, min(source), field) <= 6),
 t AS (SELECT connection_id, table_fqn, field, string_agg(signal, '; ' ORDER BY source, signal) AS signal FROM (
   SELECT * FROM w_rsig QUALIFY row_number() OVER (PARTITION BY connection_id, table_fqn, field ORDER BY source, signal) <= 3) GROUP BY 1, 2, 3)
-SELECT v.table_fqn, v.field, CASE WHEN rank = 2 THEN 'fail' ELSE 'warn' END AS status, t.signal FROM v JOIN t USING (connection_id, table_fqn, field)
+SELECT v.table_fqn, v.field, CASE WHEN rank = 2 THEN 'fail' ELSE 'warn' END AS status, t.signal, v.signals FROM v JOIN t USING (connection_id, table_fqn, field)
 UNION ALL
-SELECT table_fqn, column_name, 'ok', 'passing all checks, <1% null' FROM (SELECT s.* FROM w_stats s JOIN w_latest l USING (report_id)
+SELECT table_fqn, column_name, 'ok', 'no finding, NULL share below 1%', 0 FROM (SELECT s.* FROM w_stats s JOIN w_latest l USING (report_id)
   WHERE s.null_pct < 1 AND NOT EXISTS (SELECT 1 FROM w_rsig f WHERE f.table_fqn = s.table_fqn AND f.field = s.column_name)
   QUALIFY row_number() OVER (PARTITION BY s.connection_id, s.table_fqn ORDER BY s.column_name) <= 2)""")
 def i11(spark, sf):
@@ -162,9 +164,9 @@ _RECEIPTS = """
 SELECT l.table_fqn, l.row_count, greatest(50, least(CAST(round(l.quality_score * 10) AS BIGINT) - 10 * (8 * coalesce(c, 0) + 5 * coalesce(h, 0) + 4 * coalesce(f, 0) + 4 * coalesce(u, 0)),
          CASE w WHEN 2 THEN 650 WHEN 1 THEN 820 ELSE 990 END)) / 10.0::DOUBLE AS score, coalesce(u, 0) AS upstream_issues, strftime(lc, '%Y-%m-%d') AS last_clean
 FROM w_latest l LEFT JOIN (SELECT table_fqn, max(rank) AS w FROM w_rsig GROUP BY 1) USING (table_fqn)
-LEFT JOIN (SELECT table_fqn, count(*) FILTER (WHERE severity = 'CRITICAL') AS c, count(*) FILTER (WHERE severity = 'HIGH') AS h FROM w_tabanoms GROUP BY 1) USING (table_fqn)
+LEFT JOIN (SELECT table_fqn, count(*) FILTER (WHERE severity = 'CRITICAL') AS c, count(*) FILTER (WHERE severity = 'HIGH') AS h FROM (SELECT * FROM w_anoms WHERE status = 'open') GROUP BY 1) USING (table_fqn)
 LEFT JOIN (SELECT table_fqn, count(*) FILTER (WHERE status = 'FAIL') AS f FROM w_tabrun GROUP BY 1) USING (table_fqn)
-LEFT JOIN (SELECT target AS table_fqn, count(*) AS u FROM w_tedges JOIN w_tnodes ON external_id = source WHERE health_status <> 'ok' GROUP BY 1) USING (table_fqn)
+LEFT JOIN (SELECT e.connection_id, target AS table_fqn, count(*) AS u FROM w_tedges e JOIN w_tnodes n ON n.external_id = e.source AND n.connection_id = e.connection_id WHERE health_status <> 'ok' GROUP BY 1, 2) USING (connection_id, table_fqn)
 LEFT JOIN (SELECT table_fqn, max(run_at) AS lc FROM w_reports WHERE quality_score >= 85 GROUP BY 1) USING (table_fqn)"""
 
 
@@ -188,7 +190,7 @@ _FACT_DAY = "2001-10-01 06:00:00"
 
 @query("i14_daily_facts", f"""
 SELECT connection_id, score, delta, runs_today, anomalies_today, open_anomalies, open_critical,
-       format('Today saw {{}} rule execution(s) and {{}} new anomalies. {{}} anomalies and {{}} critical rule failure(s) remain open.', runs_today, anomalies_today, open_anomalies, open_critical) AS narrative
+       format('Runs of the day: {{}}. Anomalies found: {{}}. Left to resolve: {{}} anomalies, {{}} critical rule failures.', runs_today, anomalies_today, open_anomalies, open_critical) AS narrative
 FROM (SELECT connection_id, {ratio(f'sum({_S10})', '10 * count(*)', 0)} AS score, count(*) FILTER (WHERE status = 'FAIL' AND severity = 'CRITICAL') AS open_critical FROM w_connrun GROUP BY 1)
 JOIN (SELECT connection_id, count(DISTINCT run_id) FILTER (WHERE CAST(run_timestamp AS DATE) = DATE '{_FACT_DAY[:10]}') AS runs_today FROM w_results GROUP BY 1) USING (connection_id)
 JOIN (SELECT connection_id, count(*) FILTER (WHERE CAST(detected_at AS DATE) = DATE '{_FACT_DAY[:10]}') AS anomalies_today, count(*) FILTER (WHERE status = 'open') AS open_anomalies FROM w_anoms GROUP BY 1) USING (connection_id)
@@ -210,13 +212,15 @@ def i16(spark, sf):
 
 
 @query("i17_recommendations", """
-SELECT text FROM (
-SELECT 1 AS kind, reason_no AS no, text FROM w_reasons WHERE connection_id = 'conn_0' AND reason_no <= 2
-UNION ALL SELECT 2, 1, 'Triage the ' || count(*) || ' critical rule failures first' FROM w_lastrun WHERE status = 'FAIL' AND severity = 'CRITICAL' HAVING count(*) > 0
-UNION ALL SELECT 3, 1, 'Review ' || count(*) || ' open anomalies, starting with ' || (SELECT table_fqn FROM w_anoms WHERE status = 'open' ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, detected_at DESC, anomaly_id LIMIT 1) FROM w_anoms WHERE status = 'open'
-UNION ALL SELECT 4, ascii(layer), 'Re-run ' || layer || ' once its failing rules are addressed' FROM w_lastrun WHERE status = 'FAIL' AND layer <> 'UNKNOWN' GROUP BY layer) ORDER BY kind, no, text LIMIT 5""")
+SELECT connection_id, CAST(row_number() OVER (PARTITION BY connection_id ORDER BY kind, no, text) AS INTEGER) AS place, text FROM (
+SELECT connection_id, 1 AS kind, reason_no AS no, text FROM w_reasons
+UNION ALL SELECT connection_id, 2, 1, 'Start with the critical rule failures: ' || count(*) FROM w_lastrun WHERE status = 'FAIL' AND severity = 'CRITICAL' GROUP BY 1
+UNION ALL SELECT connection_id, 3, 1, 'Look through the open anomalies: ' || count(*) || ', the first on ' || first(table_fqn ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, detected_at DESC, anomaly_id) FROM w_anoms WHERE status = 'open' GROUP BY 1
+UNION ALL SELECT c.connection_id, 5, ascii(l.layer), 'Profile ' || l.layer || ' for the first time' FROM (SELECT DISTINCT connection_id FROM w_tables) c, (VALUES ('RAW'), ('BRONZE'), ('SILVER'), ('GOLD')) AS l(layer)
+  WHERE NOT EXISTS (SELECT 1 FROM w_latest r WHERE r.connection_id = c.connection_id AND r.layer = l.layer AND r.quality_score > 0)
+UNION ALL SELECT DISTINCT connection_id, 4, ascii(layer), 'Repair the failing rules of ' || layer || ' and run it again' FROM w_lastrun WHERE status = 'FAIL' AND layer <> 'UNKNOWN')""")
 def i17(spark, sf):
     log, results, reports, _ = _history(spark, sf, keep_log=True)
-    advisory = _reasons(spark, sf, log, results, reports).filter("connection_id = 'conn_0' AND reason_no <= 2")
     summary = trust.trust_summary(reports, results, log, d.registry(spark, sf))
-    return intel.recommendations(advisory, summary, log, trust.layer_health(reports, results), d.as_of()).select("text")
+    out = intel.recommendations(_reasons(spark, sf, log, results, reports), summary, log, trust.layer_health(reports, results), d.as_of(), limit=None)
+    return out.select("connection_id", "place", "text")

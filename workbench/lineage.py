@@ -381,7 +381,7 @@ def g21_table(spark, sf):
     return lineage.table_downstream(d.table_edges(spark, sf), d.table_nodes(spark, sf), name).select("target", "layer")
 
 
-@query("g22_upstream_health", "SELECT target AS table_fqn, source AS upstream, health_status FROM w_tedges JOIN w_tnodes ON external_id = source WHERE health_status <> 'ok'")
+@query("g22_upstream_health", "SELECT e.connection_id, target AS table_fqn, source AS upstream, health_status FROM w_tedges e JOIN w_tnodes n ON n.external_id = e.source AND n.connection_id = e.connection_id WHERE health_status <> 'ok'")
 def g22(spark, sf):
     return intel.upstream_issues(d.table_nodes(spark, sf), d.table_edges(spark, sf))
 

@@ -11,9 +11,9 @@ from workbench.registry import cte, percent, query, ratio
 from workbench.rules import _score_sql
 
 cte("w_latest", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY connection_id, table_fqn ORDER BY run_at DESC, report_id DESC) AS rn FROM w_reports) WHERE rn = 1")
-cte("w_lastrun", "SELECT * FROM w_results WHERE run_id = (SELECT max(run_id) FROM w_results)")
+cte("w_lastrun", "SELECT x.* FROM w_results x JOIN (SELECT connection_id, arg_max(run_id, run_timestamp) AS run_id FROM w_results GROUP BY 1) r USING (connection_id, run_id)")
 _S10 = "CAST(round(quality_score * 10) AS BIGINT)"
-_LAYER_AVG = f"SELECT layer, {ratio(f'sum({_S10})', '10 * count(*)', 4)} AS score, count(*) AS profiled_tables FROM w_latest GROUP BY layer"
+_LAYER_AVG = f"SELECT connection_id, layer, {ratio(f'sum({_S10})', '10 * count(*)', 4)} AS score, count(*) AS profiled_tables FROM w_latest GROUP BY 1, 2"
 _RANK = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END"
 _LAYERS = "(VALUES ('RAW'), ('BRONZE'), ('SILVER'), ('GOLD')) AS l(layer)"
 
@@ -23,17 +23,18 @@ def t1(spark, sf):
     return trust.layer_averages(d.reports(spark, sf))
 
 
-@query("t2_issues_by_severity", "SELECT severity, count(*) AS issues FROM w_lastrun WHERE status = 'FAIL' GROUP BY 1")
+@query("t2_issues_by_severity", "SELECT connection_id, severity, count(*) AS issues FROM w_lastrun WHERE status = 'FAIL' GROUP BY 1, 2")
 def t2(spark, sf):
     return trust.issues_by_severity(d.results(spark, sf))
 
 
-@query("t3_latest_run", f"SELECT run_id, count(*) FILTER (WHERE status = 'ERROR') AS errors, {_score_sql()} AS overall_quality_score FROM w_lastrun GROUP BY run_id")
+@query("t3_latest_run", f"SELECT connection_id, run_id, count(*) FILTER (WHERE status = 'ERROR') AS errors, {_score_sql()} AS overall_quality_score FROM w_lastrun GROUP BY 1, 2")
 def t3(spark, sf):
     return trust.latest_run_health(d.results(spark, sf)).drop("run_timestamp")
 
 
-_T4 = "SELECT layer, count(*) FILTER (WHERE status = 'FAIL') AS open_issues, count(*) AS rule_count, (SELECT count(DISTINCT run_id) FROM w_results) AS execution_runs FROM w_lastrun GROUP BY layer"
+_T4 = """SELECT connection_id, layer, count(*) FILTER (WHERE status = 'FAIL') AS open_issues, count(*) AS rule_count, any_value(n) AS execution_runs
+FROM w_lastrun JOIN (SELECT connection_id, count(DISTINCT run_id) AS n FROM w_results GROUP BY 1) USING (connection_id) GROUP BY 1, 2"""
 
 
 @query("t4_run_counts", _T4)
@@ -41,9 +42,9 @@ def t4(spark, sf):
     return trust.run_counts(d.results(spark, sf))
 
 
-_T5 = f"""SELECT layer, {ratio('sum(CAST(round(q * 10) AS BIGINT) - CAST(round(p * 10) AS BIGINT))', '10 * count(*)', 1)} AS trend_delta FROM (
-  SELECT layer, quality_score AS q, lead(quality_score) OVER (PARTITION BY table_fqn ORDER BY run_at DESC) AS p, row_number() OVER (PARTITION BY table_fqn ORDER BY run_at DESC) AS rn FROM w_reports)
-  WHERE rn = 1 AND p IS NOT NULL GROUP BY layer"""
+_T5 = f"""SELECT connection_id, layer, {ratio('sum(CAST(round(q * 10) AS BIGINT) - CAST(round(p * 10) AS BIGINT))', '10 * count(*)', 1)} AS trend_delta FROM (
+  SELECT connection_id, layer, quality_score AS q, lead(quality_score) OVER w AS p, row_number() OVER w AS rn FROM w_reports WINDOW w AS (PARTITION BY connection_id, table_fqn ORDER BY run_at DESC))
+  WHERE rn = 1 AND p IS NOT NULL GROUP BY 1, 2"""
 
 
 @query("t5_layer_trend", _T5)
@@ -97,22 +98,25 @@ def t8(spark, sf):
 
 
 @query("t9_layer_health", f"""
-SELECT l.layer, round(coalesce(a.score, 0), 1) AS score, CASE WHEN coalesce(a.score, 0) >= 85 THEN 'HEALTHY' WHEN coalesce(a.score, 0) >= 65 THEN 'WARN' ELSE 'ISSUES' END AS status,
+SELECT connection_id, layer, round(coalesce(a.score, 0), 1) AS score, CASE WHEN coalesce(a.score, 0) >= 85 THEN 'HEALTHY' WHEN coalesce(a.score, 0) >= 65 THEN 'WARN' ELSE 'ISSUES' END AS status,
        coalesce(c.open_issues, 0) AS open_issues, coalesce(c.rule_count, 0) AS rule_count, t.trend_delta
-FROM {_LAYERS} LEFT JOIN ({_LAYER_AVG}) a USING (layer) LEFT JOIN ({_T4}) c USING (layer) LEFT JOIN ({_T5}) t USING (layer)""")
+FROM (SELECT DISTINCT connection_id, l.layer FROM w_tables, {_LAYERS}) k LEFT JOIN ({_LAYER_AVG}) a USING (connection_id, layer) LEFT JOIN ({_T4}) c USING (connection_id, layer)
+LEFT JOIN ({_T5}) t USING (connection_id, layer)""")
 def t9_layers(spark, sf):
     base = d.stage(d.monthly(spark, sf))
     return trust.layer_health(d.reports(spark, sf, base), d.results(spark, sf, base))
 
 
 @query("t9_summary", f"""
-SELECT {_score_sql()} AS overall_score, count(*) FILTER (WHERE status = 'FAIL' AND severity = 'CRITICAL') AS open_critical,
-       count(*) FILTER (WHERE status = 'FAIL' AND severity = 'HIGH') AS open_high, count(*) FILTER (WHERE status = 'FAIL' AND severity = 'MEDIUM') AS open_medium,
-       count(*) FILTER (WHERE status = 'ERROR') AS open_errors, (SELECT count(*) FROM w_anoms WHERE status = 'open') AS active_anomalies,
-       ({_T7}) AS cde_health_pct, (SELECT count(*) FROM w_latest) AS profiled_table_count,
-       CASE WHEN count(*) FILTER (WHERE status = 'FAIL' AND severity = 'CRITICAL') > 0 OR count(*) FILTER (WHERE status = 'ERROR') > 0 THEN 'ISSUES'
-            WHEN count(*) FILTER (WHERE status = 'FAIL' AND severity = 'HIGH') > 0 THEN 'RECOVERING' ELSE 'HEALTHY' END AS pipeline_status,
-       strftime(greatest(max(run_timestamp), (SELECT max(run_at) FROM w_reports)), '%Y-%m-%d') AS last_run_day FROM w_lastrun""")
+SELECT connection_id, overall_score, open_critical, open_high, open_medium, open_errors, coalesce(active_anomalies, 0) AS active_anomalies, coalesce(cde, 100.0) AS cde_health_pct, profiled_table_count,
+       CASE WHEN open_critical > 0 OR open_errors > 0 THEN 'ISSUES' WHEN open_high > 0 THEN 'RECOVERING' ELSE 'HEALTHY' END AS pipeline_status,
+       strftime(greatest(run_at, profiled_at), '%Y-%m-%d') AS last_run_day
+FROM (SELECT connection_id, {_score_sql()} AS overall_score, count(*) FILTER (WHERE status = 'FAIL' AND severity = 'CRITICAL') AS open_critical,
+             count(*) FILTER (WHERE status = 'FAIL' AND severity = 'HIGH') AS open_high, count(*) FILTER (WHERE status = 'FAIL' AND severity = 'MEDIUM') AS open_medium,
+             count(*) FILTER (WHERE status = 'ERROR') AS open_errors, max(run_timestamp) AS run_at FROM w_lastrun GROUP BY 1)
+JOIN (SELECT connection_id, count(*) AS profiled_table_count, max(run_at) AS profiled_at FROM w_latest GROUP BY 1) USING (connection_id)
+LEFT JOIN (SELECT connection_id, {percent("count(*) FILTER (WHERE health IN ('PASS', 'HEALTHY'))", 'count(*)', 1)} AS cde FROM w_cde GROUP BY 1) USING (connection_id)
+LEFT JOIN (SELECT connection_id, count(*) AS active_anomalies FROM w_anoms WHERE status = 'open' GROUP BY 1) USING (connection_id)""")
 def t9(spark, sf):
     base = d.stage(d.monthly(spark, sf))
     out = trust.trust_summary(d.reports(spark, sf, base), d.results(spark, sf, base), anomaly_log(spark, sf, base), d.registry(spark, sf))
@@ -127,17 +131,24 @@ def t10(spark, sf):
 _PRIO = _RANK.replace("severity", "priority")
 
 
+def _first(n: int, order: str) -> str:
+    return f"QUALIFY row_number() OVER (PARTITION BY connection_id ORDER BY {order}) <= {n}"
+
+
+_QUEUE = _RANK.replace('ELSE 3', "WHEN 'LOW' THEN 3 ELSE 9") + ", ts IS NULL, ts, kind, entity_id"
+
+
 @query("t13_attention", f"""
-SELECT kind, entity_id, severity, title, ts FROM (
-SELECT * FROM (SELECT 'anomaly' AS kind, anomaly_id AS entity_id, severity, anomaly_type || table_fqn AS title, strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS ts FROM w_anoms WHERE status = 'open' ORDER BY {_RANK}, detected_at DESC, anomaly_id LIMIT 10)
-UNION ALL SELECT * FROM (SELECT 'rule', x.rule_id, x.severity, 'Rule failing: ' || coalesce(nullif(x.rule_name, ''), 'unnamed rule'), strftime(run_timestamp, '%Y-%m-%d %H:%M:%S') FROM w_lastrun x WHERE status = 'FAIL' AND NOT is_expected_failure ORDER BY {_RANK.replace('severity', 'x.severity')}, fail_pct DESC, x.rule_id LIMIT 8)
-UNION ALL SELECT * FROM (SELECT 'task', CAST(task_id AS VARCHAR), priority, 'Overdue task: ' || title, NULL FROM w_tasks WHERE status IN ('open', 'in_progress') AND due_date < DATE '{d.AS_OF[:10]}' ORDER BY due_date, task_id LIMIT 5))
-ORDER BY {_RANK.replace('ELSE 3', "WHEN 'LOW' THEN 3 ELSE 9")}, ts IS NULL, ts, kind, entity_id LIMIT 10""")
+SELECT connection_id, kind, entity_id, severity, title, ts, CAST(row_number() OVER (PARTITION BY connection_id ORDER BY {_QUEUE}) AS INTEGER) AS place FROM (
+SELECT * FROM (SELECT connection_id, 'anomaly' AS kind, anomaly_id AS entity_id, severity, anomaly_type || table_fqn AS title, strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS ts FROM w_anoms WHERE status = 'open' {_first(10, _RANK + ', detected_at DESC, anomaly_id')})
+UNION ALL SELECT * FROM (SELECT connection_id, 'rule', rule_id, severity, 'Rule failing: ' || coalesce(nullif(rule_name, ''), 'unnamed rule'), strftime(run_timestamp, '%Y-%m-%d %H:%M:%S') FROM w_lastrun WHERE status = 'FAIL' AND NOT is_expected_failure {_first(8, _RANK + ', fail_pct DESC, rule_id')})
+UNION ALL SELECT * FROM (SELECT NULL, 'task', CAST(task_id AS VARCHAR), priority, 'Overdue task: ' || title, NULL FROM w_tasks WHERE status IN ('open', 'in_progress') AND due_date < DATE '{d.AS_OF[:10]}' ORDER BY due_date, task_id LIMIT 5))
+QUALIFY place <= 10""")
 def t13(spark, sf):
     base = d.stage(d.monthly(spark, sf))
     log = anomaly_log(spark, sf, base).withColumn("description", F.concat("anomaly_type", "table_fqn"))
     q = trust.attention_queue(log, d.results(spark, sf, base), d.rules(spark, sf), d.tasks(spark, sf), d.as_of())
-    return q.select("kind", "entity_id", "severity", "title", "ts")
+    return q.select("connection_id", "kind", "entity_id", "severity", "title", "ts", "place")
 
 
 @query("t14_new_anomalies", "SELECT count(*) AS new_anomalies FROM w_anoms WHERE detected_at > TIMESTAMP '2001-07-01 06:00:00' - INTERVAL 24 HOURS AND detected_at <= TIMESTAMP '2001-07-01 06:00:00'")
@@ -146,9 +157,10 @@ def t14(spark, sf):
 
 
 @query("t15_newly_failing", """
-WITH r AS (SELECT run_id, row_number() OVER (ORDER BY max(run_timestamp) DESC) AS rn FROM w_results GROUP BY 1)
-SELECT DISTINCT rule_id, table_fqn FROM w_results WHERE status = 'FAIL' AND run_id = (SELECT run_id FROM r WHERE rn = 1)
-AND rule_id NOT IN (SELECT rule_id FROM w_results WHERE status = 'FAIL' AND run_id = (SELECT run_id FROM r WHERE rn = 2))""")
+WITH r AS (SELECT connection_id, run_id, row_number() OVER (PARTITION BY connection_id ORDER BY max(run_timestamp) DESC) AS rn FROM w_results GROUP BY 1, 2),
+f AS (SELECT DISTINCT connection_id, rule_id, table_fqn, rn FROM w_results JOIN r USING (connection_id, run_id) WHERE status = 'FAIL' AND rn <= 2)
+SELECT connection_id, rule_id, table_fqn FROM f WHERE rn = 1 AND EXISTS (SELECT 1 FROM r WHERE r.connection_id = f.connection_id AND r.rn = 2)
+AND NOT EXISTS (SELECT 1 FROM f AS p WHERE p.rn = 2 AND p.connection_id = f.connection_id AND p.rule_id = f.rule_id)""")
 def t15(spark, sf):
     return trust.newly_failing(d.results(spark, sf))
 
@@ -242,7 +254,7 @@ def t23(spark, sf):
     return trust.layer_coverage(d.dictionary(spark, sf), d.rules(spark, sf))
 
 
-@query("t24_top_anomalies", f"SELECT anomaly_id, severity, table_fqn FROM w_anoms WHERE status = 'open' ORDER BY {_RANK}, detected_at DESC, anomaly_id LIMIT 3")
+@query("t24_top_anomalies", f"SELECT anomaly_id, severity, table_fqn FROM w_anoms WHERE status = 'open' {_first(3, _RANK + ', detected_at DESC, anomaly_id')}")
 def t24(spark, sf):
     return trust.top_anomalies(anomaly_log(spark, sf)).select("anomaly_id", "severity", "table_fqn")
 
