@@ -23,9 +23,6 @@ TABLE_PREFIX = r"^(br|bz|raw|stg|src|sl|gl|bronze|silver|gold)_"
 KEY_LIKE = r"(?i)(^id$|_id$|id$|_key$|key$)"
 RELATION_KEY_LIKE = r"(?i)(_id|id|key|code)$"
 
-# Strings longer than this are grouped by digest instead of by value.
-LONG_TEXT_BYTES = 64
-
 
 def format_from_counts(matches: dict[str, Column], filled: Column) -> Column:
     """Dominant format of a column from per-format match counts.
@@ -44,14 +41,8 @@ def format_from_counts(matches: dict[str, Column], filled: Column) -> Column:
 
 
 def shuffle_key(c: Column, dtype: T.DataType) -> Column:
-    """Grouping key for a value: long strings travel as a SHA-256 digest.
-
-    A digest key is 65 characters long and a plain one at most 64 bytes, so
-    the two can never be confused.
-    """
-    if isinstance(dtype, T.StringType):
-        return F.when(F.octet_length(c) > LONG_TEXT_BYTES, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
-    return comparable(c, dtype)
+    """Grouping key for a value: every string travels as a SHA-256 digest, whatever its length."""
+    return F.sha2(c, 256) if isinstance(dtype, T.StringType) else comparable(c, dtype)
 
 
 def comparable(c: Column, dtype: T.DataType) -> Column:

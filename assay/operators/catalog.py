@@ -29,9 +29,10 @@ def decide_columns(dictionary: DataFrame, decisions: DataFrame, as_of: Column) -
     j = dictionary.join(decisions.select("column_id", "decision", "decided_by"), "column_id", "left")
     yes = F.col("decision") == "approve"
     approved_by = F.col("approved_by") if "approved_by" in dictionary.columns else F.lit(None).cast("string")
+    approved_at = F.col("approved_at") if "approved_at" in dictionary.columns else F.lit(None).cast("timestamp")
     return (j.withColumn("status", F.when(yes, "approved").when(F.col("decision") == "reject", "rejected").otherwise(F.col("status")))
             .withColumn("approved_by", F.when(yes, F.col("decided_by")).otherwise(approved_by))
-            .withColumn("approved_at", F.when(yes, as_of)).drop("decision", "decided_by"))
+            .withColumn("approved_at", F.when(yes, as_of).otherwise(approved_at)).drop("decision", "decided_by"))
 
 
 def decide_cdes(dictionary: DataFrame, registry: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:

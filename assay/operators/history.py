@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ from assay.functions.severity import severity_rank
 from assay.operators.relational import changed_columns, latest_per_key, with_previous
 
 
-def schema_drift(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Added, dropped and retyped columns; types compare in upper case."""
-    return changed_columns(previous, current)
+def schema_drift(previous: DataFrame, current: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Added, dropped and retyped columns, per table if ``keys`` name it; types compare in upper case."""
+    return changed_columns(previous, current, keys)
 
 
 def drift_summary(drift: DataFrame) -> DataFrame:
@@ -45,25 +47,26 @@ def report_history(reports: DataFrame, limit: int) -> DataFrame:
 
 
 def table_context(tables: DataFrame, rules: DataFrame, anomalies: DataFrame, tasks: DataFrame) -> DataFrame:
-    """P20: what else is known about each table: rules, open anomalies, open tasks."""
-    r = rules.groupBy("table_fqn").agg(
+    """P20: what else is known about each connection's table: rules, open anomalies, open tasks."""
+    key = ["connection_id", "table_fqn"]
+    r = rules.groupBy(*key).agg(
         F.count(F.lit(1)).alias("rules_total"),
         F.count_if(F.col("status").isin("approved", "active")).alias("rules_active"),
         F.count_distinct("column_name").alias("columns_with_rules"))
-    a = anomalies.filter("status = 'open'").groupBy("table_fqn").agg(F.count(F.lit(1)).alias("open_anomalies"))
-    t = tasks.filter("status IN ('open', 'in_progress')").groupBy("table_fqn").agg(F.count(F.lit(1)).alias("open_tasks"))
-    joined = tables.join(r, "table_fqn", "left").join(a, "table_fqn", "left").join(t, "table_fqn", "left")
+    a = anomalies.filter("status = 'open'").groupBy(*key).agg(F.count(F.lit(1)).alias("open_anomalies"))
+    t = tasks.filter("status IN ('open', 'in_progress')").groupBy(*key).agg(F.count(F.lit(1)).alias("open_tasks"))
+    joined = tables.join(r, key, "left").join(a, key, "left").join(t, key, "left")
     return joined.fillna(0, ["rules_total", "rules_active", "columns_with_rules", "open_anomalies", "open_tasks"])
 
 
 def rule_coverage(rules: DataFrame) -> DataFrame:
-    """P20: rules per table and column, table-level rules under one label."""
+    """P20: rules per connection, table and column, table-level rules under one label."""
     column = F.coalesce("column_name", F.lit("(table-level)"))
-    return rules.groupBy("table_fqn", column.alias("column_name")).agg(
+    return rules.groupBy("connection_id", "table_fqn", column.alias("column_name")).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin("approved", "active")).alias("active"))
 
 
-def top_open_anomalies(anomalies: DataFrame, n: int = 5) -> DataFrame:
-    """P20: each table's most severe open anomalies."""
+def top_open_anomalies(anomalies: DataFrame, n: int | None = 5) -> DataFrame:
+    """P20: each table's most severe open anomalies; None lists all."""
     order = [severity_rank(F.col("severity")), F.desc("detected_at"), F.asc("anomaly_id")]
-    return latest_per_key(anomalies.filter("status = 'open'"), ["table_fqn"], order, n, rank="rank")
+    return latest_per_key(anomalies.filter("status = 'open'"), ["connection_id", "table_fqn"], order, n, rank="rank")

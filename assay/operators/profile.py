@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from assay.functions import text
 from assay.functions.exact import percent, ratio, scaled
-from assay.operators.relational import latest_per_key
+from assay.operators.relational import first_rows, latest_per_key
 
 NULL_CRITICAL_PCT = 20
 NULL_WARN_PCT = 5
@@ -41,7 +41,7 @@ def _is_text(f: T.StructField) -> bool:
 
 
 def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(_sql_name(name))
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -109,15 +109,15 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None,
     """(ordinal, column_name, value, n) for every distinct value, NULL included.
 
     Values keep their type until they are counted; only distinct values are
-    turned into strings.  String columns named in ``long_text`` are grouped by
-    digest, so whole documents are not shuffled.
+    turned into strings.  String columns named in ``long_text`` are counted by
+    digest and their ``value`` is the digest, so whole documents are not shuffled.
     """
     long_text = set(long_text)
     fields = [f for f in profiled_fields(df) if columns is None or f.name in columns]
     cells = []
     for i, f in enumerate(fields):
         c, t = _quoted(f.name), f.dataType
-        is_time = isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        is_time = isinstance(t, (T.TimestampType, T.TimestampNTZType))
         is_float = isinstance(t, (T.DoubleType, T.FloatType))
         is_whole = isinstance(t, T.IntegralType)
         as_text = text.shuffle_key(c, t) if f.name in long_text else text.comparable(c, t)
@@ -148,42 +148,58 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     return counted.withColumn("cardinality_ratio", ratio(F.col("distinct_count"), F.col("row_count"), 4)).drop("row_count")
 
 
-def _whole_text(df: DataFrame, top: DataFrame, long_text: Sequence[str]) -> DataFrame:
-    """Second pass that turns the few winning digests back into their texts.
+def _top(df: DataFrame, freq: DataFrame, n: int | None, long_text: Sequence[str]) -> DataFrame:
+    """(column_name, rank, value, n): the ``n`` most frequent values of each column, ties by value, NULL last."""
+    order = [F.desc("n"), F.asc_nulls_last("value")]
+    if not long_text:
+        return latest_per_key(freq, ["column_name"], order, n, rank="rank")
+    is_long = F.col("column_name").isin(*long_text)
+    short = freq.filter(~is_long).select("column_name", "value", "n")
+    return latest_per_key(short.unionByName(_contending_texts(df, freq.filter(is_long), n, long_text)), ["column_name"], order, n, rank="rank")
 
-    The broadcast side holds at most n short keys per column.
+
+def _contending_texts(df: DataFrame, freq: DataFrame, n: int | None, names: Sequence[str]) -> DataFrame:
+    """(column_name, value, n) with whole texts for every digest whose count may be among the ``n`` largest.
+
+    The n-th largest count of a column is known from digests alone.  A second
+    pass fetches one text for each digest with at least that count, all ties
+    included, so that ties are broken by the texts themselves.
     """
-    keys = F.broadcast(top.select("column_name", "value"))
-    cells = [F.struct(F.lit(n).alias("column_name"), text.shuffle_key(_quoted(n), T.StringType()).alias("value"),
-                      _quoted(n).alias("_text")) for n in long_text]
-    texts = (df.select(F.inline(F.array(*cells)))
-             .join(keys, ["column_name", "value"], "left_semi")
-             .groupBy("column_name", "value").agg(F.any_value("_text").alias("_text")))
-    return top.join(texts, ["column_name", "value"], "left").withColumn(
-        "value", F.coalesce("_text", "value")).drop("_text")
+    if n is None:
+        contenders = freq
+    else:
+        least = latest_per_key(freq, ["column_name"], [F.desc("n"), F.asc_nulls_last("value")], n).groupBy("column_name").agg(F.min("n").alias("_least"))
+        contenders = freq.join(least, "column_name").filter(F.col("n") >= F.col("_least"))
+    contenders = contenders.select("column_name", "value", "n")
+    cells = [F.struct(F.lit(c).alias("column_name"), text.shuffle_key(_quoted(c), T.StringType()).alias("value"), _quoted(c).alias("_text")) for c in names]
+    texts = (df.select(F.inline(F.array(*cells))).join(contenders.filter(F.col("value").isNotNull()), ["column_name", "value"])
+             .groupBy("column_name", "value", "n").agg(F.any_value("_text").alias("_text")))
+    found = texts.select("column_name", F.col("_text").alias("value"), "n")
+    return found.unionByName(contenders.filter(F.col("value").isNull()))
 
 
-def top_values(df: DataFrame, n: int = 10, columns: Sequence[str] | None = None,
+def top_values(df: DataFrame, n: int | None = 10, columns: Sequence[str] | None = None,
                long_text: Sequence[str] = ()) -> DataFrame:
-    """The ``n`` most frequent values per column, ties by value, NULL included."""
+    """The ``n`` most frequent values per column, ties by value, NULL included; None lists all.
+
+    ``long_text`` names string columns whose values are too long to shuffle
+    while they are counted; the result is the same.
+    """
     freq = value_frequencies(df, columns, long_text)
-    top = latest_per_key(freq, ["column_name"], [F.desc("n"), F.asc_nulls_last("value")], n, rank="rank")
-    if long_text:
-        top = _whole_text(df, top, list(long_text))
-    return top.select("column_name", "rank", "value", F.col("n").alias("frequency"))
+    return _top(df, freq, n, list(long_text)).select("column_name", "rank", "value", F.col("n").alias("frequency"))
 
 
-def formats(df: DataFrame, full_column: bool = False) -> DataFrame:
-    """Dominant format per column, from the ten top values or from every row."""
+def formats(df: DataFrame, top_values_only: int | None = None) -> DataFrame:
+    """Dominant format per column, from every row, or from so many of the most frequent values."""
     fields = profiled_fields(df)
     names = [f.name for f in fields if _is_text(f)]
     others = {f.name: f.dataType.simpleString().upper() for f in fields if not _is_text(f)}
     catalog = F.array(*[F.struct(F.lit(f.name).alias("column_name"),
                                  F.lit(others.get(f.name)).cast("string").alias("type_name")) for f in fields])
-    if full_column:
+    if top_values_only is None:
         found = column_aggregates(df, full_format=True).select("column_name", F.col("full_format").alias("found"))
     else:
-        found = formats_of_top_values(top_values(df, columns=names, long_text=names))
+        found = formats_of_top_values(top_values(df, top_values_only, columns=names, long_text=names))
     every = df.sparkSession.range(1).select(F.inline(catalog))
     return every.join(found, "column_name", "left").select(
         "column_name", F.coalesce("type_name", "found", F.lit("UNKNOWN")).alias("format_pattern"))
@@ -196,9 +212,10 @@ def formats_of_top_values(top: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows minus distinct rows; long strings travel as digests."""
-    keys = [text.shuffle_key(_quoted(f.name), f.dataType).alias(f"k{i}") for i, f in enumerate(profiled_fields(df))]
-    groups = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("n"))
+    """Rows minus distinct rows, compared by a 256-bit digest of the whole row."""
+    cells = [text.comparable(_quoted(f.name), f.dataType).alias(f"k{i}") for i, f in enumerate(profiled_fields(df))]
+    row = F.sha2(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}), 256)
+    groups = df.select(row.alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         F.count(F.lit(1)).alias("distinct_rows"),
@@ -206,34 +223,41 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def key_candidates(stats: DataFrame, fk_like: Sequence[str] = (), limit: int = 3) -> DataFrame:
-    """Up to three columns that look like keys, id-like names first."""
+def key_candidates(stats: DataFrame, fk_like: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """Columns that look like keys, id-like names first; all of them unless ``limit`` is given."""
     id_like = F.col("column_name").rlike(text.KEY_LIKE)
     ratio_ok = (id_like & (F.col("cardinality_ratio") >= 0.6)) | (F.col("cardinality_ratio") >= 0.9)
     known_fk = F.lower("column_name").isin([c.lower() for c in fk_like]) if fk_like else F.lit(False)
-    return (stats.filter(ratio_ok & ~known_fk & (F.col("row_count") > 1))
-            .withColumn("id_like", id_like)
-            .orderBy(F.desc("id_like"), F.desc("cardinality_ratio"), "ordinal").limit(limit))
+    found = stats.filter(ratio_ok & ~known_fk & (F.col("row_count") > 1)).withColumn("id_like", id_like)
+    return first_rows(found.orderBy(F.desc("id_like"), F.desc("cardinality_ratio"), "ordinal"), limit)
 
 
 def key_duplicates(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
-    """Duplicate groups and the rows in them, per single or composite key."""
-    parts = []
-    for i, key in enumerate(candidates):
-        groups = df.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-        parts.append(groups.agg(
-            F.lit(i).alias("ordinal"), F.lit(",".join(key)).alias("key_columns"),
-            F.count(F.lit(1)).alias("duplicate_groups"), F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicate_rows")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Duplicate groups and the rows in them, per single or composite key, in one scan.
 
-
-def duplicate_key_samples(df: DataFrame, key: Sequence[str], n: int = 5) -> DataFrame:
+    Each row yields one digest per candidate key without a NULL; digests are counted on the map side.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    names = F.array(*[F.lit(",".join(k)) for k in candidates])
+    cells = []
+    for i, key in enumerate(candidates):
+        parts = F.struct(*[text.comparable(_quoted(c), kinds[c]).alias(f"k{j}") for j, c in enumerate(key)])
+        filled = F.lit(True)
+        for c in key:
+            filled = filled & _quoted(c).isNotNull()
+        cells.append(F.when(filled, F.struct(F.lit(i).alias("ordinal"), F.sha2(F.to_json(parts), 256).alias("digest"))))
+    groups = df.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull()))).groupBy("ordinal", "digest").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = groups.filter(F.col("_n") > 1).groupBy("ordinal").agg(F.count(F.lit(1)).alias("duplicate_groups"), F.sum("_n").alias("duplicate_rows"))
+    every = df.sparkSession.range(len(candidates)).select(F.col("id").cast("int").alias("ordinal"))
+    return every.join(repeated, "ordinal", "left").select(
+        "ordinal", F.get(names, F.col("ordinal")).alias("key_columns"), F.coalesce("duplicate_groups", F.lit(0)).alias("duplicate_groups"),
+        F.coalesce("duplicate_rows", F.lit(0)).alias("duplicate_rows"))
+
+
+def duplicate_key_samples(df: DataFrame, key: Sequence[str], n: int | None = 5) -> DataFrame:
     """The most repeated values of a key."""
     groups = df.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    return groups.orderBy(F.desc("n"), *[F.asc(k) for k in key]).limit(n)
+    return first_rows(groups.orderBy(F.desc("n"), *[F.asc(k) for k in key]), n)
 
 
 def worst_key_duplicate(duplicates: DataFrame) -> DataFrame:
@@ -254,39 +278,70 @@ def column_quality(null_pct: Column) -> Column:
     return ratio(hundredths, F.lit(100), 1)
 
 
-def profile_columns(df: DataFrame, *, top_n: int = 10, approx: bool = False,
-                    long_text: Sequence[str] = (), full_format: bool = False) -> DataFrame:
-    """One row of statistics per column."""
-    base = column_aggregates(df, approx=approx, full_format=full_format)
+def profile_columns(df: DataFrame, *, top_n: int | None = 10, approx: bool = False, long_text: Sequence[str] = (),
+                    format_of_top: int | None = None) -> DataFrame:
+    """One row of statistics per column.
+
+    Formats are found over every row, or over ``format_of_top`` of the most
+    frequent values.  ``approx`` is the cheap path: a single aggregate with a
+    sketch for distinct counts and one for frequent values, no shuffle of
+    values; duplicate groups are then unknown (NULL) and duplicates follow from
+    the distinct count.
+    """
+    if approx:
+        return _approximate_columns(df, 10 if top_n is None else top_n)
+    base = column_aggregates(df, full_format=format_of_top is None)
     freq = value_frequencies(df, long_text=long_text)
     repeated = F.col("n") > 1
     per_column = freq.groupBy("column_name").agg(
         F.count("value").alias("exact_distinct"),
         F.count_if(repeated & F.col("value").isNotNull()).alias("duplicate_groups"),
         F.coalesce(F.sum(F.when(repeated & F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("duplicate_rows"))
-    top = latest_per_key(freq, ["column_name"], [F.desc("n"), F.asc_nulls_last("value")], top_n, rank="rank")
-    if long_text:
-        top = _whole_text(df, top, list(long_text))
-    matches = {n: F.count_if((F.col("rank") <= 10) & F.col("value").rlike(p)) for n, p in text.VALUE_FORMATS}
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"])
+    depth = top_n if top_n is None or format_of_top is None else max(top_n, format_of_top)
+    top = _top(df, freq, depth, list(long_text))
+    within = lambda limit: F.lit(True) if limit is None else F.col("rank") <= limit
+    matches = {n: F.count_if(within(format_of_top) & F.col("value").rlike(p)) for n, p in text.VALUE_FORMATS}
+    listed = F.transform(F.sort_array(F.collect_list(F.when(within(top_n), F.struct("rank", "value")))), lambda s: s["value"])
     shown = top.groupBy("column_name").agg(
-        listed.alias("top_values"),
-        text.format_from_counts(matches, F.count_if((F.col("rank") <= 10) & F.col("value").isNotNull())).alias("top_format"))
+        listed.alias("top_values"), text.format_from_counts(matches, F.count_if(within(format_of_top) & F.col("value").isNotNull())).alias("top_format"))
     joined = base.join(per_column, "column_name", "left").join(shown, "column_name", "left")
-    found = F.coalesce("full_format", "top_format", F.lit("UNKNOWN")) if full_format else F.coalesce("top_format", F.lit("UNKNOWN"))
-    distinct = F.col("approx_distinct") if approx else F.coalesce("exact_distinct", F.lit(0))
+    found = F.coalesce("full_format" if format_of_top is None else "top_format", F.lit("UNKNOWN"))
+    rows = (joined.withColumn("distinct_count", F.coalesce("exact_distinct", F.lit(0)))
+            .withColumn("has_duplicates", F.coalesce(F.col("duplicate_groups") > 0, F.lit(False)))
+            .withColumn("duplicate_groups", F.coalesce("duplicate_groups", F.lit(0)))
+            .withColumn("duplicate_rows", F.coalesce("duplicate_rows", F.lit(0))))
+    return _finished(rows, found)
+
+
+def _approximate_columns(df: DataFrame, top_n: int) -> DataFrame:
+    """The ``approx`` path of :func:`profile_columns`: sketches inside one aggregate each, over the same scan."""
+    base = column_aggregates(df, approx=True, full_format=True)
+    fields = profiled_fields(df)
+    shown = lambda f: F.expr(f"approx_top_k({text_of(f)}, {top_n})").alias(f.name)
+    text_of = lambda f: f"CAST({_sql_name(f.name)} AS STRING)"
+    cells = [F.struct(F.lit(f.name).alias("column_name"), F.transform(_quoted(f.name), lambda x: x["item"]).alias("top_values")) for f in fields]
+    top = df.agg(*[shown(f) for f in fields]).select(F.inline(F.array(*cells)))
+    filled = F.col("row_count") - F.col("null_count")
+    rows = (base.join(top, "column_name", "left").withColumn("distinct_count", F.least("approx_distinct", filled))
+            .withColumn("has_duplicates", F.col("distinct_count") < filled)
+            .withColumn("duplicate_groups", F.lit(None).cast("bigint")).withColumn("duplicate_rows", filled - F.col("distinct_count")))
+    return _finished(rows, F.coalesce("full_format", F.lit("UNKNOWN")))
+
+
+def _sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _finished(joined: DataFrame, found: Column) -> DataFrame:
+    """Ratios, health and scores of gathered column statistics."""
     return (joined
             .withColumn("format_pattern", F.when(F.col("is_text"), found).otherwise(F.upper("data_type")))
-            .withColumn("distinct_count", distinct)
             .withColumn("cardinality_ratio", ratio(F.col("distinct_count"), F.col("row_count"), 4))
-            .withColumn("has_duplicates", F.coalesce(F.col("duplicate_groups") > 0, F.lit(False)))
-            .withColumn("duplicate_groups", F.coalesce("duplicate_groups", F.lit(0)))
-            .withColumn("duplicate_rows", F.coalesce("duplicate_rows", F.lit(0)))
             .withColumn("health", column_health(F.col("null_pct"), F.col("format_pattern")))
             .withColumn("health_reasons", F.filter(F.array(
-                F.when(F.col("null_pct") > NULL_CRITICAL_PCT, F.format_string("%.1f%% nulls (critical threshold)", "null_pct"))
-                .when(F.col("null_pct") > NULL_WARN_PCT, F.format_string("%.1f%% nulls", "null_pct")),
-                F.when(F.col("format_pattern") == "MIXED", "Mixed format detected")), lambda r: r.isNotNull()))
+                F.when(F.col("null_pct") > NULL_WARN_PCT, F.format_string("NULL share %.1f%%, above %d%%", "null_pct", F.when(
+                    F.col("null_pct") > NULL_CRITICAL_PCT, NULL_CRITICAL_PCT).otherwise(NULL_WARN_PCT))),
+                F.when(F.col("format_pattern") == "MIXED", "Values follow no single format")), lambda r: r.isNotNull()))
             .withColumn("quality_score", column_quality(F.col("null_pct")))
             .select("ordinal", "column_name", "data_type", "row_count", "null_count", "null_pct", "distinct_count",
                     "cardinality_ratio", "has_duplicates", "duplicate_groups", "duplicate_rows", "min_num", "max_num",
@@ -336,13 +391,13 @@ def column_risks(stats: DataFrame) -> DataFrame:
     entries = F.filter(F.array(
         F.when(F.col("null_pct") > NULL_CRITICAL_PCT, F.struct(
             F.lit("NULL_HIGH").alias("risk_type"), F.lit("CRITICAL").alias("severity"),
-            F.format_string("%s has %.1f%% nulls", "column_name", "null_pct").alias("description")))
+            F.format_string("NULL share of %s: %.1f%%", "column_name", "null_pct").alias("description")))
         .when(F.col("null_pct") > NULL_WARN_PCT, F.struct(
             F.lit("NULL_MODERATE").alias("risk_type"), F.lit("HIGH").alias("severity"),
-            F.format_string("%s has %.1f%% nulls", "column_name", "null_pct").alias("description"))),
+            F.format_string("NULL share of %s: %.1f%%", "column_name", "null_pct").alias("description"))),
         F.when(F.col("format_pattern") == "MIXED", F.struct(
             F.lit("FORMAT_MIXED").alias("risk_type"), F.lit("HIGH").alias("severity"),
-            F.concat("column_name", F.lit(" has mixed format values")).alias("description")))),
+            F.concat(F.lit("Values of "), "column_name", F.lit(" follow no single format")).alias("description")))),
         lambda e: e.isNotNull())
     return stats.select("column_name", F.inline(entries))
 
@@ -353,19 +408,18 @@ def duplicate_key_risk(duplicates: DataFrame, row_count: Column) -> DataFrame:
     return worst_key_duplicate(duplicates).select(
         F.col("key_columns").alias("column_name"), F.lit("DUPLICATE_KEY").alias("risk_type"),
         F.when(pct >= 1, "CRITICAL").otherwise("HIGH").alias("severity"),
-        F.format_string("%d row(s) (%s%%) share a duplicated %s value across %d group(s)",
-                        "duplicate_rows", pct.cast("string"), "key_columns", "duplicate_groups").alias("description"))
+        F.format_string("%s is not unique: %d values repeat, in %d rows or %s%%",
+                        "key_columns", "duplicate_groups", "duplicate_rows", pct.cast("string")).alias("description"))
 
 
 def orphan_risks(orphans: DataFrame) -> DataFrame:
     """Risks from orphan checks; 5 % is critical, 1 % high."""
-    note = F.when(F.col("source") == "declared_fk", "").otherwise(" (inferred from naming, not a declared FK)")
+    note = F.when(F.col("source") == "declared_fk", "").otherwise("; the reference is a guess from names")
     return orphans.filter(F.col("orphan_count") > 0).select(
         F.col("fk_column").alias("column_name"), F.lit("REFERENTIAL_ORPHAN").alias("risk_type"),
         F.when(F.col("orphan_pct") >= 5, "CRITICAL").when(F.col("orphan_pct") >= 1, "HIGH").otherwise("MEDIUM").alias("severity"),
-        F.concat(F.format_string("%d row(s) (%s%%) have a %s value with no matching record in %s.%s",
-                                 "orphan_count", F.col("orphan_pct").cast("string"), "fk_column",
-                                 "parent_table_fqn", "parent_column"), note).alias("description"))
+        F.concat(F.format_string("%s: %d rows or %s%% point to nothing in %s.%s", "fk_column", "orphan_count",
+                                 F.col("orphan_pct").cast("string"), "parent_table_fqn", "parent_column"), note).alias("description"))
 
 
 def risk_samples(df: DataFrame, condition: Column, n: int = 10, window: Column | None = None) -> DataFrame:
@@ -376,9 +430,10 @@ def risk_samples(df: DataFrame, condition: Column, n: int = 10, window: Column |
 
 
 def health_counts(stats: DataFrame, rules: DataFrame) -> DataFrame:
-    """Columns by health, and columns no rule looks at."""
-    covered = rules.select("table_fqn", "column_name").distinct().withColumn("_r", F.lit(1))
-    return stats.join(covered, ["table_fqn", "column_name"], "left").groupBy("table_fqn").agg(
+    """Columns by health, and columns no rule looks at, per connection and table."""
+    key = ["connection_id", "table_fqn"]
+    covered = rules.select(*key, "column_name").distinct().withColumn("_r", F.lit(1))
+    return stats.join(covered, [*key, "column_name"], "left").groupBy(*key).agg(
         F.count_if(F.col("health") == "CRIT").alias("crit_columns"),
         F.count_if(F.col("health") == "WARN").alias("warn_columns"),
         F.count_if(F.col("_r").isNull()).alias("columns_without_rules"))

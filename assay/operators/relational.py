@@ -140,11 +140,12 @@ def merge_keyed(existing: DataFrame, updates: DataFrame, keys: Sequence[str],
     return joined.select(*out).select(*existing.columns)
 
 
-def changed_columns(previous: DataFrame, current: DataFrame, key: str = "column_name",
+def changed_columns(previous: DataFrame, current: DataFrame, keys: Sequence[str] = (), name: str = "column_name",
                     value: str = "data_type") -> DataFrame:
-    """Full-outer comparison of two (name, type) sets; unchanged names are left out."""
-    p = previous.select(F.col(key), F.upper(F.coalesce(F.col(value), F.lit(""))).alias("old_type"))
-    c = current.select(F.col(key), F.upper(F.coalesce(F.col(value), F.lit(""))).alias("new_type"))
+    """Full-outer comparison of two (name, type) sets, within ``keys`` if given; unchanged names are left out."""
+    key = [*keys, name]
+    p = previous.select(*key, F.upper(F.coalesce(F.col(value), F.lit(""))).alias("old_type"))
+    c = current.select(*key, F.upper(F.coalesce(F.col(value), F.lit(""))).alias("new_type"))
     both = p.join(c, key, "full_outer")
     change = (
         F.when(F.col("old_type").isNull(), "added")

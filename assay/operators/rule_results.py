@@ -79,11 +79,12 @@ def decide(rules: DataFrame, decisions: DataFrame) -> DataFrame:
     moved = (F.when(kind == "approve", "approved").when(kind == "reject", "retired")
              .when(kind == "snooze", "snoozed").otherwise("draft"))
     edited = done & F.col("_text").isNotNull()
+    approver = F.col("approved_by") if "approved_by" in rules.columns else F.lit(None).cast("string")
     return (j.withColumn("outcome", outcome)
             .withColumn("status", F.when(done, moved).otherwise(F.col("status")))
             .withColumn("snooze_until", F.when(done & (kind == "snooze"), F.col("_until")).otherwise(F.col("snooze_until")))
             .withColumn("rule_expression", F.when(edited, F.col("_text")).otherwise(F.col("rule_expression")))
-            .withColumn("approved_by", F.when(done & (kind == "approve"), F.col("decided_by")))
+            .withColumn("approved_by", F.when(done & (kind == "approve"), F.col("decided_by")).otherwise(approver))
             .drop("_until", "_text", "decided_by", "is_admin", "decision"))
 
 
@@ -130,17 +131,22 @@ def regenerate_drafts(rules: DataFrame, suggestions: DataFrame) -> DataFrame:
                        replace_when=F.col("o.status") == "draft")
 
 
-def candidate_rules(stats: DataFrame, enum_limit: int = 10) -> DataFrame:
-    """Rules a column profile suggests, grounded in its observed values."""
+def candidate_rules(stats: DataFrame, enum_limit: int | None = 10) -> DataFrame:
+    """Rules a column profile suggests, grounded in its observed values.
+
+    ``check_args`` lets a uniqueness rule run as key counts instead of its text.
+    A closed list has at most ``enum_limit`` values, or any number for None, all
+    of which the profile must hold.
+    """
     col = F.concat(F.lit("`"), F.replace("column_name", F.lit("`"), F.lit("``")), F.lit("`"))
     shown = F.filter("top_values", lambda v: v.isNotNull())
     listed = F.array_join(F.transform(F.sort_array(shown), lambda v: F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("\\'")), F.lit("'"))), ", ")
     in_list = F.concat(col, F.lit(" IN ("), listed, F.lit(")"))
     closed = (F.col("format_pattern").isin("STRING", "MIXED") & (F.col("distinct_count") > 0)
-              & (F.col("distinct_count") <= enum_limit) & (F.col("distinct_count") == F.size(shown)))
+              & (F.lit(True) if enum_limit is None else F.col("distinct_count") <= enum_limit) & (F.col("distinct_count") == F.size(shown)))
 
-    def rule(when: Column, kind: str, expr: Column, severity: str) -> Column:
-        return F.when(when, F.struct(F.lit(kind).alias("rule_type"), expr.alias("rule_expression"), F.lit(severity).alias("severity")))
+    def rule(when: Column, kind: str, expr: Column, severity: str, args: Column = F.lit(None).cast("string")) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("rule_type"), expr.alias("rule_expression"), F.lit(severity).alias("severity"), args.alias("check_args")))
 
     found = F.filter(F.array(
         rule(F.col("null_pct") == 0, "NULL_CHECK", F.concat(col, F.lit(" IS NOT NULL")), "HIGH"),
@@ -148,6 +154,7 @@ def candidate_rules(stats: DataFrame, enum_limit: int = 10) -> DataFrame:
             col, F.lit(" BETWEEN "), F.col("min_num").cast("string"), F.lit(" AND "), F.col("max_num").cast("string")), "MEDIUM"),
         rule(closed, "ENUM", F.when(F.col("null_pct") > 0, F.concat(col, F.lit(" IS NULL OR "), in_list)).otherwise(in_list), "MEDIUM"),
         rule((F.col("cardinality_ratio") >= 0.9) & F.col("column_name").rlike(text.KEY_LIKE), "UNIQUE",
-             F.concat(F.lit("COUNT(*) OVER (PARTITION BY "), col, F.lit(") = 1")), "CRITICAL")), lambda r: r.isNotNull())
+             F.concat(F.lit("COUNT(*) OVER (PARTITION BY "), col, F.lit(") = 1")), "CRITICAL",
+             F.to_json(F.struct(F.array("column_name").alias("columns"))))), lambda r: r.isNotNull())
     return stats.select("column_name", F.inline(found)).withColumn(
         "rule_name", F.lower(F.concat_ws("_", "column_name", "rule_type")))

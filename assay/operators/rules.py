@@ -14,15 +14,20 @@ single window task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
-
-from pyspark.errors import AnalysisException, ParseException
+import json
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
+
+from pyspark.errors import (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException,
+                            NumberFormatException, ParseException, SparkRuntimeException)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.exact import percent, ratio, scaled
 from assay.functions.severity import UNKNOWN_LAYER, layer_rank, lookup, severity_rank
+from assay.functions.text import json_safe
 from assay.operators.relational import key_counts, unmatched_counts
 
 ALIAS = "t"
@@ -30,6 +35,10 @@ SAMPLE_ROWS = 20
 # Row-level rules counted by one scan; more of them would outgrow generated code.
 RULES_PER_SCAN = 200
 
+# What a rule's own text or data can cause; anything else, such as a lost executor, fails the run.
+RULE_ERRORS = (AnalysisException, ParseException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException,
+               NumberFormatException, SparkRuntimeException)
+
 # Severity weights doubled, so that weighted sums stay whole numbers.
 _DOUBLE_WEIGHT = {"CRITICAL": 6, "HIGH": 4, "MEDIUM": 2, "LOW": 1}
 
@@ -44,7 +53,10 @@ class Rule:
     severity: str = "MEDIUM"
     is_cde_rule: bool = False
     status: str = "approved"
-    # A typed check, e.g. ``lambda df, tables: unique(df, ["id"])``, run instead of the text.
+    # A kind of ``TYPED`` and its arguments as JSON, run instead of the text.
+    rule_type: str | None = None
+    check_args: str | None = None
+    # Any other check, e.g. ``lambda df, tables: unique(df, ["id"])``.
     check: Callable[[DataFrame, dict[str, DataFrame]], DataFrame] | None = field(default=None, compare=False)
 
 
@@ -121,10 +133,55 @@ def _analyses(build) -> bool:
         return False
 
 
-def register_tables(tables: dict[str, DataFrame]) -> None:
-    """Make tables visible to subqueries under the last part of their name."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name.split(".")[-1])
+@contextmanager
+def registered(tables: dict[str, DataFrame]) -> Iterator[Callable[[str], str]]:
+    """Make tables visible to subqueries; yields how to rewrite a rule's text.
+
+    Every table gets a view of its own, and its full name in a text is replaced
+    by that view's.  The last part of a name works as well where it is the only
+    one; a text that uses an ambiguous one does not analyse.  Plans are analysed
+    while the views exist; afterwards they are dropped and a caller's own views
+    of the same names are back.
+    """
+    if not tables:
+        yield lambda text: text
+        return
+    spark = next(iter(tables.values())).sparkSession
+    last = lambda name: name.split(".")[-1]
+    counts: dict[str, int] = {}
+    for name in tables:
+        counts[last(name).lower()] = counts.get(last(name).lower(), 0) + 1
+    views = {name: f"assay_rule_table_{i}" for i, name in enumerate(tables)}
+    own = {short: spark.table(quote(short)) for short in {last(n) for n in tables} if any(t.isTemporary and t.name == short.lower() for t in spark.catalog.listTables())}
+    for short in own:
+        spark.catalog.dropTempView(short)
+    shorts = [n for n in tables if counts[last(n).lower()] == 1]
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(views[name])
+            if name in shorts:
+                df.createOrReplaceTempView(quote(last(name)))
+        qualified = sorted((n for n in tables if "." in n), key=len, reverse=True)
+        dotted = re.compile("|".join(r"(?<![\w.`])" + r"\.".join(f"`?{re.escape(part)}`?" for part in n.split(".")) + r"(?![\w`])" for n in qualified), re.IGNORECASE)
+        by_name = {n.lower(): views[n] for n in qualified}
+        yield (lambda text: dotted.sub(lambda m: by_name[m[0].replace("`", "").lower()], text)) if qualified else (lambda text: text)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(views[name])
+            if name in shorts:
+                spark.catalog.dropTempView(last(name))
+        for short, df in own.items():
+            df.createOrReplaceTempView(quote(short))
+
+
+def _typed(rule: Rule, tables: dict[str, DataFrame]) -> Callable[[], DataFrame] | None:
+    """The check that a rule carries besides its text, if any."""
+    df = tables[rule.table_fqn]
+    if rule.check is not None:
+        return lambda: rule.check(df, tables)
+    if rule.check_args is not None and rule.rule_type in TYPED:
+        return lambda: _totals(*typed_groups(rule, tables))
+    return None
 
 
 def count_failures(tables: dict[str, DataFrame], rules: Iterable[Rule]) -> DataFrame:
@@ -133,29 +190,54 @@ def count_failures(tables: dict[str, DataFrame], rules: Iterable[Rule]) -> DataF
     A rule whose table is unknown or whose text does not analyse is marked as
     errored and never stops the others.
     """
-    register_tables(tables)
     spark = next(iter(tables.values())).sparkSession
     parts, errors, per_table = [], [], {}
-    for r in rules:
-        df = tables.get(r.table_fqn)
-        if df is not None and r.check is not None and _analyses(lambda: r.check(df, tables)):
-            parts.append(r.check(df, tables).select(F.lit(r.rule_id).alias("rule_id"), "total_records", "failed_records"))
-        elif df is None or r.check is not None or not _analyses(lambda: check_rule(df, r.rule_expression)):
-            errors.append(r)
-        elif _analyses(lambda: check_rules(df, {r.rule_id: r.rule_expression})):
-            per_table.setdefault(r.table_fqn, {})[r.rule_id] = r.rule_expression
-        else:
-            parts.append(check_rule(df, r.rule_expression).select(F.lit(r.rule_id).alias("rule_id"), "total_records", "failed_records"))
-    for t, exprs in per_table.items():
-        items = list(exprs.items())
-        parts += [check_rules(tables[t], dict(items[i:i + RULES_PER_SCAN])) for i in range(0, len(items), RULES_PER_SCAN)]
-    schema = "rule_id string, total_records bigint, failed_records bigint, errored boolean"
-    out = spark.createDataFrame([(r.rule_id, 0, 0, True) for r in errors], schema)
-    for p in parts:
-        out = out.unionByName(p.withColumn("errored", F.lit(False)))
+    with registered(tables) as rewritten:
+        for r in rules:
+            df = tables.get(r.table_fqn)
+            text = rewritten(r.rule_expression)
+            typed = None if df is None else _typed(r, tables)
+            if typed is not None and _analyses(typed):
+                parts.append(typed().select(F.lit(r.rule_id).alias("rule_id"), "total_records", "failed_records"))
+            elif df is None or typed is not None or not _analyses(lambda: check_rule(df, text)):
+                errors.append(r)
+            elif _analyses(lambda: check_rules(df, {r.rule_id: text})):
+                per_table.setdefault(r.table_fqn, {})[r.rule_id] = text
+            else:
+                parts.append(check_rule(df, text).select(F.lit(r.rule_id).alias("rule_id"), "total_records", "failed_records"))
+        for t, exprs in per_table.items():
+            items = list(exprs.items())
+            parts += [check_rules(tables[t], dict(items[i:i + RULES_PER_SCAN])) for i in range(0, len(items), RULES_PER_SCAN)]
+        schema = "rule_id string, total_records bigint, failed_records bigint, errored boolean"
+        out = spark.createDataFrame([(r.rule_id, 0, 0, True) for r in errors], schema)
+        for p in parts:
+            out = out.unionByName(p.withColumn("errored", F.lit(False)))
     return out
 
 
+def failing_samples(tables: dict[str, DataFrame], rules: Iterable[Rule], n: int = SAMPLE_ROWS) -> DataFrame:
+    """(rule_id, sample_failed_records): up to ``n`` failing rows of each rule as a JSON array.
+
+    Rules with a typed check show failing keys with their counts.  Each sample
+    is a scan that ends as soon as it has enough rows.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.createDataFrame([], "rule_id string, sample string")
+    with registered(tables) as rewritten:
+        for r in rules:
+            if r.table_fqn not in tables or r.check is not None:
+                continue
+            if _typed(r, tables) is not None:
+                groups, failing = typed_groups(r, tables)[:2]
+                found = groups.filter(failing).limit(n)
+            else:
+                found = failed_rows(tables[r.table_fqn], rewritten(r.rule_expression), n)
+            cells = [json_safe(F.col(quote(f.name)), f.dataType).alias(f.name) for f in found.schema.fields]
+            out = out.unionByName(found.select(F.lit(r.rule_id).alias("rule_id"), F.to_json(F.struct(*cells)).alias("sample")))
+    listed = F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("sample")), ","), F.lit("]"))
+    return out.groupBy("rule_id").agg(listed.alias("sample_failed_records"))
+
+
 def rules_frame(spark, rules: Iterable[Rule]) -> DataFrame:
     schema = ("rule_id string, table_fqn string, rule_expression string, rule_name string, layer string, "
               "severity string, is_cde_rule boolean, status string")
@@ -178,32 +260,38 @@ def run_rules(tables: dict[str, DataFrame], rules: Sequence[Rule], *, run_id: st
     attributes = rules_frame(spark, rules).drop("rule_expression", "status")
     scored = score_results(count_failures(tables, rules).join(attributes, "rule_id"))
     return scored.drop("errored").withColumns({
-        "run_id": F.lit(run_id), "run_timestamp": as_of,
+        "sample_failed_records": F.lit(None).cast("string"), "run_id": F.lit(run_id), "run_timestamp": as_of,
         "result_id": F.concat_ws("/", F.lit(run_id), "rule_id"), "is_expected_failure": F.lit(False)})
 
 
-def execute_rules(tables: dict[str, DataFrame], rules: Sequence[Rule], *, run_id: str, as_of: Column) -> DataFrame:
-    """R7 with run-time isolation: a rule that fails while running becomes ERROR.
+def execute_rules(tables: dict[str, DataFrame], rules: Sequence[Rule], *, run_id: str, as_of: Column, sample: int = SAMPLE_ROWS) -> DataFrame:
+    """R7 with run-time isolation and samples: a rule that fails while running becomes ERROR.
 
-    The shared scan is tried first.  If it fails, the rules run one by one and
-    only the broken ones are replaced.  What comes back to the driver is one
-    row per rule.
+    The shared scan is tried first.  If a rule breaks it, the rules are halved
+    until the broken ones stand alone.  What comes back to the driver is one row
+    per rule; failing rules then get a sample of failing rows.
     """
     spark = next(iter(tables.values())).sparkSession
     whole = run_rules(tables, rules, run_id=run_id, as_of=as_of)
     schema = whole.schema
-    try:
-        return spark.createDataFrame(whole.collect(), schema)
-    except Exception:
-        rows = []
-        for r in rules:
-            try:
-                rows += run_rules(tables, [r], run_id=run_id, as_of=as_of).collect()
-            except Exception:
-                broken = Rule(r.rule_id, "", "", r.rule_name, r.layer, r.severity, r.is_cde_rule)
-                fallback = run_rules(tables, [broken], run_id=run_id, as_of=as_of)
-                rows += fallback.withColumn("table_fqn", F.lit(r.table_fqn)).select(*schema.names).collect()
-        return spark.createDataFrame(rows, schema)
+
+    def rows(part: Sequence[Rule], plan: DataFrame) -> list:
+        try:
+            return plan.collect()
+        except RULE_ERRORS:
+            if len(part) == 1:
+                broken = run_rules(tables, [replace(part[0], table_fqn="", check=None, check_args=None)], run_id=run_id, as_of=as_of)
+                return broken.withColumn("table_fqn", F.lit(part[0].table_fqn)).select(*schema.names).collect()
+            half = len(part) // 2
+            return [r for p in (part[:half], part[half:]) for r in rows(p, run_rules(tables, p, run_id=run_id, as_of=as_of))]
+
+    found = rows(list(rules), whole)
+    results = spark.createDataFrame(found, schema)
+    failed = {r["rule_id"] for r in found if r["status"] == "FAIL"}
+    if not failed or not sample:
+        return results
+    samples = failing_samples(tables, [r for r in rules if r.rule_id in failed], sample)
+    return results.drop("sample_failed_records").join(samples, "rule_id", "left").select(*schema.names)
 
 
 def select_rules(rules: DataFrame, connection_id: str, rule_id: str | None = None, layer: str | None = None,
@@ -254,24 +342,67 @@ def row_check(df: DataFrame, condition: Column) -> DataFrame:
 
 def unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every row of a repeated key fails; NULL is a key value like any other."""
-    return _totals(key_counts(df, columns), F.col("n") > 1)
+    return _totals(*_unique_groups(df, columns))
+
+
+def _unique_groups(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Column]:
+    return key_counts(df, columns), F.col("n") > 1
 
 
 def exactly_one(df: DataFrame, keys: Sequence[str], current: Column) -> DataFrame:
     """Exactly one current row per key, or all rows of the key fail."""
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(current).alias("current"))
-    return _totals(groups, F.col("current") != 1)
+    return _totals(*_current_groups(df, keys, current))
+
+
+def _current_groups(df: DataFrame, keys: Sequence[str], current: Column) -> tuple[DataFrame, Column]:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(current).alias("current")), F.col("current") != 1
 
 
 def depends_on(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One value per key, NULLs aside, without a distinct window."""
+    return _totals(*_dependent_groups(df, keys, value))
+
+
+def _dependent_groups(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, Column]:
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    return _totals(groups, F.coalesce(F.col("lo") != F.col("hi"), F.lit(True)))
+    return groups, F.coalesce(F.col("lo") != F.col("hi"), F.lit(True))
 
 
 def min_volume(df: DataFrame, keys: Sequence[str], at_least: int) -> DataFrame:
     """Batches with too few rows."""
-    return _totals(key_counts(df, keys), F.col("n") < at_least)
+    return _totals(*_volume_groups(df, keys, at_least))
+
+
+def _volume_groups(df: DataFrame, keys: Sequence[str], at_least: int) -> tuple[DataFrame, Column]:
+    return key_counts(df, keys), F.col("n") < at_least
+
+
+def _reference_groups(df: DataFrame, columns: Sequence[str], ref: DataFrame, ref_columns: Sequence[str]) -> tuple[DataFrame, Column]:
+    names = [f"_p{i}" for i in range(len(ref_columns))]
+    parents = ref.select(*[F.col(c).alias(n) for c, n in zip(ref_columns, names)]).dropna().distinct().withColumn("_hit", F.lit(True))
+    counted = key_counts(df, columns).join(parents, [F.col(c) == F.col(n) for c, n in zip(columns, names)], "left")
+    filled = F.lit(True)
+    for c in columns:
+        filled = filled & F.col(c).isNotNull()
+    return counted.select(*columns, "n", "_hit"), filled & F.col("_hit").isNull()
+
+
+# Kinds of stored rules that are run as key counts instead of text, with what ``check_args`` names.
+TYPED = {
+    "UNIQUE": lambda df, tables, a: _unique_groups(df, a["columns"]),
+    "SINGLE_CURRENT": lambda df, tables, a: _current_groups(df, a["columns"], F.expr(a["current"])),
+    "DEPENDENCY": lambda df, tables, a: _dependent_groups(df, a["columns"], a["value"]),
+    "VOLUME": lambda df, tables, a: _volume_groups(df, a["columns"], a["at_least"]),
+    "FK": lambda df, tables, a: _reference_groups(df, a["columns"], tables[a["ref"]], a["ref_columns"]),
+}
+
+
+def typed_groups(rule: Rule, tables: dict[str, DataFrame]) -> tuple[DataFrame, Column]:
+    """Key counts of a stored rule and which of them fail; arguments that do not fit are an analysis error."""
+    try:
+        return TYPED[rule.rule_type](tables[rule.table_fqn], tables, json.loads(rule.check_args))
+    except (KeyError, TypeError, ValueError) as wrong:
+        raise AnalysisException(f"arguments of rule {rule.rule_id}: {wrong!r}") from wrong
 
 
 def foreign_key(df: DataFrame, columns: Sequence[str], ref: DataFrame, ref_columns: Sequence[str]) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from assay.operators import lineage, rules
 from assay.operators.rule_results import expire_snoozes
 
-# More rules than this are run in several calls, by table or layer.
-MAX_RULES = 5000
+# Rules that are planned and run together.
+BATCH_RULES = 500
 
 
 @dataclass(frozen=True)
@@ -26,14 +26,23 @@ def run_scope(tables: dict[str, DataFrame], rule_table: DataFrame, *, connection
               nodes: DataFrame | None = None) -> RuleRun:
     """Select, execute and summarise rules; ``nodes`` get their new health.
 
-    Rule texts have to reach the driver to be analysed, one short row each and
-    at most ``MAX_RULES``; the tables they run on never do.
+    Rule texts reach the driver to be analysed, ``BATCH_RULES`` short rows at a
+    time, and so does one result row per rule; the tables they run on never do.
+    ``rule_type`` and ``check_args`` of a stored rule, if there, run it as key counts.
     """
     chosen = rules.select_rules(expire_snoozes(rule_table, as_of), connection_id, rule_id, layer, table_fqn)
-    rows = chosen.select("rule_id", "table_fqn", "rule_expression", "rule_name", "layer", "severity", "is_cde_rule", "status").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules in scope; narrow it by layer or table")
-    results = rules.execute_rules(tables, [rules.Rule(**r.asDict()) for r in rows], run_id=run_id, as_of=as_of).withColumn(
-        "connection_id", F.lit(connection_id))
+    wanted = [f for f in ("rule_id", "table_fqn", "rule_expression", "rule_name", "layer", "severity", "is_cde_rule", "status", "rule_type", "check_args") if f in chosen.columns]
+    parts, batch = [], []
+    for row in chosen.select(*wanted).toLocalIterator():
+        batch.append(rules.Rule(**row.asDict()))
+        if len(batch) == BATCH_RULES:
+            parts.append(rules.execute_rules(tables, batch, run_id=run_id, as_of=as_of))
+            batch = []
+    if batch or not parts:
+        parts.append(rules.execute_rules(tables, batch, run_id=run_id, as_of=as_of))
+    results = parts[0]
+    for part in parts[1:]:
+        results = results.unionByName(part)
+    results = results.withColumn("connection_id", F.lit(connection_id))
     health = None if nodes is None else lineage.propagate_health(nodes, results, F.lit(run_id))
     return RuleRun(results, rules.run_summary(results), health)

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +49,30 @@ def test_long_texts_come_back_whole(spark):
     assert profile.duplicate_rows(df).first().duplicate_rows == 1
 
 
+def test_ties_do_not_depend_on_length_or_on_long_text(spark):
+    values = [f"{i:02d}" + "x" * (i * 13 % 100) for i in range(12)] * 2 + ["z" * 200] * 3 + [None, None, ""]
+    df = spark.createDataFrame([(v,) for v in values], "t string").repartition(4)
+    plain = [tuple(r) for r in profile.top_values(df, 5).orderBy("rank").collect()]
+    assert plain == [tuple(r) for r in profile.top_values(df, 5, long_text=["t"]).orderBy("rank").collect()]
+    assert [r[2] for r in plain] == ["z" * 200] + sorted(values[:12])[:4]
+    assert profile.top_values(df, None, long_text=["t"]).count() == 15
+
+
+def test_dates_keep_their_form(spark):
+    df = spark.createDataFrame([(dt.date(2024, 1, 1),)], "d date")
+    assert profile.top_values(df).first().value == "2024-01-01"
+
+
+def test_approximate_path_counts_no_values(spark):
+    df = spark.createDataFrame([(i, f"v{i % 3}", None) for i in range(300)], "k int, s string, n double")
+    approx = profile.profile_columns(df, approx=True, top_n=2)
+    plan = approx._jdf.queryExecution().optimizedPlan().toString()
+    assert "approx_top_k" in plan and not re.search(r"Aggregate \[[^]]*\], \[", plan)  # global aggregates only
+    rows = {r.column_name: r for r in approx.collect()}
+    assert rows["s"].distinct_count == 3 and rows["s"].has_duplicates and rows["s"].duplicate_groups is None and len(rows["s"].top_values) == 2
+    assert not rows["n"].has_duplicates and rows["n"].null_pct == 100.0
+
+
 def test_approximate_mode_is_close(spark):
     df = spark.range(5000).select((F.col("id") % 1000).alias("k"))
     exact, approx = stats(df)["k"].distinct_count, stats(df, approx=True)["k"].distinct_count
@@ -59,7 +84,7 @@ def test_formats_keep_tie_order(spark):
     # Both DATE_ISO and PHONE match; the earlier format wins.
     assert profile.formats(df).first().format_pattern == "DATE_ISO"
     uuid = spark.createDataFrame([("123E4567-e89b-12d3-a456-426614174000",)], "u string")
-    assert profile.formats(uuid, full_column=True).first().format_pattern == "UUID"
+    assert profile.formats(uuid, top_values_only=1).first().format_pattern == "UUID"
 
 
 def test_key_candidates_and_duplicates(spark):

@@ -1,3 +1,7 @@
+import json
+
+import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from assay.operators import rule_lint, rule_results, rules
@@ -26,6 +30,38 @@ def test_null_fails_and_errors_do_not_stop_the_run(spark):
     assert (got["null"].fail_pct, got["null"].quality_score, got["cde"].quality_score) == (33.33, 66.7, 33.3)
 
 
+def test_tables_of_one_name_stay_apart(spark):
+    yes, no = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2,)], "x int")
+    spark.createDataFrame([(7,)], "mine int").createOrReplaceTempView("orders")
+    rs = [Rule("silver", "raw.t", "EXISTS (SELECT 1 FROM silver.orders o WHERE o.x = t.x)"), Rule("gold", "raw.t", "EXISTS (SELECT 1 FROM `gold`.`Orders` o WHERE o.x = t.x)"),
+          Rule("short", "raw.t", "EXISTS (SELECT 1 FROM orders o WHERE o.x = t.x)"), Rule("own", "raw.t", "EXISTS (SELECT 1 FROM only o WHERE o.x = t.x)")]
+    for order in (["silver.orders", "gold.orders"], ["gold.orders", "silver.orders"]):
+        tables = {"raw.t": yes, **{n: yes if n.startswith("silver") else no for n in order}, "raw.only": yes}
+        got = run(tables, rs)
+        assert {k: v.status for k, v in got.items()} == {"silver": "PASS", "gold": "FAIL", "short": "ERROR", "own": "PASS"}
+    assert spark.table("orders").columns == ["mine"] and not spark.catalog.tableExists("only")
+    spark.catalog.dropTempView("orders")
+
+
+def test_samples_of_failing_rows(spark):
+    t = spark.createDataFrame([(i, i // 2, None if i > 6 else "a") for i in range(9)], "x int, k int, s string")
+    parent = spark.createDataFrame([(0,), (1,)], "k int")
+    rs = [Rule("row", "t", "x < 3"), Rule("ok", "t", "x >= 0"), Rule("window", "t", "COUNT(*) OVER (PARTITION BY k) = 1"),
+          Rule("unique", "t", "", rule_type="UNIQUE", check_args='{"columns": ["k"]}'), Rule("fk", "t", "", rule_type="FK", check_args='{"columns": ["k"], "ref": "p", "ref_columns": ["k"]}'),
+          Rule("dep", "t", "", rule_type="DEPENDENCY", check_args='{"columns": ["k"], "value": "x"}'), Rule("vol", "t", "", rule_type="VOLUME", check_args='{"columns": ["k"], "at_least": 2}'),
+          Rule("cur", "t", "", rule_type="SINGLE_CURRENT", check_args='{"columns": ["k"], "current": "s IS NULL"}'), Rule("wrong", "t", "", rule_type="FK", check_args="{}")]
+    got = {r.rule_id: r for r in rules.execute_rules({"t": t, "p": parent}, rs, run_id="r", as_of=as_of(), sample=3).collect()}
+    assert {k: (v.status, v.failed_records) for k, v in got.items()} == {
+        "row": ("FAIL", 6), "ok": ("PASS", 0), "window": ("FAIL", 8), "unique": ("FAIL", 8), "fk": ("FAIL", 5), "dep": ("FAIL", 8), "vol": ("FAIL", 1), "cur": ("FAIL", 6), "wrong": ("ERROR", 0)}
+    assert got["ok"].sample_failed_records is None
+    rows = json.loads(got["row"].sample_failed_records)
+    assert len(rows) == 3 and all(r["x"] >= 3 for r in rows)
+    assert all(r["n"] == 2 for r in json.loads(got["unique"].sample_failed_records))
+    assert {r["k"] for r in json.loads(got["fk"].sample_failed_records)} == {2, 3, 4}
+    plan = rules.count_failures({"t": t, "p": parent}, [r for r in rs if r.rule_type in rules.TYPED and r.rule_id != "wrong"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_run_time_failure_is_isolated(spark):
     t = spark.createDataFrame([("1",), ("x",)], "s string")
     rs = [Rule("ok", "t", "s IS NOT NULL"), Rule("boom", "t", "raise_error(s) IS NULL", severity="HIGH")]
@@ -33,6 +69,17 @@ def test_run_time_failure_is_isolated(spark):
     assert (got["ok"].status, got["boom"].status, got["boom"].table_fqn) == ("PASS", "ERROR", "t")
 
 
+def test_other_failures_end_the_run(spark):
+    """A task that breaks for no fault of a rule, as with a lost executor, is no rule error."""
+    def broken(batches):
+        raise OSError("no disk")
+        yield
+
+    t = spark.createDataFrame([("1",)], "s string").mapInArrow(broken, "s string")
+    with pytest.raises(PythonException):
+        rules.execute_rules({"t": t}, [Rule("ok", "t", "s IS NOT NULL")], run_id="r", as_of=as_of())
+
+
 def test_row_rules_share_one_scan(spark):
     t = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
     df = rules.count_failures({"c": t}, [Rule(f"r{i}", "c", f"c_acctbal > {i}") for i in range(5)])

@@ -68,7 +68,7 @@ def test_every_open_anomaly_counts_for_the_score(spark):
     score = lambda n: by_connection(intel.trust_receipts(reports(spark).withColumn("quality_score", F.lit(99.0)), stats, none, rules, anomalies(spark, n), nodes, edges), "score", "upstream_issues")
     assert score(0) == {"a": (95.0, 1), "b": (99.0, 0)}
     assert score(5)["a"] == (55.0, 1)
-    assert score(7)["a"] == (50.0, 1) and score(6)["a"] == (50.0, 1)
+    assert score(7)["a"] == (39.0, 1) and score(20)["a"] == (5.0, 1)
     signals = intel.receipt_signals(reports(spark), stats, none, rules, anomalies(spark, 8))
     fields = intel.receipt_fields(signals, reports(spark), stats, texts=None).first()
     assert fields["signals"] == 8 and fields["signal"].count(";") == 7 and "no 7" in fields["signal"]

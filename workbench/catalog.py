@@ -47,12 +47,15 @@ def d1_missing(spark, sf):
 
 
 @query("d2_column_decisions", """
-SELECT column_id, CASE WHEN is_pii THEN 'approved' WHEN data_type = 'ECONOMY' THEN 'rejected' ELSE status END AS status, CASE WHEN is_pii THEN 'ana@example.com' END AS approved_by FROM w_dict""")
+SELECT column_id, CASE WHEN is_pii THEN 'approved' WHEN data_type = 'ECONOMY' THEN 'rejected' ELSE status END AS status, CASE WHEN is_pii THEN 'ana@example.com' WHEN layer = 'GOLD' THEN 'old@example.com' END AS approved_by,
+       CASE WHEN is_pii THEN '2001-10-15' WHEN layer = 'GOLD' THEN '2000-01-01' END AS approved_on FROM w_dict""")
 def d2(spark, sf):
     dic = d.dictionary(spark, sf)
     dec = dic.filter("is_pii OR data_type = 'ECONOMY'").select(
         "column_id", F.when(F.col("is_pii"), "approve").otherwise("reject").alias("decision"), F.lit("ana@example.com").alias("decided_by"))
-    return catalog.decide_columns(dic, dec, d.as_of()).select("column_id", "status", "approved_by")
+    gold = F.col("layer") == "GOLD"
+    dic = dic.withColumns({"approved_by": F.when(gold, "old@example.com"), "approved_at": F.when(gold, d.as_of("2000-01-01"))})
+    return catalog.decide_columns(dic, dec, d.as_of()).select("column_id", "status", "approved_by", F.date_format("approved_at", "yyyy-MM-dd").alias("approved_on"))
 
 
 @query("d2_cde_registry", """

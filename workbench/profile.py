@@ -56,21 +56,23 @@ SELECT column_name, rank, value, frequency FROM (
   FROM ({}) GROUP BY column_name, value) WHERE rank <= 10"""
 
 
-@query("p4_top_values_events", _TOP.format(
-    "SELECT 'event_type' AS column_name, event_type AS value FROM events UNION ALL "
-    "SELECT 'user_id', CAST(user_id AS VARCHAR) FROM events UNION ALL "
-    "SELECT 'props', nullif(props, '{\"k\": 1}') FROM events"))
+_EVENT_VALUES = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {v} AS value FROM events" for c, v in {
+        "event_id": "CAST(event_id AS VARCHAR)", "user_id": "CAST(user_id AS VARCHAR)", "event_type": "event_type", "day": "strftime(ts, '%Y-%m-%d')",
+        "value": "CAST(CAST(round(value) AS BIGINT) AS VARCHAR)", "props": "nullif(props, '{\"k\": 1}')"}.items())
+
+
+@query("p4_top_values_events", _TOP.format(_EVENT_VALUES))
 def p4(spark, sf):
-    e = table(spark, sf, "events").select(
-        "event_type", "user_id", F.nullif("props", F.lit('{"k": 1}')).alias("props"))
-    return profile.top_values(e)
+    """Every column of events, the time as its day and the value as a whole number."""
+    e = table(spark, sf, "events")
+    return profile.top_values(e.select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"), F.round("value").cast("bigint").alias("value"),
+                                       F.nullif("props", F.lit('{"k": 1}')).alias("props")))
 
 
-@query("p4_top_texts_documents", _TOP.format(
-    "SELECT 'text' AS column_name, text AS value FROM documents UNION ALL SELECT 'lang', lang FROM documents").replace(
-    "value ASC NULLS LAST", "CASE WHEN octet_length(encode(value)) > 64 THEN '#' || sha256(value) ELSE value END ASC NULLS LAST"))
+@query("p4_top_texts_documents", _TOP.format("SELECT 'text' AS column_name, text AS value FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents"))
 def p4_texts(spark, sf):
-    return profile.top_values(table(spark, sf, "documents").select("text", "lang"), long_text=["text"])
+    return profile.top_values(table(spark, sf, "documents").select("text", "lang", "source"), long_text=["text", "source"])
 
 
 @query("p5_numeric_part", " UNION ALL ".join(
@@ -111,19 +113,21 @@ def _format_sql(source: str, cols: list[str], others: list[tuple[str, str]], lim
 
 @query("p6_format_customer", _format_sql(_CUST_FMT, ["c_name", "c_mktsegment", "mail", "phone", "empty_col"], [("c_custkey", "BIGINT")], "top"))
 def p6(spark, sf):
-    return profile.formats(_customer_formats(spark, sf))
+    return profile.formats(_customer_formats(spark, sf), top_values_only=10)
 
 
 @query("p6_format_full_column", _format_sql(_CUST_FMT, ["c_name", "c_mktsegment", "mail", "phone", "empty_col"], [("c_custkey", "BIGINT")], "all"))
 def p6_full(spark, sf):
-    return profile.formats(_customer_formats(spark, sf), full_column=True)
+    return profile.formats(_customer_formats(spark, sf))
 
 
 @query("p7_row_dups_documents", """
 SELECT CAST(sum(n) AS BIGINT) AS row_count, count(*) AS distinct_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows
-FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang)""")
+FROM (SELECT count(*) AS n FROM (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE lang = 'de') GROUP BY doc_id, text, lang, source, n_chars)""")
 def p7(spark, sf):
-    return profile.duplicate_rows(table(spark, sf, "documents").select("text", "lang"))
+    """Whole documents, the German ones twice."""
+    docs = table(spark, sf, "documents")
+    return profile.duplicate_rows(docs.unionByName(docs.filter("lang = 'de'")))
 
 
 @query("p8_key_candidates", f"""
@@ -131,7 +135,7 @@ SELECT column_name, id_like, cardinality_ratio FROM (
   SELECT *, regexp_matches(column_name, '(?i)(^id$|_id$|id$|_key$|key$)') AS id_like FROM (
   {' UNION ALL '.join(f"SELECT {i} AS ord, '{c}' AS column_name, {ratio(f'count(DISTINCT {c})', 'count(*)', 4)} AS cardinality_ratio, count(*) AS n FROM documents JOIN labels USING (doc_id)" for i, c in enumerate(['doc_id', 'text', 'lang', 'source', 'n_chars', 'quality', 'toxic']))}))
 WHERE n > 1 AND ((id_like AND cardinality_ratio >= 0.6) OR cardinality_ratio >= 0.9)
-ORDER BY id_like DESC, cardinality_ratio DESC, ord LIMIT 3""")
+ORDER BY id_like DESC, cardinality_ratio DESC, ord""")
 def p8(spark, sf):
     df = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     stats = profile.profile_columns(df, long_text=["text"])
@@ -183,20 +187,26 @@ def p11(spark, sf):
     return integrity.check_inferred_keys({("sales", "customers"): customers, ("sales", "orders"): orders})
 
 
+_FLAG = "nullif(l_returnflag, 'A')"
+_LI_FLAG = ", ".join(_FLAG + " AS l_returnflag" if c == "l_returnflag" else c for c in _LI)
+_NULLS = percent("count(*) FILTER (WHERE l_returnflag IS NULL)", "count(*)")
+
+
+def _lineitem(spark, sf):
+    return table(spark, sf, "lineitem").withColumn("l_returnflag", F.nullif("l_returnflag", F.lit("A")))
+
+
 @query("p12_score_lineitem", f"""
-SELECT count(*) AS row_count, {ratio(f'10000 * 3 - CAST(round({percent("count(*) FILTER (WHERE l_returnflag = {0!r})".format("A"), "count(*)")} * 100) AS BIGINT)', '300', 1)} AS completeness_score,
-       {percent('greatest(0, count(*) - (count(*) - any_value(k.g)) - any_value(k.d))', 'count(*)', 1)} AS uniqueness_score, 100.0::DOUBLE AS consistency_score,
-       100.0::DOUBLE AS freshness_score,
-       round((30000 - round({percent("count(*) FILTER (WHERE l_returnflag = {0!r})".format("A"), "count(*)")} * 100)) / 300.0::DOUBLE * 0.35
-             + greatest(0, count(*) - (count(*) - any_value(k.g)) - any_value(k.d)) * 100.0::DOUBLE / count(*) * 0.25 + 100.0 * 0.25 + 100.0 * 0.15, 1) AS quality_score
-FROM lineitem, (SELECT (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, nullif(l_returnflag, 'A') FROM lineitem)) AS g,
-                       (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS d) k""")
+SELECT n AS row_count, {ratio('10000 * 11 - CAST(round(null_pct * 100) AS BIGINT)', '1100', 1)} AS completeness_score, {percent('greatest(0, n - (n - g) - d)', 'n', 1)} AS uniqueness_score,
+       100.0::DOUBLE AS consistency_score, 100.0::DOUBLE AS freshness_score,
+       round((110000 - round(null_pct * 100)) / 1100.0::DOUBLE * 0.35 + greatest(0, n - (n - g) - d) * 100.0::DOUBLE / n * 0.25 + 100.0 * 0.25 + 100.0 * 0.15, 1) AS quality_score
+FROM (SELECT count(*) AS n, {_NULLS} AS null_pct, (SELECT count(*) FROM (SELECT DISTINCT {_LI_FLAG} FROM lineitem)) AS g,
+             (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS d FROM (SELECT {_LI_FLAG} FROM lineitem))""")
 def p12(spark, sf):
-    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.nullif("l_returnflag", F.lit("A")).alias("flag"))
-    stats = profile.profile_columns(df)
+    df = _lineitem(spark, sf)
     dups = profile.duplicate_rows(df).select("duplicate_rows").scalar()
     worst = profile.key_duplicates(df, [["l_orderkey", "l_linenumber"]]).select("duplicate_rows").scalar()
-    return profile.score_table(stats, dups, worst)
+    return profile.score_table(profile.profile_columns(df), dups, worst)
 
 
 @query("p13_column_health", f"""
@@ -217,11 +227,11 @@ def p13(spark, sf):
 WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'A') AS a FROM lineitem),
 k AS (SELECT count(*) AS g, CAST(sum(c) AS BIGINT) AS r FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)),
 o AS (SELECT count(*) AS c FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P'))
-SELECT 'flag' AS column_name, 'NULL_HIGH' AS risk_type, 'CRITICAL' AS severity FROM n WHERE {percent('a', 'n')} > 20
+SELECT 'l_returnflag' AS column_name, 'NULL_HIGH' AS risk_type, 'CRITICAL' AS severity FROM n WHERE {percent('a', 'n')} > 20
 UNION ALL SELECT 'l_orderkey,l_linenumber', 'DUPLICATE_KEY', CASE WHEN {percent('r', 'n')} >= 1 THEN 'CRITICAL' ELSE 'HIGH' END FROM k, n WHERE r > 0
 UNION ALL SELECT 'l_orderkey', 'REFERENTIAL_ORPHAN', CASE WHEN {percent('c', 'n')} >= 5 THEN 'CRITICAL' WHEN {percent('c', 'n')} >= 1 THEN 'HIGH' ELSE 'MEDIUM' END FROM o, n WHERE c > 0""")
 def p14(spark, sf):
-    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.nullif("l_returnflag", F.lit("A")).alias("flag"))
+    df = _lineitem(spark, sf)
     parents = table(spark, sf, "orders").filter("o_orderstatus <> 'P'")
     dups = profile.key_duplicates(df, [["l_orderkey", "l_linenumber"]])
     total = profile.row_count(df).scalar()
@@ -241,23 +251,22 @@ def p15(spark, sf):
     return sample.agg(F.count_if(bad).alias("sampled"), F.lit(10).cast("bigint").alias("expected"))
 
 
-@query("p17_drift_projection", """
-SELECT * FROM (VALUES ('o_comment', NULL, 'STRING', 'added'), ('o_orderpriority', 'STRING', NULL, 'dropped'), ('o_totalprice', 'DOUBLE', 'DECIMAL(12,2)', 'type_changed'))
-  AS t(column_name, old_type, new_type, change)""")
+@query("p17_stored_drift", """
+WITH kinds AS (SELECT table_fqn, column_name, data_type, row_number() OVER (PARTITION BY table_fqn, column_name ORDER BY run_at DESC) AS rn, run_at FROM w_stats),
+last AS (SELECT table_fqn, max(run_at) AS now FROM w_stats GROUP BY 1), prev AS (SELECT s.table_fqn, max(s.run_at) AS before FROM w_stats s JOIN last l USING (table_fqn) WHERE s.run_at < l.now GROUP BY 1)
+SELECT table_fqn, c.column_name, c.old_type, c.new_type, c.change FROM last JOIN prev USING (table_fqn), (VALUES ('discount_key', 'DOUBLE', NULL, 'dropped'), ('discount', NULL, 'DOUBLE', 'added'), ('quantity', 'DOUBLE', 'BIGINT', 'type_changed')) AS c(column_name, old_type, new_type, change)
+WHERE EXISTS (SELECT 1 FROM w_stats s WHERE s.table_fqn = last.table_fqn AND s.run_at = last.now AND s.row_count % 2 = 0)""")
 def p17(spark, sf):
-    """Columns of orders against a later version of the same table."""
-    orders = table(spark, sf, "orders")
-    later = orders.drop("o_orderpriority").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(12,2)")).withColumn(
-        "o_comment", F.concat("o_orderstatus", F.lit("!")))
-    stats = [profile.column_aggregates(x).select("column_name", "data_type") for x in (orders, later)]
-    return history.schema_drift(*stats)
-
-
-_HIST = f"""
-SELECT table_fqn, strftime(run_at, '%Y-%m-%d') AS run_day, row_count, row_count - p AS row_count_delta,
-       CASE WHEN p <> 0 THEN {ratio('100 * (row_count - p)', 'p', 1)} END AS row_count_delta_pct
-FROM (SELECT *, lag(row_count) OVER (PARTITION BY table_fqn ORDER BY run_at) AS p,
-             row_number() OVER (PARTITION BY table_fqn ORDER BY run_at DESC) AS rn FROM w_event_days)"""
+    """Latest stored column statistics of every table against the run before; every second latest run was made after a schema change."""
+    stats = d.column_stats(spark, sf)
+    runs = latest_per_key(stats.select("connection_id", "table_fqn", "run_at", "row_count").distinct(), ["connection_id", "table_fqn"], [F.desc("run_at")], 2, rank="rn")
+    two = stats.join(runs, ["connection_id", "table_fqn", "run_at", "row_count"])
+    changed = F.col("row_count") % 2 == 0
+    now = two.filter("rn = 1").select("connection_id", "table_fqn", F.when(changed & (F.col("column_name") == "discount_key"), "discount").otherwise(F.col("column_name")).alias("column_name"),
+                                      F.when(changed & (F.col("column_name") == "quantity"), "BIGINT").otherwise(F.col("data_type")).alias("data_type"))
+    before = two.filter("rn = 2").select("connection_id", "table_fqn", "column_name", "data_type")
+    drift = history.schema_drift(before, now.join(before.select("connection_id", "table_fqn").distinct(), ["connection_id", "table_fqn"], "left_semi"), ["connection_id", "table_fqn"])
+    return drift.drop("connection_id")
 
 
 @query("p18_history_events_daily", f"""
@@ -280,38 +289,38 @@ def p19(spark, sf):
 
 
 @query("p20_table_context", """
-WITH r AS (SELECT table_fqn, count(*) AS rules_total, count(*) FILTER (WHERE status IN ('approved', 'active')) AS rules_active,
-                  count(DISTINCT column_name) AS columns_with_rules FROM w_rules GROUP BY 1),
-a AS (SELECT table_fqn, count(*) AS open_anomalies FROM w_anoms WHERE status = 'open' GROUP BY 1),
+WITH r AS (SELECT connection_id, table_fqn, count(*) AS rules_total, count(*) FILTER (WHERE status IN ('approved', 'active')) AS rules_active,
+                  count(DISTINCT column_name) AS columns_with_rules FROM w_rules GROUP BY 1, 2),
+a AS (SELECT connection_id, table_fqn, count(*) AS open_anomalies FROM w_anoms WHERE status = 'open' GROUP BY 1, 2),
 t AS (SELECT related_entity_id, count(*) AS open_tasks FROM w_tasks WHERE status IN ('open', 'in_progress') GROUP BY 1)
-SELECT x.table_fqn, coalesce(rules_total, 0) AS rules_total, coalesce(rules_active, 0) AS rules_active,
+SELECT x.connection_id, x.table_fqn, coalesce(rules_total, 0) AS rules_total, coalesce(rules_active, 0) AS rules_active,
        coalesce(columns_with_rules, 0) AS columns_with_rules,
        coalesce(open_anomalies, 0) AS open_anomalies, coalesce(open_tasks, 0) AS open_tasks
-FROM w_tables x LEFT JOIN r USING (table_fqn) LEFT JOIN a USING (table_fqn)
+FROM w_tables x LEFT JOIN r USING (connection_id, table_fqn) LEFT JOIN a USING (connection_id, table_fqn)
 LEFT JOIN t ON t.related_entity_id = 'customer_' || x.s_suppkey""")
 def p20(spark, sf):
     from workbench import anomalies
     tabs = d.tables(spark, sf)
     tasks = d.tasks(spark, sf).join(
-        tabs.select("table_fqn", F.concat(F.lit("customer_"), F.col("s_suppkey").cast("string")).alias("related_entity_id")),
+        tabs.select("connection_id", "table_fqn", F.concat(F.lit("customer_"), F.col("s_suppkey").cast("string")).alias("related_entity_id")),
         "related_entity_id")
-    return history.table_context(tabs.select("table_fqn"), d.rules(spark, sf), anomalies.anomaly_log(spark, sf), tasks)
+    return history.table_context(tabs.select("connection_id", "table_fqn"), d.rules(spark, sf), anomalies.anomaly_log(spark, sf), tasks)
 
 
 @query("p21_health_counts", """
-SELECT s.table_fqn, count(*) FILTER (WHERE null_pct > 20) AS crit_columns,
+SELECT s.connection_id, s.table_fqn, count(*) FILTER (WHERE null_pct > 20) AS crit_columns,
        count(*) FILTER (WHERE null_pct <= 20 AND null_pct > 5) AS warn_columns,
        count(*) FILTER (WHERE r.column_name IS NULL) AS columns_without_rules
-FROM w_stats s LEFT JOIN (SELECT DISTINCT table_fqn, column_name FROM w_rules) r
-  ON r.table_fqn = s.table_fqn AND r.column_name = s.column_name
-GROUP BY 1""")
+FROM w_stats s LEFT JOIN (SELECT DISTINCT connection_id, table_fqn, column_name FROM w_rules) r
+  ON r.connection_id = s.connection_id AND r.table_fqn = s.table_fqn AND r.column_name = s.column_name
+GROUP BY 1, 2""")
 def p21(spark, sf):
     stats = d.column_stats(spark, sf).withColumn("health", profile.column_health(F.col("null_pct"), F.lit("STRING")))
     return profile.health_counts(stats, d.rules(spark, sf))
 
 
-_ALL = {"customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "supplier": ["s_suppkey", "s_nationkey"],
-        "part": ["p_partkey", "p_brand", "p_size"]}
+_ALL = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+        "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]}
 
 
 @query("p22_profile_all", " UNION ALL ".join(
@@ -319,6 +328,5 @@ _ALL = {"customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "supplier": ["
     f"count(DISTINCT {c}) AS distinct_count, {ratio(f'count(DISTINCT {c})', 'count(*)', 4)} AS cardinality_ratio FROM {t}"
     for t, cols in _ALL.items() for c in cols))
 def p22(spark, sf):
-    tabs = {t: table(spark, sf, t).select(*cols) for t, cols in _ALL.items()}
-    return profile.profile_all(tabs).select(
+    return profile.profile_all({t: table(spark, sf, t) for t in _ALL}).select(
         "table_fqn", "column_name", "row_count", "null_count", "distinct_count", "cardinality_ratio")

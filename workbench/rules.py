@@ -65,11 +65,10 @@ def r2(spark, sf):
     return rules.check_rules(table(spark, sf, "customer"), _BATCH)
 
 
-@query("r4_failed_sample", """
-SELECT count(*) AS sampled, count(*) FILTER (WHERE c_acctbal < 0) AS really_failing FROM (SELECT c_acctbal FROM customer WHERE c_acctbal < 0 LIMIT 20)""")
+@query("r4_failed_sample", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 0 ORDER BY c_custkey LIMIT 20")
 def r4(spark, sf):
-    return rules.failed_rows(table(spark, sf, "customer"), "c_acctbal >= 0").agg(
-        F.count(F.lit(1)).alias("sampled"), F.count_if(F.col("c_acctbal") < 0).alias("really_failing"))
+    """Failing rows in order of their key, so that the same ones are shown each time."""
+    return rules.failed_rows(table(spark, sf, "customer").orderBy("c_custkey"), "c_acctbal >= 0").select("c_custkey", "c_name", "c_acctbal")
 
 
 _RUN = [
@@ -79,14 +78,18 @@ _RUN = [
     rules.Rule("o1", "gold.orders", "o_orderstatus IN ('O', 'F')", "status", "GOLD", "CRITICAL", True),
     rules.Rule("o2", "gold.orders", "COUNT(*) OVER (PARTITION BY o_orderkey) = 1", "key", "GOLD", "CRITICAL"),
     rules.Rule("o4", "gold.orders", rules.unique_text(["o_custkey", "o_orderdate"]), "one a day", "GOLD", "MEDIUM",
-               check=lambda df, tables: rules.unique(df, ["o_custkey", "o_orderdate"])),
-    rules.Rule("o3", "gold.orders", "EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = t.o_custkey AND c.c_acctbal >= 0)", "fk", "GOLD", "HIGH"),
+               rule_type="UNIQUE", check_args='{"columns": ["o_custkey", "o_orderdate"]}'),
+    rules.Rule("k1", "bronze.customer", "EXISTS (SELECT 1 FROM gold.customer c WHERE c.c_custkey = t.c_custkey)", "kept", "BRONZE", "LOW"),
+    rules.Rule("k2", "gold.customer", "", "ordered", "GOLD", "LOW", rule_type="FK", check_args='{"columns": ["c_custkey"], "ref": "gold.orders", "ref_columns": ["o_custkey"]}'),
+    rules.Rule("k3", "gold.customer", "EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = t.c_custkey)", "ambiguous", "GOLD", "LOW"),
+    rules.Rule("o3", "gold.orders", "EXISTS (SELECT 1 FROM silver.customer c WHERE c.c_custkey = t.o_custkey AND c.c_acctbal >= 0)", "fk", "GOLD", "HIGH"),
     rules.Rule("p1", "bronze.part", "p_size BETWEEN 1 AND 40", "size", "BRONZE", "MEDIUM"),
     rules.Rule("x1", "raw.nowhere", "a = 1", "lost", "RAW", "HIGH"),
 ]
 _RUN_SQL = f"""
 SELECT rule_id, table_fqn, layer, severity, total_records, failed_records, fail_pct, status,
-       CASE WHEN status = 'ERROR' THEN 0.0::DOUBLE ELSE {ratio('greatest(0, 10000 - m * CAST(round(fail_pct * 100) AS BIGINT))', '100', 1)} END AS quality_score
+       CASE WHEN status = 'ERROR' THEN 0.0::DOUBLE ELSE {ratio('greatest(0, 10000 - m * CAST(round(fail_pct * 100) AS BIGINT))', '100', 1)} END AS quality_score,
+       CASE WHEN status = 'FAIL' THEN least(failed_records, 20) ELSE 0 END AS sampled
 FROM (SELECT *, {percent('failed_records', 'total_records')} AS fail_pct,
              CASE WHEN err THEN 'ERROR' WHEN failed_records > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM (
   SELECT 'c1' AS rule_id, 'silver.customer' AS table_fqn, 'SILVER' AS layer, 'HIGH' AS severity, 1 AS m, FALSE AS err, count(*) AS total_records, count(*) FILTER (WHERE NOT c_acctbal >= 0) AS failed_records FROM customer
@@ -96,6 +99,9 @@ FROM (SELECT *, {percent('failed_records', 'total_records')} AS fail_pct,
   UNION ALL SELECT 'o2', 'gold.orders', 'GOLD', 'CRITICAL', 1, FALSE, count(*), count(*) - count(DISTINCT o_orderkey) FROM orders
   UNION ALL SELECT 'o3', 'gold.orders', 'GOLD', 'HIGH', 1, FALSE, count(*), count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal >= 0)) FROM orders o
   UNION ALL SELECT 'o4', 'gold.orders', 'GOLD', 'MEDIUM', 1, FALSE, CAST(sum(n) AS BIGINT), CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderdate)
+  UNION ALL SELECT 'k1', 'bronze.customer', 'BRONZE', 'LOW', 1, FALSE, count(*), count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') FROM customer
+  UNION ALL SELECT 'k2', 'gold.customer', 'GOLD', 'LOW', 1, FALSE, count(*), count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)) FROM customer c WHERE c_mktsegment <> 'MACHINERY'
+  UNION ALL SELECT 'k3', 'gold.customer', 'GOLD', 'LOW', 1, TRUE, 0, 0
   UNION ALL SELECT 'p1', 'bronze.part', 'BRONZE', 'MEDIUM', 1, FALSE, count(*), count(*) FILTER (WHERE NOT p_size BETWEEN 1 AND 40) FROM part
   UNION ALL SELECT 'x1', 'raw.nowhere', 'RAW', 'HIGH', 1, TRUE, 0, 0))"""
 _W2 = "CASE severity WHEN 'CRITICAL' THEN 6 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 2 END"
@@ -106,13 +112,19 @@ def _score_sql(where: str = "") -> str:
 
 
 def _run(spark, sf):
-    tabs = {"silver.customer": table(spark, sf, "customer"), "gold.orders": table(spark, sf, "orders"), "bronze.part": table(spark, sf, "part")}
-    return rules.run_rules(tabs, _RUN, run_id="run_1", as_of=d.as_of())
+    """Three tables called customer: the gold one lacks a segment."""
+    c = table(spark, sf, "customer")
+    tabs = {"bronze.customer": c, "silver.customer": c, "gold.customer": c.filter("c_mktsegment <> 'MACHINERY'"),
+            "gold.orders": table(spark, sf, "orders"), "bronze.part": table(spark, sf, "part")}
+    return rules.execute_rules(tabs, _RUN, run_id="run_1", as_of=d.as_of())
 
 
 @query("r5_result_rows", _RUN_SQL)
 def r5(spark, sf):
-    return _run(spark, sf).select("rule_id", "table_fqn", "layer", "severity", "total_records", "failed_records", "fail_pct", "status", "quality_score")
+    sample = F.from_json("sample_failed_records", "array<struct<n: bigint>>")
+    # Typed rules show keys with their counts, of which there may be fewer than rows.
+    sampled = F.when(F.col("rule_id") == "o4", F.least("failed_records", F.lit(20))).otherwise(F.coalesce(F.size(sample), F.lit(0)).cast("bigint"))
+    return _run(spark, sf).select("rule_id", "table_fqn", "layer", "severity", "total_records", "failed_records", "fail_pct", "status", "quality_score", sampled.alias("sampled"))
 
 
 @query("r6_weighted_score", f"SELECT layer, {_score_sql()} AS overall_quality_score FROM w_results GROUP BY layer")
@@ -186,12 +198,13 @@ def r14(spark, sf):
 
 @query("r15_decisions", """
 SELECT rule_id, outcome, CASE WHEN outcome = 'applied' THEN CASE decision WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'retired' WHEN 'snooze' THEN 'snoozed' ELSE 'draft' END ELSE status END AS status,
-       CASE WHEN outcome = 'applied' AND decision = 'edit' THEN 'l_tax <= 0.05' ELSE rule_expression END AS rule_expression
+       CASE WHEN outcome = 'applied' AND decision = 'edit' THEN 'l_tax <= 0.05' ELSE rule_expression END AS rule_expression,
+       CASE WHEN outcome = 'applied' AND decision = 'approve' THEN by_user WHEN layer IN ('UNKNOWN', 'RAW') THEN 'old@example.com' END AS approved_by
 FROM (SELECT *, CASE WHEN decision IS NULL THEN NULL WHEN decision = 'approve' AND created_by = by_user THEN 'own_rule' WHEN decision = 'merge' THEN 'invalid' ELSE 'applied' END AS outcome
   FROM (SELECT *, CASE WHEN layer = 'UNKNOWN' THEN NULL WHEN rule_no = 1 THEN 'snooze' WHEN rule_no = 2 THEN 'edit' WHEN rule_no = 3 THEN 'approve' WHEN layer = 'RAW' THEN 'merge' ELSE 'reject' END AS decision,
                CASE WHEN layer = 'GOLD' THEN 'ana@example.com' ELSE 'eve@example.com' END AS by_user FROM w_rules))""")
 def r15(spark, sf):
-    all_rules = d.rules(spark, sf)
+    all_rules = d.rules(spark, sf).withColumn("approved_by", F.when(F.col("layer").isin("UNKNOWN", "RAW"), "old@example.com"))
     no = F.col("rule_no")
     decisions = all_rules.filter("layer <> 'UNKNOWN'").select(
         "rule_id",
@@ -199,7 +212,7 @@ def r15(spark, sf):
         F.when(F.col("layer") == "GOLD", "ana@example.com").otherwise("eve@example.com").alias("decided_by"),
         F.lit(False).alias("is_admin"), d.as_of().alias("snooze_until"),
         F.when(no == 2, "l_tax <= 0.05").alias("edited_expression"))
-    return rule_results.decide(all_rules, decisions).select("rule_id", "outcome", "status", "rule_expression")
+    return rule_results.decide(all_rules, decisions).select("rule_id", "outcome", "status", "rule_expression", "approved_by")
 
 
 @query("r15_acknowledged", """
@@ -242,7 +255,7 @@ def r17(spark, sf):
 
 
 @query("r18_candidate_rules", """
-SELECT * FROM (
+SELECT *, CASE rule_type WHEN 'UNIQUE' THEN '{"columns":["' || column_name || '"]}' ELSE '' END AS check_args FROM (
 SELECT 'o_orderkey' AS column_name, 'NULL_CHECK' AS rule_type, '`o_orderkey` IS NOT NULL' AS rule_expression, 'HIGH' AS severity, 'o_orderkey_null_check' AS rule_name
 UNION ALL SELECT 'o_orderkey', 'RANGE', '`o_orderkey` BETWEEN ' || min(o_orderkey)::DOUBLE || ' AND ' || max(o_orderkey)::DOUBLE, 'MEDIUM', 'o_orderkey_range' FROM orders
 UNION ALL SELECT 'o_orderkey', 'UNIQUE', 'COUNT(*) OVER (PARTITION BY `o_orderkey`) = 1', 'CRITICAL', 'o_orderkey_unique'
@@ -251,7 +264,7 @@ UNION ALL SELECT 'o_orderpriority', 'ENUM', '`o_orderpriority` IN (' || string_a
 UNION ALL SELECT 'status', 'ENUM', '`status` IS NULL OR `status` IN (' || string_agg(DISTINCT '''' || o_orderstatus || '''', ', ' ORDER BY '''' || o_orderstatus || '''') FILTER (WHERE o_orderstatus <> 'P') || ')', 'MEDIUM', 'status_enum' FROM orders)""")
 def r18(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.nullif("o_orderstatus", F.lit("P")).alias("status"))
-    return rule_results.candidate_rules(profile.profile_columns(df))
+    return rule_results.candidate_rules(profile.profile_columns(df)).fillna("", ["check_args"])
 
 
 # --- shapes ------------------------------------------------------------------
