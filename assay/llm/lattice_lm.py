@@ -32,8 +32,8 @@ FREQUENT, FREQUENT_BYTES = 1_000_000, 64
 HELD_TOKENS = 400_000
 _START, _END = "▁", b""
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Longer words are scored one by one.
-_LONG = 48
+#: Longer words are scored one by one, others in groups of one length out of so many words.
+_LONG, _TOGETHER = 48, 60_000
 
 
 def vocabulary(path: str) -> tuple[list[str], list[float]]:
@@ -66,36 +66,37 @@ class Lattice:
         """Pieces that stand for a character without a piece of its own: its bytes."""
         return [self.bytes[b] for b in char.encode("utf-8", "replace")]
 
-    def _table(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Open addressing from the hash of a piece to its id."""
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+        """Open addressing from the hash of every beginning of a piece to the piece's id, or to -1 if it is only a beginning."""
         if self._slots is None:
-            shift = np.uint64(64 - 18)
-            keys, ids = np.zeros(1 << 18, dtype=np.uint64), np.full(1 << 18, -1, dtype=np.int64)
-            used = set()
+            found: dict[int, int] = {}
             for piece, i in self.ids.items():
                 h = 0
-                for c in piece:
+                for n, c in enumerate(piece, 1):
                     h = (h + ord(c) + 1) * int(_STEP) % 2**64
-                slot = h >> int(shift)
+                    if n == len(piece) or h not in found:
+                        found[h] = i if n == len(piece) else -1
+            bits = max(10, (4 * len(found)).bit_length())
+            keys, ids, used = np.zeros(1 << bits, dtype=np.uint64), np.full(1 << bits, -2, dtype=np.int64), set()
+            for h, i in found.items():
+                slot = h >> (64 - bits)
                 while slot in used:
                     slot = (slot + 1) % len(ids)
                 used.add(slot)
                 keys[slot], ids[slot] = h, i
-            self._slots = keys, ids, shift
+            self._slots = keys, ids, np.uint64(64 - bits)
         return self._slots
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of pieces, -1 for beginnings of pieces, -2 for anything else."""
         keys, ids, shift = self._table()
         slot = (hashes >> shift).astype(np.int64)
-        out = np.full(len(hashes), -1, dtype=np.int64)
-        open_rows = np.arange(len(hashes))
-        while len(open_rows):
-            at = slot[open_rows]
-            hit, used = keys[at] == hashes[open_rows], ids[at] >= 0
-            found = hit & used
-            out[open_rows[found]] = ids[at[found]]
-            open_rows = open_rows[used & ~hit]
-            slot[open_rows] = (slot[open_rows] + 1) % len(ids)
+        out = ids[slot]
+        retry = np.flatnonzero((out > -2) & (keys[slot] != hashes))
+        while len(retry):
+            slot[retry] = (slot[retry] + 1) % len(ids)
+            out[retry] = ids[slot[retry]]
+            retry = retry[(out[retry] > -2) & (keys[slot[retry]] != hashes[retry])]
         return out
 
     def log_sums(self, words: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -119,25 +120,24 @@ class Lattice:
         arcs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []  # from, to, rows, ids (or -1), logs
         spelled: dict[int, list[int]] = {}
         for a in range(length):
-            hashes = np.zeros(n, dtype=np.uint64)
+            rows, hashes = np.arange(n), np.zeros(n, dtype=np.uint64)
             for b in range(a, min(length, a + self.longest)):
-                hashes = (hashes + steps[:, b]) * _STEP
+                hashes = (hashes + steps[rows, b]) * _STEP
                 ids = self._find(hashes)
-                rows = np.flatnonzero(ids >= 0)
-                logs = self.logs[ids[rows]]
-                if b == a and len(rows) < n:  # characters without a piece
-                    bare = np.flatnonzero(ids < 0)
-                    values = codes[bare, a]
-                    cost = np.zeros(len(bare))
+                pieces = ids >= 0
+                if b == a and not pieces.all():  # characters without a piece
+                    bare = np.flatnonzero(~pieces)
+                    values, cost = codes[bare, a], np.zeros(len(bare))
                     for c in np.unique(values).tolist():
                         spelled.setdefault(c, self.arcs(chr(c)))
                         cost[values == c] = self.logs[spelled[c]].sum()
-                    rows, ids = np.concatenate((rows, bare)), np.concatenate((ids[rows], np.full(len(bare), -1)))
-                    logs = np.concatenate((logs, cost))
-                else:
-                    ids = ids[rows]
-                if len(rows):
-                    arcs.append((a, b + 1, rows, ids, logs))
+                    arcs.append((a, b + 1, bare, np.full(len(bare), -1), cost))
+                if pieces.any():
+                    arcs.append((a, b + 1, rows[pieces], ids[pieces], self.logs[ids[pieces]]))
+                going = ids >= -1
+                rows, hashes = rows[going], hashes[going]
+                if not len(rows):
+                    break
         forward = np.full((length + 1, n), -np.inf)
         forward[0] = 0.0
         for a, b, rows, _, logs in sorted(arcs, key=lambda x: x[1]):
@@ -148,13 +148,15 @@ class Lattice:
         backward[length] = 0.0
         for a, b, rows, _, logs in sorted(arcs, key=lambda x: -x[0]):
             backward[a, rows] = np.logaddexp(backward[a, rows], backward[b, rows] + logs)
+        scaled = np.log(np.maximum(weights, 1e-300)) - forward[length]
         for a, b, rows, ids, logs in arcs:
-            share = weights[rows] * np.exp(forward[a, rows] + logs + backward[b, rows] - forward[length, rows])
-            known = ids >= 0
-            np.add.at(counts, ids[known], share[known])
-            for row, s in zip(rows[~known].tolist(), share[~known].tolist()):
-                for i in spelled[int(codes[row, a])]:
-                    counts[i] += s
+            share = np.exp(forward[a, rows] + logs + backward[b, rows] + scaled[rows])
+            if ids[0] >= 0:
+                counts += np.bincount(ids, share, len(counts))
+            else:
+                for row, s in zip(rows.tolist(), share.tolist()):
+                    for i in spelled[int(codes[row, a])]:
+                        counts[i] += s
         return forward[length]
 
     def _edges(self, word: str) -> Iterator[tuple[int, int, list[int], float]]:
@@ -223,6 +225,18 @@ def count_tokens(docs: DataFrame, text: str, train: str) -> DataFrame:
     return rows.groupBy("token").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.sum("n").alias("n"))
 
 
+def _gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``parts`` in batches of about ``_TOGETHER``."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        held.append(part)
+        if sum(p.num_rows for p in held) >= _TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if any(p.num_rows for p in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _words(column: pa.Array) -> list[str]:
     return [w.decode("utf-8", "replace") for w in column.to_pylist()]
 
@@ -242,7 +256,7 @@ def estimate(tokens: DataFrame, pieces: list[str], scores: list[float], rounds:
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice = pickle.loads(shared.value)
             total = np.zeros(len(lattice.logs))
-            for part in parts:
+            for part in _gathered(parts):
                 total += lattice.log_sums(_words(part.column(0)), part.column(1).to_numpy().astype(np.float64))[1]
             ids = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
@@ -262,7 +276,7 @@ def token_scores(tokens: DataFrame, lattice: Lattice, train_tokens: int, distinc
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = pickle.loads(shared.value)
-        for part in parts:
+        for part in _gathered(parts):
             words, c = part.column(0).to_pylist(), part.column(1).to_numpy()
             sums = lattice.log_sums([w.decode("utf-8", "replace") for w in words])[0]
             sums[[i for i, w in enumerate(words) if not w]] = lattice.logs[-1]
