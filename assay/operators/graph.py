@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from assay.session import cut_lineage
 
-# A frontier of at most this many (id, id) rows takes a few megabytes.
-BROADCAST_ROWS = 50_000
+# Steps after which what was found so far is put into one table, and trimming rounds before a search for cycles.
+COMPACT_STEPS, TRIM_ROUNDS = 8, 2
+_SEPARATOR = "\u001f"
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -29,9 +30,16 @@ def edge_set(edges: DataFrame) -> DataFrame:
     return cut_lineage(edges.select("source", "target").distinct())
 
 
-def _small(frontier: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a frontier of few rows; a larger one is shuffled, with AQE splitting hubs."""
-    return F.broadcast(frontier) if rows <= BROADCAST_ROWS else frontier
+def qualified(df: DataFrame, *ids: str) -> DataFrame:
+    """Ids with their connection in front, so that equal names of two connections are different nodes."""
+    return df.withColumns({c: F.concat_ws(_SEPARATOR, F.coalesce("connection_id", F.lit("")), F.col(c)) for c in ids})
+
+
+def unqualified(df: DataFrame, *ids: str) -> DataFrame:
+    """Undo :func:`qualified`: plain ids and their ``connection_id``."""
+    part = lambda c, n: F.split(F.col(c), _SEPARATOR, 2)[n]
+    named = df.withColumn("connection_id", F.nullif(part(ids[0], 0), F.lit("")))
+    return named.withColumns({c: part(c, 1) for c in ids})
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -54,19 +62,19 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, rea
     """
     e = edges if ready else edge_set(edges)
     frontier = cut_lineage(starts.select(F.col("start"), F.col("start").alias("node")).distinct())
-    rows = frontier.count()
     found: list[DataFrame] = []
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = e.join(_small(frontier, rows), F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
+        step = e.join(frontier, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
         if found:
             step = step.join(_union(found).select("start", "node"), ["start", "node"], "left_anti")
         step = cut_lineage(step.withColumn("depth", F.lit(depth)))
-        rows = step.count()
-        if rows == 0:
+        if step.isEmpty():
             break
         found.append(step)
+        if len(found) > COMPACT_STEPS:
+            found = [cut_lineage(_union(found))]
         frontier = step.select("start", "node")
     if not found:
         return frontier.filter(F.lit(False)).withColumn("depth", F.lit(0))
@@ -109,20 +117,20 @@ def _spread_labels(e: DataFrame, seeds: DataFrame, stop: DataFrame | None = None
     ``e`` is an :func:`edge_set`.
     """
     frontier = cut_lineage(seeds)
-    rows = frontier.count()
     deltas: list[DataFrame] = []
     while True:
-        sent = e.join(_small(frontier, rows), F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg(
+        sent = e.join(frontier, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg(
             F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         if deltas:
             known = _union(deltas).groupBy("node").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
             sent = sent.join(known, "node", "left").filter(
                 F.col("_lo").isNull() | (F.col("lo") < F.col("_lo")) | (F.col("hi") > F.col("_hi"))).select("node", "lo", "hi")
         step = cut_lineage(sent)
-        rows = step.count()
-        if rows == 0:
+        if step.isEmpty():
             break
         deltas.append(step)
+        if len(deltas) > COMPACT_STEPS:
+            deltas = [cut_lineage(_union(deltas).groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))]
         frontier = step if stop is None else step.join(stop, "node", "left_anti")
     if not deltas:
         return seeds.filter(F.lit(False))
@@ -148,13 +156,36 @@ def root_causes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ).orderBy(F.desc("downstream_impact_count"), "external_id")
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """``edges`` without those whose source nothing enters or whose target nothing leaves, again and again.
+
+    No cycle loses an edge.  Few rounds remove most of a graph that is nearly a tree.
+    """
+    before = edges.count()
+    for _ in range(TRIM_ROUNDS):
+        ends = edges.select(F.col("target").alias("source")).distinct(), edges.select(F.col("source").alias("target")).distinct()
+        edges = cut_lineage(edges.join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi"))
+        now = edges.count()
+        if now == before:
+            break
+        before = now
+    return edges
+
+
 def closes_cycle(edges: DataFrame, candidates: DataFrame, ready: bool = False) -> DataFrame:
     """Candidates (source, target) whose target already reaches their source.
 
-    A self loop always closes a cycle.
+    A self loop always closes a cycle.  The graph of edges and candidates is
+    first trimmed to what may lie on cycles; only candidates left there are
+    followed, through the edges left there.
     """
-    pairs = candidates.select("source", "target").distinct()
-    hit = reach(edges, pairs.filter(F.col("source") != F.col("target")).select(F.col("target").alias("start")), ready=ready)
+    pairs = cut_lineage(candidates.select("source", "target").distinct())
+    proper = pairs.filter(F.col("source") != F.col("target"))
+    e = edges if ready else edge_set(edges)
+    together = e.select("source", "target", F.lit(True).alias("old"), F.lit(False).alias("new")).unionByName(
+        proper.select("source", "target", F.lit(False).alias("old"), F.lit(True).alias("new")))
+    core = _trimmed(cut_lineage(together.groupBy("source", "target").agg(F.max("old").alias("old"), F.max("new").alias("new"))))
+    hit = reach(core.filter("old").select("source", "target"), core.filter("new").select(F.col("target").alias("start")), ready=True)
     back = hit.select(F.col("start").alias("target"), F.col("node").alias("source"))
     return pairs.join(back, ["source", "target"], "left_semi").unionByName(pairs.filter(F.col("source") == F.col("target"))).distinct()
 

@@ -14,7 +14,7 @@ from assay.functions.exact import percent
 from assay.functions.severity import layer_rank, node_health
 from assay.operators.graph import accept_edges, reach
 from assay.operators.history import latest_reports
-from assay.operators.relational import anti_join, latest_per_key, merge_keyed, touching
+from assay.operators.relational import anti_join, first_rows, latest_per_key, merge_keyed, touching
 
 # Confidence of a query-log edge by number of executions.
 ONE_RUN_CONFIDENCE = 0.6
@@ -31,8 +31,8 @@ def fk_edges(constraints: DataFrame) -> DataFrame:
     return constraints.filter(F.col("parent_fqn") != F.col("child_fqn")).select(
         F.col("parent_fqn").alias("source"), F.col("child_fqn").alias("target"), F.lit("FEEDS").alias("edge_type"),
         F.lit("confirmed").alias("status"), F.lit("fk").alias("discovered_via"), F.lit(None).cast("double").alias("confidence"),
-        F.concat(F.lit("FK constraint "), "constraint_name", F.lit(": "), listed("child_fqn", "child_columns"),
-                 F.lit(" -> "), listed("parent_fqn", "parent_columns")).alias("evidence"))
+        F.concat(F.lit("declared key "), "constraint_name", F.lit(", "), listed("child_fqn", "child_columns"),
+                 F.lit(" refers to "), listed("parent_fqn", "parent_columns")).alias("evidence"))
 
 
 def query_log_edges(statements: DataFrame, known_tables: DataFrame) -> DataFrame:
@@ -51,8 +51,7 @@ def query_log_edges(statements: DataFrame, known_tables: DataFrame) -> DataFrame
     return pairs.select(
         *_PAIR, F.lit("FEEDS").alias("edge_type"), F.lit("suggested").alias("status"), F.lit("query_log").alias("discovered_via"),
         F.when(n <= 1, ONE_RUN_CONFIDENCE).when(n <= FEW_RUNS, FEW_RUNS_CONFIDENCE).otherwise(MANY_RUNS_CONFIDENCE).alias("confidence"),
-        F.concat(F.lit("Seen in "), n.cast("string"), F.lit(" executed statement(s), e.g.: "),
-                 F.substring(F.trim("example"), 1, 200)).alias("evidence"))
+        F.concat(F.lit("Statements run: "), n.cast("string"), F.lit(", one of them: "), F.trim("example")).alias("evidence"))
 
 
 def manifest_edges(entries: DataFrame) -> DataFrame:
@@ -67,7 +66,7 @@ def manifest_edges(entries: DataFrame) -> DataFrame:
     ups = entries.filter(F.col("fqn").isNotNull()).select("project", "uid", F.col("fqn").alias("source"))
     return needs.join(ups, ["project", "uid"]).filter(F.col("source") != F.col("target")).select(
         "project", *_PAIR, F.lit("FEEDS").alias("edge_type"), F.lit("confirmed").alias("status"), F.lit("dbt").alias("discovered_via"),
-        F.concat(F.lit("model dependency: "), "name").alias("evidence"))
+        F.concat(F.lit("needed by model "), "name").alias("evidence"))
 
 
 _COLUMN_KEY = ["connection_id", "source_fqn", "source_column", "target_fqn", "target_column"]
@@ -93,23 +92,24 @@ def column_lineage(edges: DataFrame) -> DataFrame:
     return fed.unionByName(feeds)
 
 
-def column_downstream(edges: DataFrame, table_fqn: str, column: str, limit: int = 12) -> DataFrame:
-    """Columns fed by a named column, in any case."""
+def column_downstream(edges: DataFrame, table_fqn: str, column: str, limit: int | None = 12) -> DataFrame:
+    """Columns fed by a named column, in any case; ``limit`` None lists all."""
     hit = (F.col("source_fqn") == table_fqn) & (F.lower("source_column") == column.lower())
-    return edges.filter(hit).orderBy("target_fqn", "target_column").limit(limit).select("target_fqn", "target_column")
+    return first_rows(edges.filter(hit).orderBy("target_fqn", "target_column"), limit).select("target_fqn", "target_column")
 
 
-def table_downstream(edges: DataFrame, nodes: DataFrame, table_fqn: str, limit: int = 8) -> DataFrame:
-    """Direct consumers of a table."""
+def table_downstream(edges: DataFrame, nodes: DataFrame, table_fqn: str, limit: int | None = 8) -> DataFrame:
+    """Direct consumers of a table; ``limit`` None lists all."""
     labels = nodes.select(F.col("external_id").alias("target"), "label", "layer", "node_type")
-    return edges.filter(F.col("source") == table_fqn).join(labels, "target").orderBy("target").limit(limit).select(
+    return first_rows(edges.filter(F.col("source") == table_fqn).join(labels, "target").orderBy("target"), limit).select(
         "target", "label", "layer", F.coalesce("node_type", F.lit("table")).alias("node_type"))
 
 
 def mark_sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A source has no incoming confirmed edge."""
-    fed = edges.filter("status = 'confirmed'").select(F.col("target").alias("external_id")).distinct().withColumn("_fed", F.lit(True))
-    return nodes.drop("is_source").join(fed, "external_id", "left").withColumn("is_source", F.col("_fed").isNull()).drop("_fed")
+    """A source has no incoming confirmed edge, of its own connection if edges name one."""
+    keys = [c for c in ("connection_id",) if c in nodes.columns and c in edges.columns]
+    fed = edges.filter("status = 'confirmed'").select(*keys, F.col("target").alias("external_id")).distinct().withColumn("_fed", F.lit(True))
+    return nodes.drop("is_source").join(fed, [*keys, "external_id"], "left").withColumn("is_source", F.col("_fed").isNull()).drop("_fed")
 
 
 def propagate_health(nodes: DataFrame, results: DataFrame, run_id: Column) -> DataFrame:
@@ -180,6 +180,7 @@ def review_edges(edges: DataFrame, decisions: DataFrame) -> DataFrame:
         F.col("outcome") == "cycle", "blocked_by_cycle").otherwise("approved").alias("review"))
     rejected = wanted.filter("decision = 'reject'").select(*_PAIR, F.lit("rejected").alias("review"))
     return (edges.join(outcome.unionByName(rejected), _PAIR, "left")
+            .withColumn("review", F.when(F.col("status") == "suggested", F.col("review")))
             .withColumn("status", F.when(F.col("review") == "approved", "confirmed")
                         .when(F.col("review") == "rejected", "rejected").otherwise(F.col("status"))))
 
@@ -190,25 +191,22 @@ def impact_severity(health: Column, downstream: Column) -> Column:
             .when((health == "warn") & (downstream >= 1), "medium").otherwise("low"))
 
 
-def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """Severity and three sentences for each table of ``targets`` (external_id)."""
+def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, shown_labels: int | None = 5) -> DataFrame:
+    """Severity and three sentences for each table of ``targets`` (external_id); ``shown_labels`` None names all dependents."""
     chosen = nodes.join(targets.select("external_id").distinct(), "external_id", "left_semi")
     reached = reach(edges.filter("status = 'confirmed'"), chosen.select(F.col("external_id").alias("start"))).filter(
         F.col("start") != F.col("node"))
     labels = nodes.select(F.col("external_id").alias("node"), "label")
     named = reached.join(labels, "node")
     counted = named.groupBy(F.col("start").alias("external_id")).agg(F.count(F.lit(1)).alias("downstream_count"))
-    shown = latest_per_key(named, ["start"], [F.asc("depth"), F.asc("node")], 5, rank="no").groupBy(F.col("start").alias("external_id")).agg(
+    shown = latest_per_key(named, ["start"], [F.asc("depth"), F.asc("node")], shown_labels, rank="no").groupBy(F.col("start").alias("external_id")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "label"))), lambda s: s["label"]), ", ").alias("labels"))
     j = chosen.join(counted, "external_id", "left").join(shown, "external_id", "left").fillna(0, ["downstream_count"])
     n, health = F.col("downstream_count"), F.coalesce("health_status", F.lit("ok"))
-    state = (F.when(health == "fail", F.concat("external_id", F.lit(" is failing its data quality checks.")))
-             .when(health == "warn", F.concat("external_id", F.lit(" has a data quality warning.")))
-             .otherwise(F.concat("external_id", F.lit(" is healthy."))))
-    more = F.when(n > 5, F.concat(F.lit(" and "), (n - 5).cast("string"), F.lit(" more"))).otherwise("")
-    feeds = F.when(n > 0, F.concat(F.lit("It feeds "), n.cast("string"), F.lit(" downstream: "), "labels", more, F.lit("."))).otherwise(
-        F.lit("No downstream dependents are recorded."))
-    action = F.when(n > 0, "Verify these consumers before they next refresh.").otherwise("Confirm that the lineage graph is complete.")
+    state = F.concat("external_id", F.lit(": "), F.when(health == "fail", "rules fail").when(health == "warn", "a warning is open").otherwise("no finding"))
+    more = F.lit("") if shown_labels is None else F.when(n > shown_labels, F.concat(F.lit(" and further ones: "), (n - shown_labels).cast("string"))).otherwise("")
+    feeds = F.when(n > 0, F.concat(F.lit("Dependents: "), n.cast("string"), F.lit(", namely "), "labels", more)).otherwise(F.lit("Dependents: none known"))
+    action = F.when(n > 0, "Look at these before their next load").otherwise("See whether edges are missing here")
     return j.select("external_id", impact_severity(health, n).alias("severity"), "downstream_count",
                     F.array(state, feeds, action).alias("bullets"))
 

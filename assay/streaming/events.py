@@ -10,9 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from assay.functions.exact import percent
+from assay.operators.relational import latest_per_key
 from assay.operators.rules import check_rules
 
 
@@ -70,6 +71,45 @@ def check_stream(stream: DataFrame, rules: dict[str, str], path: str, checkpoint
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows a finished query dropped because they were behind the watermark."""
-    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+def keep_updates(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write every change of an aggregate's groups, those of open windows included, one folder per micro-batch.
+
+    A replayed batch overwrites its own folder.  :func:`current_rows` reads the
+    state that the batches add up to.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def current_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each group that :func:`keep_updates` wrote."""
+    return latest_per_key(spark.read.parquet(path), keys, [F.desc("batch_id")]).drop("batch_id")
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries dropped because they were behind the watermark.
+
+    Add it with ``spark.streams.addListener`` before a query starts; every
+    micro-batch is counted, however long the query runs.
+    """
+
+    def __init__(self):
+        self.totals: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.totals.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.totals[str(event.progress.id)] = self.totals.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))

@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from assay.operators import graph, lineage
 
@@ -121,9 +122,37 @@ def test_paths_stop_before_repeating(spark):
 def test_fk_and_log_edges(spark):
     c = spark.createDataFrame([("k", "p", "c", ["id"], ["pid"]), ("self", "p", "p", ["id"], ["up"])],
                               "constraint_name string, parent_fqn string, child_fqn string, parent_columns array<string>, child_columns array<string>")
-    assert [(r.source, r.target, r.evidence) for r in lineage.fk_edges(c).collect()] == [("p", "c", "FK constraint k: c(pid) -> p(id)")]
+    assert [(r.source, r.target, r.evidence) for r in lineage.fk_edges(c).collect()] == [("p", "c", "declared key k, c(pid) refers to p(id)")]
     log = spark.createDataFrame([("a", "b", 1, "x"), ("a", "c", 2, "x"), ("a", "c", 2, "y"), ("b", "c", 5, "z"), ("a", "zz", 9, "z"), ("a", "a", 9, "z")],
                                 EDGE + ", execution_count int, query_text string")
     known = spark.createDataFrame([("a",), ("b",), ("c",)], "table_fqn string")
     assert sorted((r.source, r.target, r.confidence) for r in lineage.query_log_edges(log, known).collect()) == [
         ("a", "b", 0.6), ("a", "c", 0.75), ("b", "c", 0.9)]
+
+
+def test_equal_names_of_two_connections_are_different_nodes(spark):
+    nodes = spark.createDataFrame([(c, n, h) for c in "xy" for n, h in (("a", "fail" if c == "x" else "ok"), ("b", "fail"), ("c", "ok"))], "connection_id string, external_id string, health_status string")
+    edges = spark.createDataFrame([("x", "a", "b"), ("y", "b", "c")], "connection_id string, source string, target string")
+    e, n = graph.qualified(edges, "source", "target"), graph.qualified(nodes, "external_id")
+    roots = graph.unqualified(graph.root_causes(n, e), "external_id")
+    assert {(r.connection_id, r.external_id, r.downstream_impact_count) for r in roots.collect()} == {("x", "a", 1), ("y", "b", 1)}
+    want = graph.qualified(spark.createDataFrame([("x", "c", "a"), ("x", "b", "a"), ("y", "c", "b"), ("y", "b", "a")], "connection_id string, source string, target string"), "source", "target")
+    cycles = graph.unqualified(graph.closes_cycle(e, want), "source", "target")
+    assert {(r.connection_id, r.source, r.target) for r in cycles.collect()} == {("x", "b", "a"), ("y", "c", "b")}
+    down = graph.unqualified(graph.reach(e, n.select(F.col("external_id").alias("start"))), "start", "node")
+    assert {(r.connection_id, r.start, r.node) for r in down.collect()} == {("x", "a", "b"), ("y", "b", "c")}
+
+
+def test_cycles_of_a_wide_graph_are_found_among_what_is_left(spark):
+    """A tree of 30 000 edges with as many candidates, three of which close a cycle."""
+    tree = spark.range(1, 30_000).select((F.floor(F.col("id") / 30)).cast("string").alias("source"), F.col("id").cast("string").alias("target"))
+    side = spark.range(1, 30_000).select(F.col("id").cast("string").alias("source"), F.concat(F.lit("leaf"), F.col("id").cast("string")).alias("target"))
+    back = spark.createDataFrame([("29999", "0"), ("31", "1"), ("5", "5")], "source string, target string")
+    assert {(r.source, r.target) for r in graph.closes_cycle(tree, side.unionByName(back)).collect()} == {("29999", "0"), ("31", "1"), ("5", "5")}
+
+
+def test_long_chain_in_few_tables(spark):
+    chain = spark.range(40).select(F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target"))
+    found = graph.reach(chain, spark.createDataFrame([("0",)], "start string"))
+    assert found.count() == 40 and found.agg(F.max("depth")).first()[0] == 40
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= graph.COMPACT_STEPS + 1

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from assay.streaming import events as ev
 
@@ -16,13 +17,30 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     s = lambda: ev.last_seen(ev.file_stream(spark, src, SCHEMA), "ts", "k", "1 hour", "10 minutes")
     ev.to_parquet(s(), out, state).awaitTermination()
     put(spark, src, [(3, 1, 9), (200, 1, 1)], 2)
+    late = ev.LateRows()
+    spark.streams.addListener(late)
     q = ev.to_parquet(s(), out, state)
     q.awaitTermination()
-    assert ev.late_rows(q) == 1
+    for _ in range(100):  # events arrive a little later
+        if q.id in late.ended:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert late.totals[q.id] == 1
     got = sorted((r.window_start.hour, r.events) for r in spark.read.parquet(out).collect())
     assert got == [(0, 2), (1, 1)]
 
 
+def test_open_windows_are_current(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+    s = lambda: ev.last_seen(ev.file_stream(spark, src, SCHEMA), "ts", "k", "1 hour", "10 minutes")
+    for rows in ([(1, 1, 5), (2, 2, 5)], [(30, 1, 5)], [(70, 1, 5)]):
+        put(spark, src, rows, 1)
+        ev.keep_updates(s(), out, state).awaitTermination()
+    got = {(r.window_start.hour, r.k): (r.last_seen.minute, r.events) for r in ev.current_rows(spark, out, ["window_start", "k"]).collect()}
+    assert got == {(0, 1): (30, 2), (0, 2): (2, 1), (1, 1): (10, 1)}
+
+
 def test_batches_are_checked_once(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
     put(spark, src, [(1, 1, 5), (2, 1, None)], 1)

@@ -198,11 +198,11 @@ def c2(spark, sf):
     return incidents.accuracy(incidents.confusion(notes(spark, sf)))
 
 
-_RUNS = f"SELECT run_id, started_at, grounded, split_part(v, ':', 1) AS key, CAST(split_part(v, ':', 2) AS DOUBLE) AS confidence FROM (SELECT *, {_CLASS} AS v FROM (SELECT *, lower(text) AS t FROM ({_NOTES_SQL}))) WHERE started_at >= TIMESTAMP '2024-01-10'"
+_RUNS = f"SELECT run_id, started_at, grounded, split_part(v, ':', 1) AS key, CAST(split_part(v, ':', 2) AS DOUBLE) AS confidence FROM (SELECT *, {_CLASS} AS v FROM (SELECT *, lower(text) AS t FROM ({_NOTES_SQL})))"
 
 
 def _runs(spark, sf):
-    return incidents.classify(notes(spark, sf).filter(F.col("started_at") >= F.lit("2024-01-10").cast("timestamp_ntz")))
+    return incidents.classify(notes(spark, sf))
 
 
 @query("c3_run_statistics", f"""

@@ -83,16 +83,16 @@ def key_constraints(spark, sf):
 
 
 @query("g1_fk_edges", """
-SELECT source, target, 'confirmed' AS status, 'FK constraint fk_' || target || '_' || source || ': ' || target || '(parent_key,parent_line) -> ' || source || '(key,line_no)' AS evidence FROM w_tedges""")
+SELECT source, target, 'confirmed' AS status, 'declared key fk_' || target || '_' || source || ', ' || target || '(parent_key,parent_line) refers to ' || source || '(key,line_no)' AS evidence FROM w_tedges""")
 def g1(spark, sf):
     return lineage.fk_edges(key_constraints(spark, sf)).select("source", "target", "status", "evidence")
 
 
 def query_log_pairs(spark, sf):
-    """Statements that copied rows between tables: free lines without tax."""
+    """Statements that copy rows between tables, one for each supplier and line number; free lines without tax say how often it ran."""
     t = d.tables(spark, sf)
-    li = table(spark, sf, "lineitem").filter("l_discount = 0 AND l_tax = 0").groupBy("l_suppkey", "l_linenumber").agg(
-        F.count(F.lit(1)).alias("execution_count"))
+    li = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(
+        F.count_if((F.col("l_discount") == 0) & (F.col("l_tax") == 0)).alias("execution_count"))
     src = t.select(F.col("s_suppkey").alias("l_suppkey"), F.col("table_fqn").alias("source"))
     return li.join(src, "l_suppkey").select(
         "source", F.concat(F.lit("raw.supplier_"), F.col("l_linenumber").cast("string")).alias("target"), "execution_count",
@@ -100,8 +100,8 @@ def query_log_pairs(spark, sf):
 
 
 _QL = """
-SELECT source, target, CAST(n AS BIGINT) AS n FROM (SELECT t.table_fqn AS source, 'raw.supplier_' || l_linenumber AS target, count(*) AS n
-  FROM lineitem JOIN w_tables t ON t.s_suppkey = l_suppkey WHERE l_discount = 0 AND l_tax = 0 GROUP BY 1, 2)
+SELECT source, target, CAST(n AS BIGINT) AS n FROM (SELECT t.table_fqn AS source, 'raw.supplier_' || l_linenumber AS target, greatest(1, count(*) FILTER (WHERE l_discount = 0 AND l_tax = 0)) AS n
+  FROM lineitem JOIN w_tables t ON t.s_suppkey = l_suppkey GROUP BY 1, 2)
 WHERE source <> target AND target IN (SELECT table_fqn FROM w_tables)"""
 cte("w_sugg", f"SELECT source, target, 'FEEDS' AS edge_type, 'suggested' AS status, 'query_log' AS discovered_via, CASE WHEN n <= 1 THEN 0.6::DOUBLE WHEN n <= 4 THEN 0.75 ELSE 0.9 END AS confidence, n FROM ({_QL})")
 
@@ -110,7 +110,7 @@ def suggestions(spark, sf):
     return lineage.query_log_edges(query_log_pairs(spark, sf), d.tables(spark, sf))
 
 
-@query("g2_query_log_edges", "SELECT source, target, status, confidence, 'Seen in ' || n || ' executed statement(s), e.g.: INSERT INTO t SELECT * FROM ' || source AS evidence FROM w_sugg")
+@query("g2_query_log_edges", "SELECT source, target, status, confidence, 'Statements run: ' || n || ', one of them: INSERT INTO t SELECT * FROM ' || source AS evidence FROM w_sugg")
 def g2(spark, sf):
     return suggestions(spark, sf).select("source", "target", "status", "confidence", "evidence")
 
@@ -128,8 +128,8 @@ def manifests(spark, sf):
 
 
 @query("g3_dbt_edges", """
-SELECT 'project_' || c_custkey AS project, 'Raw.crm.nation_' || c_nationkey AS source, 'Silver.clean_' || c_custkey AS target, 'model dependency: clean' AS evidence FROM customer
-UNION ALL SELECT 'project_' || c_custkey, 'Silver.clean_' || c_custkey, 'Gold.sales.mart_' || c_nationkey, 'model dependency: mart_' || c_nationkey FROM customer""")
+SELECT 'project_' || c_custkey AS project, 'Raw.crm.nation_' || c_nationkey AS source, 'Silver.clean_' || c_custkey AS target, 'needed by model clean' AS evidence FROM customer
+UNION ALL SELECT 'project_' || c_custkey, 'Silver.clean_' || c_custkey, 'Gold.sales.mart_' || c_nationkey, 'needed by model mart_' || c_nationkey FROM customer""")
 def g3(spark, sf):
     entries = metadata.read_manifest(manifests(spark, sf), "project", "manifest")
     return lineage.manifest_edges(entries).select("project", "source", "target", "evidence")
@@ -338,7 +338,7 @@ def g17_review(spark, sf):
 
 @query("g18_impact", _closure("SELECT external_id AS start FROM w_tnodes WHERE health_status <> 'ok'", "w_tedges") + """
 SELECT external_id, n AS downstream_count, CASE WHEN health_status = 'fail' AND n >= 3 THEN 'critical' WHEN health_status = 'fail' THEN 'high' WHEN n >= 1 THEN 'medium' ELSE 'low' END AS severity,
-       external_id || CASE health_status WHEN 'fail' THEN ' is failing its data quality checks.' ELSE ' has a data quality warning.' END AS first_bullet
+       external_id || ': ' || CASE health_status WHEN 'fail' THEN 'rules fail' ELSE 'a warning is open' END AS first_bullet
 FROM (SELECT external_id, health_status, count(r.node) AS n FROM w_tnodes LEFT JOIN reach r ON r.start = external_id WHERE health_status <> 'ok' GROUP BY 1, 2)""")
 def g18(spark, sf):
     nodes = d.table_nodes(spark, sf)
@@ -363,10 +363,9 @@ def g20_nodes(spark, sf):
     return lineage.import_nodes(d.table_nodes(spark, sf), wanted, edges)
 
 
-@query("g20_import_edges", "SELECT source, target, outcome FROM w_outcomes WHERE rank % 10 IN (0, 1, 3)")
+@query("g20_import_edges", "SELECT source, target, rank, outcome FROM w_outcomes")
 def g20(spark, sf):
-    wanted = edge_candidates(spark, sf).filter("rank % 10 IN (0, 1, 3)")
-    return lineage.import_edges(d.table_edges(spark, sf), wanted).select("source", "target", "outcome")
+    return lineage.import_edges(d.table_edges(spark, sf), edge_candidates(spark, sf)).select("source", "target", "rank", "outcome")
 
 
 @query("g21_column_downstream", "SELECT target_fqn, target_column FROM w_cedges WHERE source_fqn = (SELECT table_fqn FROM w_tables WHERE s_suppkey = 1) AND lower(source_column) = 'key' ORDER BY 1, 2 LIMIT 12")

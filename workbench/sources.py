@@ -34,26 +34,48 @@ def s1(spark, sf):
     return out
 
 
-_TABLES = "region nation customer supplier part orders lineitem events documents labels pages conversations".split()
-_COLS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "labels": 3, "pages": 3, "conversations": 4}
-
-
-@query("s2_table_catalog", " UNION ALL ".join(f"SELECT 'main.{t}' AS table_fqn, {_COLS[t]} AS columns, count(*) AS row_count FROM {t}" for t in _TABLES))
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string", "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string", "benchmark": "item_id bigint, text string", "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string"}
+_COLUMNS = {t: [c.rsplit(" ", 1) for c in s.split(", ")] for t, s in _SCHEMAS.items()}
+_ROWS = " UNION ALL ".join(f"SELECT 'main.{t}' AS table_fqn, {len(c)} AS columns, count(*) AS row_count FROM {t}" for t, c in _COLUMNS.items())
+
+
+@query("s2_table_catalog", _ROWS)
 def s2(spark, sf):
-    tabs = {f"main.{t}": table(spark, sf, t) for t in _TABLES}
+    tabs = {f"main.{t}": table(spark, sf, t) for t in _SCHEMAS}
     return metadata.table_catalog(spark, {**tabs, "information_schema.tables": table(spark, sf, "region")})
 
 
-@query("s2_column_catalog", """
-SELECT c.table_fqn, c.column_name, c.data_type, n.row_count FROM (VALUES ('main.nation', 'n_nationkey', 'int'), ('main.nation', 'n_name', 'string'), ('main.nation', 'n_regionkey', 'int'),
-  ('main.labels', 'doc_id', 'bigint'), ('main.labels', 'quality', 'int'), ('main.labels', 'toxic', 'int')) AS c(table_fqn, column_name, data_type)
-JOIN (SELECT 'main.nation' AS table_fqn, count(*) AS row_count FROM nation UNION ALL SELECT 'main.labels', count(*) FROM labels) n USING (table_fqn)""")
+@query("s2_column_catalog", f"""
+SELECT c.table_fqn, c.column_name, c.data_type, n.row_count FROM (VALUES {', '.join(f"('main.{t}', '{n}', '{k}')" for t, c in _COLUMNS.items() for n, k in c)}) AS c(table_fqn, column_name, data_type)
+JOIN ({_ROWS}) n USING (table_fqn)""")
 def s2_columns(spark, sf):
-    tabs = {f"main.{t}": table(spark, sf, t) for t in ("nation", "labels")}
+    tabs = {f"main.{t}": table(spark, sf, t) for t in _SCHEMAS}
     cols = metadata.column_catalog(spark, tabs).select("table_fqn", "column_name", "data_type")
     return cols.join(metadata.table_catalog(spark, tabs).select("table_fqn", "row_count"), "table_fqn")
 
 
+@query("s2_session_tables", "SELECT 'assay_catalog_' || t AS table_name, n FROM (SELECT 'labels' AS t, count(*) AS n FROM labels UNION ALL SELECT 'nation', count(*) FROM nation)")
+def s2_session(spark, sf):
+    """Tables that the session's catalog lists, read through it."""
+    names = [f"assay_catalog_{t}" for t in ("labels", "nation")]
+    for name in names:
+        table(spark, sf, name.removeprefix("assay_catalog_")).createOrReplaceTempView(name)
+    found = metadata.session_tables(spark)
+    parts = [found[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n") for n in names]
+    return parts[0].unionByName(parts[1])
+
+
 @query("s7_foreign_keys", """
 SELECT 'fk_' || child || '_' || parent AS constraint_name, parent AS parent_fqn, child AS child_fqn, 'key,line_no' AS parent_columns, 'parent_key,parent_line' AS child_columns
 FROM (SELECT source AS parent, target AS child FROM w_tedges UNION ALL SELECT table_fqn, table_fqn FROM w_tables)""")

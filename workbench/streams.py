@@ -26,14 +26,13 @@ def _folders(spark):
 
 @query("x1_windowed_profile", """
 SELECT strftime(w, '%Y-%m-%d') AS window_day, c AS column_name, n AS row_count, CASE c WHEN 'event_type' THEN nt ELSE nv END AS null_count FROM (
-  SELECT date_trunc('day', ts) AS w, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS nt, count(*) FILTER (WHERE value > 400) AS nv, unnest(['event_type', 'value']) AS c FROM events GROUP BY 1)
-WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+  SELECT date_trunc('day', ts) AS w, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS nt, count(*) FILTER (WHERE value > 400) AS nv, unnest(['event_type', 'value']) AS c FROM events GROUP BY 1)""")
 def x1(spark, sf):
-    """Daily windows that the watermark has closed."""
+    """Daily windows, the open one included."""
     s = _stream(spark, sf).withColumn("event_type", F.nullif("event_type", F.lit("error"))).withColumn("value", F.when(F.col("value") <= 400, F.col("value")))
     out, state = _folders(spark)
-    ev.to_parquet(ev.windowed_profile(s, "ts", "1 day", "1 hour", ["event_type", "value"]), out, state).awaitTermination()
-    return spark.read.parquet(out).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_day"), "column_name", "row_count", "null_count")
+    ev.keep_updates(ev.windowed_profile(s, "ts", "1 day", "1 hour", ["event_type", "value"]), out, state).awaitTermination()
+    return ev.current_rows(spark, out, ["window_start", "column_name"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_day"), "column_name", "row_count", "null_count")
 
 
 _RULES = {"positive": "value > 0", "small": "value <= 400", "known_user": "nullif(user_id, 7) IS NOT NULL"}
@@ -49,10 +48,9 @@ def x2(spark, sf):
 
 
 @query("x3_last_seen", """
-SELECT strftime(w, '%Y-%m-%d') AS window_day, user_id, strftime(m, '%Y-%m-%d %H:%M:%S') AS last_seen, n AS events FROM (SELECT date_trunc('day', ts) AS w, user_id, max(ts) AS m, count(*) AS n FROM events GROUP BY 1, 2)
-WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+SELECT strftime(w, '%Y-%m-%d') AS window_day, user_id, strftime(m, '%Y-%m-%d %H:%M:%S') AS last_seen, n AS events FROM (SELECT date_trunc('day', ts) AS w, user_id, max(ts) AS m, count(*) AS n FROM events GROUP BY 1, 2)""")
 def x3(spark, sf):
     out, state = _folders(spark)
-    ev.to_parquet(ev.last_seen(_stream(spark, sf), "ts", "user_id", "1 day", "1 hour"), out, state).awaitTermination()
-    return spark.read.parquet(out).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_day"), "user_id",
+    ev.keep_updates(ev.last_seen(_stream(spark, sf), "ts", "user_id", "1 day", "1 hour"), out, state).awaitTermination()
+    return ev.current_rows(spark, out, ["window_start", "user_id"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_day"), "user_id",
                                           F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), "events")
