@@ -86,4 +86,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_lm_score, op4_language_id, op5_mixing, op6_chat_format, op7_simhash, op8_curve_ann, op9_secret_scan,
                                    op10_decontamination)}
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op6_chat_format": chat_format.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "op5_mixing": mixing.ORACLE, "op6_chat_format": chat_format.ORACLE, "op10_decontamination": decontaminate.ORACLE}

@@ -113,3 +113,35 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
 
 #: The rules that the query applies, as given.
 RULES = [Rule(ALLOW, "org/"), Rule(BLOCK, "example.org/es/"), Rule(BLOCK, "example.org/en/1"), Rule(ALLOW, "com/fr/"), Rule(BLOCK, "com/de/")]
+
+_SQL_ADDRESS = r"""CASE WHEN contains({u}, '://') THEN regexp_replace(regexp_replace(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\.', '')
+    || regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '') || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract({u}, '(?s)^[^#?]*\?([^#]*)', 1), '&'),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid)=')), '&'), ''), '') END"""
+
+ORACLE = r"""
+WITH RECURSIVE rules(verdict, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
+p AS (
+    SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, @page AS address FROM pages
+), ruled AS (
+    SELECT p.*, (SELECT arg_max((r.rule, r.verdict), length(r.rule)) FROM rules r
+                 WHERE (host = split_part(r.rule, '/', 1) OR ends_with(host, '.' || split_part(r.rule, '/', 1))) AND starts_with(path, r.rule[length(split_part(r.rule, '/', 1)) + 1:])) AS m FROM p
+), found AS (
+    SELECT url, address, unnest([
+        regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1),
+        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1)]) AS target FROM p
+), resolved AS (
+    SELECT address AS src, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target
+        WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target
+        ELSE regexp_replace(regexp_extract(url, '(?s)^(.*?://[^?#]*)', 1), '([^/:])/[^/]*$', '\1') || '/' || target END AS dst FROM found WHERE target <> ''
+), edges AS (
+    SELECT src, @dst AS dst FROM resolved
+), near(a, b) AS (
+    SELECT DISTINCT address, address FROM p WHERE address IS NOT NULL
+    UNION SELECT n.a, e.y FROM near n JOIN (SELECT src AS x, dst AS y FROM edges UNION ALL SELECT dst, src FROM edges) e ON e.x = n.b
+), spread AS (
+    SELECT n.a, bool_or(r.m[2] = 'allow') AS allowed, bool_or(r.m[2] = 'block') AS blocked FROM near n JOIN ruled r ON r.address = n.b WHERE r.m IS NOT NULL GROUP BY n.a
+)
+SELECT page_id, host, path, r.m[1] AS rule, coalesce(r.m[2], CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM ruled r LEFT JOIN spread s ON s.a = r.address
+""".replace("@page", _SQL_ADDRESS.format(u="url")).replace("@dst", _SQL_ADDRESS.format(u="dst"))
