@@ -105,3 +105,29 @@ def read_manifest(df: DataFrame, project: str, manifest: str) -> DataFrame:
     return nodes.unionByName(sources).select(
         "project", "uid", "is_model", fqn.alias("fqn"), F.col("d.name").alias("name"),
         F.coalesce("d.depends_on.nodes", F.array().cast("array<string>")).alias("depends_on"))
+
+
+GRAPH_TYPE = ("struct<nodes:array<struct<external_id:string,label:string,layer:string,node_type:string>>,"
+              "edges:array<struct<source:string,target:string,edge_type:string>>>")
+
+
+def read_graph(df: DataFrame, graph: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of exported graphs, one JSON text a row.
+
+    Edges keep their order in ``rank``, across rows by the text's digest.  Nodes
+    without an id and edges without both ends are dropped; edges feed unless
+    they say otherwise.
+    """
+    parsed = df.select(F.sha2(graph, 256).alias("of"), F.from_json(graph, GRAPH_TYPE).alias("g"))
+    nodes = parsed.select(F.inline("g.nodes")).filter(F.col("external_id").isNotNull()).dropDuplicates(["external_id"])
+    listed = parsed.select("of", F.posexplode("g.edges").alias("no", "e"))
+    edges = listed.select("e.source", "e.target", F.coalesce("e.edge_type", F.lit("FEEDS")).alias("edge_type"),
+                          F.concat_ws("/", "of", F.lpad(F.col("no").cast("string"), 12, "0")).alias("rank"))
+    return nodes, edges.filter(F.col("source").isNotNull() & F.col("target").isNotNull())
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A graph as one JSON text in column ``graph``; meant for graphs that a person edits."""
+    n = nodes.select(F.struct("external_id", "label", "layer", "node_type").alias("x")).agg(F.sort_array(F.collect_list("x")).alias("nodes"))
+    e = edges.select(F.struct("source", "target", "edge_type").alias("x")).agg(F.sort_array(F.collect_list("x")).alias("edges"))
+    return n.select(F.to_json(F.struct("nodes", e.scalar().alias("edges"))).alias("graph"))

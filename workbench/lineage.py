@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions.text import normalise_fqn
+from assay.plans import discover_lineage
 from assay.operators import graph, intel, lineage
 from assay.sources import metadata
 from workbench import derived as d
@@ -392,3 +393,41 @@ def g23(spark, sf):
     raw = (F.when(k == 0, F.concat(F.lit("[Sales].[dbo].["), t, F.lit("]"))).when(k == 1, F.concat(F.lit(" Sales.crm."), t))
            .when(k == 2, F.concat(F.lit("Sales..["), t, F.lit("] "))).otherwise(t))
     return table(spark, sf, "part").select("p_partkey", normalise_fqn(raw).alias("fqn"))
+
+
+# --- whole jobs --------------------------------------------------------------
+
+@query("g2_discovery_run", """
+SELECT 'fk' AS discovered_via, 'confirmed' AS outcome, count(*) AS n FROM w_tedges
+UNION ALL SELECT 'query_log', CASE WHEN EXISTS (SELECT 1 FROM w_tedges e WHERE e.source = s.source AND e.target = s.target) THEN 'existed' ELSE 'suggested' END, count(*) FROM w_sugg s GROUP BY 2
+UNION ALL SELECT 'node', 'created', 0""")
+def g2_run(spark, sf):
+    """Declared keys and the query log over an empty graph."""
+    found = discover_lineage.discover(d.table_nodes(spark, sf), d.table_edges(spark, sf).limit(0), d.tables(spark, sf), key_constraints(spark, sf), query_log_pairs(spark, sf))
+    return found.counts
+
+
+@query("g3_discovery_manifests", """
+SELECT 'dbt' AS discovered_via, 'confirmed' AS outcome, (SELECT count(*) FROM (SELECT DISTINCT c_custkey FROM customer)) * 2 AS n
+UNION ALL SELECT 'node', 'created', (SELECT count(*) FROM customer) + 2 * (SELECT count(DISTINCT c_nationkey) FROM customer)""")
+def g3_run(spark, sf):
+    """Every project manifest over an empty graph."""
+    entries = metadata.read_manifest(manifests(spark, sf), "project", "manifest")
+    none = d.table_nodes(spark, sf).limit(0)
+    return discover_lineage.discover(none, d.table_edges(spark, sf).limit(0), d.tables(spark, sf), manifests=entries).counts
+
+
+@query("s16_imported_graph", """
+SELECT 'import' AS discovered_via, 'existed' AS outcome, count(*) AS n FROM w_tedges
+UNION ALL SELECT 'import', 'cycle', count(*) FROM w_tedges
+UNION ALL SELECT 'import', 'confirmed', count(*) FROM w_tables
+UNION ALL SELECT 'node', 'created', count(*) FROM w_tables""")
+def s16_import(spark, sf):
+    """A graph written as JSON and read back: known edges, their reverse, and an export of every table."""
+    t, e = d.tables(spark, sf), d.table_edges(spark, sf)
+    export = t.select(F.col("table_fqn").alias("source"), F.concat(F.lit("export."), "table_fqn").alias("target"))
+    back = e.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    wanted = e.select("source", "target").unionByName(back).unionByName(export).withColumn("edge_type", F.lit("FEEDS"))
+    text = metadata.write_graph(d.table_nodes(spark, sf).limit(3), wanted)
+    nodes, edges = metadata.read_graph(text, "graph")
+    return discover_lineage.import_graph(d.table_nodes(spark, sf), e, nodes, edges).counts

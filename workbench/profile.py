@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from assay.functions import exact
 from assay.operators import history, integrity, profile
 from assay.operators.relational import latest_per_key
+from assay.plans import profile_table
+from assay.session import shared_folder
 from workbench import derived as d
 from workbench.registry import percent, query, ratio, table
 
@@ -330,3 +334,56 @@ _ALL = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktse
 def p22(spark, sf):
     return profile.profile_all({t: table(spark, sf, t) for t in _ALL}).select(
         "table_fqn", "column_name", "row_count", "null_count", "distinct_count", "cardinality_ratio")
+
+
+def _lines(spark, sf):
+    """Lines under names that the naming rule understands, and the orders they may refer to."""
+    df = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.nullif("l_returnflag", F.lit("A")).alias("flag"),
+                                             "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
+    return df, table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), "o_orderdate")
+
+
+@query("p22_profile_job", f"""
+WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'A') AS a FROM lineitem),
+k AS (SELECT count(*) AS g, CAST(sum(c) AS BIGINT) AS r FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)),
+o AS (SELECT count(*) AS c, count(DISTINCT l_orderkey) AS keys FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P'))
+SELECT 'flag' AS column_name, 'NULL_HIGH' AS risk_type, 'CRITICAL' AS severity, least(a, 5) AS sampled FROM n WHERE {percent('a', 'n')} > 20
+UNION ALL SELECT 'order_id,line', 'DUPLICATE_KEY', CASE WHEN {percent('r', 'n')} >= 1 THEN 'CRITICAL' ELSE 'HIGH' END, least(g, 5) FROM k, n WHERE r > 0
+UNION ALL SELECT 'order_id', 'REFERENTIAL_ORPHAN', CASE WHEN {percent('c', 'n')} >= 5 THEN 'CRITICAL' WHEN {percent('c', 'n')} >= 1 THEN 'HIGH' ELSE 'MEDIUM' END, least(keys, 5) FROM o, n WHERE c > 0""")
+def p22_job(spark, sf):
+    """The whole job over lineitem: an inferred reference, a composite key, and samples of every risk."""
+    df, orders = _lines(spark, sf)
+    p = profile_table.profile_table(df, keys=[["order_id", "line"]], inferred={"orders": orders}, name="lines", samples=5)
+    sampled = F.size(F.from_json("sample", "array<map<string,string>>")).cast("bigint")
+    return p.risks.select("column_name", "risk_type", "severity", sampled.alias("sampled"))
+
+
+@query("s11_saved_profile", """
+SELECT 'main.customer@2001-10-15T06:00:00' AS report_id, count(*) AS row_count, 5::BIGINT AS columns, 2::BIGINT AS drifted, 'ok' AS health_status FROM customer""")
+def s11_profile(spark, sf):
+    """A profile of customer saved with its report, and drift against stored columns of which one went and one has another type."""
+    df = table(spark, sf, "customer")
+    before = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("data_type")) for c, t in (
+        ("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "smallint"), ("c_acctbal", "double"), ("c_mktsegment", "string"), ("c_phone", "string"))])))
+    p = profile_table.profile_table(df, previous_columns=before)
+    base = f"{shared_folder(spark)}/assay-profile-{uuid.uuid4().hex}"
+    nodes = profile_table.save_profile(base, p, d.table_nodes(spark, sf).withColumns({"position_order": F.lit(0), "is_source": F.lit(True)}), connection_id="c", table_fqn="main.customer",
+                                       layer="GOLD", run_at=d.as_of())
+    stored, stats = spark.read.parquet(f"{base}/reports"), spark.read.parquet(f"{base}/column_stats")
+    counted = stats.groupBy("report_id").agg(F.count(F.lit(1)).alias("columns"))
+    health = nodes.filter("external_id = 'main.customer'").select(F.col("external_id").alias("table_fqn"), "health_status")
+    return stored.join(counted, "report_id").join(health, "table_fqn").select("report_id", "row_count", "columns", p.drift.agg(F.count(F.lit(1))).scalar().alias("drifted"), "health_status")
+
+
+@query("p20_rule_coverage", """
+SELECT connection_id, table_fqn, column_name, count(*) AS total, count(*) FILTER (WHERE status IN ('approved', 'active')) AS active FROM w_rules GROUP BY 1, 2, 3""")
+def p20_coverage(spark, sf):
+    return history.rule_coverage(d.rules(spark, sf))
+
+
+@query("p20_top_anomalies", """
+SELECT connection_id, table_fqn, anomaly_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY connection_id, table_fqn
+  ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, detected_at DESC, anomaly_id) AS INTEGER) AS rank FROM w_anoms WHERE status = 'open') WHERE rank <= 5""")
+def p20_anomalies(spark, sf):
+    from workbench import anomalies
+    return history.top_open_anomalies(anomalies.anomaly_log(spark, sf)).select("connection_id", "table_fqn", "anomaly_id", "rank")

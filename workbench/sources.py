@@ -21,7 +21,7 @@ def _folder(spark):
 # --- sources -----------------------------------------------------------------
 
 @query("s1_read_formats", " UNION ALL ".join(
-    f"SELECT '{f}' AS format, o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 2" for f in readers.FILE_FORMATS))
+    f"SELECT '{f}' AS format, o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 2" for f in (*readers.FILE_FORMATS, "table")))
 def s1(spark, sf):
     """Orders written and read back in every file format, and through the catalog."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
@@ -31,7 +31,10 @@ def s1(spark, sf):
         back = readers.read_table(spark, f"{base}/{fmt}", fmt, schema=orders.schema)
         part = back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys")).withColumn("format", F.lit(fmt))
         out = part if out is None else out.unionByName(part)
-    return out
+    view = f"assay_orders_{uuid.uuid4().hex}"
+    orders.createOrReplaceTempView(view)
+    listed = readers.read_table(spark, view, "table").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    return out.unionByName(listed.withColumn("format", F.lit("table")))
 
 
 _SCHEMAS = {
@@ -103,6 +106,13 @@ def s8(spark, sf):
     return h.select("o_orderkey", normalised_statement(F.col("query_text")).alias("statement"), "execution_count")
 
 
+@query("s8_plan_runs", "SELECT user_id AS plan_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS executed_at, CAST(sum(event_id % 7) AS BIGINT) AS execution_count FROM events GROUP BY 1")
+def s8_plans(spark, sf):
+    """Run-time statistics added up per plan; a user's events are a plan's runs."""
+    runs = table(spark, sf, "events").select(F.col("user_id").alias("plan_id"), F.col("ts").alias("last_execution_time"), (F.col("event_id") % 7).alias("count_executions"))
+    return metadata.plan_runs(runs).withColumn("executed_at", F.date_format("executed_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 def _schema_tables(spark, sf):
     return d.tables(spark, sf).select("connection_id", "table_fqn", F.split_part("table_fqn", F.lit("."), F.lit(1)).alias("schema_name"), "layer")
 
