@@ -20,7 +20,7 @@ def test_volume_drop(spark):
     hit = anomaly.detect_volume(volumes(spark, [4320, 4200, 4380, 4250, 4300, 450])).collect()
     assert len(hit) == 1
     assert (hit[0].severity, hit[0].baseline_value, hit[0].deviation_pct, hit[0].metric_value) == ("CRITICAL", 4290.0, -89.5, 450.0)
-    assert hit[0].description == "Row count dropped to 450 vs baseline avg 4,290 (90% deviation)"
+    assert hit[0].description == "Fewer rows than usual: 450 where recent runs had about 4,290, 90% off"
 
 
 def test_needs_three_baseline_runs(spark):
