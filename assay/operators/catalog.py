@@ -10,6 +10,8 @@ from assay.functions.text import table_tokens
 from assay.operators.relational import anti_join, latest_per_key, merge_keyed
 
 _COLUMN = ["connection_id", "table_fqn", "column_name"]
+# Keywords that more lists have are compared by kind of list.
+COMMON_TABLES = 1000
 EXACT_MATCH = 100.0
 
 
@@ -87,26 +89,32 @@ def backfill_provenance(rules: DataFrame) -> DataFrame:
         "generation_source", F.when(unknown, kind).otherwise(F.col("generation_source")))
 
 
-def match_tables(searches: DataFrame, tables: DataFrame) -> DataFrame:
+def match_tables(searches: DataFrame, tables: DataFrame, common: int = COMMON_TABLES) -> DataFrame:
     """Best catalog table per search term; terms without a shared keyword get none.
 
     ``searches`` has (search), ``tables`` (table_fqn).  Equal keyword lists
     score 100; otherwise shared keywords over the table's keywords.  Names are
-    reduced to distinct keyword lists before they meet, exact matches are found
-    by an equi join on the list, and only the remaining terms are compared
-    keyword by keyword.
+    reduced to distinct keyword lists before they meet, and exact matches are
+    found by an equi join on the list.  Other terms meet tables over keywords
+    that at most ``common`` lists have.  What is left are pairs that share more
+    common keywords only: for these, lists with the same common keywords and
+    length score alike, so that one of each stands for all.
     """
     s = searches.select("search").distinct().withColumn("s_tokens", table_tokens(F.col("search")))
     t = (tables.select("table_fqn").distinct().withColumn("t_tokens", table_tokens(F.col("table_fqn")))
          .filter(F.size("t_tokens") > 0).groupBy("t_tokens").agg(F.min("table_fqn").alias("table_fqn")))
     lists = s.filter(F.size("s_tokens") > 0).select("s_tokens").distinct()
     exact = lists.join(t, F.col("s_tokens") == F.col("t_tokens")).select("s_tokens", "table_fqn", F.lit(EXACT_MATCH).alias("score"))
-    rest = lists.join(exact.select("s_tokens"), "s_tokens", "left_anti")
-    words = rest.select("s_tokens", F.explode(F.array_distinct("s_tokens")).alias("word"))
-    names = t.select("table_fqn", F.size("t_tokens").alias("words"), F.explode(F.array_distinct("t_tokens")).alias("word"))
-    shared = words.join(names, "word").groupBy("s_tokens", "table_fqn").agg(
-        (F.count(F.lit(1)) / F.max("words")).alias("score"))
-    best = latest_per_key(shared, ["s_tokens"], [F.desc("score"), F.asc("table_fqn")])
+    words = lists.join(exact.select("s_tokens"), "s_tokens", "left_anti").select("s_tokens", F.explode(F.array_distinct("s_tokens")).alias("word"))
+    names = t.select("table_fqn", "t_tokens", F.explode(F.array_distinct("t_tokens")).alias("word"))
+    frequent = names.groupBy("word").count().filter(F.col("count") > common).select("word")
+    rare = words.join(frequent, "word", "left_anti").join(names.join(frequent, "word", "left_anti"), "word")
+    found = rare.select("s_tokens", "table_fqn", (F.size(F.array_intersect("s_tokens", "t_tokens")) / F.size("t_tokens")).alias("score"))
+    kinds = (names.join(frequent, "word").groupBy("table_fqn", F.size("t_tokens").alias("words")).agg(F.sort_array(F.collect_list("word")).alias("shared"))
+             .groupBy("shared", "words").agg(F.min("table_fqn").alias("table_fqn")))
+    alike = (words.join(frequent, "word").join(kinds.withColumn("word", F.explode("shared")), "word").groupBy("s_tokens", "table_fqn", "words")
+             .agg(F.count(F.lit(1)).alias("n")).select("s_tokens", "table_fqn", (F.col("n") / F.col("words")).alias("score")))
+    best = latest_per_key(found.unionByName(alike), ["s_tokens"], [F.desc("score"), F.asc("table_fqn")])
     return s.join(exact.unionByName(best), "s_tokens").select("search", "table_fqn", F.round("score", 4).alias("score"))
 
 

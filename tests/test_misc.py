@@ -1,6 +1,7 @@
 """Merges, sinks, incidents, catalog and receipts on small rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,26 @@ def test_newly_failing_needs_two_runs(spark):
     assert trust.newly_failing(r).count() == 0
     two = r.unionByName(r.withColumns({"run_id": F.lit("r2"), "rule_id": F.lit("b"), "run_timestamp": F.lit("2024-01-02").cast("timestamp")}))
     assert [x.rule_id for x in trust.newly_failing(two).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("common", [0, 1, 3, 1000])
+def test_best_table_does_not_depend_on_what_is_common(spark, common):
+    rng = random.Random(5)
+    pool = ["supplier", "order", "item", "daily", "fact", "stage"]
+    name = lambda: "gold." + "_".join(rng.sample(pool, rng.randrange(1, 5)))
+    tables, searches = sorted({name() for _ in range(60)}), sorted({name() for _ in range(40)} | {"gold.zebra", "gold.supplier_zebra"})
+
+    def words(n):
+        return [w[:-1] if w.endswith("s") and len(w) > 3 else w for w in n.split(".")[1].split("_")]
+
+    want = {}
+    for q in searches:
+        lists = {tuple(words(t)): min(x for x in tables if words(x) == words(t)) for t in tables}
+        if tuple(words(q)) in lists:
+            want[q] = (lists[tuple(words(q))], 100.0)
+            continue
+        scored = [(-len(set(words(q)) & set(w)) / len(w), t) for w, t in lists.items() if set(words(q)) & set(w)]
+        if scored:
+            want[q] = (min(scored)[1], round(-min(scored)[0], 4))
+    found = catalog.match_tables(spark.createDataFrame([(q,) for q in searches], "search string"), spark.createDataFrame([(t,) for t in tables], "table_fqn string"), common)
+    assert {r.search: (r.table_fqn, r.score) for r in found.collect()} == want
