@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 # Severities, best to worst order used by every ranked list.
 SEVERITY_ORDER = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
-# Weight of a rule result in the overall score, by severity.
-SEVERITY_WEIGHT = {"CRITICAL": 3.0, "HIGH": 2.0, "MEDIUM": 1.0, "LOW": 0.5}
-UNKNOWN_SEVERITY_WEIGHT = 1.0
-
 # Medallion layers in processing order.
 LAYERS = ("RAW", "BRONZE", "SILVER", "GOLD")
 UNKNOWN_LAYER = "UNKNOWN"
@@ -41,10 +37,6 @@ def severity_rank(severity: Column, unknown: int = 3) -> Column:
     return lookup(severity, {s: i for i, s in enumerate(SEVERITY_ORDER)}, unknown)
 
 
-def severity_weight(severity: Column) -> Column:
-    return lookup(severity, SEVERITY_WEIGHT, UNKNOWN_SEVERITY_WEIGHT)
-
-
 def layer_rank(layer: Column, unknown: int = 99) -> Column:
     return lookup(layer, {s: i for i, s in enumerate(LAYERS)}, unknown)
 

@@ -46,8 +46,13 @@ def _has(t: Column, word: str) -> Column:
     return F.contains(t, F.lit(word))
 
 
-def _verdict(key: str, confidence: float) -> Column:
-    return F.struct(F.lit(key).alias("key"), F.lit(confidence).alias("confidence"))
+# Confidence of each decision.
+CONFIDENCE = {"segment by place": 0.45, "segment by slice": 0.40, "nullcol": 0.45, "whitelist": 0.43, "volume": 0.42, "volume by row count": 0.40,
+              "source": 0.43, "unknown": 0.20}
+
+
+def _verdict(decision: str) -> Column:
+    return F.struct(F.lit(decision.split()[0]).alias("key"), F.lit(CONFIDENCE[decision]).alias("confidence"))
 
 
 def classification(t: Column) -> Column:
@@ -56,15 +61,15 @@ def classification(t: Column) -> Column:
     whitelist = (_has(t, "whitelist") | (_has(t, "invalid") & _has(t, "value")) | _has(t, "unapproved")
                  | t.rlike(NOT_IN_ENUM) | t.rlike(ODD_VALUE) | t.rlike(CODE_APPEARS))
     loss = (_has(t, "volume") & _any(t, LOSS_WORDS)) | (_has(t, "drop") & _any(t, COUNTED))
-    return (F.when(_any(t, PLACES) & absent, _verdict("segment", 0.45))
-            .when(_any(t, SLICES) & absent, _verdict("segment", 0.40))
-            .when(_any(t, NULL_WORDS) & _any(t, COLUMN_WORDS), _verdict("nullcol", 0.45))
-            .when(whitelist, _verdict("whitelist", 0.43))
-            .when(loss, _verdict("volume", 0.42))
-            .when(t.rlike(ONLY_PERCENT) | t.rlike(ONLY_COUNT), _verdict("volume", 0.42))
-            .when(_has(t, "row count"), _verdict("volume", 0.40))
-            .when(_any(t, LATE_PHRASES), _verdict("source", 0.43))
-            .otherwise(_verdict("unknown", 0.20)))
+    return (F.when(_any(t, PLACES) & absent, _verdict("segment by place"))
+            .when(_any(t, SLICES) & absent, _verdict("segment by slice"))
+            .when(_any(t, NULL_WORDS) & _any(t, COLUMN_WORDS), _verdict("nullcol"))
+            .when(whitelist, _verdict("whitelist"))
+            .when(loss, _verdict("volume"))
+            .when(t.rlike(ONLY_PERCENT) | t.rlike(ONLY_COUNT), _verdict("volume"))
+            .when(_has(t, "row count"), _verdict("volume by row count"))
+            .when(_any(t, LATE_PHRASES), _verdict("source"))
+            .otherwise(_verdict("unknown")))
 
 
 def classify(reports: DataFrame, text: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ RULES_PER_SCAN = 200
 RULE_ERRORS = (AnalysisException, ParseException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException,
                NumberFormatException, SparkRuntimeException)
 
-# Severity weights doubled, so that weighted sums stay whole numbers.
+# Weight of a result in the overall score by severity, doubled so that weighted sums stay whole numbers.
 _DOUBLE_WEIGHT = {"CRITICAL": 6, "HIGH": 4, "MEDIUM": 2, "LOW": 1}
 
 
