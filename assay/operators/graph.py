@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from assay.session import cut_lineage
 
 # Steps after which what was found so far is put into one table, and trimming rounds before a search for cycles.
-COMPACT_STEPS, TRIM_ROUNDS = 8, 2
+COMPACT_STEPS, TRIM_ROUNDS = 8, 1
+# A frontier is broadcast up to this measured size.
+BROADCAST_BYTES = 4 << 20
 _SEPARATOR = "\u001f"
 
 
@@ -42,6 +44,13 @@ def unqualified(df: DataFrame, *ids: str) -> DataFrame:
     return named.withColumns({c: part(c, 1) for c in ids})
 
 
+def _measured(frontier: DataFrame) -> tuple[DataFrame, bool]:
+    """The frontier, broadcast if its rows and ids are small together, and whether it has any rows."""
+    size = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 24 for c in frontier.columns)
+    total = frontier.agg(F.sum(size)).first()[0] or 0
+    return (F.broadcast(frontier) if total <= BROADCAST_BYTES else frontier), total > 0
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
@@ -62,20 +71,21 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, rea
     """
     e = edges if ready else edge_set(edges)
     frontier = cut_lineage(starts.select(F.col("start"), F.col("start").alias("node")).distinct())
+    sent = _measured(frontier)[0]
     found: list[DataFrame] = []
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = e.join(frontier, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
+        step = e.join(sent, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
         if found:
             step = step.join(_union(found).select("start", "node"), ["start", "node"], "left_anti")
         step = cut_lineage(step.withColumn("depth", F.lit(depth)))
-        if step.isEmpty():
+        sent, any_rows = _measured(step.select("start", "node"))
+        if not any_rows:
             break
         found.append(step)
         if len(found) > COMPACT_STEPS:
             found = [cut_lineage(_union(found))]
-        frontier = step.select("start", "node")
     if not found:
         return frontier.filter(F.lit(False)).withColumn("depth", F.lit(0))
     return _union(found)
@@ -116,7 +126,7 @@ def _spread_labels(e: DataFrame, seeds: DataFrame, stop: DataFrame | None = None
     if it comes back around a cycle.  Labels do not pass through ``stop`` nodes.
     ``e`` is an :func:`edge_set`.
     """
-    frontier = cut_lineage(seeds)
+    frontier = _measured(cut_lineage(seeds))[0]
     deltas: list[DataFrame] = []
     while True:
         sent = e.join(frontier, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg(
@@ -126,12 +136,12 @@ def _spread_labels(e: DataFrame, seeds: DataFrame, stop: DataFrame | None = None
             sent = sent.join(known, "node", "left").filter(
                 F.col("_lo").isNull() | (F.col("lo") < F.col("_lo")) | (F.col("hi") > F.col("_hi"))).select("node", "lo", "hi")
         step = cut_lineage(sent)
-        if step.isEmpty():
+        if not _measured(step)[1]:
             break
         deltas.append(step)
         if len(deltas) > COMPACT_STEPS:
             deltas = [cut_lineage(_union(deltas).groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))]
-        frontier = step if stop is None else step.join(stop, "node", "left_anti")
+        frontier = _measured(step if stop is None else step.join(stop, "node", "left_anti"))[0]
     if not deltas:
         return seeds.filter(F.lit(False))
     return _union(deltas).groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))

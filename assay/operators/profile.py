@@ -233,25 +233,21 @@ def key_candidates(stats: DataFrame, fk_like: Sequence[str] = (), limit: int | N
 
 
 def key_duplicates(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
-    """Duplicate groups and the rows in them, per single or composite key, in one scan.
+    """Duplicate groups and the rows in them, per single or composite key.
 
-    Each row yields one digest per candidate key without a NULL; digests are counted on the map side.
+    Each key reads its own columns only and is counted on the map side; one pass
+    over all keys would have to copy every row once for each of them.
     """
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    names = F.array(*[F.lit(",".join(k)) for k in candidates])
-    cells = []
+    parts = []
     for i, key in enumerate(candidates):
-        parts = F.struct(*[text.comparable(_quoted(c), kinds[c]).alias(f"k{j}") for j, c in enumerate(key)])
-        filled = F.lit(True)
-        for c in key:
-            filled = filled & _quoted(c).isNotNull()
-        cells.append(F.when(filled, F.struct(F.lit(i).alias("ordinal"), F.sha2(F.to_json(parts), 256).alias("digest"))))
-    groups = df.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull()))).groupBy("ordinal", "digest").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = groups.filter(F.col("_n") > 1).groupBy("ordinal").agg(F.count(F.lit(1)).alias("duplicate_groups"), F.sum("_n").alias("duplicate_rows"))
-    every = df.sparkSession.range(len(candidates)).select(F.col("id").cast("int").alias("ordinal"))
-    return every.join(repeated, "ordinal", "left").select(
-        "ordinal", F.get(names, F.col("ordinal")).alias("key_columns"), F.coalesce("duplicate_groups", F.lit(0)).alias("duplicate_groups"),
-        F.coalesce("duplicate_rows", F.lit(0)).alias("duplicate_rows"))
+        groups = df.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+        parts.append(groups.agg(
+            F.lit(i).alias("ordinal"), F.lit(",".join(key)).alias("key_columns"),
+            F.count(F.lit(1)).alias("duplicate_groups"), F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicate_rows")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def duplicate_key_samples(df: DataFrame, key: Sequence[str], n: int | None = 5) -> DataFrame:
