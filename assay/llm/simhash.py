@@ -30,17 +30,23 @@ _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS = np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """The fingerprint of one text; 0 if it has no word."""
-    words = lower_words(text)
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Hashes of every ``size`` consecutive words, in order; fewer words, at least one, are one shingle."""
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(len(words) - size + 1, 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[len(words) - n:].tolist())], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[len(words) - n:].tolist())], dtype="<u8")
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """The fingerprint of one text; 0 if it has no word."""
+    words = lower_words(text)
+    if not words:
+        return 0
+    hashes = shingle_hashes(words, size)
+    n = len(hashes)
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, n, 8192):
         bits = np.unpackbits(hashes[at:at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -212,11 +218,16 @@ def near_links(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKE
 def _grouped(docs: DataFrame, text: str, doc_id: str, radius: int) -> tuple[DataFrame, DataFrame]:
     """Every row's fingerprint, and for each fingerprint the first (id, key) of its component, NULL ids last."""
     marked = staged(fingerprints(docs, text, doc_id), "prints")
+    return marked, group_firsts(marked, near_links(marked.select("print").distinct(), radius))
+
+
+def group_firsts(marked: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, first): for each print of ``marked`` (doc_id, key, print) the first (id, key) of its component over ``links``, NULL ids last."""
     nodes = staged(marked.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("least")), "nodes")
-    groups = components(near_links(nodes.select("print"), radius), "a", "b")
+    groups = components(links, "a", "b")
     labelled = nodes.join(groups, nodes["print"] == groups["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     first = labelled.groupBy("root").agg(F.min("least").alias("first"))
-    return marked, labelled.join(first, "root").select(F.col("print").alias("node"), "first")
+    return labelled.join(first, "root").select(F.col("print").alias("node"), "first")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
@@ -239,7 +250,12 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radi
     Among rows of that id the text with the smallest hash decides; of rows with
     equal id and text the least stays, compared by the columns that have an order.
     """
-    first = _grouped(docs, text, doc_id, radius)[1].select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")).distinct()
+    return keep_rows(docs, _grouped(docs, text, doc_id, radius)[1], text, doc_id)
+
+
+def keep_rows(docs: DataFrame, groups: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Of each component of ``groups`` (of ``group_firsts``) the one row that stays."""
+    first = groups.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")).distinct()
     kept = docs.withColumn("__text", text_key(F.col(text))).join(
         first, F.col(doc_id).eqNullSafe(F.col("__id")) & F.col("__text").eqNullSafe(F.col("__key")), "left_semi")
     ordered = [F.col(f.name) for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in (text, doc_id)]
