@@ -108,17 +108,18 @@ def read_manifest(df: DataFrame, project: str, manifest: str) -> DataFrame:
 
 
 GRAPH_TYPE = ("struct<nodes:array<struct<external_id:string,label:string,layer:string,node_type:string>>,"
-              "edges:array<struct<source:string,target:string,edge_type:string>>>")
+              "edges:array<struct<source:string,target:string,edge_type:string>>,rank:string>")
 
 
 def read_graph(df: DataFrame, graph: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of exported graphs, one JSON text a row.
 
-    Edges keep their order in ``rank``, across rows by the text's digest.  Nodes
+    Edges keep their order in ``rank``, across rows by the rank that a text
+    names, or else by its digest.  Nodes
     without an id and edges without both ends are dropped; edges feed unless
     they say otherwise.
     """
-    parsed = df.select(F.sha2(graph, 256).alias("of"), F.from_json(graph, GRAPH_TYPE).alias("g"))
+    parsed = df.select(F.from_json(graph, GRAPH_TYPE).alias("g"), F.sha2(graph, 256).alias("digest")).select("g", F.coalesce("g.rank", "digest").alias("of"))
     nodes = parsed.select(F.inline("g.nodes")).filter(F.col("external_id").isNotNull()).dropDuplicates(["external_id"])
     listed = parsed.select("of", F.posexplode("g.edges").alias("no", "e"))
     edges = listed.select("e.source", "e.target", F.coalesce("e.edge_type", F.lit("FEEDS")).alias("edge_type"),
@@ -127,7 +128,11 @@ def read_graph(df: DataFrame, graph: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A graph as one JSON text in column ``graph``; meant for graphs that a person edits."""
-    n = nodes.select(F.struct("external_id", "label", "layer", "node_type").alias("x")).agg(F.sort_array(F.collect_list("x")).alias("nodes"))
-    e = edges.select(F.struct("source", "target", "edge_type").alias("x")).agg(F.sort_array(F.collect_list("x")).alias("edges"))
-    return n.select(F.to_json(F.struct("nodes", e.scalar().alias("edges"))).alias("graph"))
+    """A graph as JSON texts in column ``graph``, one for each node and each edge, hence short whatever the graph's size.
+
+    The rank that an edge's text names orders edges by source, target and type.
+    """
+    n = nodes.select(F.struct(F.array(F.struct("external_id", "label", "layer", "node_type")).alias("nodes")).alias("x"))
+    rank = F.concat_ws("\0", "source", "target", "edge_type")
+    e = edges.select(F.struct(F.array(F.struct("source", "target", "edge_type")).alias("edges"), rank.alias("rank")).alias("x"))
+    return n.select(F.to_json("x").alias("graph")).unionByName(e.select(F.to_json("x").alias("graph")))

@@ -428,6 +428,6 @@ def s16_import(spark, sf):
     export = t.select(F.col("table_fqn").alias("source"), F.concat(F.lit("export."), "table_fqn").alias("target"))
     back = e.select(F.col("target").alias("source"), F.col("source").alias("target"))
     wanted = e.select("source", "target").unionByName(back).unionByName(export).withColumn("edge_type", F.lit("FEEDS"))
-    text = metadata.write_graph(d.table_nodes(spark, sf).limit(3), wanted)
+    text = metadata.write_graph(d.table_nodes(spark, sf), wanted)
     nodes, edges = metadata.read_graph(text, "graph")
     return discover_lineage.import_graph(d.table_nodes(spark, sf), e, nodes, edges).counts
