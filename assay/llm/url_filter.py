@@ -70,12 +70,29 @@ def _resolved(target: Column, url: Column) -> Column:
             .when(target.startswith("/"), F.concat(root, target)).when(target != "", F.concat(folder, F.lit("/"), target)))
 
 
+def _decoded(target: Column) -> Column:
+    """``target`` with its numeric and XML character references as characters; others, and invalid numbers, stay."""
+    named = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_extract(part, "(?i)^&#x([0-9a-f]{1,8});$", 1)
+        code = F.when(digits != "", F.conv(digits, 16, 10)).otherwise(F.nullif(F.regexp_extract(part, "^&#([0-9]{1,9});$", 1), F.lit(""))).cast("long")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        out = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(63)), 8, "0")), "UTF-32")).otherwise(part)
+        for name, character in named.items():
+            out = F.when(part == name, F.lit(character)).otherwise(out)
+        return out
+
+    parts = F.regexp_extract_all(target, F.lit("&#?[0-9A-Za-z]+;|[^&]+|&"), F.lit(0))
+    return F.when(target.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(target)
+
+
 def links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(src, dst) addresses of canonical links and refresh redirects; an attribute may stand before or after the other."""
+    """(src, dst) addresses of all canonical links and refresh redirects; an attribute may stand before or after the other."""
     page = F.col(html)
-    canonical = F.regexp_extract(page, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1)
-    refresh = F.regexp_extract(page, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?\s*[\d.]*\s*[;,]\s*url\s*=\s*[\"']?([^\"'>\s]+)", 1)
-    rows = pages.where(page.rlike("(?i)canonical|http-equiv")).select(F.col(url).alias("url"), F.explode(F.array(canonical, refresh)).alias("target"))
+    canonical = F.regexp_extract_all(page, F.lit(r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+)"), F.lit(1))
+    refresh = F.regexp_extract_all(page, F.lit(r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?\s*[\d.]*\s*[;,]\s*url\s*=\s*[\"']?([^\"'>\s]+)"), F.lit(1))
+    rows = pages.where(page.rlike("(?i)canonical|http-equiv")).select(F.col(url).alias("url"), F.explode(F.concat(canonical, refresh)).alias("target")).withColumn("target", _decoded(F.col("target")))
     return rows.select(address(F.col("url")).alias("src"), address(_resolved(F.col("target"), F.col("url"))).alias("dst"))
 
 

@@ -97,3 +97,14 @@ def test_whole_table_without_python(spark, sf):
         assert (r["host"], r["path"]) == split(urls[r["page_id"]])
         assert r["rule"] == (rule.text if rule else None)
         assert r["verdict"] == (rule.verdict if rule else "allow")
+
+
+def test_every_link_counts_and_references_are_decoded(spark):
+    rules = [uf.Rule("block", "bad.net/")]
+    rows = [(1, "http://bad.net/1", '<link rel=canonical href="http://a.info/p?x=1&amp;y=2">'), (2, "http://a.info/p?x=1&y=2", ""),
+            (3, "http://bad.net/2", '<link rel=canonical href="http://a.info/q"><link rel=canonical href="http://a.info/r?a=1&#38;b=2&#x26;c=&#233;">'), (4, "http://a.info/r?a=1&b=2&c=é", None), (5, "http://a.info/q", ""),
+            (6, "http://bad.net/3", '<meta http-equiv=refresh content="0;url=/x"><meta http-equiv=refresh content="0;url=http://a.info/s?t=&#xD800;&nbsp;&u">'), (7, "http://a.info/s?t=&#xD800;&nbsp;&u", None),
+            (8, "http://a.info/p?x=1", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdicts = {r["page_id"]: r["verdict"] for r in uf.judge(df, rules).collect()}
+    assert {i for i, v in verdicts.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7}
