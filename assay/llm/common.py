@@ -51,3 +51,16 @@ def batches(schema: pa.Schema, columns: Iterable[Iterable]) -> pa.RecordBatch:
 def shared_object(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast an object of this package by value; ``pickle.loads`` of the broadcast's value restores it."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each key once.
+
+    Keys that hold a thousandth of ``rows`` or more, hence at most a thousand, are
+    broadcast; what is left is shuffled.  ``rows`` is read three times.
+    """
+    counted = rows.groupBy(*key).count()
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    heavy = staged(counted.where(F.col("count") * 1000 >= total).select(*key), "heavy")
+    few = F.broadcast(table.join(F.broadcast(heavy), key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(table, key))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import chat_format, curve_ann, decontaminate, language_id, lattice_lm, line_dedup, mixing, secret_scan, simhash, url_filter
+from assay.llm import (chat_format, collocation, curve_ann, decontaminate, language_id, lattice_lm, line_dedup, mixing, secret_scan, simhash, spelling, url_filter,
+                       warc)
 from assay.llm.common import remainder
 
 
@@ -84,6 +85,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents, some of whose occurrences lose a letter."""
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"))
+    return spelling.group_variants(spelling.count_words(runs.select(spelling.misspelt(F.col("run"), F.col("doc_id")).alias("word"))))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language."""
+    return collocation.collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives that it was written to."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.round_trip(pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_lm_score, op4_language_id, op5_mixing, op6_chat_format, op7_simhash, op8_curve_ann, op9_secret_scan,
-                                   op10_decontamination)}
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "op5_mixing": mixing.ORACLE, "op6_chat_format": chat_format.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+                                   op10_decontamination, op11_spelling_variants, op12_collocations, op13_warc)}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "op5_mixing": mixing.ORACLE, "op6_chat_format": chat_format.ORACLE, "op10_decontamination": decontaminate.ORACLE,
+           "op11_spelling_variants": spelling.ORACLE, "op12_collocations": collocation.ORACLE, "op13_warc": warc.ORACLE}
