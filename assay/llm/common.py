@@ -23,6 +23,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables that :func:`staged` returned; whatever reads them must have been written before."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of every row; NULL becomes empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

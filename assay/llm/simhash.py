@@ -101,16 +101,17 @@ def near(queries: np.ndarray, sliced: np.ndarray, radius: int = RADIUS) -> np.nd
     """
     words, rows = np.arange(sliced.shape[1]), np.arange(len(queries))
     flips = np.where(queries[None, :] >> _BITS[:, None] & np.uint64(1), _ONES, np.uint64(0))
-    digits = np.zeros((4, len(rows), len(words)), dtype=np.uint64)  # 1, 2, 4, and 8 or more, which stays set
+    top = max(3, radius.bit_length())
+    digits = np.zeros((top + 1, len(rows), len(words)), dtype=np.uint64)  # 1, 2, 4, ..., and the first power of two beyond the radius or more, which stays set
     out = np.zeros((len(rows), len(words)), dtype=np.uint64)
     for at in range(0, 64, 2):
         a, b = (sliced[p, words][None, :] ^ flips[p, rows][:, None] for p in (at, at + 1))
         half = digits[0] ^ a
         carry = (digits[0] & a) | (half & b)
         digits[0] = half ^ b
-        for d in (1, 2):
+        for d in range(1, top):
             digits[d], carry = digits[d] ^ carry, digits[d] & carry
-        digits[3] |= carry
+        digits[top] |= carry
         if at % 8 == 6 and at < 62:
             alive = ~_beyond(digits, radius) != 0
             columns, lines = alive.any(axis=0), alive.any(axis=1)
@@ -124,9 +125,9 @@ def near(queries: np.ndarray, sliced: np.ndarray, radius: int = RADIUS) -> np.nd
 
 
 def _beyond(digits: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose count exceeds ``radius`` (at most 7)."""
-    above, equal = digits[3].copy(), ~digits[3]
-    for d in (2, 1, 0):
+    """Lanes whose count exceeds ``radius``."""
+    above, equal = digits[-1].copy(), ~digits[-1]
+    for d in range(len(digits) - 2, -1, -1):
         if radius >> d & 1:
             equal &= digits[d]
         else:

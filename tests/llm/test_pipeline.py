@@ -3,7 +3,7 @@
 import corpus_pipeline
 import test_decontaminate
 import test_line_dedup
-import test_simhash
+import test_shingle_sets
 
 
 def documents(spark, sf):
@@ -36,8 +36,7 @@ def test_stages(spark, sf, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in d if clean[r["doc_id"]][1])
     assert len(d) < len(c)
 
-    components = test_simhash.slow_components([(r["doc_id"], r["text"]) for r in e])
-    assert sorted(r["doc_id"] for r in f) == sorted({x for _, _, x in components})
+    assert sorted(r["doc_id"] for r in f) == test_shingle_sets.slow_kept([(r["doc_id"], r["text"]) for r in e])
 
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert {r["doc_id"] for r in h} == {r["doc_id"] for r in g if not test_decontaminate.slow(r["text"], items)[3]}

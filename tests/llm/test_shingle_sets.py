@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from assay.llm import shingle_sets, simhash
@@ -47,9 +48,12 @@ def documents():
     return rows
 
 
-@pytest.mark.parametrize(("large", "sample"), [(32, 16), (2, 1)])
-def test_kept_rows_equal_brute_force(spark, monkeypatch, large, sample):
-    monkeypatch.setattr(shingle_sets, "LARGE", large)
+@pytest.mark.parametrize(("rows_", "pivots", "sample"), [(4096, 16, 16), (3, 1, 1), (5, 0, 16)])
+def test_kept_rows_equal_brute_force(spark, monkeypatch, rows_, pivots, sample):
+    """With whole buckets and groups, and with ones cut into many small parts."""
+    for name in ("BUCKET_ROWS", "PART_ROWS"):
+        monkeypatch.setattr(shingle_sets, name, rows_)
+    monkeypatch.setattr(shingle_sets, "PIVOTS", pivots)
     monkeypatch.setattr(shingle_sets, "SAMPLE", sample)
     rows = documents()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -72,3 +76,37 @@ def test_stage_takes_copies_beyond_the_fingerprint_radius(spark, sf):
             break
     df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, df, sf).collect()] == [1]
+
+
+def test_a_bucket_of_dissimilar_texts(spark, monkeypatch):
+    """Texts of one passage and two own words each, none similar to another, with a few copies among them."""
+    rng = random.Random(4)
+    passage = rng.choices(WORDS, k=17)
+    rows = [(i, " ".join([*passage, f"own{i}", f"too{i}"])) for i in range(300)]
+    rows += [(1000, rows[7][1] + " end"), (1001, "start " + rows[250][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    expected = slow_kept(rows)
+    for part in (4096, 40):
+        for name in ("BUCKET_ROWS", "PART_ROWS"):
+            monkeypatch.setattr(shingle_sets, name, part)
+        assert sorted(r["doc_id"] for r in shingle_sets.keep_first(df).collect()) == expected
+
+
+def test_screening_loses_no_pair_at_the_similarity():
+    """Fingerprints of 3 000 pairs of sets at 0.8 are all within the radius."""
+    rng = np.random.default_rng(8)
+    worst = 0
+    for _ in range(3000):
+        n = int(rng.choice([9, 18, 45, 180, 900]))
+        values = rng.integers(0, 1 << 62, n + n // 9, dtype=np.uint64)
+        a, b = values[:n], values[n // 9:]
+        assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+        worst = max(worst, int(shingle_sets._fingerprint(a) ^ shingle_sets._fingerprint(b)).bit_count())
+    assert worst <= shingle_sets.RADIUS
+
+
+def test_shingles_do_not_depend_on_windows(monkeypatch):
+    text = " ".join(random.Random(3).choices(WORDS, k=500)).encode()
+    whole = shingle_sets.shingles(text, shingle_sets._Hasher())
+    monkeypatch.setattr(shingle_sets, "_WINDOW", 7)
+    assert (shingle_sets.shingles(text, shingle_sets._Hasher()) == whole).all() and len(whole) == 496
