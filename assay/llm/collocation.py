@@ -10,6 +10,7 @@ is left uncounted.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -28,19 +29,19 @@ from assay.llm.common import joined_by_key, raw_texts, shared_object, staged
 
 LONGEST, SUPPORT, CONTAINED, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: One document in ``SAMPLE`` proposes; of the support expected there this share is asked for, lest phrases near the support be missed.
-SAMPLE, LOWERED = 4, 0.5
+SAMPLE, LOWERED = 4, 0.6
 #: Blocks of the filter for each phrase length, at most: 8 MB.  Fuller filters let more phrases be counted than need be, no fewer.
 MOST_BLOCKS = 1 << 17
 #: Bytes of text that are encoded at once; a longer piece without punctuation is one.
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 _CUT = b"\xff"
 _TABLE = bytes.maketrans(b".,;:!?\n\v\f\r\t", _CUT * 10 + b" ")
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
 SCHEMA = "lang string, k int, phrase string, f long"
 
 
-def _word_hash(word: bytes, lang: str) -> int:
-    return xxhash.xxh64_intdigest(word, len(lang)) ^ xxhash.xxh64_intdigest(lang)
+def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)) ^ np.uint64(xxhash.xxh64_intdigest(lang))
 
 
 def _joined(head: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -48,6 +49,21 @@ def _joined(head: np.ndarray, last: np.ndarray) -> np.ndarray:
     return bloom.mixed(head) * _NEXT + last
 
 
+def _phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """Hashes of phrases (lang, k, phrase), as ``_counts`` makes them from those of their words."""
+    langs, lengths = (batch.column(i).dictionary_encode() for i in (0, 1))
+    phrases, out = batch.column(2).cast(pa.binary()).to_pylist(), np.zeros(batch.num_rows, dtype=np.uint64)
+    for i, lang in enumerate(langs.dictionary.to_pylist()):
+        for j, k in enumerate(lengths.dictionary.to_pylist()):
+            rows = np.flatnonzero((langs.indices.to_numpy() == i) & (lengths.indices.to_numpy() == j))
+            parts = _word_hashes([w for r in rows.tolist() for w in phrases[r].split(b" ")], lang).reshape(-1, k)
+            h = parts[:, 0]
+            for n in range(1, k):
+                h = _joined(h, parts[:, n])
+            out[rows] = h
+    return out
+
+
 class Filters:
     """Filters of the phrases of each length, one after the other in one table."""
 
@@ -67,14 +83,7 @@ def _filters(phrases: DataFrame) -> Filters:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-                parts = [np.array([_word_hash(w, lang)], dtype=np.uint64) for w in phrase.split(b" ")]
-                h = parts[0]
-                for part in parts[1:]:
-                    h = _joined(h, part)
-                out.append(h[0])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.array(out, dtype=np.uint64).view(np.int64))], names=["unit", "hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(_phrase_hashes(batch).view(np.int64))], names=["unit", "hash"])
 
     return Filters(*bloom.build(wanted.mapInArrow(hashed, "unit int, hash long"), blocks), blocks)
 
@@ -106,6 +115,7 @@ def _counts(chunk: bytes, lang: str, lengths: range, known: Filters | None, befo
     """
     tokens = chunk.replace(_CUT, b" " + _CUT + b" ").split()
     encoded = pa.array(tokens, pa.binary()).dictionary_encode()
+    del tokens
     codes, words = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
     inside = codes != words.index(_CUT).as_py()
     if lengths[0] == 1:
@@ -114,7 +124,7 @@ def _counts(chunk: bytes, lang: str, lengths: range, known: Filters | None, befo
         yield 1, words.take(pa.array(there)), found[there]
     if known is None or lengths[-1] == 1:
         return
-    own = np.fromiter((_word_hash(w, lang) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+    own = _word_hashes(words.to_pylist(), lang)
     held = known(1, own)[codes] & inside
     done = before(1, own)[codes] & inside if before else None
     ids, hashes = codes, own
@@ -170,7 +180,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
-    enough = max(1, int(support / SAMPLE * LOWERED))
+    enough = max(1, math.ceil(support / SAMPLE * LOWERED))
     proposed, held = spark.createDataFrame([], SCHEMA), None
     for k in range(1, LONGEST):
         level = staged(_pass(some, range(k, k + 1), held).where((F.col("f") >= enough) & (F.col("k") == k)), "proposed")
@@ -195,14 +205,10 @@ def _beyond(counted: DataFrame, filters: Filters) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pickle.loads(held.value)
         for batch in batches:
-            keep = []
-            for lang, k, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-                parts = [np.array([_word_hash(w, lang)], dtype=np.uint64) for w in phrase.split(b" ")]
-                h = parts[0]
-                for part in parts[1:]:
-                    h = _joined(h, part)
-                keep.append(not known(k, h)[0])
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            hashes, lengths, new = _phrase_hashes(batch), batch.column(1).to_numpy(), np.zeros(batch.num_rows, dtype=bool)
+            for k in range(1, LONGEST):
+                new[lengths == k] = ~known(k, hashes[lengths == k])
+            yield batch.filter(pa.array(new))
 
     return counted.where(f"k BETWEEN 1 AND {LONGEST - 1}").select("lang", "k", "phrase").mapInArrow(run, "lang string, k int, phrase string")
 
