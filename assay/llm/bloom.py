@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -65,8 +65,8 @@ def contains(table: np.ndarray, h: np.ndarray, blocks: np.ndarray | int, offset:
     return found
 
 
-def build(hashes: DataFrame, blocks: dict[int, int]) -> tuple[np.ndarray, dict[int, int]]:
-    """One table with a filter for each unit of ``hashes`` (unit int, hash long), and the block at which each begins.
+def build(keys: DataFrame, hashed: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], blocks: dict[int, int]) -> tuple[np.ndarray, dict[int, int]]:
+    """One table with a filter for each unit, and the block at which each begins; ``hashed`` gives units and hashes of a batch of ``keys``.
 
     The table has as many blocks as ``blocks`` adds up to, whatever the number of hashes: the caller bounds it.
     """
@@ -78,8 +78,11 @@ def build(hashes: DataFrame, blocks: dict[int, int]) -> tuple[np.ndarray, dict[i
         units, counts = (np.array(x, dtype=np.uint64) for x in (sorted(blocks), [blocks[u] for u in sorted(blocks)]))
         first = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.uint64)
         for batch in batches:
-            unit = np.searchsorted(units, batch.column(0).to_numpy().astype(np.uint64))
-            m = mixed(batch.column(1).to_numpy().view(np.uint64))
+            if not batch.num_rows:
+                continue
+            names, hashes = hashed(batch)
+            unit = np.searchsorted(units, names.astype(np.uint64))
+            m = mixed(hashes)
             block = first[unit] + _block(m, counts[unit])
             yield pa.RecordBatch.from_arrays([pa.array((block // np.uint64(PIECE)).astype(np.int64)), pa.array((block % np.uint64(PIECE)).astype(np.int32)), pa.array(m.view(np.int64))],
                                              names=["piece", "block", "mixed"])
@@ -90,7 +93,7 @@ def build(hashes: DataFrame, blocks: dict[int, int]) -> tuple[np.ndarray, dict[i
         return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "bits": [table.tobytes()]})
 
     table = np.zeros(-(-max(total, 1) // PIECE) * PIECE * WORDS, dtype=np.uint64)
-    placed = hashes.select("unit", "hash").mapInArrow(place, "piece long, block int, mixed long")
+    placed = keys.mapInArrow(place, "piece long, block int, mixed long")
     for row in placed.groupBy("piece").applyInPandas(fill, "piece long, bits binary").toLocalIterator():
         at = row["piece"] * PIECE * WORDS
         table[at:at + PIECE * WORDS] = np.frombuffer(row["bits"], dtype=np.uint64)

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assay.llm import bloom
-from assay.llm.common import joined_by_key, raw_texts, shared_object, staged
+from assay.llm.common import joined_by_key, raw_texts, shared_object, small, staged
 
 LONGEST, SUPPORT, CONTAINED, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: One document in ``SAMPLE`` proposes; of the support expected there this share is asked for, lest phrases near the support be missed.
@@ -33,7 +33,7 @@ SAMPLE, LOWERED = 4, 0.6
 #: Blocks of the filter for each phrase length, at most: 8 MB.  Fuller filters let more phrases be counted than need be, no fewer.
 MOST_BLOCKS = 1 << 17
 #: Bytes of text that are encoded at once; a longer piece without punctuation is one.
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 _CUT = b"\xff"
 _TABLE = bytes.maketrans(b".,;:!?\n\v\f\r\t", _CUT * 10 + b" ")
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
@@ -81,29 +81,27 @@ def _filters(phrases: DataFrame) -> Filters:
     wanted = phrases.where(F.col("k") < LONGEST).select("lang", "k", "phrase")
     blocks = {r["k"]: min(bloom.blocks_for(r["count"]), MOST_BLOCKS) for r in wanted.groupBy("k").count().toLocalIterator()}
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(_phrase_hashes(batch).view(np.int64))], names=["unit", "hash"])
-
-    return Filters(*bloom.build(wanted.mapInArrow(hashed, "unit int, hash long"), blocks), blocks)
+    return Filters(*bloom.build(wanted, lambda batch: (batch.column(1).to_numpy(), _phrase_hashes(batch)), blocks), blocks)
 
 
-def _pieces(texts: list[bytes]) -> Iterator[bytes]:
-    """The texts in chunks that end with a cut."""
-    held, size = [], 0
-    for text in texts:
+def _chunks(rows: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
+    """(language, text) in chunks that end with a cut; whenever two chunks' worth of text is held, the language with most of it is given out."""
+    held: dict[str, list[bytes]] = {}
+    sizes: Counter[str] = Counter()
+    for lang, text in rows:
         text = text.lower().translate(_TABLE)
         at = 0
         while len(text) - at > CHUNK and (cut := text.find(_CUT, at + CHUNK)) >= 0:
-            yield text[at:cut + 1]
+            yield lang, text[at:cut + 1]
             at = cut + 1
-        held.append(text[at:])
-        size += len(held[-1])
-        if size > CHUNK:
-            yield _CUT.join(held) + _CUT
-            held, size = [], 0
-    if held:
-        yield _CUT.join(held) + _CUT
+        held.setdefault(lang, []).append(text[at:] + _CUT)
+        sizes[lang] += len(held[lang][-1])
+        while sizes.total() > 2 * CHUNK:
+            most = sizes.most_common(1)[0][0]
+            del sizes[most]
+            yield most, b"".join(held.pop(most))
+    for lang in held:
+        yield lang, b"".join(held[lang])
 
 
 def _counts(chunk: bytes, lang: str, lengths: range, known: Filters | None, before: Filters | None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
@@ -132,9 +130,8 @@ def _counts(chunk: bytes, lang: str, lengths: range, known: Filters | None, befo
         at = np.flatnonzero(held[:-1] & held[1:])
         if not len(at):
             return
-        number, _ = pd.factorize(ids[at] * len(words) + codes[at + k - 1])
-        first = np.empty(number.max() + 1, dtype=np.int64)
-        first[number[::-1]] = at[::-1]
+        _, first, number = np.unique(ids[at] * len(words) + codes[at + k - 1], return_index=True, return_inverse=True)
+        first = at[first]
         hashes = _joined(hashes[ids[first]], own[codes[first + k - 1]])
         ids = np.zeros(len(codes), dtype=np.int64)
         ids[at] = number
@@ -156,18 +153,14 @@ def _pass(docs: DataFrame, lengths: range, known: Broadcast | None = None, befor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_, before_ = (pickle.loads(x.value) if x else None for x in (known, before))
-        for batch in batches:
-            by: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                for chunk in _pieces(texts):
-                    for k, phrases, f in _counts(chunk, lang, lengths, known_, before_):
-                        columns = [pa.array([lang] * len(f), pa.string()), pa.array(np.full(len(f), k, dtype=np.int32)), phrases.cast(pa.string()), pa.array(f.astype(np.int64))]
-                        if k == 1 and len(f):
-                            total = [pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int(f.sum())])]
-                            columns = [pa.concat_arrays([a, b]) for a, b in zip(total, columns)]
-                        yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "f"])
+        rows = (row for batch in small(batches) for row in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))))
+        for lang, chunk in _chunks(rows):
+            for k, phrases, f in _counts(chunk, lang, lengths, known_, before_):
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), len(f)), pa.array(np.full(len(f), k, dtype=np.int32)), phrases.cast(pa.string()), pa.array(f.astype(np.int64))]
+                if k == 1 and len(f):
+                    total = [pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int(f.sum())])]
+                    columns = [pa.concat_arrays([a, b]) for a, b in zip(total, columns)]
+                yield from small([pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "f"])], 10_000)
 
     return docs.select("lang", "text").mapInArrow(run, SCHEMA).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 

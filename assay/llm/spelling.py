@@ -103,22 +103,17 @@ def _hits(vocabulary: DataFrame, letters: list[int], slices: dict[int, int], fil
     for i, name in enumerate(names):
         unit[name] = i
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            all_ = Letters(batch.column(0).to_pylist())
-            shard = _shards(all_.lengths)
-            units = unit[shard, _slice(all_.hashes, many[shard])]
-            mine = units >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(units[mine].astype(np.int32)), pa.array(all_.hashes[mine].view(np.int64))], names=["unit", "hash"])
+    def hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        all_ = Letters(batch.column(0).to_pylist())
+        shard = _shards(all_.lengths)
+        units = unit[shard, _slice(all_.hashes, many[shard])]
+        return units[units >= 0], all_.hashes[units >= 0]
 
     def shard_in(length, wanted: list[int]):
         return F.when(length < LONG, length).otherwise(LONG + length % LONG).isin(wanted)
 
     size = F.length("word")
-    own = vocabulary.where(shard_in(size, shards)).select("word").mapInArrow(hashed, "unit int, hash long")
-    table, starts = bloom.build(own, {i: filters[name] for i, name in enumerate(names)})
+    table, starts = bloom.build(vocabulary.where(shard_in(size, shards)).select("word"), hashed, {i: filters[name] for i, name in enumerate(names)})
     held = shared_object(vocabulary.sparkSession, (table, np.array([starts[i] for i in range(len(names))]), np.array([filters[n] for n in names])))
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,7 +98,7 @@ def test_bloom_filters_hold_their_keys(spark):
     keys = rng.integers(-1 << 63, (1 << 63) - 1, 20_000)
     df = spark.createDataFrame([(int(k % 3), int(k)) for k in keys], "unit int, hash long")
     blocks = {u: bloom.blocks_for(7000) for u in range(3)}
-    table, starts = bloom.build(df, blocks)
+    table, starts = bloom.build(df, lambda batch: (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)), blocks)
     for u in range(3):
         mine = keys[keys % 3 == u].view(np.uint64)
         assert bloom.contains(table, mine, blocks[u], starts[u]).all()
