@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm.bloom import mixed
-from assay.llm.common import discard, lower_words, raw_texts, shared_object, staged, text_key
+from assay.llm.common import discard, lower_words, raw_texts, shared_object, small, staged, text_key
 from assay.llm.components import components
 from assay.llm.simhash import group_firsts, near, planes
 
@@ -109,9 +109,9 @@ def _common(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
-        for part in parts:
-            for t in raw_texts(part.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, hasher).view(np.int64))], names=["shingle"])
+        for part in small(parts, 64):
+            found = [shingles(t, hasher) for t in raw_texts(part.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
 
     some = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(text)
     counted = some.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
@@ -127,7 +127,7 @@ def _prefixes(docs: DataFrame, text: str, doc_id: str, common: np.ndarray) -> Da
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, hasher = pickle.loads(held.value), _Hasher()
-        for part in parts:
+        for part in small(parts):
             sets = [shingles(t, hasher) for t in raw_texts(part.column(2))]
             sims = np.array([_fingerprint(s) for s in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -165,19 +165,26 @@ def _by_task(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, schema)
 
 
-def _entries(rows: DataFrame) -> DataFrame:
-    """(shingle, print) of the first shingles; a task gives each set once, however many copies it sees."""
+def _entries(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(shingle, print, parts) of the first shingles; a task gives each set once, however many copies it sees.
+
+    ``parts`` is into how many parts the bucket of a common shingle is cut, 0 for other shingles.
+    """
+    held, share = shared_object(rows.sparkSession, common), SAMPLE * 1.25 / BUCKET_ROWS
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part in parts:
+        (values, sampled), seen = pickle.loads(held.value), set()
+        for part in small(parts, 1024):
             prints = part.column(0).to_pylist()
             new = [i for i, p in enumerate(prints) if not (p in seen or seen.add(p))]
             mine = part.take(pa.array(new, pa.int64()))
             counts = mine.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([mine.column(1).flatten(), pa.array(np.repeat(mine.column(0).to_numpy(), counts))], names=["shingle", "print"])
+            first = mine.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            parts_, late = np.zeros(len(first), dtype=np.int32), first >= _COMMON_BIT
+            parts_[late] = np.ceil(sampled[np.searchsorted(values, first[late] ^ _COMMON_BIT)] * share)
+            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.repeat(mine.column(0).to_numpy(), counts)), pa.array(parts_)], names=["shingle", "print", "parts"])
 
-    return rows.where("n > 0").select("print", "first").mapInArrow(run, "shingle long, print long")
+    return rows.where("n > 0").select("print", "first").mapInArrow(run, "shingle long, print long, parts int")
 
 
 def _met(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -207,19 +214,10 @@ def _met(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 held = held[:, last:]
         yield kept(held)
 
-    own, share = shared_object(rows.sparkSession, common), SAMPLE * 1.25 / BUCKET_ROWS
-
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = pickle.loads(own.value)
-        for batch in batches:
-            at = np.searchsorted(values, batch.column(0).to_numpy().view(np.uint64) ^ _COMMON_BIT)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ceil(counts[at] * share).astype(np.int32))], names=["shingle", "print", "parts"])
-
-    entries, late = _entries(rows), F.col("shingle") >= int(_COMMON_BIT)
+    entries = _entries(rows, common)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rare = entries.where(~late).repartition(n, "shingle").sortWithinPartitions("shingle", "print").mapInArrow(shared, "shingle long, print long")
-    often = entries.where(late).mapInArrow(sized, "shingle long, print long, parts int")
-    return rare.withColumn("parts", F.lit(1)).unionByName(often)
+    rare = entries.where("parts = 0").select("shingle", "print").repartition(n, "shingle").sortWithinPartitions("shingle", "print").mapInArrow(shared, "shingle long, print long")
+    return rare.withColumn("parts", F.lit(1)).unionByName(entries.where("parts > 0"))
 
 
 def _tasks(parts: Column, *key: Column) -> Column:
