@@ -1,26 +1,25 @@
 """Reachability over lineage edges.
 
 Edges are (source, target) and may contain cycles, diamonds and self loops.
-Each step joins the frontier with the edges, drops what was seen before and is
-written to the shared checkpoint folder, so plans stay flat and a lost executor
-costs one step.  Only row counts come back to the driver.
+How values travel along edges stands in :mod:`assay.operators.reachability`.
 
 Starts are always restricted to what a question needs: all-pairs closure is
-quadratic and no operator here computes it.
+quadratic and no operator here computes it.  Where only counts or decisions are
+asked for, no table of (start, node) rows is made either.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assay.session import cut_lineage
+from assay.operators.reachability import (COMPACT_STEPS, contracted, counts_per_start, masks_from, measured, numbered, reaching_pairs, reversed_edges, spread, trimmed, union,
+                                          without_own)
+from assay.session import staged_table
 
-# Steps after which what was found so far is put into one table, and trimming rounds before a search for cycles.
-COMPACT_STEPS, TRIM_ROUNDS = 8, 1
-# A frontier is broadcast up to this measured size.
-BROADCAST_BYTES = 4 << 20
 _SEPARATOR = "\u001f"
+_WIDE = "decimal(38,0)"
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def edge_set(edges: DataFrame) -> DataFrame:
     The rows stay spread by both ends: a hub's edges are not put into one
     partition.
     """
-    return cut_lineage(edges.select("source", "target").distinct())
+    return staged_table(edges.select("source", "target").distinct())
 
 
 def qualified(df: DataFrame, *ids: str) -> DataFrame:
@@ -44,51 +43,52 @@ def unqualified(df: DataFrame, *ids: str) -> DataFrame:
     return named.withColumns({c: part(c, 1) for c in ids})
 
 
-def _measured(frontier: DataFrame) -> tuple[DataFrame, bool]:
-    """The frontier, broadcast if its rows and ids are small together, and whether it has any rows."""
-    size = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 24 for c in frontier.columns)
-    total = frontier.agg(F.sum(size)).first()[0] or 0
-    return (F.broadcast(frontier) if total <= BROADCAST_BYTES else frontier), total > 0
-
-
-def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, ready: bool = False) -> DataFrame:
     """(start, node, depth) for every node reachable in one step or more.
 
     ``starts`` has a column ``start``; ``depth`` is the first step at which the
     node is seen.  A start that lies on a cycle reaches itself.  ``ready`` says
-    that ``edges`` is an :func:`edge_set` already.
+    that ``edges`` is an :func:`edge_set` already.  What is not found in a few
+    steps is reached over contracted chains, whose nodes are filled in afterwards.
     """
     e = edges if ready else edge_set(edges)
-    frontier = cut_lineage(starts.select(F.col("start"), F.col("start").alias("node")).distinct())
-    sent = _measured(frontier)[0]
+    frontier, sent, going = measured(starts.select(F.col("start"), F.col("start").alias("node")).distinct())
     found: list[DataFrame] = []
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while going and (max_depth is None or depth < max_depth):
+        if max_depth is None and depth == COMPACT_STEPS:
+            return _reach_further(e, staged_table(union(found)), frontier, depth)
         depth += 1
         step = e.join(sent, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
         if found:
-            step = step.join(_union(found).select("start", "node"), ["start", "node"], "left_anti")
-        step = cut_lineage(step.withColumn("depth", F.lit(depth)))
-        sent, any_rows = _measured(step.select("start", "node"))
-        if not any_rows:
-            break
-        found.append(step)
+            step = step.join(union(found).select("start", "node"), ["start", "node"], "left_anti")
+        frontier, sent, going = measured(step.select("start", "node"))
+        if going:
+            found.append(frontier.withColumn("depth", F.lit(depth)))
         if len(found) > COMPACT_STEPS:
-            found = [cut_lineage(_union(found))]
+            found = [staged_table(union(found))]
     if not found:
         return frontier.filter(F.lit(False)).withColumn("depth", F.lit(0))
-    return _union(found)
+    return union(found)
+
+
+def _reach_further(e: DataFrame, found: DataFrame, frontier: DataFrame, depth: int) -> DataFrame:
+    """``found`` (start, node, depth) and all that lies beyond ``frontier`` (start, node), its nodes at ``depth``."""
+    ways, passed = contracted(e, frontier.select("node").distinct())
+    known = staged_table(found.withColumn("depth", F.col("depth").cast("long")))
+    step, sent, going = measured(frontier.withColumn("depth", F.lit(depth).cast("long")))
+    left = [step]
+    while going:
+        longer = ways.join(sent, F.col("node") == F.col("source")).groupBy("start", F.col("target").alias("node")).agg(F.min(F.col("depth") + F.col("length")).alias("depth"))
+        before = known.withColumnRenamed("depth", "_depth")
+        better = longer.join(before, ["start", "node"], "left").filter(F.col("_depth").isNull() | (F.col("depth") < F.col("_depth"))).select("start", "node", "depth")
+        step, sent, going = measured(better)
+        if going:
+            left.append(step)
+            known = staged_table(known.unionByName(step).groupBy("start", "node").agg(F.min("depth").alias("depth")))
+    inside = union(left).join(passed.select(F.col("node").alias("_node"), F.col("head").alias("node"), "position"), "node").select(
+        "start", F.col("_node").alias("node"), (F.col("depth") + F.col("position")).alias("depth"))
+    return known.unionByName(inside).groupBy("start", "node").agg(F.min("depth").cast("int").alias("depth"))
 
 
 def reach_both(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -100,11 +100,11 @@ def reach_both(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def blast_radius(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
     """Nodes and reports per hop, up to ``hops``; unknown starts give nothing."""
-    known = starts.join(nodes.select(F.col("external_id").alias("start")).distinct(), "start", "left_semi")
-    reached = reach(edges, known, hops).filter(F.col("start") != F.col("node"))
+    known = numbered(starts.join(nodes.select(F.col("external_id").alias("start")).distinct(), "start", "left_semi"))
+    masks = without_own(masks_from(edge_set(edges), known, hops)[0], known)
     kinds = nodes.select(F.col("external_id").alias("node"), "node_type")
-    return reached.join(kinds, "node", "left").groupBy("start", "depth").agg(
-        F.count(F.lit(1)).alias("downstream"), F.count_if(F.col("node_type") == "report").alias("reports"))
+    counts = {"downstream": F.lit(True), "reports": F.coalesce(F.col("node_type") == "report", F.lit(False))}
+    return counts_per_start(masks.join(kinds, "node", "left"), known, counts, ("depth",))
 
 
 def downstream_graph(edges: DataFrame, nodes: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
@@ -119,83 +119,40 @@ def downstream_graph(edges: DataFrame, nodes: DataFrame, root: str) -> tuple[Dat
     return inside, kept
 
 
-def _spread_labels(e: DataFrame, seeds: DataFrame, stop: DataFrame | None = None) -> DataFrame:
-    """(node, lo, hi): smallest and largest seed label that reaches each node.
-
-    ``seeds`` has (node, lo, hi); a seed's own label counts for its node only
-    if it comes back around a cycle.  Labels do not pass through ``stop`` nodes.
-    ``e`` is an :func:`edge_set`.
-    """
-    frontier = _measured(cut_lineage(seeds))[0]
-    deltas: list[DataFrame] = []
-    while True:
-        sent = e.join(frontier, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        if deltas:
-            known = _union(deltas).groupBy("node").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
-            sent = sent.join(known, "node", "left").filter(
-                F.col("_lo").isNull() | (F.col("lo") < F.col("_lo")) | (F.col("hi") > F.col("_hi"))).select("node", "lo", "hi")
-        step = cut_lineage(sent)
-        if not _measured(step)[1]:
-            break
-        deltas.append(step)
-        if len(deltas) > COMPACT_STEPS:
-            deltas = [cut_lineage(_union(deltas).groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))]
-        frontier = _measured(step if stop is None else step.join(stop, "node", "left_anti"))[0]
-    if not deltas:
-        return seeds.filter(F.lit(False))
-    return _union(deltas).groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-
-
 def root_causes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Failing nodes without another failing node upstream, by downstream count.
 
     Whether a failing node has a failing ancestor is found by spreading labels
     from failing nodes up to the next failing node, which is linear in the
-    edges.  Only the roots' own downstream sets are then enumerated.
+    edges.  What the roots reach is counted 64 roots at a time.
     """
     e = edge_set(edges)
-    failing = cut_lineage(nodes.filter("health_status = 'fail'").select(F.col("external_id").alias("node")).distinct())
-    labels = _spread_labels(e, failing.select("node", F.col("node").alias("lo"), F.col("node").alias("hi")), stop=failing)
-    symptoms = labels.filter((F.col("lo") != F.col("node")) | (F.col("hi") != F.col("node"))).select("node")
-    roots = cut_lineage(failing.join(symptoms, "node", "left_anti"))
-    counted = reach(e, roots.select(F.col("node").alias("start")), ready=True).groupBy(F.col("start").alias("node")).agg(
-        F.count(F.lit(1)).alias("downstream_impact_count"))
-    return roots.join(counted, "node", "left").select(
+    failing = staged_table(nodes.filter("health_status = 'fail'").select(F.col("external_id").alias("node")).distinct())
+    labelled = failing.select("node", F.col("node").alias("label"))
+    lo, hi = (spread(e, labelled, how, ["label"], stop=failing)[0].filter(F.col("label") != F.col("node")).select("node") for how in ("min", "max"))
+    roots = staged_table(failing.join(lo.unionByName(hi), "node", "left_anti"))
+    starts = numbered(roots.select(F.col("node").alias("start")))
+    counted = counts_per_start(masks_from(e, starts)[0], starts, {"downstream_impact_count": F.lit(True)})
+    return roots.join(counted.withColumnRenamed("start", "node"), "node", "left").select(
         F.col("node").alias("external_id"), F.coalesce("downstream_impact_count", F.lit(0)).alias("downstream_impact_count"),
     ).orderBy(F.desc("downstream_impact_count"), "external_id")
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """``edges`` without those whose source nothing enters or whose target nothing leaves, again and again.
-
-    No cycle loses an edge.  Few rounds remove most of a graph that is nearly a tree.
-    """
-    before = edges.count()
-    for _ in range(TRIM_ROUNDS):
-        ends = edges.select(F.col("target").alias("source")).distinct(), edges.select(F.col("source").alias("target")).distinct()
-        edges = cut_lineage(edges.join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi"))
-        now = edges.count()
-        if now == before:
-            break
-        before = now
-    return edges
-
-
 def closes_cycle(edges: DataFrame, candidates: DataFrame, ready: bool = False) -> DataFrame:
     """Candidates (source, target) whose target already reaches their source.
 
     A self loop always closes a cycle.  The graph of edges and candidates is
     first trimmed to what may lie on cycles; only candidates left there are
-    followed, through the edges left there.
+    asked for, through the edges left there.
     """
-    pairs = cut_lineage(candidates.select("source", "target").distinct())
+    pairs = staged_table(candidates.select("source", "target").distinct())
     proper = pairs.filter(F.col("source") != F.col("target"))
     e = edges if ready else edge_set(edges)
     together = e.select("source", "target", F.lit(True).alias("old"), F.lit(False).alias("new")).unionByName(
         proper.select("source", "target", F.lit(False).alias("old"), F.lit(True).alias("new")))
-    core = _trimmed(cut_lineage(together.groupBy("source", "target").agg(F.max("old").alias("old"), F.max("new").alias("new"))))
-    hit = reach(core.filter("old").select("source", "target"), core.filter("new").select(F.col("target").alias("start")), ready=True)
+    core = trimmed(staged_table(together.groupBy("source", "target").agg(F.max("old").alias("old"), F.max("new").alias("new"))))
+    asked = core.filter("new").select(F.col("target").alias("start"), F.col("source").alias("node"))
+    hit = reaching_pairs(core.filter("old").select("source", "target"), asked)
     back = hit.select(F.col("start").alias("target"), F.col("node").alias("source"))
     return pairs.join(back, ["source", "target"], "left_semi").unionByName(pairs.filter(F.col("source") == F.col("target"))).distinct()
 
@@ -218,36 +175,35 @@ def accept_edges(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     pair = ["source", "target"]
     old = existing.select(*pair).distinct().withColumn("_old", F.lit(True))
     first = candidates.groupBy(*pair).agg(F.min("rank").alias("_first"))
-    todo = cut_lineage(candidates.join(first, pair).join(old, pair, "left"))
+    todo = staged_table(candidates.join(first, pair).join(old, pair, "left"))
     known = todo.filter(F.col("_old").isNotNull() | (F.col("rank") != F.col("_first")))
     outcomes = [known.select(*pair, "rank", F.lit("existed").alias("outcome"))]
     fresh = todo.filter(F.col("_old").isNull() & (F.col("rank") == F.col("_first")))
     outcomes.append(fresh.filter("status <> 'confirmed'").select(*pair, "rank", F.lit("suggested").alias("outcome")))
     # A suggested copy that came first keeps its pair out of the confirmed set.
-    confirmed = cut_lineage(existing.filter("status = 'confirmed'").select(*pair).distinct())
+    confirmed = staged_table(existing.filter("status = 'confirmed'").select(*pair).distinct())
     pending = fresh.filter("status = 'confirmed'").select(*pair, "rank")
     while not pending.isEmpty():
         closing = closes_cycle(confirmed, pending, ready=True)
-        rejected = cut_lineage(pending.join(closing, pair, "left_semi"))
+        rejected = staged_table(pending.join(closing, pair, "left_semi"))
         outcomes.append(rejected.withColumn("outcome", F.lit("cycle")))
-        open_ = cut_lineage(pending.join(rejected, pair, "left_anti"))
+        open_ = staged_table(pending.join(rejected, pair, "left_anti"))
         if open_.isEmpty():
             break
-        together = cut_lineage(confirmed.unionByName(open_.select(*pair)))
-        conflicted = cut_lineage(open_.join(closes_cycle(together, open_, ready=True), pair, "left_semi"))
+        together = staged_table(confirmed.unionByName(open_.select(*pair)))
+        conflicted = staged_table(open_.join(closes_cycle(together, open_, ready=True), pair, "left_semi"))
         safe = open_.join(conflicted, pair, "left_anti")
         winners = safe
         if not conflicted.isEmpty():
-            seeds = conflicted.groupBy(F.col("target").alias("node")).agg(F.min("rank").alias("lo"), F.min("rank").alias("hi"))
-            spread = _spread_labels(together, seeds).select("node", "lo").unionByName(seeds.select("node", "lo"))
-            lowest = spread.groupBy(F.col("node").alias("source")).agg(F.min("lo").alias("lowest"))
+            seeds = conflicted.select(F.col("target").alias("node"), "rank")
+            lowest = spread(together, seeds, "min", ["rank"], own=True)[0].select(F.col("node").alias("source"), F.col("rank").alias("lowest"))
             leading = conflicted.join(lowest, "source", "left").filter(F.coalesce(F.col("lowest") >= F.col("rank"), F.lit(True)))
             winners = safe.unionByName(leading.select(*pair, "rank"))
-        winners = cut_lineage(winners)
+        winners = staged_table(winners)
         outcomes.append(winners.withColumn("outcome", F.lit("confirmed")))
-        confirmed = cut_lineage(confirmed.unionByName(winners.select(*pair)))
-        pending = cut_lineage(open_.join(winners, pair, "left_anti"))
-    return _union(outcomes)
+        confirmed = staged_table(confirmed.unionByName(winners.select(*pair)))
+        pending = staged_table(open_.join(winners, pair, "left_anti"))
+    return union(outcomes)
 
 
 def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -256,7 +212,7 @@ def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Roots have no incoming edge.  A path that would repeat one of its own nodes
     ends before the repetition.
     """
-    known = cut_lineage(nodes.select("external_id").distinct())
+    known = staged_table(nodes.select("external_id").distinct())
     e = edge_set(edges)
     inner = edges.select(F.col("target").alias("external_id")).distinct()
     roots = known.join(inner, "external_id", "left_anti")
@@ -265,9 +221,81 @@ def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     done = []
     while True:
         grown = frontier.join(e, F.col("node") == F.col("source")).withColumn("again", F.array_contains("path", F.col("target")))
-        done.append(cut_lineage(frontier.join(sources, "node", "left_anti").select("path").unionByName(
+        done.append(staged_table(frontier.join(sources, "node", "left_anti").select("path").unionByName(
             grown.filter("again").select("path"))))
         step = grown.filter(~F.col("again")).join(known, F.col("target") == F.col("external_id"), "left_semi")
-        frontier = cut_lineage(step.select(F.array_append("path", F.col("target")).alias("path"), F.col("target").alias("node")))
+        frontier = staged_table(step.select(F.array_append("path", F.col("target")).alias("path"), F.col("target").alias("node")))
         if frontier.isEmpty():
-            return _union(done)
+            return union(done)
+
+
+def _before(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value`` over the rows of the same ``keys`` that come earlier by ``order``.
+
+    Rows are range-sorted, so that a key with most of the rows is spread over
+    many tasks; only sums for each key and range are added up at once.
+    """
+    ranged = staged_table(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy("_range", *keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    total = F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return ranged.join(offsets, [*keys, "_range"]).withColumn("before", total.cast(_WIDE)).drop("_range", "_offset")
+
+
+def count_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, paths): how many ways lead from each node to a leaf, counted from the leaves upwards.
+
+    Ways through nodes that are not listed do not count.  A cycle is an error;
+    so is a number beyond 38 digits.
+    """
+    known = staged_table(nodes.select(F.col("external_id").alias("node")).distinct())
+    e = edge_set(edges.join(known.withColumnRenamed("node", "source"), "source", "left_semi"))
+    inner = staged_table(e.join(known.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target"))
+    leaves = known.join(e.select(F.col("source").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(1).cast(_WIDE).alias("paths"))
+    dead = known.join(inner.select(F.col("source").alias("node")).distinct(), "node", "left_anti").join(leaves, "node", "left_anti").select("node", F.lit(0).cast(_WIDE).alias("paths"))
+    ways = inner.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("out"))
+    step, sent, going = measured(leaves.unionByName(dead))
+    done, waiting = [step], ways.select("node", "out", F.lit(0).cast(_WIDE).alias("paths"))
+    while going:
+        arrived = inner.join(sent.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node")).agg(F.sum("paths").cast(_WIDE).alias("more"), F.count("*").alias("n"))
+        now = staged_table(waiting.join(arrived, "node", "left").select("node", (F.col("out") - F.coalesce("n", F.lit(0))).alias("out"), (F.col("paths") + F.coalesce("more", F.lit(0))).cast(_WIDE).alias("paths")))
+        step, sent, going = measured(now.filter("out = 0").select("node", "paths"))
+        waiting = now.filter("out > 0")
+        if going:
+            done.append(step)
+        if len(done) > COMPACT_STEPS:
+            done = [staged_table(union(done))]
+    if not waiting.isEmpty():
+        raise ValueError("paths through a cycle cannot be numbered")
+    return union(done)
+
+
+def numbered_paths(nodes: DataFrame, edges: DataFrame, first: int, number: int) -> DataFrame:
+    """(no, path) of ``number`` paths from the ``first`` on, counted from 0 in the order of their node ids; the others are not made.
+
+    Every path finds its next node by its number among those that start with the
+    same nodes.  The graph has to be free of cycles.
+    """
+    counts = staged_table(count_paths(nodes, edges))
+    known = counts.select(F.col("node").alias("external_id"))
+    roots = counts.join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti").filter("paths > 0")
+    begun = _before(roots.withColumn("_all", F.lit(0)), ["_all"], "node", "paths")
+    low, high = F.greatest(F.col("before"), F.lit(first).cast(_WIDE)), F.least(F.col("before") + F.col("paths"), F.lit(first + number).cast(_WIDE))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), (high - low).cast("long") - 1))
+    opened = begun.filter(low < high).select("node", low.alias("low"), "before", numbers.alias("_i"))
+    rows = opened.select((F.col("low") + F.col("_i")).cast(_WIDE).alias("no"), F.array("node").alias("path"), "node", (F.col("low") + F.col("_i") - F.col("before")).cast(_WIDE).alias("left"))
+    inner = edge_set(edges).join(known.withColumnRenamed("external_id", "source"), "source", "left_semi")
+    ways = staged_table(_before(inner.join(counts.withColumnRenamed("node", "target"), "target").filter("paths > 0"), ["source"], "target", "paths"))
+    done = []
+    rows, _, going = measured(rows)
+    while going:
+        on = (F.col("node") == F.col("source")) & (F.col("left") >= F.col("before")) & (F.col("left") < F.col("before") + F.col("paths"))
+        grown = staged_table(rows.join(ways, on, "left"))
+        done.append(grown.filter("source IS NULL").select("no", "path"))
+        if len(done) > COMPACT_STEPS:
+            done = [staged_table(union(done))]
+        rows, _, going = measured(grown.filter("source IS NOT NULL").select(
+            "no", F.array_append("path", F.col("target")).alias("path"), F.col("target").alias("node"), (F.col("left") - F.col("before")).cast(_WIDE).alias("left")))
+    return union(done) if done else rows.select("no", "path")

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from assay.functions.exact import percent
 from assay.functions.severity import layer_rank, node_health
-from assay.operators.graph import accept_edges, reach
+from assay.operators.graph import accept_edges, edge_set, qualified, unqualified
 from assay.operators.history import latest_reports
-from assay.operators.relational import anti_join, first_rows, latest_per_key, merge_keyed, touching
+from assay.operators.reachability import counts_per_start, masks_from, numbered, union, without_own
+from assay.operators.relational import anti_join, first_rows, latest_per_key, merge_keyed
+from assay.session import staged_table
 
 # Confidence of a query-log edge by number of executions.
 ONE_RUN_CONFIDENCE = 0.6
@@ -25,6 +27,11 @@ FEW_RUNS = 4
 _PAIR = ["source", "target"]
 
 
+def _tenant(*frames: DataFrame) -> list[str]:
+    """``connection_id`` where all of the frames have it: rows of two connections then stay apart."""
+    return ["connection_id"] if all("connection_id" in f.columns for f in frames) else []
+
+
 def fk_edges(constraints: DataFrame) -> DataFrame:
     """G1: declared keys as confirmed edges parent -> child, self edges dropped."""
     listed = lambda t, c: F.concat(F.col(t), F.lit("("), F.array_join(c, ","), F.lit(")"))
@@ -38,18 +45,19 @@ def fk_edges(constraints: DataFrame) -> DataFrame:
 def query_log_edges(statements: DataFrame, known_tables: DataFrame) -> DataFrame:
     """Extracted (source, target, execution_count, query_text) rows as suggested edges.
 
-    Only tables of the catalog count; a pair's executions are summed before the
-    catalog is joined.
+    Only tables of the catalog count, of the statement's own connection if both
+    name one; a pair's executions are summed before the catalog is joined.
     """
+    tenant = _tenant(statements, known_tables)
     runs = F.greatest(F.coalesce("execution_count", F.lit(1)), F.lit(1))
-    pairs = statements.filter(F.col("source") != F.col("target")).groupBy(*_PAIR).agg(
+    pairs = statements.filter(F.col("source") != F.col("target")).groupBy(*tenant, *_PAIR).agg(
         F.sum(runs).alias("executions"), F.min("query_text").alias("example"))
-    known = known_tables.select("table_fqn").distinct()
+    known = known_tables.select(*tenant, "table_fqn").distinct()
     for side in _PAIR:
-        pairs = pairs.join(known.withColumnRenamed("table_fqn", side), side, "left_semi")
+        pairs = pairs.join(known.withColumnRenamed("table_fqn", side), [*tenant, side], "left_semi")
     n = F.col("executions")
     return pairs.select(
-        *_PAIR, F.lit("FEEDS").alias("edge_type"), F.lit("suggested").alias("status"), F.lit("query_log").alias("discovered_via"),
+        *tenant, *_PAIR, F.lit("FEEDS").alias("edge_type"), F.lit("suggested").alias("status"), F.lit("query_log").alias("discovered_via"),
         F.when(n <= 1, ONE_RUN_CONFIDENCE).when(n <= FEW_RUNS, FEW_RUNS_CONFIDENCE).otherwise(MANY_RUNS_CONFIDENCE).alias("confidence"),
         F.concat(F.lit("Statements run: "), n.cast("string"), F.lit(", one of them: "), F.trim("example")).alias("evidence"))
 
@@ -141,28 +149,34 @@ def nodes_health(nodes: DataFrame, reports: DataFrame) -> DataFrame:
         "health_status", node_health(F.col("quality_score"))).drop("quality_score")
 
 
+_COVERAGE = ("total_known_tables", "tables_with_edges", "suggested_pending", "suggested_approved", "suggested_rejected")
+
+
 def coverage(known_tables: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """How much of the catalog has lineage, and the state of suggestions."""
-    total = known_tables.agg(F.count(F.lit(1))).scalar()
+    """How much of each connection's catalog has lineage, and the state of its suggestions."""
+    named = lambda df: df.select("connection_id", *[F.lit(0).cast("long").alias(n) if n not in df.columns else F.col(n) for n in _COVERAGE])
     confirmed = edges.filter("status = 'confirmed'")
-    linked = touching(nodes.select("external_id").distinct(), "external_id", confirmed, *_PAIR).agg(F.count(F.lit(1))).scalar()
+    ends = confirmed.select("connection_id", F.col("source").alias("external_id")).unionByName(confirmed.select("connection_id", F.col("target").alias("external_id"))).distinct()
+    linked = nodes.select("connection_id", "external_id").distinct().join(ends, ["connection_id", "external_id"], "left_semi")
     hinted = F.col("discovered_via").isin("query_log", "query_log_llm")
-    counts = edges.agg(
+    states = edges.groupBy("connection_id").agg(
         F.count_if(hinted & (F.col("status") == "suggested")).alias("suggested_pending"),
         F.count_if(hinted & (F.col("status") == "confirmed")).alias("suggested_approved"),
         F.count_if(hinted & (F.col("status") == "rejected")).alias("suggested_rejected"))
-    return counts.withColumns({"total_known_tables": total, "tables_with_edges": linked}).withColumn(
+    size = lambda df, name: df.groupBy("connection_id").agg(F.count(F.lit(1)).alias(name))
+    parts = union([named(states), named(size(known_tables, "total_known_tables")), named(size(linked, "tables_with_edges"))])
+    return parts.groupBy("connection_id").agg(*[F.sum(n).alias(n) for n in _COVERAGE]).withColumn(
         "completeness_pct", percent(F.col("tables_with_edges"), F.col("total_known_tables"), 1))
 
 
 def edges_by_origin(edges: DataFrame) -> DataFrame:
-    """Confirmed edges by how they were found."""
-    return edges.filter("status = 'confirmed'").groupBy("discovered_via").agg(F.count(F.lit(1)).alias("edges"))
+    """Confirmed edges of each connection by how they were found."""
+    return edges.filter("status = 'confirmed'").groupBy("connection_id", "discovered_via").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def suggested_edges(edges: DataFrame) -> DataFrame:
-    """Edges waiting for review, most confident first."""
-    return edges.filter("status = 'suggested'").orderBy(F.desc_nulls_last("confidence"), "source", "target")
+    """Edges waiting for review, the most confident of each connection first."""
+    return edges.filter("status = 'suggested'").orderBy(*_tenant(edges), F.desc_nulls_last("confidence"), "source", "target")
 
 
 def review_edges(edges: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -170,8 +184,14 @@ def review_edges(edges: DataFrame, decisions: DataFrame) -> DataFrame:
 
     ``decisions`` has (source, target, decision, rank).  Only suggested edges
     can be decided; an approval that would close a cycle is left suggested and
-    marked.
+    marked.  Where both name a connection, each connection has its own graph.
     """
+    if _tenant(edges, decisions):
+        return unqualified(_review(qualified(edges, *_PAIR), qualified(decisions, *_PAIR)), *_PAIR).select(*edges.columns, "review")
+    return _review(edges, decisions)
+
+
+def _review(edges: DataFrame, decisions: DataFrame) -> DataFrame:
     pending = edges.filter("status = 'suggested'").select(*_PAIR)
     wanted = decisions.join(pending, _PAIR, "left_semi")
     confirmed = edges.filter("status = 'confirmed'").select(*_PAIR, "status")
@@ -191,15 +211,39 @@ def impact_severity(health: Column, downstream: Column) -> Column:
             .when((health == "warn") & (downstream >= 1), "medium").otherwise("low"))
 
 
+def _first_dependents(masks: DataFrame, starts: DataFrame, limit: int | None) -> DataFrame:
+    """(start, no, label) of the ``limit`` nearest nodes of each start in ``masks`` (group, node, mask, depth, label).
+
+    Steps are taken from the nearest on; starts that have enough are not asked for any further.
+    """
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(F.col("mask"), b) == 1)
+    by_start = lambda some: some.withColumn("bit", F.explode(bits)).join(starts.select("start", "group", "bit"), ["group", "bit"])
+    if limit is None:
+        return latest_per_key(by_start(masks), ["start"], [F.asc("depth"), F.asc("node")], None, rank="no").select("start", "no", "label")
+    steps = masks.select("depth").distinct().orderBy("depth").toLocalIterator()
+    found, want = [], starts.select("group", F.col("mask").alias("_want"))
+    for step in steps:
+        open_ = want.groupBy("group").agg(F.bit_or("_want").alias("_want"))
+        here = masks.filter(F.col("depth") == step["depth"]).join(open_, "group").withColumn("mask", F.col("mask").bitwiseAND(F.col("_want"))).filter("mask != 0")
+        found.append(staged_table(latest_per_key(by_start(here), ["start"], [F.asc("node")], limit, rank="no").select("start", F.lit(step["depth"]).alias("depth"), "node", "label")))
+        full = union(found).groupBy("start").count().filter(F.col("count") >= limit)
+        left = starts.join(full, "start", "left_anti")
+        if left.isEmpty():
+            break
+        want = left.select("group", F.col("mask").alias("_want"))
+    if not found:
+        return by_start(masks).select("start", F.lit(1).alias("no"), "label")
+    return latest_per_key(union(found), ["start"], [F.asc("depth"), F.asc("node")], limit, rank="no").select("start", "no", "label")
+
+
 def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, shown_labels: int | None = 5) -> DataFrame:
     """Severity and three sentences for each table of ``targets`` (external_id); ``shown_labels`` None names all dependents."""
     chosen = nodes.join(targets.select("external_id").distinct(), "external_id", "left_semi")
-    reached = reach(edges.filter("status = 'confirmed'"), chosen.select(F.col("external_id").alias("start"))).filter(
-        F.col("start") != F.col("node"))
+    starts = numbered(chosen.select(F.col("external_id").alias("start")))
     labels = nodes.select(F.col("external_id").alias("node"), "label")
-    named = reached.join(labels, "node")
-    counted = named.groupBy(F.col("start").alias("external_id")).agg(F.count(F.lit(1)).alias("downstream_count"))
-    shown = latest_per_key(named, ["start"], [F.asc("depth"), F.asc("node")], shown_labels, rank="no").groupBy(F.col("start").alias("external_id")).agg(
+    masks = staged_table(without_own(masks_from(edge_set(edges.filter("status = 'confirmed'")), starts)[0], starts).join(labels, "node"))
+    counted = counts_per_start(masks, starts, {"downstream_count": F.lit(True)}).withColumnRenamed("start", "external_id")
+    shown = _first_dependents(masks, starts, shown_labels).groupBy(F.col("start").alias("external_id")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "label"))), lambda s: s["label"]), ", ").alias("labels"))
     j = chosen.join(counted, "external_id", "left").join(shown, "external_id", "left").fillna(0, ["downstream_count"])
     n, health = F.col("downstream_count"), F.coalesce("health_status", F.lit("ok"))
@@ -218,18 +262,23 @@ def full_graph(nodes: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def import_nodes(nodes: DataFrame, wanted_nodes: DataFrame, wanted_edges: DataFrame) -> DataFrame:
-    """Nodes to create; those named only by edges become bare tables."""
-    ends = wanted_edges.select(F.col("source").alias("external_id")).unionByName(
-        wanted_edges.select(F.col("target").alias("external_id"))).distinct()
-    bare = anti_join(ends, wanted_nodes, ["external_id"]).select(
-        "external_id", F.col("external_id").alias("label"), F.lit(None).cast("string").alias("layer"), F.lit("table").alias("node_type"))
-    listed = wanted_nodes.select("external_id", F.coalesce("label", "external_id").alias("label"), "layer",
+    """Nodes to create, of their connection if all inputs name one; those named only by edges become bare tables."""
+    tenant = _tenant(nodes, wanted_nodes, wanted_edges)
+    key = [*tenant, "external_id"]
+    ends = wanted_edges.select(*tenant, F.col("source").alias("external_id")).unionByName(
+        wanted_edges.select(*tenant, F.col("target").alias("external_id"))).distinct()
+    bare = anti_join(ends, wanted_nodes, key).select(
+        *key, F.col("external_id").alias("label"), F.lit(None).cast("string").alias("layer"), F.lit("table").alias("node_type"))
+    listed = wanted_nodes.select(*key, F.coalesce("label", "external_id").alias("label"), "layer",
                                  F.coalesce("node_type", F.lit("table")).alias("node_type"))
-    return anti_join(listed.unionByName(bare), nodes, ["external_id"])
+    return anti_join(listed.unionByName(bare), nodes, key)
 
 
 def import_edges(edges: DataFrame, wanted_edges: DataFrame) -> DataFrame:
-    """Outcome per imported edge (source, target, rank), as in :func:`accept_edges`."""
+    """Outcome per imported edge (source, target, rank), as in :func:`accept_edges`; per connection where both inputs name one."""
+    if _tenant(edges, wanted_edges):
+        wanted = qualified(wanted_edges, *_PAIR).select(*_PAIR, F.lit("confirmed").alias("status"), F.struct("rank", "connection_id").alias("rank"))
+        return unqualified(accept_edges(qualified(edges, *_PAIR), wanted), *_PAIR).withColumn("rank", F.col("rank.rank"))
     return accept_edges(edges, wanted_edges.select(*_PAIR, F.lit("confirmed").alias("status"), "rank"))
 
 

@@ -48,7 +48,7 @@ def discover(nodes: DataFrame, edges: DataFrame, known_tables: DataFrame, constr
     first kind counts.  ``counts`` has the edges by kind and outcome, and the
     nodes created under kind ``node``.
     """
-    known = known_tables.select("table_fqn").distinct()
+    known = known_tables.select(*[c for c in ("connection_id", "table_fqn") if c in known_tables.columns]).distinct()
     parts = []
     if constraints is not None:
         parts.append(lineage.fk_edges(constraints).select(*_EDGE))
