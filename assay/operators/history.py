@@ -30,9 +30,11 @@ def latest_reports(reports: DataFrame) -> DataFrame:
     return latest_per_key(reports, ["connection_id", "table_fqn"], [F.desc("run_at"), F.desc("report_id")])
 
 
-def ordered_risks(risks: DataFrame) -> DataFrame:
-    """Risks by severity, most severe first."""
-    return risks.orderBy(severity_rank(F.col("severity")), "risk_type", "column_name")
+def latest_risks(reports: DataFrame, risks: DataFrame) -> DataFrame:
+    """Risks of each table's newest report, numbered by ``place`` from the most severe on."""
+    key = ["connection_id", "table_fqn"]
+    own = risks.join(latest_reports(reports).select(*key, "report_id"), [*key, "report_id"], "left_semi")
+    return latest_per_key(own, key, [severity_rank(F.col("severity")), F.asc("risk_type"), F.asc("column_name")], None, rank="place")
 
 
 def report_history(reports: DataFrame, limit: int) -> DataFrame:

@@ -49,8 +49,8 @@ def merge_results(existing: DataFrame, scoped: DataFrame) -> DataFrame:
 
 
 def rules_per_table(rules: DataFrame) -> DataFrame:
-    """R14."""
-    return rules.filter(F.col("table_fqn").isNotNull()).groupBy("table_fqn").agg(
+    """Rules of each connection's tables by state."""
+    return rules.filter(F.col("table_fqn").isNotNull()).groupBy("connection_id", "table_fqn").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin(*LIVE)).alias("approved"),
         F.count_if(F.col("status") == "draft").alias("pending"), F.count_if(F.col("is_cde_rule")).alias("cde"),
         F.count_if(F.col("related_table_fqn").isNotNull()).alias("cross_table"))

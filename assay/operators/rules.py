@@ -24,11 +24,12 @@ from pyspark.errors import (AnalysisException, ArithmeticException, ArrayIndexOu
                             NumberFormatException, ParseException, SparkRuntimeException)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.functions.exact import percent, ratio, scaled
 from assay.functions.severity import UNKNOWN_LAYER, layer_rank, lookup, severity_rank
 from assay.functions.text import json_safe
-from assay.operators.relational import key_counts, unmatched_counts
+from assay.operators.relational import key_counts, latest_per_key, unmatched_counts
 
 ALIAS = "t"
 SAMPLE_ROWS = 20
@@ -96,11 +97,61 @@ def unique_text(columns: Sequence[str]) -> str:
 # --- running rule text -------------------------------------------------------
 
 def pass_flag(expression: str) -> Column:
-    return F.expr(f"CASE WHEN ({expression}) THEN 1 ELSE 0 END")
+    return F.expr(f"CASE WHEN ({expression}\n) THEN 1 ELSE 0 END")  # a comment may end the expression
+
+
+# What a rule's text may hold besides code: strings, quoted names and comments.
+_NO_CODE = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/"""
+_NAME = r"(?:\w+\s*\.\s*)?(?:\w+|`(?:[^`]|``)+`)"
+_COUNT_OVER = re.compile(rf"(?P<skip>{_NO_CODE})|COUNT\s*\(\s*(?:\*|1)\s*\)\s*OVER\s*\(\s*PARTITION\s+BY\s+(?P<keys>{_NAME}(?:\s*,\s*{_NAME})*)\s*\)", re.IGNORECASE | re.DOTALL)
+_ROWS = "__assay_rows"
+
+
+def key_counted(df: DataFrame, expression: str) -> tuple[DataFrame, str] | None:
+    """Rule text whose only windows count the rows of a key, over counted groups in place of rows.
+
+    Rows are first counted by the columns that the text mentions, combined on the
+    map side, so a hot key costs one row per map task and distinct group.  Counts
+    of the keys are summed from these and joined to the groups if the text
+    mentions other columns as well.  ``__assay_rows`` says how many rows a group
+    stands for.  None for other texts.
+    """
+    windows: list[tuple[str, ...]] = []
+
+    def named(m: re.Match) -> str:
+        if m["skip"] is not None:
+            return m[0]
+        keys = tuple(re.sub(r"^\w+\s*\.\s*", "", k).strip().strip("`").replace("``", "`").lower() for k in re.findall(_NAME, m["keys"]))
+        if keys not in windows:
+            windows.append(keys)
+        return f"__assay_count_{windows.index(keys)}"
+
+    text = _COUNT_OVER.sub(named, expression)
+    columns = {c.lower(): c for c in df.columns}
+    if not windows or re.search(r"\bOVER\b|\bSELECT\b", re.sub(_NO_CODE, "''", text), re.IGNORECASE | re.DOTALL) or any(k not in columns for keys in windows for k in keys):
+        return None
+    words = set(re.findall(r"\w+", expression.lower()))
+    used = [c for low, c in columns.items() if low in words or not re.fullmatch(r"\w+", low) or any(low in keys for keys in windows)]
+    groups = df.groupBy(*[quote(c) for c in used]).agg(F.count(F.lit(1)).alias(_ROWS))
+    for i, keys in enumerate(windows):
+        names = [columns[k] for k in dict.fromkeys(keys)]
+        if set(names) == set(used):
+            groups = groups.withColumn(f"__assay_count_{i}", F.col(_ROWS))
+            continue
+        totals = groups.groupBy(*[F.col(quote(n)).alias(f"__assay_key_{i}_{j}") for j, n in enumerate(names)]).agg(F.sum(_ROWS).alias(f"__assay_count_{i}"))
+        same = [F.col(quote(n)).eqNullSafe(F.col(f"__assay_key_{i}_{j}")) for j, n in enumerate(names)]
+        groups = groups.join(totals, same).drop(*[f"__assay_key_{i}_{j}" for j in range(len(names))])
+    return groups, text
 
 
 def check_rule(df: DataFrame, expression: str) -> DataFrame:
     """Rows and failing rows of one rule, in one job."""
+    counted = key_counted(df, expression)
+    if counted is not None:
+        groups, text = counted
+        rows, passed = F.col(_ROWS), F.col("passed")
+        return groups.alias(ALIAS).select(_ROWS, pass_flag(text).alias("passed")).agg(
+            F.coalesce(F.sum(rows), F.lit(0)).alias("total_records"), F.coalesce(F.sum(rows * (1 - passed)), F.lit(0)).alias("failed_records"))
     flags = df.alias(ALIAS).select(pass_flag(expression).alias("passed"))
     return flags.agg(F.count(F.lit(1)).alias("total_records"),
                      F.coalesce(F.sum(1 - F.col("passed")), F.lit(0)).alias("failed_records"))
@@ -138,7 +189,7 @@ def registered(tables: dict[str, DataFrame]) -> Iterator[Callable[[str], str]]:
     """Make tables visible to subqueries; yields how to rewrite a rule's text.
 
     Every table gets a view of its own, and its full name in a text is replaced
-    by that view's.  The last part of a name works as well where it is the only
+    by that view's, but not in strings and comments.  The last part of a name works as well where it is the only
     one; a text that uses an ambiguous one does not analyse.  Plans are analysed
     while the views exist; afterwards they are dropped and a caller's own views
     of the same names are back.
@@ -162,9 +213,10 @@ def registered(tables: dict[str, DataFrame]) -> Iterator[Callable[[str], str]]:
             if name in shorts:
                 df.createOrReplaceTempView(quote(last(name)))
         qualified = sorted((n for n in tables if "." in n), key=len, reverse=True)
-        dotted = re.compile("|".join(r"(?<![\w.`])" + r"\.".join(f"`?{re.escape(part)}`?" for part in n.split(".")) + r"(?![\w`])" for n in qualified), re.IGNORECASE)
+        names = "|".join(r"(?<![\w.`])" + r"\.".join(f"`?{re.escape(part)}`?" for part in n.split(".")) + r"(?![\w`])" for n in qualified)
+        dotted = re.compile(rf"(?P<skip>{_NO_CODE})|{names}", re.IGNORECASE | re.DOTALL)
         by_name = {n.lower(): views[n] for n in qualified}
-        yield (lambda text: dotted.sub(lambda m: by_name[m[0].replace("`", "").lower()], text)) if qualified else (lambda text: text)
+        yield (lambda text: dotted.sub(lambda m: m[0] if m["skip"] is not None else by_name[m[0].replace("`", "").lower()], text)) if qualified else (lambda text: text)
     finally:
         for name in tables:
             spark.catalog.dropTempView(views[name])
@@ -215,25 +267,48 @@ def count_failures(tables: dict[str, DataFrame], rules: Iterable[Rule]) -> DataF
     return out
 
 
+def row_digest(df: DataFrame) -> Column:
+    """A digest of a row's values, in the order of its columns."""
+    cells = [F.col(quote(f.name)).cast("string") if isinstance(f.dataType, T.AtomicType) else F.to_json(F.struct(quote(f.name))) for f in df.schema.fields]
+    return F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in cells]).cast("binary"))
+
+
 def failing_samples(tables: dict[str, DataFrame], rules: Iterable[Rule], n: int = SAMPLE_ROWS) -> DataFrame:
     """(rule_id, sample_failed_records): up to ``n`` failing rows of each rule as a JSON array.
 
-    Rules with a typed check show failing keys with their counts.  Each sample
-    is a scan that ends as soon as it has enough rows.
+    The rows with the smallest digests are shown, so samples repeat from run to
+    run.  All row-level rules of a table share one scan, whose tasks keep ``n``
+    rows of each rule.  Rules with a typed check show failing keys with their
+    counts; those and rules with subqueries or windows have a scan of their own.
     """
     spark = next(iter(tables.values())).sparkSession
     out = spark.createDataFrame([], "rule_id string, sample string")
+
+    def shown(found: DataFrame) -> Column:
+        return F.to_json(F.struct(*[json_safe(F.col(quote(f.name)), f.dataType).alias(f.name) for f in found.schema.fields]))
+
     with registered(tables) as rewritten:
+        shared: dict[str, list[tuple[str, str]]] = {}
         for r in rules:
             if r.table_fqn not in tables or r.check is not None:
                 continue
+            df, text = tables[r.table_fqn], rewritten(r.rule_expression)
             if _typed(r, tables) is not None:
                 groups, failing = typed_groups(r, tables)[:2]
-                found = groups.filter(failing).limit(n)
+                found = groups.filter(failing)
+            elif _analyses(lambda: check_rules(df, {r.rule_id: text})):
+                shared.setdefault(r.table_fqn, []).append((r.rule_id, text))
+                continue
             else:
-                found = failed_rows(tables[r.table_fqn], rewritten(r.rule_expression), n)
-            cells = [json_safe(F.col(quote(f.name)), f.dataType).alias(f.name) for f in found.schema.fields]
-            out = out.unionByName(found.select(F.lit(r.rule_id).alias("rule_id"), F.to_json(F.struct(*cells)).alias("sample")))
+                found = df.alias(ALIAS).select("*", pass_flag(text).alias("__passed")).filter("__passed = 0").drop("__passed")
+            out = out.unionByName(found.orderBy(row_digest(found)).limit(n).select(F.lit(r.rule_id).alias("rule_id"), shown(found).alias("sample")))
+        for name, several in shared.items():
+            for at in range(0, len(several), RULES_PER_SCAN):
+                df = tables[name].alias(ALIAS)
+                failing = F.array_compact(F.array(*[F.when(pass_flag(text) == 0, F.lit(rule_id)) for rule_id, text in several[at:at + RULES_PER_SCAN]]))
+                marked = df.select("*", row_digest(tables[name]).alias("__digest"), failing.alias("__failing")).withColumn("__rule", F.explode("__failing"))
+                first = latest_per_key(marked, ["__rule"], [F.asc("__digest")], n)
+                out = out.unionByName(first.select(F.col("__rule").alias("rule_id"), shown(tables[name]).alias("sample")))
     listed = F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("sample")), ","), F.lit("]"))
     return out.groupBy("rule_id").agg(listed.alias("sample_failed_records"))
 

@@ -96,15 +96,15 @@ def connections_of(*frames: DataFrame) -> DataFrame:
 
 
 def anomaly_breakdown(anomalies: DataFrame) -> DataFrame:
-    """Open anomalies by type, with label and intent."""
-    return (anomalies.filter("status = 'open'").groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("n"))
+    """Open anomalies of each connection by type, with label and intent."""
+    return (anomalies.filter("status = 'open'").groupBy("connection_id", "anomaly_type").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("label", type_label(F.col("anomaly_type"))).withColumn("intent", type_intent(F.col("anomaly_type")))
-            .orderBy(F.desc("n"), "anomaly_type"))
+            .orderBy("connection_id", F.desc("n"), "anomaly_type"))
 
 
 def anomalies_by_layer(anomalies: DataFrame) -> DataFrame:
-    """Open anomalies by layer."""
-    return anomalies.filter("status = 'open' AND layer IS NOT NULL").groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    """Open anomalies of each connection by layer."""
+    return anomalies.filter("status = 'open' AND layer IS NOT NULL").groupBy("connection_id", "layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cde_health(registry: DataFrame) -> DataFrame:
@@ -247,9 +247,9 @@ def with_rule_names(results: DataFrame, rules: DataFrame, default: str) -> DataF
 
 
 def new_anomalies(anomalies: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
-    """Anomalies of the last day."""
+    """Anomalies of the last day, of every connection that ever had one."""
     since = as_of - F.make_dt_interval(hours=F.lit(hours))
-    return anomalies.filter((F.col("detected_at") > since) & (F.col("detected_at") <= as_of)).agg(F.count(F.lit(1)).alias("new_anomalies"))
+    return anomalies.groupBy("connection_id").agg(F.count_if((F.col("detected_at") > since) & (F.col("detected_at") <= as_of)).alias("new_anomalies"))
 
 
 def newly_failing(results: DataFrame) -> DataFrame:
@@ -264,12 +264,14 @@ def newly_failing(results: DataFrame) -> DataFrame:
 
 
 def layer_freshness(reports: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
-    """Hours since a layer was last profiled or checked."""
-    touched = reports.groupBy("layer").agg(F.max("run_at").alias("ts")).unionByName(
-        results.groupBy("layer").agg(F.max("run_timestamp").alias("ts")))
-    last = touched.groupBy("layer").agg(F.max("ts").alias("last_checked"))
+    """Hours since each of a connection's layers was last profiled or checked; every connection has the four layers."""
+    key = ["connection_id", "layer"]
+    touched = reports.groupBy(*key).agg(F.max("run_at").alias("ts")).unionByName(
+        results.groupBy(*key).agg(F.max("run_timestamp").alias("ts")))
+    last = touched.groupBy(*key).agg(F.max("ts").alias("last_checked"))
+    every = last.select("connection_id").distinct().select("connection_id", F.explode(F.array(*[F.lit(x) for x in LAYERS])).alias("layer"))
     age = F.round((F.unix_timestamp(as_of) - F.unix_timestamp("last_checked")) / 3600.0, 1)
-    return (layers_frame(reports.sparkSession).join(last, "layer", "left").withColumn("age_hours", age)
+    return (every.join(last, key, "left").withColumn("age_hours", age)
             .withColumn("state", F.when(F.col("last_checked").isNull(), "never").when(F.col("age_hours") <= FRESH_HOURS, "fresh")
                         .when(F.col("age_hours") <= AGING_HOURS, "aging").otherwise("stale")))
 
@@ -288,10 +290,10 @@ def rule_failures_per_day(results: DataFrame) -> DataFrame:
 def cde_status(dictionary: DataFrame, column_stats: DataFrame, rules: DataFrame, by_table: bool = False) -> DataFrame:
     """NULL rate, live rules and health of critical data elements.
 
-    Statistics and rules are matched on the column name; ``by_table`` matches
-    table and column.
+    Statistics and rules are matched on connection and column name; ``by_table``
+    matches the table too.
     """
-    keys = ["table_fqn", "column_name"] if by_table else ["column_name"]
+    keys = ["connection_id", *(["table_fqn"] if by_table else []), "column_name"]
     nulls = column_stats.groupBy(*keys).agg(mean_of(F.col("null_pct"), 2, 4).alias("last_null_pct"))
     covered = rules.filter(F.col("status").isin(*LIVE)).groupBy(*keys).agg(F.count(F.lit(1)).alias("rule_coverage"))
     out = dictionary.filter("is_cde").join(nulls, keys, "left").join(covered, keys, "left").fillna(0, ["last_null_pct", "rule_coverage"])
@@ -353,16 +355,16 @@ def ai_usage_totals(per_feature: DataFrame) -> DataFrame:
 
 
 def layer_coverage(dictionary: DataFrame, rules: DataFrame) -> DataFrame:
-    """Share of described columns and of columns with a live rule, per layer."""
+    """Share of described columns and of columns with a live rule, per connection and layer."""
     layer = F.upper(F.coalesce("layer", F.lit("UNKNOWN"))).alias("layer")
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    d = dictionary.groupBy(layer).agg(F.count(F.lit(1)).alias("total"),
-                                      F.count_if(filled("business_name") | filled("description")).alias("described"))
-    r = rules.filter(F.col("status").isin(*LIVE) & filled("column_name")).groupBy(layer).agg(
+    d = dictionary.groupBy("connection_id", layer).agg(F.count(F.lit(1)).alias("total"),
+                                                       F.count_if(filled("business_name") | filled("description")).alias("described"))
+    r = rules.filter(F.col("status").isin(*LIVE) & filled("column_name")).groupBy("connection_id", layer).agg(
         F.count_distinct("column_name").alias("rule_columns"))
-    j = d.join(r, "layer", "left").withColumn("rule_columns", F.coalesce("rule_columns", F.lit(0)))
-    return j.select("layer", percent(F.col("described"), F.col("total"), 0).alias("dict_pct"),
-                    percent(F.least("rule_columns", "total"), F.col("total"), 0).alias("rule_pct")).orderBy(layer_rank(F.col("layer")), "layer")
+    j = d.join(r, ["connection_id", "layer"], "left").withColumn("rule_columns", F.coalesce("rule_columns", F.lit(0)))
+    return j.select("connection_id", "layer", percent(F.col("described"), F.col("total"), 0).alias("dict_pct"),
+                    percent(F.least("rule_columns", "total"), F.col("total"), 0).alias("rule_pct")).orderBy("connection_id", layer_rank(F.col("layer")), "layer")
 
 
 def top_anomalies(anomalies: DataFrame, n: int | None = 3) -> DataFrame:

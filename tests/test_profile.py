@@ -143,3 +143,29 @@ def test_windows(spark):
 
 def plan(df):
     return df._jdf.queryExecution().toString()
+
+
+def test_minimal_keys_and_dependencies_equal_brute_force(spark):
+    import itertools
+    import random
+
+    from assay.operators import keys
+
+    rng = random.Random(3)
+    rows = [(i // 4, i % 4, rng.randrange(3), f"n{i // 4}", None if i == 5 else i, 1.0, rng.choice([0.0, -0.0, 2.5])) for i in range(400)]
+    df = spark.createDataFrame(rows, "head int, line int, small int, name string, holes int, same double, `odd.name` double").repartition(4)
+    names = [f.name for f in df.schema.fields]
+    groups = lambda s: len({tuple(r[names.index(c)] for c in s) for r in rows})
+    filled = [c for c in names if c != "holes"]
+    unique = []
+    for size in (1, 2, 3):
+        unique += [s for s in itertools.combinations(filled, size) if groups(s) == len(rows) and not any(set(k) <= set(s) for k in unique)]
+    assert keys.minimal_keys(df) == unique and ("head", "line") in unique and ("line", "name") in unique
+    found = set(keys.dependencies(df))
+    varied = [c for c in names if c != "same"]
+    assert found == {((x,), a) for x in varied if groups((x,)) < len(rows) for a in varied if a != x and groups((x, a)) == groups((x,))} == {(("head",), "name"), (("name",), "head")}
+    two = set(keys.dependencies(df, 2))
+    assert found <= two and all(groups(x) == groups((*x, a)) for x, a in two)
+    suggested = {r.rule_type: r.check_args for r in keys.key_rules(spark, [("head", "line")], [(("head",), "name")]).collect()}
+    assert suggested == {"UNIQUE": '{"columns": ["head", "line"]}', "DEPENDENCY": '{"columns": ["head"], "value": "name"}'}
+    assert keys.minimal_keys(df.limit(0)) == [] and keys.dependencies(df.limit(0)) == []

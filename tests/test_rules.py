@@ -146,3 +146,40 @@ def test_lint_cases(spark):
         got.setdefault(f.rule_id, set()).add(f.finding)
     for i, (text, want) in enumerate(cases):
         assert got.get(str(i), set()) == want, text
+
+
+def test_names_in_strings_and_comments_stay(spark):
+    t = spark.createDataFrame([("silver.orders", 1), ("gold.orders", 2)], "source_table string, x int")
+    orders = spark.createDataFrame([(1,)], "x int")
+    got = run({"raw.t": t, "silver.orders": orders}, [
+        Rule("literal", "raw.t", "t.source_table = 'silver.orders'"), Rule("double", "raw.t", 't.source_table = "silver.orders"'), Rule("escaped", "raw.t", r"t.source_table <> 'it\'s silver.orders'"),
+        Rule("comment", "raw.t", "/* silver.orders' */ EXISTS (SELECT 1 FROM silver.orders o WHERE o.x = t.x) -- silver.orders")])
+    assert {k: (v.status, v.failed_records) for k, v in got.items()} == {"literal": ("FAIL", 1), "double": ("FAIL", 1), "escaped": ("PASS", 0), "comment": ("FAIL", 1)}
+
+
+@pytest.mark.parametrize("expression,windowless", [
+    ("COUNT(*) OVER (PARTITION BY k) = 1", True), ("count(1) over (partition by t.k, `odd name`) < 3 AND v > 2", True), ("COUNT(*) OVER (PARTITION BY k) = COUNT(*) OVER (PARTITION BY k, v)", True),
+    ("v <> 3 OR COUNT(*) OVER (PARTITION BY `odd name`) > 5000", True), ("COUNT(*) OVER (PARTITION BY k) = 1 OR SUM(v) OVER (PARTITION BY k) > 3", False),
+    ("COUNT(*) OVER (PARTITION BY k ORDER BY v) = 1", False), ("'COUNT(*) OVER (PARTITION BY k)' <> 'x'", False)])
+def test_counts_over_a_key_without_a_window(spark, expression, windowless):
+    """A key with half of the rows, and NULL keys."""
+    t = spark.range(4000).selectExpr("CASE WHEN id < 2000 THEN 0 WHEN id < 2100 THEN NULL ELSE id div 2 END AS k", "id % 4 AS v", "CAST(id % 7 AS string) AS `odd name`")
+    expected = t.alias("t").selectExpr(f"CASE WHEN {expression} THEN 0 ELSE 1 END AS f").selectExpr("count(*) AS n", "sum(f) AS f").first()
+    found = rules.check_rule(t, expression)
+    assert tuple(found.first()) == tuple(expected)
+    assert ("Window" in found._jdf.queryExecution().executedPlan().toString()) == (not windowless and "OVER (" in expression.upper().replace("'COUNT(*) OVER (PARTITION BY K)'", ""))
+    assert tuple(rules.check_rule(t.limit(0), expression).first()) == (0, 0)
+
+
+def test_samples_repeat_and_share_a_scan(spark, tmp_path):
+    spark.range(3000).selectExpr("id", "id % 11 AS k", "array(id) AS list").write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    several = [Rule(f"r{i}", "t", f"k <> {i}") for i in range(12)]
+    samples = rules.failing_samples({"t": t}, several, 5)
+    assert samples._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    first = {r.rule_id: r.sample_failed_records for r in samples.collect()}
+    again = {r.rule_id: r.sample_failed_records for r in rules.failing_samples({"t": t.repartition(7)}, several, 5).collect()}
+    assert first == again and set(first) == {f"r{i}" for i in range(11)}
+    digests = {r.id: r.d for r in t.select("id", rules.row_digest(t).alias("d")).collect()}
+    for i in range(11):
+        assert {r["id"] for r in json.loads(first[f"r{i}"])} == set(sorted((x for x in range(3000) if x % 11 == i), key=digests.get)[:5])

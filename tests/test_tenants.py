@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from assay.operators import intel, trust
+from assay.operators import intel, lineage, rule_results, trust
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -72,3 +72,47 @@ def test_every_open_anomaly_counts_for_the_score(spark):
     signals = intel.receipt_signals(reports(spark), stats, none, rules, anomalies(spark, 8))
     fields = intel.receipt_fields(signals, reports(spark), stats, texts=None).first()
     assert fields["signals"] == 8 and fields["signal"].count(";") == 7 and "no 7" in fields["signal"]
+
+
+def test_dashboard_counts_are_per_connection(spark):
+    a = anomalies(spark, 3).unionByName(anomalies(spark, 2).withColumn("connection_id", F.lit("b"))).withColumn("layer", F.lit("GOLD"))
+    assert by_connection(trust.anomaly_breakdown(a), "anomaly_type", "n") == {"a": ("VOLUME", 3), "b": ("VOLUME", 2)}
+    assert by_connection(trust.anomalies_by_layer(a), "layer", "n") == {"a": ("GOLD", 3), "b": ("GOLD", 2)}
+    later = a.withColumn("detected_at", F.when(F.col("connection_id") == "a", F.lit(DAY)).otherwise(F.lit(DAY - dt.timedelta(days=9))))
+    assert by_connection(trust.new_anomalies(later, F.lit(DAY)), "new_anomalies") == {"a": (3,), "b": (0,)}
+    fresh = trust.layer_freshness(reports(spark).filter("connection_id = 'b' OR run_at < '2024-01-03'"), results(spark).limit(0), F.lit(DAY + dt.timedelta(days=3)))
+    assert by_connection(fresh.where("layer = 'GOLD'"), "age_hours", "state") == {"a": (48.0, "aging"), "b": (24.0, "fresh")}
+    assert fresh.where("layer = 'RAW' AND state = 'never'").count() == 2
+
+
+def test_columns_and_rules_are_per_connection(spark):
+    dictionary = spark.createDataFrame([(c, "s.t", "GOLD", "col", f"{c}.col", True, 1.0, "x" if c == "a" else None, None) for c in "ab"],
+                                       "connection_id string, table_fqn string, layer string, column_name string, column_id string, is_cde boolean, cde_score double, business_name string, description string")
+    stats = spark.createDataFrame([("a", "s.t", "col", 0.0), ("b", "s.t", "col", 30.0)], "connection_id string, table_fqn string, column_name string, null_pct double")
+    rules = spark.createDataFrame([("a", "s.t", "GOLD", "col", "approved", False, None), ("b", "s.t", "GOLD", None, "draft", True, "s.u")],
+                                  "connection_id string, table_fqn string, layer string, column_name string, status string, is_cde_rule boolean, related_table_fqn string")
+    for by_table in (False, True):
+        assert by_connection(trust.cde_status(dictionary, stats, rules, by_table), "rule_coverage", "health") == {"a": (1, "HEALTHY"), "b": (0, "CRIT")}
+    assert by_connection(trust.layer_coverage(dictionary, rules), "dict_pct", "rule_pct") == {"a": (100.0, 100.0), "b": (0.0, 0.0)}
+    assert by_connection(rule_results.rules_per_table(rules), "approved", "pending", "cde", "cross_table") == {"a": (1, 0, 0, 0), "b": (0, 1, 1, 1)}
+
+
+def test_lineage_is_per_connection(spark):
+    pair = "connection_id string, source string, target string"
+    log = spark.createDataFrame([("a", "x", "y"), ("a", "x", "y"), ("b", "x", "y"), ("b", "x", "only a")], pair).selectExpr("*", "1 AS execution_count", "'q' AS query_text")
+    known = spark.createDataFrame([(c, t) for c in "ab" for t in "xy"] + [("a", "only a")], "connection_id string, table_fqn string")
+    found = lineage.query_log_edges(log, known)
+    assert by_connection(found, "source", "target", "confidence") == {"a": ("x", "y", 0.75), "b": ("x", "y", 0.6)}
+    nodes = known.withColumnRenamed("table_fqn", "external_id")
+    edges = found.withColumn("status", F.when(F.col("connection_id") == "a", "confirmed").otherwise("suggested"))
+    assert by_connection(lineage.coverage(known, nodes, edges), "total_known_tables", "tables_with_edges", "suggested_pending", "completeness_pct") == {"a": (3, 2, 0, 66.7), "b": (2, 0, 1, 0.0)}
+    assert by_connection(lineage.edges_by_origin(edges), "edges") == {"a": (1,)}
+    back = spark.createDataFrame([("a", "y", "x"), ("b", "y", "x")], pair).selectExpr("*", "'suggested' AS status")
+    decisions = spark.createDataFrame([("a", "y", "x", "approve", 1), ("b", "y", "x", "approve", 2)], pair + ", decision string, rank int")
+    reviewed = lineage.review_edges(edges.select(*back.columns).unionByName(back), decisions).filter("source = 'y'")
+    assert by_connection(reviewed, "status", "review") == {"a": ("suggested", "blocked_by_cycle"), "b": ("confirmed", "approved")}
+    wanted = spark.createDataFrame([("a", "y", "x", 1), ("b", "y", "x", 1)], pair + ", rank int")
+    confirmed = edges.filter("status = 'confirmed'").select("connection_id", "source", "target", "status")
+    assert by_connection(lineage.import_edges(confirmed, wanted), "outcome", "rank") == {"a": ("cycle", 1), "b": ("confirmed", 1)}
+    new = spark.createDataFrame([("a", "new", None, None, None), ("b", "only a", None, None, None)], "connection_id string, external_id string, label string, layer string, node_type string")
+    assert by_connection(lineage.import_nodes(nodes, new, wanted), "external_id") == {"a": ("new",), "b": ("only a",)}

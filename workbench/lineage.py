@@ -94,26 +94,26 @@ def query_log_pairs(spark, sf):
     t = d.tables(spark, sf)
     li = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(
         F.count_if((F.col("l_discount") == 0) & (F.col("l_tax") == 0)).alias("execution_count"))
-    src = t.select(F.col("s_suppkey").alias("l_suppkey"), F.col("table_fqn").alias("source"))
+    src = t.select(F.col("s_suppkey").alias("l_suppkey"), "connection_id", F.col("table_fqn").alias("source"))
     return li.join(src, "l_suppkey").select(
-        "source", F.concat(F.lit("raw.supplier_"), F.col("l_linenumber").cast("string")).alias("target"), "execution_count",
+        "connection_id", "source", F.concat(F.lit("raw.supplier_"), F.col("l_linenumber").cast("string")).alias("target"), "execution_count",
         F.concat(F.lit(" INSERT INTO t SELECT * FROM "), "source").alias("query_text"))
 
 
 _QL = """
-SELECT source, target, CAST(n AS BIGINT) AS n FROM (SELECT t.table_fqn AS source, 'raw.supplier_' || l_linenumber AS target, greatest(1, count(*) FILTER (WHERE l_discount = 0 AND l_tax = 0)) AS n
-  FROM lineitem JOIN w_tables t ON t.s_suppkey = l_suppkey GROUP BY 1, 2)
-WHERE source <> target AND target IN (SELECT table_fqn FROM w_tables)"""
-cte("w_sugg", f"SELECT source, target, 'FEEDS' AS edge_type, 'suggested' AS status, 'query_log' AS discovered_via, CASE WHEN n <= 1 THEN 0.6::DOUBLE WHEN n <= 4 THEN 0.75 ELSE 0.9 END AS confidence, n FROM ({_QL})")
+SELECT connection_id, source, target, CAST(n AS BIGINT) AS n FROM (SELECT t.connection_id, t.table_fqn AS source, 'raw.supplier_' || l_linenumber AS target, greatest(1, count(*) FILTER (WHERE l_discount = 0 AND l_tax = 0)) AS n
+  FROM lineitem JOIN w_tables t ON t.s_suppkey = l_suppkey GROUP BY 1, 2, 3) q
+WHERE source <> target AND EXISTS (SELECT 1 FROM w_tables k WHERE k.table_fqn = q.target AND k.connection_id = q.connection_id)"""
+cte("w_sugg", f"SELECT connection_id, source, target, 'FEEDS' AS edge_type, 'suggested' AS status, 'query_log' AS discovered_via, CASE WHEN n <= 1 THEN 0.6::DOUBLE WHEN n <= 4 THEN 0.75 ELSE 0.9 END AS confidence, n FROM ({_QL})")
 
 
 def suggestions(spark, sf):
     return lineage.query_log_edges(query_log_pairs(spark, sf), d.tables(spark, sf))
 
 
-@query("g2_query_log_edges", "SELECT source, target, status, confidence, 'Statements run: ' || n || ', one of them: INSERT INTO t SELECT * FROM ' || source AS evidence FROM w_sugg")
+@query("g2_query_log_edges", "SELECT connection_id, source, target, status, confidence, 'Statements run: ' || n || ', one of them: INSERT INTO t SELECT * FROM ' || source AS evidence FROM w_sugg")
 def g2(spark, sf):
-    return suggestions(spark, sf).select("source", "target", "status", "confidence", "evidence")
+    return suggestions(spark, sf).select("connection_id", "source", "target", "status", "confidence", "evidence")
 
 
 def manifests(spark, sf):
@@ -256,6 +256,17 @@ def g11(spark, sf):
     return graph.paths(record_nodes(spark, sf), record_edges(spark, sf)).select(F.array_join("path", ">").alias("path"))
 
 
+@query("g11_numbered_paths", """
+WITH RECURSIVE p(path, node) AS (SELECT [external_id], external_id FROM w_rnodes n WHERE NOT EXISTS (SELECT 1 FROM w_redges e WHERE e.target = n.external_id)
+  UNION ALL SELECT list_append(p.path, e.target), e.target FROM p JOIN (SELECT DISTINCT source, target FROM w_redges) e ON e.source = p.node)
+SELECT no, path FROM (SELECT row_number() OVER (ORDER BY path) - 1 AS no, array_to_string(path, '>') AS path FROM p WHERE NOT EXISTS (SELECT 1 FROM w_redges e WHERE e.source = p.node))
+WHERE no >= 1000 AND no < 3000""")
+def g11_numbered(spark, sf):
+    """Paths 1000 to 2999 of the record graph; the others are not made."""
+    found = graph.numbered_paths(record_nodes(spark, sf), record_edges(spark, sf), 1000, 2000)
+    return found.select(F.col("no").cast("long").alias("no"), F.array_join("path", ">").alias("path"))
+
+
 @query("g12_hops", """
 WITH RECURSIVE h(start, node, depth) AS (SELECT 'region:' || r_regionkey, 'region:' || r_regionkey, 0 FROM region
   UNION SELECT h.start, e.target, h.depth + 1 FROM h JOIN w_redges e ON e.source = h.node WHERE h.depth < 3)
@@ -294,57 +305,68 @@ def g15(spark, sf):
 
 def all_edges(spark, sf):
     """Confirmed tree edges and the query-log suggestions, some of them decided."""
-    names = ["source", "target", "edge_type", "status", "discovered_via", "confidence"]
+    names = ["connection_id", "source", "target", "edge_type", "status", "discovered_via", "confidence"]
     s = suggestions(spark, sf).withColumn("status", F.when(F.col("confidence") == 0.9, "confirmed").when(F.col("confidence") == 0.6, "rejected").otherwise("suggested"))
     return d.table_edges(spark, sf).select(*names).unionByName(s.select(*names))
 
 
 cte("w_alledges", """
-SELECT source, target, edge_type, status, discovered_via, confidence FROM w_tedges
-UNION ALL SELECT source, target, edge_type, CASE confidence WHEN 0.9 THEN 'confirmed' WHEN 0.6 THEN 'rejected' ELSE 'suggested' END, discovered_via, confidence FROM w_sugg
+SELECT connection_id, source, target, edge_type, status, discovered_via, confidence FROM w_tedges
+UNION ALL SELECT connection_id, source, target, edge_type, CASE confidence WHEN 0.9 THEN 'confirmed' WHEN 0.6 THEN 'rejected' ELSE 'suggested' END, discovered_via, confidence FROM w_sugg
 """)
 
 
 @query("g16_metrics", f"""
-SELECT total_known_tables, tables_with_edges, {percent('tables_with_edges', 'total_known_tables', 1)} AS completeness_pct, suggested_pending, suggested_approved, suggested_rejected FROM (
-SELECT (SELECT count(*) FROM w_tables) AS total_known_tables,
-       (SELECT count(DISTINCT external_id) FROM w_tnodes n JOIN w_alledges e ON e.source = n.external_id OR e.target = n.external_id WHERE e.status = 'confirmed') AS tables_with_edges,
+SELECT connection_id, total_known_tables, tables_with_edges, {percent('tables_with_edges', 'total_known_tables', 1)} AS completeness_pct, suggested_pending, suggested_approved, suggested_rejected FROM (
+SELECT a.connection_id, (SELECT count(*) FROM w_tables t WHERE t.connection_id = a.connection_id) AS total_known_tables,
+       (SELECT count(DISTINCT external_id) FROM w_tnodes n JOIN w_alledges e ON e.connection_id = n.connection_id AND (e.source = n.external_id OR e.target = n.external_id)
+        WHERE e.status = 'confirmed' AND n.connection_id = a.connection_id) AS tables_with_edges,
        count(*) FILTER (WHERE discovered_via = 'query_log' AND status = 'suggested') AS suggested_pending, count(*) FILTER (WHERE discovered_via = 'query_log' AND status = 'confirmed') AS suggested_approved,
-       count(*) FILTER (WHERE discovered_via = 'query_log' AND status = 'rejected') AS suggested_rejected FROM w_alledges)""")
+       count(*) FILTER (WHERE discovered_via = 'query_log' AND status = 'rejected') AS suggested_rejected FROM w_alledges a GROUP BY 1)""")
 def g16(spark, sf):
     return lineage.coverage(d.tables(spark, sf), d.table_nodes(spark, sf), all_edges(spark, sf))
 
 
-@query("g16_by_origin", "SELECT discovered_via, count(*) AS edges FROM w_alledges WHERE status = 'confirmed' GROUP BY 1")
+@query("g16_by_origin", "SELECT connection_id, discovered_via, count(*) AS edges FROM w_alledges WHERE status = 'confirmed' GROUP BY 1, 2")
 def g16_origin(spark, sf):
     return lineage.edges_by_origin(all_edges(spark, sf))
 
 
-@query("g17_suggested", "SELECT source, target, confidence FROM w_sugg")
+@query("g17_suggested", "SELECT connection_id, source, target, confidence FROM w_sugg")
 def g17(spark, sf):
-    return lineage.suggested_edges(suggestions(spark, sf)).select("source", "target", "confidence")
+    return lineage.suggested_edges(suggestions(spark, sf)).select("connection_id", "source", "target", "confidence")
 
 
-@query("g17_review", _closure("SELECT DISTINCT target AS start FROM w_sugg", "w_tedges") + """
-SELECT e.source, e.target, CASE WHEN e.confidence = 0.6 THEN 'rejected' WHEN r.node IS NOT NULL THEN 'suggested' ELSE 'confirmed' END AS status FROM w_sugg e LEFT JOIN reach r ON r.start = e.target AND r.node = e.source
-UNION ALL SELECT source, target, status FROM w_tedges""")
+@query("g17_review", """
+WITH RECURSIVE reach(connection_id, start, node) AS (
+  SELECT s.connection_id, s.target, e.target FROM (SELECT DISTINCT connection_id, target FROM w_sugg) s JOIN w_tedges e ON e.source = s.target AND e.connection_id = s.connection_id
+  UNION SELECT r.connection_id, r.start, e.target FROM reach r JOIN w_tedges e ON e.source = r.node AND e.connection_id = r.connection_id)
+SELECT e.connection_id, e.source, e.target, CASE WHEN e.confidence = 0.6 THEN 'rejected' WHEN r.node IS NOT NULL THEN 'suggested' ELSE 'confirmed' END AS status
+FROM w_sugg e LEFT JOIN reach r ON r.connection_id = e.connection_id AND r.start = e.target AND r.node = e.source
+UNION ALL SELECT connection_id, source, target, status FROM w_tedges""")
 def g17_review(spark, sf):
     """Approve by pair name; edges into the tree's top rows that come back down are blocked."""
-    e = d.table_edges(spark, sf).select("source", "target", "status", "confidence").unionByName(
-        suggestions(spark, sf).select("source", "target", "status", "confidence"))
-    dec = suggestions(spark, sf).select("source", "target", F.when(F.col("confidence") == 0.6, "reject").otherwise("approve").alias("decision"),
+    columns = ["connection_id", "source", "target", "status", "confidence"]
+    e = d.table_edges(spark, sf).select(*columns).unionByName(suggestions(spark, sf).select(*columns))
+    dec = suggestions(spark, sf).select("connection_id", "source", "target", F.when(F.col("confidence") == 0.6, "reject").otherwise("approve").alias("decision"),
                                         F.concat("source", F.lit(">"), "target").alias("rank"))
-    return lineage.review_edges(e, dec).select("source", "target", "status")
+    return lineage.review_edges(e, dec).select("connection_id", "source", "target", "status")
 
 
-@query("g18_impact", _closure("SELECT external_id AS start FROM w_tnodes WHERE health_status <> 'ok'", "w_tedges") + """
+@query("g18_impact", """
+WITH RECURSIVE hops(start, node, depth) AS (SELECT n.external_id, e.target, 1 FROM w_tnodes n JOIN w_tedges e ON e.source = n.external_id WHERE n.health_status <> 'ok'
+  UNION SELECT h.start, e.target, h.depth + 1 FROM hops h JOIN w_tedges e ON e.source = h.node)
 SELECT external_id, n AS downstream_count, CASE WHEN health_status = 'fail' AND n >= 3 THEN 'critical' WHEN health_status = 'fail' THEN 'high' WHEN n >= 1 THEN 'medium' ELSE 'low' END AS severity,
-       external_id || ': ' || CASE health_status WHEN 'fail' THEN 'rules fail' ELSE 'a warning is open' END AS first_bullet
-FROM (SELECT external_id, health_status, count(r.node) AS n FROM w_tnodes LEFT JOIN reach r ON r.start = external_id WHERE health_status <> 'ok' GROUP BY 1, 2)""")
+       external_id || ': ' || CASE health_status WHEN 'fail' THEN 'rules fail' ELSE 'a warning is open' END AS state,
+       CASE WHEN n = 0 THEN 'Dependents: none known' ELSE 'Dependents: ' || n || ', namely ' || shown || CASE WHEN n > 5 THEN ' and further ones: ' || (n - 5) ELSE '' END END AS dependents,
+       CASE WHEN n > 0 THEN 'Look at these before their next load' ELSE 'See whether edges are missing here' END AS action
+FROM (SELECT external_id, health_status, count(h.node) AS n, string_agg(h.node, ', ' ORDER BY h.depth, h.node) FILTER (WHERE h.place <= 5) AS shown
+      FROM w_tnodes LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, node) AS place FROM (SELECT start, node, min(depth) AS depth FROM hops GROUP BY 1, 2)) h ON h.start = external_id
+      WHERE health_status <> 'ok' GROUP BY 1, 2)""")
 def g18(spark, sf):
     nodes = d.table_nodes(spark, sf)
     out = lineage.impact(nodes, d.table_edges(spark, sf), nodes.filter("health_status <> 'ok'"))
-    return out.select("external_id", "downstream_count", "severity", F.get("bullets", F.lit(0)).alias("first_bullet"))
+    return out.select("external_id", "downstream_count", "severity", *[F.get("bullets", F.lit(i)).alias(n) for i, n in enumerate(("state", "dependents", "action"))])
 
 
 @query("g19_full_graph", "SELECT external_id, health_status, strftime(m, '%Y-%m-%d') AS last_profiled FROM w_tnodes LEFT JOIN (SELECT table_fqn AS external_id, max(run_at) AS m FROM w_reports GROUP BY 1) USING (external_id)")
@@ -354,19 +376,19 @@ def g19(spark, sf):
 
 
 @query("g20_import_nodes", """
-SELECT external_id, label, layer, node_type FROM (SELECT 'new.' || table_fqn AS external_id, 'New ' || s_suppkey AS label, 'GOLD' AS layer, 'report' AS node_type FROM w_tables WHERE layer = 'GOLD'
-UNION ALL SELECT 'bare.' || table_fqn, 'bare.' || table_fqn, NULL, 'table' FROM w_tables WHERE layer = 'RAW')""")
+SELECT connection_id, external_id, label, layer, node_type FROM (SELECT connection_id, 'new.' || table_fqn AS external_id, 'New ' || s_suppkey AS label, 'GOLD' AS layer, 'report' AS node_type FROM w_tables WHERE layer = 'GOLD'
+UNION ALL SELECT connection_id, 'bare.' || table_fqn, 'bare.' || table_fqn, NULL, 'table' FROM w_tables WHERE layer = 'RAW')""")
 def g20_nodes(spark, sf):
     t = d.tables(spark, sf)
-    wanted = t.filter("layer = 'GOLD'").select(F.concat(F.lit("new."), "table_fqn").alias("external_id"), F.concat(F.lit("New "), F.col("s_suppkey").cast("string")).alias("label"),
+    wanted = t.filter("layer = 'GOLD'").select("connection_id", F.concat(F.lit("new."), "table_fqn").alias("external_id"), F.concat(F.lit("New "), F.col("s_suppkey").cast("string")).alias("label"),
                                                F.lit("GOLD").alias("layer"), F.lit("report").alias("node_type"))
-    edges = t.filter("layer = 'RAW'").select(F.col("table_fqn").alias("source"), F.concat(F.lit("bare."), "table_fqn").alias("target"))
+    edges = t.filter("layer = 'RAW'").select("connection_id", F.col("table_fqn").alias("source"), F.concat(F.lit("bare."), "table_fqn").alias("target"))
     return lineage.import_nodes(d.table_nodes(spark, sf), wanted, edges)
 
 
 @query("g20_import_edges", "SELECT source, target, rank, outcome FROM w_outcomes")
 def g20(spark, sf):
-    return lineage.import_edges(d.table_edges(spark, sf), edge_candidates(spark, sf)).select("source", "target", "rank", "outcome")
+    return lineage.import_edges(d.table_edges(spark, sf).drop("connection_id"), edge_candidates(spark, sf)).select("source", "target", "rank", "outcome")
 
 
 @query("g21_column_downstream", "SELECT target_fqn, target_column FROM w_cedges WHERE source_fqn = (SELECT table_fqn FROM w_tables WHERE s_suppkey = 1) AND lower(source_column) = 'key' ORDER BY 1, 2 LIMIT 12")
@@ -397,31 +419,36 @@ def g23(spark, sf):
 
 # --- whole jobs --------------------------------------------------------------
 
+def _graph_rows(found):
+    """Edges and nodes of a graph: kind, source, target."""
+    node = found.nodes.select(F.lit("node").alias("kind"), F.col("external_id").alias("source"), F.lit(None).cast("string").alias("target"))
+    return found.edges.select(F.lit("edge").alias("kind"), "source", "target").unionByName(node)
+
+
 @query("g2_discovery_run", """
-SELECT 'fk' AS discovered_via, 'confirmed' AS outcome, count(*) AS n FROM w_tedges
-UNION ALL SELECT 'query_log', CASE WHEN EXISTS (SELECT 1 FROM w_tedges e WHERE e.source = s.source AND e.target = s.target) THEN 'existed' ELSE 'suggested' END, count(*) FROM w_sugg s GROUP BY 2
-UNION ALL SELECT 'node', 'created', 0""")
+SELECT source, target, 'confirmed' AS status, 'fk' AS discovered_via FROM w_tedges
+UNION ALL SELECT source, target, 'suggested', 'query_log' FROM w_sugg s WHERE NOT EXISTS (SELECT 1 FROM w_tedges e WHERE e.source = s.source AND e.target = s.target)""")
 def g2_run(spark, sf):
     """Declared keys and the query log over an empty graph."""
     found = discover_lineage.discover(d.table_nodes(spark, sf), d.table_edges(spark, sf).limit(0), d.tables(spark, sf), key_constraints(spark, sf), query_log_pairs(spark, sf))
-    return found.counts
+    return found.edges.select("source", "target", "status", "discovered_via")
 
 
 @query("g3_discovery_manifests", """
-SELECT 'dbt' AS discovered_via, 'confirmed' AS outcome, (SELECT count(*) FROM (SELECT DISTINCT c_custkey FROM customer)) * 2 AS n
-UNION ALL SELECT 'node', 'created', (SELECT count(*) FROM customer) + 2 * (SELECT count(DISTINCT c_nationkey) FROM customer)""")
+WITH e AS (SELECT 'Raw.crm.nation_' || c_nationkey AS source, 'Silver.clean_' || c_custkey AS target FROM customer
+           UNION ALL SELECT 'Silver.clean_' || c_custkey, 'Gold.sales.mart_' || c_nationkey FROM customer)
+SELECT 'edge' AS kind, source, target FROM e UNION ALL SELECT 'node', n, NULL FROM (SELECT source AS n FROM e UNION SELECT target FROM e)""")
 def g3_run(spark, sf):
     """Every project manifest over an empty graph."""
     entries = metadata.read_manifest(manifests(spark, sf), "project", "manifest")
     none = d.table_nodes(spark, sf).limit(0)
-    return discover_lineage.discover(none, d.table_edges(spark, sf).limit(0), d.tables(spark, sf), manifests=entries).counts
+    found = discover_lineage.discover(none, d.table_edges(spark, sf).limit(0), d.tables(spark, sf), manifests=entries)
+    return _graph_rows(found)
 
 
 @query("s16_imported_graph", """
-SELECT 'import' AS discovered_via, 'existed' AS outcome, count(*) AS n FROM w_tedges
-UNION ALL SELECT 'import', 'cycle', count(*) FROM w_tedges
-UNION ALL SELECT 'import', 'confirmed', count(*) FROM w_tables
-UNION ALL SELECT 'node', 'created', count(*) FROM w_tables""")
+WITH e AS (SELECT source, target FROM w_tedges UNION ALL SELECT table_fqn, 'export.' || table_fqn FROM w_tables)
+SELECT 'edge' AS kind, source, target FROM e UNION ALL SELECT 'node', table_fqn, NULL FROM w_tables UNION ALL SELECT 'node', 'export.' || table_fqn, NULL FROM w_tables""")
 def s16_import(spark, sf):
     """A graph written as JSON and read back: known edges, their reverse, and an export of every table."""
     t, e = d.tables(spark, sf), d.table_edges(spark, sf)
@@ -430,4 +457,4 @@ def s16_import(spark, sf):
     wanted = e.select("source", "target").unionByName(back).unionByName(export).withColumn("edge_type", F.lit("FEEDS"))
     text = metadata.write_graph(d.table_nodes(spark, sf), wanted)
     nodes, edges = metadata.read_graph(text, "graph")
-    return discover_lineage.import_graph(d.table_nodes(spark, sf), e, nodes, edges).counts
+    return _graph_rows(discover_lineage.import_graph(d.table_nodes(spark, sf), e, nodes, edges))

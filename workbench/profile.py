@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import functions as F
 
-from assay.operators import history, integrity, profile
+from assay.operators import history, integrity, keys, profile, sketches
 from assay.operators.relational import latest_per_key
 from assay.plans import profile_table
 from assay.session import shared_folder
@@ -150,6 +151,39 @@ FROM (SELECT count(*) AS n FROM lineitem GROUP BY {k} HAVING count(*) > 1)"""
 _KEYS = (["l_orderkey", "l_linenumber"], ["l_orderkey"], ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
 
 
+def _set_rows(name: str, columns: list[str], size: int) -> str:
+    """A row for each set of columns: its names and the number of its groups."""
+    return " UNION ALL ".join(f"SELECT {list(s)!r} AS c, count(DISTINCT {{{', '.join(f'{chr(39)}{x}{chr(39)}: {x}' for x in s)}}}) AS g FROM {name}"
+                              for k in range(1, size + 1) for s in itertools.combinations(columns, k))
+
+
+_LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("p8_minimal_keys", f"""
+WITH sets AS MATERIALIZED ({_set_rows('lineitem', _LINE_COLUMNS, 3)}), unique_sets AS (SELECT c FROM sets WHERE g = (SELECT count(*) FROM lineitem))
+SELECT 'UNIQUE' AS rule_type, array_to_string(c, ',') AS columns FROM unique_sets u WHERE NOT EXISTS (SELECT 1 FROM unique_sets v WHERE len(v.c) < len(u.c) AND list_has_all(u.c, v.c))""")
+def p8_minimal(spark, sf):
+    """The smallest unique sets of columns of lineitem, found without a hint."""
+    lines = table(spark, sf, "lineitem").select(*_LINE_COLUMNS)
+    return keys.key_rules(spark, keys.minimal_keys(lines)).select("rule_type", "columns")
+
+
+_HOME_COLUMNS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal", "n_nationkey", "n_name", "n_regionkey"]
+
+
+@query("r27_found_dependencies", f"""
+WITH homes AS (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey), sets AS MATERIALIZED ({_set_rows('homes', _HOME_COLUMNS, 2)})
+SELECT 'DEPENDENCY' AS rule_type, x.c[1] AS columns, list_filter(xa.c, lambda v : v <> x.c[1])[1] AS value
+FROM sets x JOIN sets xa ON len(x.c) = 1 AND len(xa.c) = 2 AND list_contains(xa.c, x.c[1]) AND xa.g = x.g
+JOIN sets a ON len(a.c) = 1 AND a.c[1] = list_filter(xa.c, lambda v : v <> x.c[1])[1] WHERE x.g > 1 AND a.g > 1 AND x.g < (SELECT count(*) FROM homes)""")
+def r27_found(spark, sf):
+    """What single columns of suppliers with their nations determine, as typed rules."""
+    homes = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    found = keys.key_rules(spark, [], keys.dependencies(homes.select(*_HOME_COLUMNS)))
+    return found.select("rule_type", "columns", F.get_json_object("check_args", "$.value").alias("value"))
+
+
 @query("p9_key_dups_lineitem", " UNION ALL ".join(_DUPS.format(i=i, k=",".join(k)) for i, k in enumerate(_KEYS)))
 def p9(spark, sf):
     return profile.key_duplicates(table(spark, sf, "lineitem"), _KEYS)
@@ -190,6 +224,68 @@ def p11(spark, sf):
     return integrity.check_inferred_keys({("sales", "customers"): customers, ("sales", "orders"): orders})
 
 
+_KEYED = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"],
+          "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "documents": ["doc_id"], "labels": ["doc_id"], "conversations": ["conv_id"]}
+_KEY_COLUMNS = [("main", t, c) for t, cs in _KEYED.items() for c in cs]
+
+
+def _key_tables(spark, sf):
+    return {("main", t): table(spark, sf, t) for t in _KEYED}
+
+
+@query("p11_inclusion_dependencies", " UNION ALL ".join(
+    f"SELECT 'main' AS schema_name, '{a}' AS table_name, '{x}' AS column_name, 'main' AS parent_schema, '{b}' AS parent_table, '{y}' AS parent_column, (SELECT count(DISTINCT {x}) FROM {a}) AS child_values "
+    f"WHERE NOT EXISTS (SELECT {x} FROM {a} WHERE {x} IS NOT NULL EXCEPT SELECT {y} FROM {b}) AND EXISTS (SELECT 1 FROM {a} WHERE {x} IS NOT NULL)"
+    for _, a, x in _KEY_COLUMNS for _, b, y in _KEY_COLUMNS if (a, x) != (b, y)))
+def p11_inclusions(spark, sf):
+    """Which of all key columns lie within which others."""
+    return integrity.inclusion_dependencies(_key_tables(spark, sf), _KEY_COLUMNS)
+
+
+_REFERENCES = [("nation", "n_regionkey", "region", "r_regionkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+               ("lineitem", "l_partkey", "orders", "o_orderkey"), ("documents", "doc_id", "labels", "doc_id"), ("orders", "o_orderkey", "documents", "doc_id")]
+
+
+@query("p11_references", " UNION ALL ".join(
+    f"SELECT '{a}' AS table_name, '{x}' AS column_name, '{b}' AS parent_table, '{y}' AS parent_column, count({x}) AS child_rows, count({x}) FILTER (WHERE {x} NOT IN (SELECT {y} FROM {b} WHERE {y} IS NOT NULL)) AS orphan_count, "
+    f"count(DISTINCT {x}) FILTER (WHERE {x} NOT IN (SELECT {y} FROM {b} WHERE {y} IS NOT NULL)) AS orphan_values FROM {a}" for a, x, b, y in _REFERENCES))
+def p11_references(spark, sf):
+    """Orphans of several references at once."""
+    found = integrity.check_inclusions(_key_tables(spark, sf), [(("main", a, x), ("main", b, y)) for a, x, b, y in _REFERENCES])
+    return found.drop("schema_name", "parent_schema")
+
+
+def sketch_store(spark, sf):
+    """Sketches of all columns of events and orders by day, saved and read back."""
+    path = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    for name, day in (("events", "ts"), ("orders", "o_orderdate")):
+        sketches.save_sketches(sketches.sketch_columns(table(spark, sf, name), f"main.{name}", day), path)
+    return spark.read.parquet(path)
+
+
+_SKETCHED = {"events": ("ts", "TIMESTAMP '2024-01-08'", "TIMESTAMP '2024-01-15'", ["event_id", "ts", "user_id", "event_type", "value", "props"]),
+             "orders": ("o_orderdate", "TIMESTAMP '1997-03-01'", "TIMESTAMP '2024-01-15'", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])}
+_NUMBERS = {"event_id", "user_id", "value", "o_orderkey", "o_custkey", "o_totalprice"}
+
+
+@query("p1_sketch_since_last_run", " UNION ALL ".join(
+    f"SELECT 'main.{t}' AS table_fqn, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, "
+    + (f"min({c})::DOUBLE AS min_num, max({c})::DOUBLE AS max_num" if c in _NUMBERS else "NULL::DOUBLE AS min_num, NULL::DOUBLE AS max_num")
+    + f" FROM {t} WHERE CAST({day} AS DATE) >= CAST({since} AS DATE)" for t, (day, since, _, cs) in _SKETCHED.items() for c in cs))
+def p1_sketch(spark, sf):
+    """Counts, NULLs and bounds since each table's newest run, merged from sketches."""
+    runs = spark.createDataFrame([("main.events", "2024-01-02"), ("main.events", "2024-01-08"), ("main.orders", "1997-03-01")], "table_fqn string, day string")
+    found = sketches.profile_since_last_run(sketch_store(spark, sf), runs.select("table_fqn", F.to_timestamp("day").alias("run_at")))
+    return found.select("table_fqn", "column_name", "row_count", "null_count", "min_num", "max_num")
+
+
+@query("p3_sketch_window")
+def p3_sketch(spark, sf):
+    """Distinct counts, quantiles and top values of one week, merged from sketches; the bounds are asserted by tests."""
+    found = sketches.window_profile(sketch_store(spark, sf), "2024-01-08", "2024-01-15", top=5)
+    return found.select("table_fqn", "column_name", "row_count", "distinct_count", "quantiles", F.transform("top_values", lambda t: F.struct(t["item"].alias("value"), t["count"].alias("n"))).alias("top_values"))
+
+
 _FLAG = "nullif(l_returnflag, 'A')"
 _LI_FLAG = ", ".join(_FLAG + " AS l_returnflag" if c == "l_returnflag" else c for c in _LI)
 _NULLS = percent("count(*) FILTER (WHERE l_returnflag IS NULL)", "count(*)")
@@ -290,6 +386,17 @@ def p19(spark, sf):
     return history.latest_reports(d.reports(spark, sf)).select("table_fqn", "report_id", "quality_score", "layer")
 
 
+@query("p19_latest_risks", """
+SELECT s.connection_id, s.table_fqn, s.column_name, severity, CAST(row_number() OVER (PARTITION BY s.connection_id, s.table_fqn ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, s.column_name) AS INTEGER) AS place
+FROM (SELECT *, CASE WHEN null_pct > 20 THEN 'CRITICAL' WHEN null_pct > 5 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM w_stats WHERE null_pct > 0) s
+JOIN (SELECT report_id FROM (SELECT *, row_number() OVER (PARTITION BY connection_id, table_fqn ORDER BY run_at DESC) AS rn FROM w_reports) WHERE rn = 1) l ON l.report_id = s.report_id""")
+def p19_risks(spark, sf):
+    """NULL risks of every table's newest report, the most severe first."""
+    risk = F.when(F.col("null_pct") > 20, "CRITICAL").when(F.col("null_pct") > 5, "MEDIUM").otherwise("LOW")
+    risks = d.column_stats(spark, sf).filter("null_pct > 0").withColumn("severity", risk).withColumn("risk_type", F.lit("NULLS"))
+    return history.latest_risks(d.reports(spark, sf), risks).select("connection_id", "table_fqn", "column_name", "severity", "place")
+
+
 @query("p20_table_context", """
 WITH r AS (SELECT connection_id, table_fqn, count(*) AS rules_total, count(*) FILTER (WHERE status IN ('approved', 'active')) AS rules_active,
                   count(DISTINCT column_name) AS columns_with_rules FROM w_rules GROUP BY 1, 2),

@@ -86,10 +86,23 @@ _RUN = [
     rules.Rule("p1", "bronze.part", "p_size BETWEEN 1 AND 40", "size", "BRONZE", "MEDIUM"),
     rules.Rule("x1", "raw.nowhere", "a = 1", "lost", "RAW", "HIGH"),
 ]
+
+
+def _shown(key: str, source: str, failing: str, columns: str) -> str:
+    """The keys of the failing rows with the smallest digests."""
+    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns.split())
+    return f"(SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT CAST({key} AS VARCHAR) AS k FROM {source} WHERE {failing} ORDER BY md5(concat_ws('|', {cells})) LIMIT 20))"
+
+
+_C, _O = "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"
+_SHOWN = {
+    "c1": _shown("c_custkey", "customer", "NOT c_acctbal >= 0", _C), "o1": _shown("o_orderkey", "orders", "o_orderstatus NOT IN ('O', 'F')", _O),
+    "o3": _shown("o_orderkey", "orders o", "NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal >= 0)", _O),
+    "k1": _shown("c_custkey", "customer", "c_mktsegment = 'MACHINERY'", _C), "p1": _shown("p_partkey", "part", "NOT p_size BETWEEN 1 AND 40", "p_partkey p_name p_brand p_type p_size p_retailprice")}
 _RUN_SQL = f"""
 SELECT rule_id, table_fqn, layer, severity, total_records, failed_records, fail_pct, status,
        CASE WHEN status = 'ERROR' THEN 0.0::DOUBLE ELSE {ratio('greatest(0, 10000 - m * CAST(round(fail_pct * 100) AS BIGINT))', '100', 1)} END AS quality_score,
-       CASE WHEN status = 'FAIL' THEN least(failed_records, 20) ELSE 0 END AS sampled
+       CASE {' '.join(f"WHEN rule_id = '{r}' AND status = 'FAIL' THEN {sql}" for r, sql in _SHOWN.items())} END AS sampled
 FROM (SELECT *, {percent('failed_records', 'total_records')} AS fail_pct,
              CASE WHEN err THEN 'ERROR' WHEN failed_records > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM (
   SELECT 'c1' AS rule_id, 'silver.customer' AS table_fqn, 'SILVER' AS layer, 'HIGH' AS severity, 1 AS m, FALSE AS err, count(*) AS total_records, count(*) FILTER (WHERE NOT c_acctbal >= 0) AS failed_records FROM customer
@@ -121,9 +134,10 @@ def _run(spark, sf):
 
 @query("r5_result_rows", _RUN_SQL)
 def r5(spark, sf):
-    sample = F.from_json("sample_failed_records", "array<struct<n: bigint>>")
-    # Typed rules show keys with their counts, of which there may be fewer than rows.
-    sampled = F.when(F.col("rule_id") == "o4", F.least("failed_records", F.lit(20))).otherwise(F.coalesce(F.size(sample), F.lit(0)).cast("bigint"))
+    """Results with the keys of the rows that are shown; typed rules show keys with their counts, which tests compare."""
+    sample = F.from_json("sample_failed_records", "array<struct<c_custkey: bigint, o_orderkey: bigint, p_partkey: bigint>>")
+    keys = F.array_sort(F.transform(sample, lambda r: F.coalesce(r["o_orderkey"], r["c_custkey"], r["p_partkey"]).cast("string")))
+    sampled = F.when(F.col("rule_id").isin("c1", "o1", "o3", "k1", "p1"), F.array_join(keys, ","))
     return _run(spark, sf).select("rule_id", "table_fqn", "layer", "severity", "total_records", "failed_records", "fail_pct", "status", "quality_score", sampled.alias("sampled"))
 
 
@@ -190,8 +204,8 @@ def r13(spark, sf):
 
 
 @query("r14_rules_per_table", """
-SELECT table_fqn, count(*) AS total, count(*) FILTER (WHERE status IN ('approved', 'active')) AS approved, count(*) FILTER (WHERE status = 'draft') AS pending,
-       count(*) FILTER (WHERE is_cde_rule) AS cde, count(related_table_fqn) AS cross_table FROM w_rules GROUP BY 1""")
+SELECT connection_id, table_fqn, count(*) AS total, count(*) FILTER (WHERE status IN ('approved', 'active')) AS approved, count(*) FILTER (WHERE status = 'draft') AS pending,
+       count(*) FILTER (WHERE is_cde_rule) AS cde, count(related_table_fqn) AS cross_table FROM w_rules GROUP BY 1, 2""")
 def r14(spark, sf):
     return rule_results.rules_per_table(d.rules(spark, sf))
 

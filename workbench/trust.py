@@ -53,13 +53,13 @@ def t5(spark, sf):
 
 
 @query("t6_breakdown", """
-SELECT anomaly_type, count(*) AS n, CASE anomaly_type WHEN 'VOLUME' THEN 'Volume drop' WHEN 'DISTRIBUTION' THEN 'Segment / drift' ELSE 'Threshold breach' END AS label,
-       CASE anomaly_type WHEN 'VOLUME' THEN 'danger' ELSE 'warning' END AS intent FROM w_anoms WHERE status = 'open' GROUP BY 1""")
+SELECT connection_id, anomaly_type, count(*) AS n, CASE anomaly_type WHEN 'VOLUME' THEN 'Volume drop' WHEN 'DISTRIBUTION' THEN 'Segment / drift' ELSE 'Threshold breach' END AS label,
+       CASE anomaly_type WHEN 'VOLUME' THEN 'danger' ELSE 'warning' END AS intent FROM w_anoms WHERE status = 'open' GROUP BY 1, 2""")
 def t6(spark, sf):
     return trust.anomaly_breakdown(anomaly_log(spark, sf))
 
 
-@query("t6_by_layer", "SELECT layer, count(*) AS n FROM w_anoms WHERE status = 'open' GROUP BY 1")
+@query("t6_by_layer", "SELECT connection_id, layer, count(*) AS n FROM w_anoms WHERE status = 'open' GROUP BY 1, 2")
 def t6_layer(spark, sf):
     return trust.anomalies_by_layer(anomaly_log(spark, sf))
 
@@ -151,7 +151,7 @@ def t13(spark, sf):
     return q.select("connection_id", "kind", "entity_id", "severity", "title", "ts", "place")
 
 
-@query("t14_new_anomalies", "SELECT count(*) AS new_anomalies FROM w_anoms WHERE detected_at > TIMESTAMP '2001-07-01 06:00:00' - INTERVAL 24 HOURS AND detected_at <= TIMESTAMP '2001-07-01 06:00:00'")
+@query("t14_new_anomalies", "SELECT connection_id, count(*) FILTER (WHERE detected_at > TIMESTAMP '2001-07-01 06:00:00' - INTERVAL 24 HOURS AND detected_at <= TIMESTAMP '2001-07-01 06:00:00') AS new_anomalies FROM w_anoms GROUP BY 1")
 def t14(spark, sf):
     return trust.new_anomalies(anomaly_log(spark, sf), d.as_of("2001-07-01 06:00:00"))
 
@@ -166,9 +166,9 @@ def t15(spark, sf):
 
 
 @query("t16_freshness", f"""
-SELECT layer, strftime(ts, '%Y-%m-%d %H') AS last_checked, age_hours, CASE WHEN ts IS NULL THEN 'never' WHEN age_hours <= 24 THEN 'fresh' WHEN age_hours <= 72 THEN 'aging' ELSE 'stale' END AS state
-FROM (SELECT l.layer, ts, round((epoch(TIMESTAMP '2001-11-02 12:00:00') - epoch(ts)) / 3600.0::DOUBLE, 1) AS age_hours FROM {_LAYERS} LEFT JOIN (
-  SELECT layer, max(ts) AS ts FROM (SELECT layer, run_at AS ts FROM w_reports UNION ALL SELECT layer, run_timestamp FROM w_results) GROUP BY 1) USING (layer))""")
+SELECT connection_id, layer, strftime(ts, '%Y-%m-%d %H') AS last_checked, age_hours, CASE WHEN ts IS NULL THEN 'never' WHEN age_hours <= 24 THEN 'fresh' WHEN age_hours <= 72 THEN 'aging' ELSE 'stale' END AS state
+FROM (SELECT connection_id, layer, ts, round((epoch(TIMESTAMP '2001-11-02 12:00:00') - epoch(ts)) / 3600.0::DOUBLE, 1) AS age_hours FROM (SELECT DISTINCT connection_id, l.layer FROM w_reports, {_LAYERS}) LEFT JOIN (
+  SELECT connection_id, layer, max(ts) AS ts FROM (SELECT connection_id, layer, run_at AS ts FROM w_reports UNION ALL SELECT connection_id, layer, run_timestamp FROM w_results) GROUP BY 1, 2) USING (connection_id, layer))""")
 def t16(spark, sf):
     out = trust.layer_freshness(d.reports(spark, sf), d.results(spark, sf), d.as_of("2001-11-02 12:00:00"))
     return out.withColumn("last_checked", F.date_format("last_checked", "yyyy-MM-dd HH"))
@@ -205,13 +205,13 @@ _CDE_ROWS = "(SELECT * REPLACE (CASE data_type WHEN 'PROMO' THEN 'returnflag' WH
 
 
 @query("t20_cde_status", f"""
-SELECT column_id, column_name, cde_score, coalesce(nulls, 0.0) AS last_null_pct, coalesce(n, 0) AS rule_coverage,
+SELECT connection_id, column_id, column_name, cde_score, coalesce(nulls, 0.0) AS last_null_pct, coalesce(n, 0) AS rule_coverage,
        CASE WHEN coalesce(nulls, 0) < 1 THEN 'HEALTHY' WHEN nulls < 5 THEN 'WARN' ELSE 'CRIT' END AS health
-FROM {_CDE_ROWS} LEFT JOIN (SELECT column_name, {ratio('sum(CAST(round(null_pct * 100) AS BIGINT))', '100 * count(null_pct)', 4)} AS nulls FROM w_stats GROUP BY 1) USING (column_name)
-LEFT JOIN (SELECT column_name, count(*) AS n FROM w_rules WHERE status IN ('approved', 'active') GROUP BY 1) USING (column_name) WHERE is_cde""")
+FROM {_CDE_ROWS} LEFT JOIN (SELECT connection_id, column_name, {ratio('sum(CAST(round(null_pct * 100) AS BIGINT))', '100 * count(null_pct)', 4)} AS nulls FROM w_stats GROUP BY 1, 2) USING (connection_id, column_name)
+LEFT JOIN (SELECT connection_id, column_name, count(*) AS n FROM w_rules WHERE status IN ('approved', 'active') GROUP BY 1, 2) USING (connection_id, column_name) WHERE is_cde""")
 def t20(spark, sf):
     out = trust.cde_status(_cde_rows(spark, sf), d.column_stats(spark, sf), d.rules(spark, sf))
-    return out.select("column_id", "column_name", "cde_score", "last_null_pct", "rule_coverage", "health")
+    return out.select("connection_id", "column_id", "column_name", "cde_score", "last_null_pct", "rule_coverage", "health")
 
 
 @query("t21_audit", """
@@ -247,9 +247,9 @@ def t22_totals(spark, sf):
 
 
 @query("t23_layer_coverage", f"""
-SELECT layer, {percent('described', 'total', 0)} AS dict_pct, {percent('least(coalesce(rc, 0), total)', 'total', 0)} AS rule_pct
-FROM (SELECT layer, count(*) AS total, count(*) FILTER (WHERE coalesce(business_name, '') <> '' OR coalesce(description, '') <> '') AS described FROM w_dict GROUP BY 1)
-LEFT JOIN (SELECT layer, count(DISTINCT column_name) AS rc FROM w_rules WHERE status IN ('approved', 'active') GROUP BY 1) USING (layer)""")
+SELECT connection_id, layer, {percent('described', 'total', 0)} AS dict_pct, {percent('least(coalesce(rc, 0), total)', 'total', 0)} AS rule_pct
+FROM (SELECT connection_id, layer, count(*) AS total, count(*) FILTER (WHERE coalesce(business_name, '') <> '' OR coalesce(description, '') <> '') AS described FROM w_dict GROUP BY 1, 2)
+LEFT JOIN (SELECT connection_id, layer, count(DISTINCT column_name) AS rc FROM w_rules WHERE status IN ('approved', 'active') GROUP BY 1, 2) USING (connection_id, layer)""")
 def t23(spark, sf):
     return trust.layer_coverage(d.dictionary(spark, sf), d.rules(spark, sf))
 
