@@ -57,38 +57,36 @@ def spread(edges: DataFrame, seeds: DataFrame, how: str, columns: list[str], key
     masks = how == "or"
     shown = [*by, *columns, *(["depth"] if masks else [])]
     first, sent, going = measured(seeds.groupBy(*by).agg(*[merge(c).alias(c) for c in columns]))
-    empty = first.withColumn("depth", F.lit(0)).select(*shown)
-    found = [empty] if own else []
+    known = first if own else first.limit(0)
+    found = [first.withColumn("depth", F.lit(0)).select(*shown)] if own and masks else []
     depth = 0
     while going and (max_depth is None or depth < max_depth):
         depth += 1
         step = edges.join(sent, F.col("node") == F.col("source")).groupBy(*keys, F.col("target").alias("node")).agg(*[merge(c).alias(c) for c in columns])
-        if found:
-            known = union(found).groupBy(*by).agg(*[merge(c).alias(f"_{c}") for c in columns])
-            step = step.join(known, by, "left")
-            if masks:
-                step = step.withColumns({c: F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(f"_{c}", F.lit(0).cast("long")))) for c in columns})
-                changed = [F.col(c) != 0 for c in columns]
-            else:
-                better = (lambda c: F.col(c) < F.col(f"_{c}")) if how == "min" else (lambda c: F.col(c) > F.col(f"_{c}"))
-                changed = [F.col(f"_{c}").isNull() | better(c) for c in columns]
-            any_ = changed[0]
-            for c in changed[1:]:
-                any_ = any_ | c
-            step = step.filter(any_)
-        step, sent, going = measured(step.select(*by, *columns))
-        if not going:
-            break
-        found.append(step.withColumn("depth", F.lit(depth)).select(*shown))
-        if len(found) > COMPACT_STEPS:
-            together = union(found)
-            found = [staged_table(together if masks else together.groupBy(*by).agg(*[merge(c).alias(c) for c in columns]))]
-        if stop is not None:
+        if masks:
+            if found:
+                before = union(found).groupBy(*by).agg(*[merge(c).alias(f"_{c}") for c in columns])
+                step = step.join(before, by, "left").withColumns({c: F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(f"_{c}", F.lit(0).cast("long")))) for c in columns})
+                step = step.filter(" OR ".join(f"`{c}` != 0" for c in columns))
+            step, sent, going = measured(step.select(*by, *columns))
+            if going:
+                found.append(step.withColumn("depth", F.lit(depth)).select(*shown))
+            if len(found) > COMPACT_STEPS:
+                found = [staged_table(union(found))]
+        else:
+            best = F.least if how == "min" else F.greatest
+            arrived = step.select(*by, *[F.col(c).alias(f"_{c}") for c in columns])
+            changed = F.lit(False)
+            for c in columns:
+                changed = changed | F.coalesce(best(c, f"_{c}") != F.col(c), F.col(f"_{c}").isNotNull())
+            known = staged_table(known.join(arrived, by, "full").select(*by, *[best(c, f"_{c}").alias(c) for c in columns], changed.alias("_changed")))
+            step, sent, going = measured(known.filter("_changed").select(*by, *columns))
+            known = known.drop("_changed")
+        if stop is not None and going:
             _, sent, going = measured(step.join(stop, "node", "left_anti"))
-    if not found:
-        return empty.filter(F.lit(False)), not going
-    together = union(found)
-    return (together if masks else together.groupBy(*by).agg(*[merge(c).alias(c) for c in columns])), not going
+    if masks:
+        return (union(found) if found else first.withColumn("depth", F.lit(0)).select(*shown).filter(F.lit(False))), not going
+    return known, not going
 
 
 def numbered(starts: DataFrame) -> DataFrame:
