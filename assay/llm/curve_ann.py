@@ -75,22 +75,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def valid_vectors(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, v): one vector of doubles for each id, without NULL, zero and non-finite ones.
+    """(vec_id, v): the distinct rows as doubles, without NULL, zero and non-finite vectors.
 
-    Of several vectors under one id the least one counts; a NULL id takes no part.
+    Several vectors under one id are as many rows; a NULL id takes no part.
     """
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.distinct()
 
 
 def index(vectors: DataFrame, copies: int) -> DataFrame:
-    """(node, width, v, ids) of every distinct vector: its smallest id, and its ``copies`` smallest ids in order."""
+    """(node, width, v, ids) of every distinct vector: its number by smallest id, and its ``copies`` smallest ids in order.
+
+    Vectors may share their smallest id, so the number counts (smallest id, vector) in order, range by range.
+    """
     nth = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     least = vectors.withColumn("nth", nth).where(F.col("nth") <= copies)
-    grouped = least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    return staged(grouped.select(F.get("ids", F.lit(0)).alias("node"), F.size("v").alias("width"), "v", "ids"), "vectors")
+    grouped = least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("least", F.get("ids", F.lit(0)))
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(grouped.repartitionByRange(n, "least", "v").withColumn("part", F.spark_partition_id()), "vectors")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
+    offset = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(W.partitionBy("part").orderBy("least", "v"))
+    numbered = ranged.withColumn("inside", inside).join(F.broadcast(offset), "part")
+    return staged(numbered.select((F.col("offset") + F.col("inside")).alias("node"), F.size("v").alias("width"), "v", "ids"), "nodes")
 
 
 def orderings(nodes: DataFrame, curves: int, dimensions: int, bits: int, seed: int) -> DataFrame:
@@ -118,8 +127,14 @@ def orderings(nodes: DataFrame, curves: int, dimensions: int, bits: int, seed: i
     return ranged.withColumn("inside", inside).join(offset, ["width", "curve", "part"]).select("width", "curve", "node", (F.col("offset") + F.col("inside") - 1).alias("rank"))
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: no product overflows, and no digit of a cosine changes."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def _best(queries: np.ndarray, names: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, node, cosine) of the ``k`` nearest rows of each query, ties to the smaller id."""
+    queries, rows = _scaled(queries), _scaled(rows)
     norms = np.sqrt((rows * rows).sum(axis=1))
     out = []
     for at in range(0, len(queries), 256):
@@ -144,6 +159,8 @@ def neighbours(table: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec
     The exact measure in double precision ranks what was found; ties go to the
     smaller id.  Copies of a vector are one row of the index, so a vector of any
     frequency costs one place, and as candidates its smallest ids stand for it.
+    Rows equal in id and vector are one row; an id with several vectors asks once
+    for each of them, and its other rows are candidates.
     NULL, zero and non-finite vectors take no part; vectors are compared with
     those of the same length.  Each task holds one block of an ordering and the
     queries near it.  What a query meets grows with the table, as ``window_share``
@@ -189,7 +206,7 @@ def neighbours(table: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec
     found = dealt.mapInArrow(run, "node long, near long, score double").groupBy("node", "near").agg(F.max("score").alias("score"))
     first = W.partitionBy("node").orderBy(F.desc("score"), "near")
     best = found.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
-    named = best.join(nodes.select(F.col("node").alias("near"), "ids"), "near").select("node", "score", "ids")
-    pairs = asked.join(named, "node").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    final = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    named = best.join(nodes.select(F.col("node").alias("near"), "ids"), "near").select("node", "near", "score", "ids")
+    pairs = asked.join(named, "node").select("query_id", "node", "near", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id OR near <> node")
+    final = F.row_number().over(W.partitionBy("query_id", "node").orderBy(F.desc("score"), "vec_id", "near"))
     return pairs.withColumn("rank", final).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -64,6 +64,27 @@ def test_odd_vectors(spark):
     assert ann.neighbours(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [-1.0, 0.5]), (1, [1.0, 0.1]), (1, [0.0, -1.0]), (2, [0.0, -1.0]), (50, [1.0, 0.0])]
+    found = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
+    table = [(i, v) for i, v in {(i, tuple(v)) for i, v in rows}]
+    expected = []
+    for q in [r for r in table if r[0] % 50 == 0]:
+        near = sorted((-cosine(q[1], v), i) for i, v in table if (i, v) != q)[:3]
+        expected += [(q[0], n, i, pytest.approx(-s)) for n, (s, i) in enumerate(near, 1)]
+    got = [tuple(r) for r in found]
+    assert len(got) == len(expected) == 9
+    assert all(e in got for e in expected)
+
+
+def test_extreme_components(spark):
+    rows = [(0, [1e200, 2e200]), (1, [1e200, 1e200]), (2, [3e-200, 6e-200]), (3, [2.0, -1.0]), (4, [1e308, 1.7e308])]
+    found = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [2, 4, 1, 3]
+    assert [r["score"] for r in found] == pytest.approx([1, 4.4 / math.sqrt(3.89 * 5), 3 / math.sqrt(10), 0])
+
+
 def test_one_block_is_exact(spark, sf):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     found = answers(QUERIES["op8_curve_ann"](spark, sf).collect())
