@@ -30,16 +30,42 @@ def slow_entropy(run):
 def slow_spans(text):
     base, more = slow_base(text), []
     for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text or ""):
-        if any(a < m.end() and m.start() < b for a, _, b, _ in base) or any(re.search(p, m[0]) for p in ss.ALLOWED):
+        if any(a < m.end() and m.start() < b for a, _, b, _ in base):
             continue
-        for _, pattern, bits in ss.CLASSES:
-            if re.search(pattern, m[0]):
-                if slow_entropy(m[0]) >= bits - 1e-9:
-                    more.append((m.start(), 3, m.end(), "entropy"))
-                break
+        parts, at = [], 0
+        for gone in re.finditer("|".join(ss.ALLOWED), m[0]):
+            parts.append(m[0][at:gone.start()])
+            at = gone.end()
+        if any(map(slow_high, [*parts, m[0][at:]])):
+            more.append((m.start(), 3, m.end(), "entropy"))
     return sorted(base + more)
 
 
+def slow_high(part):
+    for _, pattern, bits in ss.CLASSES:
+        if re.search(pattern, part):
+            return len(part) >= 20 and slow_entropy(part) >= bits - 1e-9
+    return False
+
+
+KEY = "q7Zp1Xk9Lw3Vt8Rb2Nc6"
+
+
+def test_allowed_parts_do_not_hide_their_neighbours(spark):
+    hidden = ["123e4567-e89b-12d3-a456-426614174000", "2024-01-02-03-04-05", f"EXAMPLE{KEY}", f"{KEY}sample"]
+    shown = [KEY, f"2024-01-15-{KEY}", f"https://h/sample/{KEY}", f"{KEY}/example/x", f"dummy_{KEY}", f"123e4567-e89b-12d3-a456-426614174000/{KEY}", f"x{KEY}" + "z" * 40]
+    df = spark.createDataFrame([(t,) for t in hidden + shown], "text string")
+    found = {r["text"]: [s["name"] for s in r["secrets"]] for r in ss.scan(df).collect()}
+    assert found == {t: [] for t in hidden} | {t: ["entropy"] for t in shown}
+    assert all(r["secrets"] for r in ss.scan(df, allowed=()).collect()[2:])
+
+
+def test_positions_over_many_matches(spark):
+    text = " ".join(["é token=abcdefgh", "AKIA" + "A1" * 9, "0123456789abcdef" * 2, KEY] * 400)
+    for t in (text, " ".join(["token=abcdefgh"] * ss.CHUNK), " ".join(["token=abcdefgh"] * (ss.CHUNK + 1))):
+        assert [tuple(s) for s in ss.scan(spark.createDataFrame([(t,)], "text string")).first()["secrets"]] == slow_spans(t)
+
+
 def texts():
     rng = random.Random(8)
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
