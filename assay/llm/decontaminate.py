@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.common import batches, raw_texts, shared_object
+from assay.llm.common import batches, discard, raw_texts, shared_object, staged
 
 WINDOW = 13
 #: Words of benchmark text in one broadcast; more are searched for in several passes.
@@ -95,14 +95,24 @@ def occurrences(words: list[bytes], tables: list[Searcher]) -> tuple[list[tuple[
     return merge(spans), items
 
 
-def item_texts(benchmark: DataFrame, item_id: str, text: str, pass_words: int) -> Iterator[list[tuple[object, bytes]]]:
-    """The items in groups of about ``pass_words`` words, one group on the driver at a time; an item is never cut."""
+def item_texts(benchmark: DataFrame, item_id: str, text: str, pass_words: int, window: int = WINDOW) -> Iterator[list[tuple[object, bytes]]]:
+    """The items in groups of at most ``pass_words`` words (at least a window), one group and one partition on the driver at a time.
+
+    A longer item is cut into pieces that overlap by a window less one word, so that no window is lost.
+    """
     items = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.col(text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // (6 * pass_words)))
-    for k in range(groups):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == k) if groups > 1 else items
-        yield [(r["item"], r["text"].encode()) for r in part.toLocalIterator()]
+    step = max(1, pass_words - window + 1)
+    group, held = [], 0
+    for r in items.toLocalIterator():
+        words = words_of(r["text"].encode())
+        for at in range(0, max(1, len(words) - window + 1), step):
+            piece = words[at:at + step + window - 1]
+            if group and held + len(piece) > pass_words:
+                yield group
+                group, held = [], 0
+            group.append((r["item"], b" ".join(piece)))
+            held += len(piece)
+    yield group
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -112,14 +122,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     Whole texts are searched.  NULL, empty and wordless texts have no words;
     items without words have no windows; repeated items count once by id, a NULL
     id is the empty string.  A benchmark beyond ``pass_words`` words is searched
-    for in several passes over the documents whose results are merged, so
-    nothing of unbounded size is broadcast.  Input columns with the names of the
-    new ones are replaced.
+    for in several passes over the documents, each of which is written before the
+    next begins and adds to what was found: no worker holds the tables of two
+    passes, and a broadcast has at most ``pass_words`` words.  Input columns with
+    the names of the new ones are replaced.
     """
     new = ("spans", "n_words", "items")
     keep = [c for c in docs.columns if c not in new]
     frame, spark = docs.select(*keep), docs.sparkSession
-    for k, group in enumerate(item_texts(benchmark, item_id, item_text, pass_words)):
+    written = None
+    for k, group in enumerate(item_texts(benchmark, item_id, item_text, pass_words, window)):
+        if k:
+            before, written = written, staged(frame, "searched")
+            frame = written
+            if before is not None:
+                discard(before)
         shared = shared_object(spark, searchers([("" if i is None else str(i), t) for i, t in group], window))
         frame = _search(frame, shared, text, first=k == 0)
     return frame

@@ -50,6 +50,24 @@ def test_hits_equal_direct_search(spark, pass_words):
     assert sum(r["contaminated"] for r in found) > 10
 
 
+def test_passes_are_apart_and_bounded(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(n))) for i, n in enumerate([40] * 20 + [5, 0, 13, 700])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    groups = list(dc.item_texts(bench, "item_id", "text", 100))
+    assert len(groups) > 9 and all(sum(len(t.split()) for _, t in g) <= 100 for g in groups)
+    windows = lambda rows: {(s.length, w): x for s in dc.searchers(rows) for w, x in s.windows.items()}
+    together = {}
+    for g in groups:
+        for w, x in windows(g).items():
+            together[w] = together.get(w, set()) | x
+    assert together == windows([(i, t.encode()) for i, t in items])
+    docs = spark.createDataFrame([(1, items[-1][1]), (2, "w1 w2"), (3, None)], "doc_id long, text string")
+    found = dc.contamination(docs, bench, pass_words=100)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"]: (r["n_words"], len(r["items"]), sum(b - a for a, b in r["spans"])) for r in found.collect()} == {1: (700, 1, 700), 2: (2, 0, 0), 3: (0, 0, 0)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
