@@ -23,8 +23,12 @@ from assay.llm.common import shared_object
 
 #: Predicted for a text that is NULL or has no letter.
 UNDETERMINED = "und"
-#: The sample: at most so many rows, and characters, of each of so many languages.
-SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 400, 24_000, 64
+#: The sample: about so many rows, and at most so many characters, of each language.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 24_000
+#: Characters of all samples together; beyond 64 languages each sample is shorter, and from so few rows at least.
+TABLE_CHARS, LEAST_ROWS = 64 * SAMPLE_CHARS, 32
+#: Entries of the transition table, of four bytes each; larger alphabets shorten the samples as well.
+TABLE_ENTRIES = 50_000_000
 #: Below so many documents still running, the rest is parsed one by one.
 _FEW = 24
 _SPACE, _OTHER = 0, 1
@@ -182,36 +186,51 @@ class Parser:
         return names, scores
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS,
-        sample_chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> Parser:
-    """Automata of a bounded sample of labelled rows.
+def shortened(samples: dict[str, str], entries: int = TABLE_ENTRIES) -> dict[str, str]:
+    """The samples cut to one length for which the table surely has at most ``entries``: two states a character, one symbol a letter."""
+    size = max(map(len, samples.values()), default=0)
+    while size > 1:
+        need = 2 * sum(map(len, samples.values())) * (len(set().union(*samples.values())) + 2)
+        if need <= entries:
+            break
+        size = max(1, size * entries // need)
+        samples = {k: v[:size] for k, v in samples.items()}
+    return samples
 
-    Rows are drawn by a hash of id and text, about ``sample_rows`` of each
-    language, and their texts are joined in that order up to ``sample_chars``
-    characters.  Beyond the ``languages`` most frequent labels none is learned.
-    Rows without text or label are left out; an empty table gives a parser that
-    answers ``und``.
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS,
+        table_chars: int = TABLE_CHARS) -> Parser:
+    """Automata of a bounded sample of labelled rows, one for every label.
+
+    Distinct texts are drawn by their hash, about ``sample_rows`` of each
+    language, and joined in that order up to ``sample_chars`` characters.  With
+    so many labels that this exceeds ``table_chars`` in all, or letters that the
+    table does, every label is learned from a shorter sample.  Rows without text or label are left out; an
+    empty table gives a parser that answers ``und``.
     """
-    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
+    spark = labelled.sparkSession
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    samples = {r["lang"]: "" for r in counts}
-    if not counts:
+    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    samples = dict.fromkeys(sorted(texts), "")
+    if not samples:
         return Parser(samples)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_rows / r["count"])))])
+    chars = max(1, min(sample_chars, table_chars // len(samples)))
+    some = max(LEAST_ROWS, min(sample_rows, sample_rows * table_chars // (sample_chars * len(samples))))
+    shares = spark.createDataFrame([(k, min(1.0, some / max(n, 1))) for k, n in texts.items()], "lang string, share double")
     place = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    drawn = rows.where(place < share[F.col("lang")])
+    drawn = rows.join(F.broadcast(shares), "lang").where((place < F.col("share")) | (F.col("share") == 1))
     sizes = sorted((r["lang"], r["h"], r["n"]) for r in drawn.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n")).collect())
     wanted, filled = [], dict.fromkeys(samples, 0)
     for k, h, n in sizes:
-        if (room := sample_chars - filled[k]) > 0:
+        if (room := chars - filled[k]) > 0:
             wanted.append((k, h, min(n, room)))
             filled[k] += n
-    room = F.create_map(*[x for _, h, n in wanted for x in (F.lit(h), F.lit(n))]) if wanted else None
-    got = drawn.where(F.col("h").isin([h for _, h, _ in wanted])).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    for r in sorted(got.select("lang", "h", F.col("text").substr(F.lit(1), room[F.col("h")]).alias("text")).collect()):
+    asked = F.broadcast(spark.createDataFrame(wanted, "lang string, h long, room int"))
+    got = drawn.join(asked, ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.expr("substr(text, 1, room)")).alias("text"))
+    for r in sorted(got.collect()):
         samples[r["lang"]] += r["text"] + "\n"
-    return Parser({k: v for k, v in samples.items() if v})
+    return Parser(shortened({k: v for k, v in samples.items() if v}))
 
 
 def identify(docs: DataFrame, parser: Parser, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -62,6 +62,30 @@ def test_sample_is_bounded_and_repeatable(spark, sf):
     assert max(one.norm) <= 9.1
 
 
+def test_every_label_is_learned(spark):
+    def words(i, n):
+        draw = random.Random(n)
+        return " ".join("".join(draw.choices("bcdfg"[i % 5] + "hjklm"[i // 5 % 5] + "pqrst"[i // 25 % 5] + "aeiou"[i % 4], k=6)) for _ in range(n))
+
+    labels = [f"l{i:02}" for i in range(70)]
+    rows = [(i, words(i, 20 + n), label) for i, label in enumerate(labels) for n in range(4)]
+    rows += [(99, "one and the same text", "hot")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = language_id.fit(df, table_chars=70 * 60)
+    assert parser.languages == sorted([*labels, "hot"])
+    assert max(parser.norm) <= 7  # at most 60 characters of a label and the spaces around them
+    found = language_id.identify(df.where("lang <> 'hot'"), parser).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in found) > len(found) / 2
+
+
+def test_table_is_bounded():
+    samples = {f"l{i}": "".join(chr(0x4E00 + 97 * i + k % 90) for k in range(3000)) for i in range(20)}
+    cut = language_id.shortened(samples, 400_000)
+    assert cut.keys() == samples.keys() and all(cut.values())
+    assert language_id.Parser(cut).table.size <= 400_000
+    assert language_id.shortened(samples, 10**9) == samples and language_id.shortened({}) == {}
+
+
 def test_held_out_accuracy(spark, sf):
     found = QUERIES["op4_language_id"](spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
