@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 
@@ -54,3 +55,14 @@ def x3(spark, sf):
     ev.keep_updates(ev.last_seen(_stream(spark, sf), "ts", "user_id", "1 day", "1 hour"), out, state).awaitTermination()
     return ev.current_rows(spark, out, ["window_start", "user_id"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_day"), "user_id",
                                           F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), "events")
+
+
+@query("x3_entity_freshness", """
+SELECT user_id, strftime(m, '%Y-%m-%d %H:%M:%S') AS last_seen, date_trunc('millisecond', m) + INTERVAL 12 HOUR < date_trunc('millisecond', max(m) OVER ()) - INTERVAL 1 HOUR AS overdue
+FROM (SELECT user_id, max(ts) AS m FROM events WHERE user_id IS NOT NULL GROUP BY 1) WHERE m IS NOT NULL""")
+def x3_entities(spark, sf):
+    """One row for each user: when it was last seen, and whether its timer of twelve hours has fired."""
+    out, state = _folders(spark)
+    seen = ev.entity_freshness(_stream(spark, sf), "ts", "user_id", dt.timedelta(hours=12), "1 hour")
+    ev.keep_updates(seen, out, state, keys=["user_id"], compact_every=2).awaitTermination()
+    return ev.current_rows(spark, out, ["user_id"]).select("user_id", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), "overdue")
