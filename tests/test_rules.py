@@ -183,3 +183,12 @@ def test_samples_repeat_and_share_a_scan(spark, tmp_path):
     digests = {r.id: r.d for r in t.select("id", rules.row_digest(t).alias("d")).collect()}
     for i in range(11):
         assert {r["id"] for r in json.loads(first[f"r{i}"])} == set(sorted((x for x in range(3000) if x % 11 == i), key=digests.get)[:5])
+
+
+def test_uncorrelated_exists_edges(spark):
+    cases = {"EXISTS (SELECT 1 FROM c WHERE c.id = id)": True, "exists (select 1 from c where c.[id] = [id])": True, 'EXISTS (SELECT 1 FROM c WHERE c."id" = `id`)': True,
+             "EXISTS (SELECT 1 FROM c WHERE c.id = t.id)": False, "EXISTS (SELECT 1 FROM c WHERE c.id = t . id)": False, "EXISTS (SELECT 1 FROM c WHERE c.id = 5)": False,
+             "EXISTS (SELECT 1 FROM c WHERE c.id = NULL)": False, "EXISTS (SELECT 1 FROM c WHERE c.ok = true)": False, "EXISTS (SELECT 1 FROM c WHERE id = c.id)": False,
+             "c.id = id": False, "EXISTS (SELECT 1 FROM c WHERE c.id = long_name AND c.k = t.k)": True}
+    df = spark.createDataFrame([(e,) for e in cases], "e string")
+    assert {r.e: r.hit for r in df.select("e", rule_lint.uncorrelated_exists(F.col("e")).alias("hit")).collect()} == cases

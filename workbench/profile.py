@@ -74,9 +74,11 @@ def p4(spark, sf):
                                        F.nullif("props", F.lit('{"k": 1}')).alias("props")))
 
 
-@query("p4_top_texts_documents", _TOP.format("SELECT 'text' AS column_name, text AS value FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents"))
+@query("p4_top_texts_documents", _TOP.format("SELECT 'text' AS column_name, text AS value FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents "
+                                              "UNION ALL SELECT 'doc_id', CAST(doc_id AS VARCHAR) FROM documents UNION ALL SELECT 'n_chars', CAST(n_chars AS VARCHAR) FROM documents"))
 def p4_texts(spark, sf):
-    return profile.top_values(table(spark, sf, "documents").select("text", "lang", "source"), long_text=["text", "source"])
+    """Every column of documents."""
+    return profile.top_values(table(spark, sf, "documents"), long_text=["text", "source"])
 
 
 @query("p5_numeric_part", " UNION ALL ".join(
@@ -311,13 +313,16 @@ def p12(spark, sf):
 @query("p13_column_health", f"""
 SELECT column_name, null_pct, CASE WHEN null_pct > 20 THEN 'CRIT' WHEN null_pct > 5 THEN 'WARN' ELSE 'HEALTHY' END AS health,
        {ratio('greatest(0, 10000 - 2 * CAST(round(null_pct * 100) AS BIGINT))', '100', 1)} AS quality_score
-FROM (SELECT 'o_orderkey' AS column_name, 0.0::DOUBLE AS null_pct UNION ALL
+FROM (SELECT 'o_orderkey' AS column_name, {percent('count(*) - count(o_orderkey)', 'count(*)')} AS null_pct FROM orders UNION ALL
+      SELECT 'o_custkey', {percent('count(*) - count(o_custkey)', 'count(*)')} FROM orders UNION ALL
+      SELECT 'o_orderdate', {percent('count(*) - count(o_orderdate)', 'count(*)')} FROM orders UNION ALL
+      SELECT 'o_orderpriority', {percent('count(*) - count(o_orderpriority)', 'count(*)')} FROM orders UNION ALL
       SELECT 'status', {percent("count(*) FILTER (WHERE o_orderstatus = 'P')", 'count(*)')} FROM orders UNION ALL
       SELECT 'price', {percent("count(*) FILTER (WHERE o_totalprice > 450000)", 'count(*)')} FROM orders)""")
 def p13(spark, sf):
     """P13 and P16 next to each other."""
     df = table(spark, sf, "orders").select(
-        "o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"),
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", F.nullif("o_orderstatus", F.lit("P")).alias("status"),
         F.when(F.col("o_totalprice") <= 450000, F.col("o_totalprice")).alias("price"))
     return profile.profile_columns(df).select("column_name", "null_pct", "health", "quality_score")
 

@@ -21,19 +21,28 @@ def _folder(spark):
 # --- sources -----------------------------------------------------------------
 
 @query("s1_read_formats", " UNION ALL ".join(
-    f"SELECT '{f}' AS format, o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 2" for f in (*readers.FILE_FORMATS, "table")))
+    f"SELECT '{f}' AS format, o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(sum(o_custkey) AS BIGINT) AS customers, "
+    "CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day, "
+    "count(DISTINCT o_orderpriority) AS priorities FROM orders GROUP BY 2" for f in (*readers.FILE_FORMATS, "table")))
 def s1(spark, sf):
     """Orders written and read back in every file format, and through the catalog."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    orders = table(spark, sf, "orders")
     base, out = _folder(spark), None
+
+    def totals(df):
+        return df.groupBy("o_orderstatus").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.sum("o_custkey").alias("customers"), F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"),
+            F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_day"),
+            F.count_distinct("o_orderpriority").alias("priorities"))
+
     for fmt in readers.FILE_FORMATS:
         orders.write.format(fmt).save(f"{base}/{fmt}")
         back = readers.read_table(spark, f"{base}/{fmt}", fmt, schema=orders.schema)
-        part = back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys")).withColumn("format", F.lit(fmt))
+        part = totals(back).withColumn("format", F.lit(fmt))
         out = part if out is None else out.unionByName(part)
     view = f"assay_orders_{uuid.uuid4().hex}"
     orders.createOrReplaceTempView(view)
-    listed = readers.read_table(spark, view, "table").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    listed = totals(readers.read_table(spark, view, "table"))
     return out.unionByName(listed.withColumn("format", F.lit("table")))
 
 
