@@ -143,14 +143,23 @@ p AS (
 ), ruled AS (
     SELECT p.*, (SELECT arg_max((r.rule, r.verdict), length(r.rule)) FROM rules r
                  WHERE (host = split_part(r.rule, '/', 1) OR ends_with(host, '.' || split_part(r.rule, '/', 1))) AND starts_with(path, r.rule[length(split_part(r.rule, '/', 1)) + 1:])) AS m FROM p
+), tags AS (
+    SELECT url, path, address, unnest(list_concat(regexp_extract_all(html, '(?is)<link\b[^>]*'), regexp_extract_all(html, '(?is)<meta\b[^>]*'))) AS tag FROM p
 ), found AS (
-    SELECT url, address, unnest([
-        regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1),
-        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1)]) AS target FROM p
+    SELECT url, path, address, unnest(regexp_extract_all(CASE
+        WHEN regexp_matches(tag, '(?is)^<link\b.*\brel[\s\v]*=[\s\v]*["'']?canonical\b') THEN regexp_extract(tag, '(?is)^.*\bhref[\s\v]*=[\s\v]*["'']?([^"''>\s\v]+)', 1)
+        WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv[\s\v]*=[\s\v]*["'']?refresh\b')
+        THEN regexp_extract(tag, '(?is)^.*\bcontent[\s\v]*=[\s\v]*["'']?[\s\v]*[\d.]*[\s\v]*[;,][\s\v]*url[\s\v]*=[\s\v]*["'']?([^"''>\s\v]+)', 1) END, '(?s)^.+$')) AS raw FROM tags
+), coded AS (
+    SELECT *, list_transform(regexp_extract_all(raw, '(?s)&#?[0-9A-Za-z]+;|[^&]+|&'), lambda x: {'part': x, 'code': TRY_CAST(CASE
+        WHEN regexp_matches(x, '^&#[xX][0-9A-Fa-f]{1,8};$') THEN '0x' || x[4:-2] WHEN regexp_matches(x, '^&#[0-9]{1,9};$') THEN x[3:-2] END AS BIGINT)}) AS parts FROM found
+), decoded AS (
+    SELECT url, path, address, array_to_string(list_transform(parts, lambda x: CASE x.part WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '"' WHEN '&apos;' THEN chr(39)
+        ELSE CASE WHEN x.code BETWEEN 1 AND 55295 OR x.code BETWEEN 57344 AND 1114111 THEN chr(x.code::INTEGER) ELSE x.part END END), '') AS target FROM coded
 ), resolved AS (
     SELECT address AS src, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target
         WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target
-        ELSE regexp_replace(regexp_extract(url, '(?s)^(.*?://[^?#]*)', 1), '([^/:])/[^/]*$', '\1') || '/' || target END AS dst FROM found WHERE target <> ''
+        ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) || '/' || target END AS dst FROM decoded
 ), edges AS (
     SELECT src, @dst AS dst FROM resolved
 ), near(a, b) AS (

@@ -3,6 +3,9 @@
 import random
 import re
 
+import duckdb
+from pyspark.sql import functions as F
+
 from assay.llm import url_filter as uf
 from assay.llm.queries import QUERIES
 
@@ -108,3 +111,26 @@ def test_every_link_counts_and_references_are_decoded(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     verdicts = {r["page_id"]: r["verdict"] for r in uf.judge(df, rules).collect()}
     assert {i for i, v in verdicts.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7}
+
+
+def test_sql_twin_on_pages_with_links(spark):
+    rng = random.Random(5)
+    paths = ["/de/", "/es/", "/a/b/", "/x//", "/en/1", "", "/", "/q;r/", "/\u00e9/"]
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['', 'www.'])}{rng.choice(['s.com', 'S.com', 'example.org', 't.net', 'u.info', 'v.info'])}{rng.choice(paths)}"
+            f"{rng.choice(['', f'p{i}', f'p{i}#top', f'p{i}/', f'?id={i}&b=2', f'?utm_source=a&n={i}'])}" for i in range(240)] + [None, "", "no scheme", "://x", "http://"]
+    tags = ['<link rel=canonical href="{}">', "<LINK title=a>b HREF='{}' Rel = 'canonical'/>", "<link href=\n'{}'\n rel=canonical>", '<meta http-equiv="refresh" content="0;url={}">', "<meta content='5 , URL = {}' http-equiv=Refresh>",
+            "<link rel=canonical href=first href={}>", "<link rel=canonicals href={}>", "<link rel=next href={}>", "<meta http-equiv=refresh content=5>", "<link rel=canonical>", "<link <meta http-equiv=refresh content=';url={}'>", '<link rel=canonical href="{}',
+            "<meta name=refresh content='0;url={}'>", "<linked rel=canonical href={}>"]
+    forms = [lambda u: u, lambda u: u.replace("&", "&amp;"), lambda u: u.replace("&", "&#38;"), lambda u: u.replace("&", "&#X26;"), lambda u: u.replace("/", "&#x2f;"), lambda u: u + "&nbsp;&#xD800;&#0;&#99999999;&",
+             lambda u: "//" + u.partition("://")[2], lambda u: "/" + u.rpartition("/")[2], lambda u: u.rpartition("/")[2], lambda u: "//", lambda u: ""]
+    html = lambda: rng.choice([None, "", "<html>"]) if rng.random() < 0.5 else "".join(rng.choice(tags).format(rng.choice(forms)(rng.choice(urls) or "")) for _ in range(rng.choice([1, 1, 2])))
+    rows = [(i, u, html()) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string")
+    found = sorted(tuple(r) for r in uf.judge(df, uf.RULES).select("page_id", "host", "path", F.coalesce("rule", F.lit("")), "verdict").collect())
+    con = duckdb.connect()
+    con.register("pages", df.toPandas().astype(object).where(lambda x: x.notna(), None))
+    expected = sorted((a, b, c, d or "", e) for a, b, c, d, e in con.sql(uf.ORACLE).fetchall())
+    assert found == expected
+    ruled = {i for i, _, _, rule, _ in found if rule}
+    assert any(v == "block" for i, _, _, _, v in found if i not in ruled)
+    assert uf.links(df, "url", "html").where("src <> dst").count() > 50
