@@ -435,10 +435,10 @@ def health_counts(stats: DataFrame, rules: DataFrame) -> DataFrame:
         F.count_if(F.col("_r").isNull()).alias("columns_without_rules"))
 
 
-def profile_all(tables: dict[str, DataFrame], **options) -> DataFrame:
-    """Column profiles of many tables as one frame, hence one Spark job."""
+def profile_all(tables: dict[str, DataFrame], *, long_text: Sequence[str] = (), **options) -> DataFrame:
+    """Column profiles of many tables as one frame, hence one Spark job; ``long_text`` counts where a table has the column."""
     out = None
     for name, df in tables.items():
-        part = profile_columns(df, **options).withColumn("table_fqn", F.lit(name))
+        part = profile_columns(df, long_text=[c for c in long_text if c in df.columns], **options).withColumn("table_fqn", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

@@ -433,8 +433,13 @@ def p21(spark, sf):
     return profile.health_counts(stats, d.rules(spark, sf))
 
 
-_ALL = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
-        "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]}
+_ALL = {t: c.split() for t, c in {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label",
+    "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text"}.items()}
 
 
 @query("p22_profile_all", " UNION ALL ".join(
@@ -442,7 +447,8 @@ _ALL = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktse
     f"count(DISTINCT {c}) AS distinct_count, {ratio(f'count(DISTINCT {c})', 'count(*)', 4)} AS cardinality_ratio FROM {t}"
     for t, cols in _ALL.items() for c in cols))
 def p22(spark, sf):
-    return profile.profile_all({t: table(spark, sf, t) for t in _ALL}).select(
+    """Every column of every table."""
+    return profile.profile_all({t: table(spark, sf, t) for t in _ALL}, long_text=["text", "html"]).select(
         "table_fqn", "column_name", "row_count", "null_count", "distinct_count", "cardinality_ratio")
 
 
