@@ -109,7 +109,9 @@ def _counts(chunk: bytes, lang: str, lengths: range, known: Filters | None, befo
 
     A phrase of two or more words is counted if both phrases that are one word
     shorter are held by ``known``.  With ``before`` phrases that a pass with those
-    filters has counted are left out, and phrases left in count as held.
+    filters has counted are left out, and phrases left in count as held.  That pass
+    met only phrases of held parts, so that a phrase which its filter holds by
+    mistake is not taken for one that it met.
     """
     tokens = chunk.replace(_CUT, b" " + _CUT + b" ").split()
     encoded = pa.array(tokens, pa.binary()).dictionary_encode()
@@ -143,9 +145,9 @@ def _counts(chunk: bytes, lang: str, lengths: range, known: Filters | None, befo
         held = np.zeros(len(codes), dtype=bool)
         held[at] = hold[number]
         if before:
-            old = before(k, hashes)
+            old = before(k, hashes)[number] & done[at] & done[at + 1]
             done = np.zeros(len(codes), dtype=bool)
-            done[at] = old[number]
+            done[at] = old
 
 
 def _pass(docs: DataFrame, lengths: range, known: Broadcast | None = None, before: Broadcast | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from assay.llm import collocation
@@ -77,6 +78,15 @@ def test_border_failures_are_expanded(spark, monkeypatch):
     assert sorted(map(tuple, collocation.collocations(df, 30).collect())) == slow(rows, 30, 2000)
 
 
+def test_a_pair_held_by_mistake_hides_no_longer_phrase():
+    """A first pass whose filter holds two words, and by mistake every pair, meets neither of the longer phrases."""
+    words = collocation._word_hashes([b"beta", b"gamma"], "en")
+    before = lambda k, hashes: np.isin(hashes, words) if k == 1 else np.ones(len(hashes), dtype=bool)
+    met = lambda known, old: {p.decode() for _, phrases, _ in collocation._counts(b"alpha beta gamma\xff", "en", range(2, 5), known, old) for p in phrases.to_pylist()}
+    assert met(before, None) == {"beta gamma"}
+    assert met(lambda k, hashes: np.ones(len(hashes), dtype=bool), before) == {"alpha beta", "alpha beta gamma"}
+
+
 def test_products_beyond_64_bits(spark):
     big = 1 << 62
     counted = spark.createDataFrame([("en", 1, "a", big), ("en", 1, "b", big - 1)], "lang string, k int, phrase string, f long")
