@@ -167,10 +167,11 @@ def accept_edges(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     1. rejects candidates that close a cycle with the confirmed edges,
     2. confirms those on no cycle even if all others were confirmed,
     3. confirms, among the rest, each candidate that no lower-ranked one
-       reaches, which is the first one of its cycles to arrive.
+       reaches along cycles, which is the first one of its cycles to arrive.
 
     This gives the one-by-one result; rounds are needed only while candidates
-    form cycles among themselves.
+    form cycles among themselves, and go on with edges that lie on such cycles:
+    no others can close one later.
     """
     pair = ["source", "target"]
     old = existing.select(*pair).distinct().withColumn("_old", F.lit(True))
@@ -195,13 +196,14 @@ def accept_edges(existing: DataFrame, candidates: DataFrame) -> DataFrame:
         safe = open_.join(conflicted, pair, "left_anti")
         winners = safe
         if not conflicted.isEmpty():
+            together = staged_table(closes_cycle(together, together, ready=True))
             seeds = conflicted.select(F.col("target").alias("node"), "rank")
             lowest = spread(together, seeds, "min", ["rank"], own=True)[0].select(F.col("node").alias("source"), F.col("rank").alias("lowest"))
             leading = conflicted.join(lowest, "source", "left").filter(F.coalesce(F.col("lowest") >= F.col("rank"), F.lit(True)))
             winners = safe.unionByName(leading.select(*pair, "rank"))
         winners = staged_table(winners)
         outcomes.append(winners.withColumn("outcome", F.lit("confirmed")))
-        confirmed = staged_table(confirmed.unionByName(winners.select(*pair)))
+        confirmed = staged_table(confirmed.unionByName(winners.select(*pair)).join(together, pair, "left_semi"))
         pending = staged_table(open_.join(winners, pair, "left_anti"))
     return union(outcomes)
 

@@ -19,6 +19,8 @@ from assay.session import staged_table
 COMPACT_STEPS, TRIM_ROUNDS = 8, 1
 # Steps in which a search for cycles may end before an index is built for it; label pairs of that index.
 SHALLOW_STEPS, LABELS = 4, 4
+# A search that stays narrow goes on: up to so many times these steps, while it has found no more than so many rows for each pair.
+NARROW_STEPS, NARROW_ROWS = 5, 16
 # A frontier is broadcast up to this measured size.
 BROADCAST_BYTES = 4 << 20
 
@@ -45,13 +47,15 @@ def measured(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, how: str, columns: list[str], keys: tuple[str, ...] = (), stop: DataFrame | None = None, own: bool = False,
-           max_depth: int | None = None) -> tuple[DataFrame, bool]:
+           max_depth: int | None = None, most: int = 0) -> tuple[DataFrame, bool]:
     """Values of ``seeds`` (keys, node, columns) at every node that edges lead them to, and whether they have gone all the way.
 
     ``how`` merges values that meet: ``min``, ``max``, or ``or`` for masks, whose
     result has a row for each ``depth`` with the bits that came first then.  Only
     changed values are sent on, none through ``stop`` nodes.  A seed's own values
-    count for its node if ``own``, or if they come back around a cycle.
+    count for its node if ``own``, or if they come back around a cycle.  Beyond
+    ``max_depth`` it goes on for ``NARROW_STEPS`` times as long while no more than
+    ``most`` rows were found.
     """
     merge, by = _MERGE[how], [*keys, "node"]
     masks = how == "or"
@@ -59,8 +63,8 @@ def spread(edges: DataFrame, seeds: DataFrame, how: str, columns: list[str], key
     first, sent, going = measured(seeds.groupBy(*by).agg(*[merge(c).alias(c) for c in columns]))
     known = first if own else first.limit(0)
     found = [first.withColumn("depth", F.lit(0)).select(*shown)] if own and masks else []
-    depth = 0
-    while going and (max_depth is None or depth < max_depth):
+    depth, rows = 0, 0
+    while going and (max_depth is None or depth < max_depth or (rows <= most and depth < NARROW_STEPS * max_depth)):
         depth += 1
         step = edges.join(sent, F.col("node") == F.col("source")).groupBy(*keys, F.col("target").alias("node")).agg(*[merge(c).alias(c) for c in columns])
         if masks:
@@ -69,6 +73,7 @@ def spread(edges: DataFrame, seeds: DataFrame, how: str, columns: list[str], key
                 step = step.join(before, by, "left").withColumns({c: F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(f"_{c}", F.lit(0).cast("long")))) for c in columns})
                 step = step.filter(" OR ".join(f"`{c}` != 0" for c in columns))
             step, sent, going = measured(step.select(*by, *columns))
+            rows += going
             if going:
                 found.append(step.withColumn("depth", F.lit(depth)).select(*shown))
             if len(found) > COMPACT_STEPS:
@@ -96,10 +101,10 @@ def numbered(starts: DataFrame) -> DataFrame:
     return staged_table(rows.select("start", F.shiftright("no", 6).alias("group"), bit.alias("bit"), F.expr("shiftleft(1L, CAST(no & 63 AS INT))").alias("mask")))
 
 
-def masks_from(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, bool]:
+def masks_from(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, most: int = 0) -> tuple[DataFrame, bool]:
     """(group, node, mask, depth) of what ``starts`` (of :func:`numbered`) reach in one step or more, and whether that is all."""
     seeds = starts.select("group", F.col("start").alias("node"), "mask")
-    return spread(edges, seeds, "or", ["mask"], ("group",), max_depth=max_depth)
+    return spread(edges, seeds, "or", ["mask"], ("group",), max_depth=max_depth, most=most)
 
 
 def without_own(masks: DataFrame, starts: DataFrame) -> DataFrame:
@@ -230,13 +235,13 @@ def may_reach(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def reaching_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (start, node) whose start reaches the node in one step or more.
 
-    Shallow graphs are searched at once, 64 starts at a time.  Where that does not
-    come to an end, chains are contracted, cycles condensed, and only pairs that
+    Shallow graphs are searched at once, 64 starts at a time, and deeper ones where
+    the starts lead to few nodes.  Where that does not come to an end, chains are contracted, cycles condensed, and only pairs that
     the labels let through are searched in the condensed graph.
     """
     pairs = staged_table(pairs.select("start", "node").distinct())
     starts = numbered(pairs)
-    masks, ended = masks_from(edges, starts, SHALLOW_STEPS)
+    masks, ended = masks_from(edges, starts, SHALLOW_STEPS, NARROW_ROWS * pairs.count())
     hits = staged_table(pairs_in(masks, starts, pairs))
     if ended:
         return hits

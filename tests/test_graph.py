@@ -93,6 +93,19 @@ def test_accepting_edges_equals_one_by_one(spark, seed):
     assert got == one_by_one(existing, candidates)
 
 
+def test_conflicts_on_separate_cycles_take_no_further_rounds(spark, monkeypatch):
+    """Pairs of siblings that exclude each other, down a tree: those above reach those below, but share no cycle with them."""
+    existing = [(f"n{i // 3}", f"n{i}", "confirmed") for i in range(1, 27)]
+    pairs = [p for i in range(3, 26, 3) for p in ((f"n{i}", f"n{i + 1}"), (f"n{i + 1}", f"n{i}"))] + [("n26", "n0"), ("n0", "n12")]
+    candidates = [(*p, "confirmed", i) for i, p in enumerate(pairs)]
+    calls, search = [], graph.closes_cycle
+    monkeypatch.setattr(graph, "closes_cycle", lambda *args, **kwargs: calls.append(1) or search(*args, **kwargs))
+    schema = EDGE + ", status string"
+    got = {r["rank"]: r.outcome for r in graph.accept_edges(
+        spark.createDataFrame(existing, schema), spark.createDataFrame(candidates, schema + ", rank int")).collect()}
+    assert got == one_by_one(existing, candidates) and len(calls) == 4
+
+
 def test_demo_graph(spark):
     nodes = [("s", "SILVER", "table", "fail"), ("g1", "GOLD", "table", "fail"), ("g2", "GOLD", "table", "warn"), ("r1", "GOLD", "report", "fail"),
              ("r2", "GOLD", "report", "warn"), ("m1", "GOLD", "model", "fail"), ("m2", "GOLD", "model", "warn"), ("m3", "GOLD", "model", "warn"),
