@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from assay.functions import text
 from assay.operators.profile import profiled_fields
+from assay.session import staged_table
 
 # log2 of the registers of a sketch, its relative standard deviation, and how many of these an estimate may be off.
 SKETCH_LG = 13
 ERROR, SIGMAS = 1.04 / 2 ** (SKETCH_LG / 2), 5
 # Sets estimated by one scan; more of them would outgrow generated code.
 SETS_PER_SCAN = 100
+# Slices of the values that are searched for two equal ones before all are: one in so many.
+SLICES = (64, 8)
 
 _Set = tuple[str, ...]
 
@@ -49,12 +52,62 @@ def exact_groups(df: DataFrame, sets: Sequence[_Set]) -> dict[_Set, int]:
     if not sets:
         return {}
     cells = _cells(df)
-    digest = lambda s: F.sha2(F.to_json(F.struct(*[cells[c].alias(f"c{i}") for i, c in enumerate(s)])), 256)
-    spread = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("set"), digest(s).alias("digest")) for i, s in enumerate(sets)])))
+    spread = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("set"), _digest(cells, s).alias("digest")) for i, s in enumerate(sets)])))
     counted = {r["set"]: r["n"] for r in spread.groupBy("set", "digest").agg(F.lit(1)).groupBy("set").agg(F.count("*").alias("n")).toLocalIterator()}
     return {s: counted.get(i, 0) for i, s in enumerate(sets)}
 
 
+def _digest(cells: dict[str, Column], columns: _Set) -> Column:
+    return F.sha2(F.to_json(F.struct(*[cells[c].alias(f"c{i}") for i, c in enumerate(columns)])), 256)
+
+
+def _sharing(rows: DataFrame) -> set[int]:
+    """Numbers of the sets of which some digest comes twice in ``rows`` (set, digest)."""
+    return {r["set"] for r in rows.groupBy("set", "digest").count().filter("count > 1").select("set").distinct().toLocalIterator()}
+
+
+def _shared_in_slice(df: DataFrame, sets: Sequence[_Set], parts: int) -> set[_Set]:
+    """Those of ``sets`` on which two rows agree, as far as one of ``parts`` slices of their values shows it."""
+    cells = _cells(df)
+    picked = [F.when(F.pmod(F.xxhash64(*[cells[c] for c in s]), F.lit(parts)) == 0, F.struct(F.lit(i).alias("set"), _digest(cells, s).alias("digest"))) for i, s in enumerate(sets)]
+    return {sets[i] for i in _sharing(df.select(F.inline(F.array_compact(F.array(*picked)))))}
+
+
+def _bases(sets: Sequence[_Set], near: dict[_Set, int]) -> dict[_Set, list[int]]:
+    """Few sets out of ``near`` (set, groups) of which each of ``sets`` contains one, itself if need be, and the numbers of those."""
+    left, out = dict(enumerate(sets)), {}
+    while left:
+        best = max([*near, *left.values()], key=lambda b: (sum(set(b) <= set(s) for s in left.values()), near.get(b, 0)))
+        out[best] = [i for i, s in left.items() if set(best) <= set(s)]
+        left = {i: s for i, s in left.items() if i not in out[best]}
+    return out
+
+
+def shared_sets(df: DataFrame, sets: Sequence[_Set], near: dict[_Set, int]) -> set[_Set]:
+    """Those of ``sets`` on which two rows agree.
+
+    Slices of the values show this of most of them.  Rows that agree on one of
+    the rest also agree on any part of it, so that for all rest that share a part
+    with nearly as many groups as rows (``near``) only rows are compared whose
+    part comes twice, which are few.
+    """
+    found: set[_Set] = set()
+    for parts in SLICES:
+        if left := [s for s in sets if s not in found]:
+            found |= _shared_in_slice(df, left, parts)
+    left = [s for s in sets if s not in found]
+    if not left:
+        return found
+    cells, bases = _cells(df), _bases(left, near)
+    parts = F.array(*[F.struct(F.lit(j).alias("base"), F.xxhash64(*[cells[c] for c in b]).alias("hash")) for j, b in enumerate(bases)])
+    twice = staged_table(df.select(F.inline(parts)).groupBy("base", "hash").count().filter("count > 1").select("base", "hash"))
+    names = sorted({c for s in left for c in s})
+    few = df.select(*[cells[c].alias(f"_{i}") for i, c in enumerate(names)], F.inline(parts)).join(twice, ["base", "hash"], "left_semi")
+    held = {c: F.col(f"_{i}") for i, c in enumerate(names)}
+    of = [F.when(F.col("base") == j, F.struct(F.lit(i).alias("set"), _digest(held, left[i]).alias("digest"))) for j, some in enumerate(bases.values()) for i in some]
+    return found | {left[i] for i in _sharing(few.select(F.inline(F.array_compact(F.array(*of)))))}
+
+
 def minimal_keys(df: DataFrame, max_columns: int = 3, columns: Iterable[str] | None = None) -> list[_Set]:
     """The sets of at most ``max_columns`` columns without NULLs that no two rows agree on, and that need all of their columns.
 
@@ -69,6 +122,7 @@ def minimal_keys(df: DataFrame, max_columns: int = 3, columns: Iterable[str] | N
     least = rows * (1 - SIGMAS * ERROR)
     found: list[_Set] = []
     single: dict[_Set, int] = {}
+    near: dict[_Set, int] = {}
     for size in range(1, min(max_columns, len(filled)) + 1):
         level = [s for s in itertools.combinations(filled, size) if not any(set(k) <= set(s) for k in found)]
         if size > 1:
@@ -76,8 +130,10 @@ def minimal_keys(df: DataFrame, max_columns: int = 3, columns: Iterable[str] | N
         guessed = estimated_groups(df, level)
         if size == 1:
             single = guessed
-        exact = exact_groups(df, [s for s in level if guessed[s] >= least])
-        found += [s for s, n in exact.items() if n == rows]
+        close = [s for s in level if guessed[s] >= least]
+        shared = shared_sets(df, close, near)
+        found += [s for s in close if s not in shared]
+        near.update((s, guessed[s]) for s in close)
     return found
 
 
