@@ -208,27 +208,41 @@ def accept_edges(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     return union(outcomes)
 
 
+def _marked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct ids of ``nodes`` (external_id), and the distinct (source, target) with whether the target is ``listed`` among them.
+
+    Edges are moved once, by target, to be made distinct and to be looked up.
+    """
+    known = staged_table(nodes.select("external_id").distinct())
+    listed = known.select(F.col("external_id").alias("target"), F.lit(True).alias("_listed"))
+    distinct = edges.select("source", "target").repartition("target").distinct()
+    return known, staged_table(distinct.join(listed, "target", "left").select("source", "target", F.col("_listed").isNotNull().alias("listed")))
+
+
 def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every root-to-leaf path, as an array of node ids.
 
     Roots have no incoming edge.  A path that would repeat one of its own nodes
-    ends before the repetition.
+    ends before the repetition.  Only beginnings of paths are written; their last
+    steps, which are most of them, are left to whoever reads the result.
     """
-    known = staged_table(nodes.select("external_id").distinct())
-    e = edge_set(edges)
-    inner = edges.select(F.col("target").alias("external_id")).distinct()
-    roots = known.join(inner, "external_id", "left_anti")
-    frontier = roots.select(F.array("external_id").alias("path"), F.col("external_id").alias("node"))
-    sources = e.select(F.col("source").alias("node")).distinct()
-    done = []
-    while True:
-        grown = frontier.join(e, F.col("node") == F.col("source")).withColumn("again", F.array_contains("path", F.col("target")))
-        done.append(staged_table(frontier.join(sources, "node", "left_anti").select("path").unionByName(
-            grown.filter("again").select("path"))))
-        step = grown.filter(~F.col("again")).join(known, F.col("target") == F.col("external_id"), "left_semi")
-        frontier = staged_table(step.select(F.array_append("path", F.col("target")).alias("path"), F.col("target").alias("node")))
-        if frontier.isEmpty():
-            return union(done)
+    known, e = _marked(nodes, edges)
+    sources = staged_table(e.select(F.col("source").alias("node")).distinct())
+    roots = known.join(edges.select(F.col("target").alias("external_id")).distinct(), "external_id", "left_anti")
+    first = staged_table(roots.select(F.array("external_id").alias("path"), F.col("external_id").alias("node")))
+    leading = sources.select(F.col("node").alias("target"))
+    listed = e.filter("listed").select("source", "target")
+    inner, last = staged_table(listed.join(leading, "target", "left_semi")), listed.join(leading, "target", "left_anti")
+    frontier, begun, done = first, [first], [first.join(sources, "node", "left_anti").select("path")]
+    while not frontier.isEmpty():
+        grown = staged_table(frontier.join(inner, F.col("node") == F.col("source")).withColumn("again", F.array_contains("path", F.col("target"))))
+        done.append(grown.filter("again").select("path"))
+        frontier = grown.filter(~F.col("again")).select(F.array_append("path", F.col("target")).alias("path"), F.col("target").alias("node"))
+        begun.append(frontier)
+        if len(begun) > COMPACT_STEPS:
+            begun, done = [staged_table(union(begun))], [staged_table(union(done))]
+    ends = union(begun).join(last, F.col("node") == F.col("source"))
+    return union([*done, ends.select(F.array_append("path", F.col("target")).alias("path"))])
 
 
 def _before(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -252,12 +266,16 @@ def count_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Ways through nodes that are not listed do not count.  A cycle is an error;
     so is a number beyond 38 digits.
     """
-    known = staged_table(nodes.select(F.col("external_id").alias("node")).distinct())
-    e = edge_set(edges.join(known.withColumnRenamed("node", "source"), "source", "left_semi"))
-    inner = staged_table(e.join(known.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target"))
+    return _counted(*_marked(nodes, edges))
+
+
+def _counted(known: DataFrame, e: DataFrame) -> DataFrame:
+    """:func:`count_paths` of what :func:`_marked` gives."""
+    known = known.withColumnRenamed("external_id", "node")
+    inner = e.filter("listed").select("source", "target")
     leaves = known.join(e.select(F.col("source").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(1).cast(_WIDE).alias("paths"))
     dead = known.join(inner.select(F.col("source").alias("node")).distinct(), "node", "left_anti").join(leaves, "node", "left_anti").select("node", F.lit(0).cast(_WIDE).alias("paths"))
-    ways = inner.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("out"))
+    ways = inner.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("out")).join(known, "node", "left_semi")
     step, sent, going = measured(leaves.unionByName(dead))
     done, waiting = [step], ways.select("node", "out", F.lit(0).cast(_WIDE).alias("paths"))
     while going:
@@ -278,26 +296,27 @@ def numbered_paths(nodes: DataFrame, edges: DataFrame, first: int, number: int)
     """(no, path) of ``number`` paths from the ``first`` on, counted from 0 in the order of their node ids; the others are not made.
 
     Every path finds its next node by its number among those that start with the
-    same nodes.  The graph has to be free of cycles.
+    same nodes; only edges of nodes that the paths have come to are put in order.  The graph has to be free of cycles.
     """
-    counts = staged_table(count_paths(nodes, edges))
-    known = counts.select(F.col("node").alias("external_id"))
-    roots = counts.join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti").filter("paths > 0")
+    known, e = _marked(nodes, edges)
+    counts = staged_table(_counted(known, e))
+    roots = counts.join(e.select(F.col("target").alias("node")).distinct(), "node", "left_anti").filter("paths > 0")
     begun = _before(roots.withColumn("_all", F.lit(0)), ["_all"], "node", "paths")
     low, high = F.greatest(F.col("before"), F.lit(first).cast(_WIDE)), F.least(F.col("before") + F.col("paths"), F.lit(first + number).cast(_WIDE))
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), (high - low).cast("long") - 1))
     opened = begun.filter(low < high).select("node", low.alias("low"), "before", numbers.alias("_i"))
     rows = opened.select((F.col("low") + F.col("_i")).cast(_WIDE).alias("no"), F.array("node").alias("path"), "node", (F.col("low") + F.col("_i") - F.col("before")).cast(_WIDE).alias("left"))
-    inner = edge_set(edges).join(known.withColumnRenamed("external_id", "source"), "source", "left_semi")
-    ways = staged_table(_before(inner.join(counts.withColumnRenamed("node", "target"), "target").filter("paths > 0"), ["source"], "target", "paths"))
+    ahead = counts.filter("paths > 0").withColumnRenamed("node", "target")
     done = []
-    rows, _, going = measured(rows)
+    rows, sent, going = measured(rows)
     while going:
+        near = staged_table(e.join(sent.select(F.col("node").alias("source")), "source", "left_semi").select("source", "target"))
+        ways = _before(near.join(ahead, "target"), ["source"], "target", "paths")
         on = (F.col("node") == F.col("source")) & (F.col("left") >= F.col("before")) & (F.col("left") < F.col("before") + F.col("paths"))
         grown = staged_table(rows.join(ways, on, "left"))
         done.append(grown.filter("source IS NULL").select("no", "path"))
         if len(done) > COMPACT_STEPS:
             done = [staged_table(union(done))]
-        rows, _, going = measured(grown.filter("source IS NOT NULL").select(
+        rows, sent, going = measured(grown.filter("source IS NOT NULL").select(
             "no", F.array_append("path", F.col("target")).alias("path"), F.col("target").alias("node"), (F.col("left") - F.col("before")).cast(_WIDE).alias("left")))
     return union(done) if done else rows.select("no", "path")
