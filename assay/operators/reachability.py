@@ -46,22 +46,24 @@ def measured(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return table, (F.broadcast(table) if (seen.get["bytes"] or 0) <= BROADCAST_BYTES else table), seen.get["rows"]
 
 
-def spread(edges: DataFrame, seeds: DataFrame, how: str, columns: list[str], keys: tuple[str, ...] = (), stop: DataFrame | None = None, own: bool = False,
+def spread(edges: DataFrame, seeds: DataFrame, how: str | dict[str, str], columns: list[str], keys: tuple[str, ...] = (), through: DataFrame | None = None, own: bool = False,
            max_depth: int | None = None, most: int = 0) -> tuple[DataFrame, bool]:
     """Values of ``seeds`` (keys, node, columns) at every node that edges lead them to, and whether they have gone all the way.
 
-    ``how`` merges values that meet: ``min``, ``max``, or ``or`` for masks, whose
+    ``how`` merges values that meet: ``min``, ``max`` (or one of them for each column), or ``or`` for masks, whose
     result has a row for each ``depth`` with the bits that came first then.  Only
-    changed values are sent on, none through ``stop`` nodes.  A seed's own values
+    changed values are sent on, and if ``through`` (node) is given only from its nodes; seeds always send.  Copies of an edge change nothing.  A seed's own values
     count for its node if ``own``, or if they come back around a cycle.  Beyond
     ``max_depth`` it goes on for ``NARROW_STEPS`` times as long while no more than
     ``most`` rows were found.
     """
-    merge, by = _MERGE[how], [*keys, "node"]
-    masks = how == "or"
+    by, masks = [*keys, "node"], how == "or"
+    hows = how if isinstance(how, dict) else dict.fromkeys(columns, how)
+    merge = lambda c: _MERGE[hows[c]](c)
+    onward = lambda df: df if through is None else df.join(through, "node", "left_semi")
     shown = [*by, *columns, *(["depth"] if masks else [])]
     first, sent, going = measured(seeds.groupBy(*by).agg(*[merge(c).alias(c) for c in columns]))
-    known = first if own else first.limit(0)
+    known = first if own else None
     found = [first.withColumn("depth", F.lit(0)).select(*shown)] if own and masks else []
     depth, rows = 0, 0
     while going and (max_depth is None or depth < max_depth or (rows <= most and depth < NARROW_STEPS * max_depth)):
@@ -78,20 +80,23 @@ def spread(edges: DataFrame, seeds: DataFrame, how: str, columns: list[str], key
                 found.append(step.withColumn("depth", F.lit(depth)).select(*shown))
             if len(found) > COMPACT_STEPS:
                 found = [staged_table(union(found))]
+            if through is not None and going:
+                _, sent, going = measured(onward(step))
+        elif known is None:
+            known = staged_table(step.select(*by, *columns))
+            _, sent, going = measured(onward(known))
         else:
-            best = F.least if how == "min" else F.greatest
+            best = lambda c: (F.least if hows[c] == "min" else F.greatest)(c, f"_{c}")
             arrived = step.select(*by, *[F.col(c).alias(f"_{c}") for c in columns])
             changed = F.lit(False)
             for c in columns:
-                changed = changed | F.coalesce(best(c, f"_{c}") != F.col(c), F.col(f"_{c}").isNotNull())
-            known = staged_table(known.join(arrived, by, "full").select(*by, *[best(c, f"_{c}").alias(c) for c in columns], changed.alias("_changed")))
-            step, sent, going = measured(known.filter("_changed").select(*by, *columns))
+                changed = changed | F.coalesce(best(c) != F.col(c), F.col(f"_{c}").isNotNull())
+            known = staged_table(known.join(arrived, by, "full").select(*by, *[best(c).alias(c) for c in columns], changed.alias("_changed")))
+            _, sent, going = measured(onward(known.filter("_changed").select(*by, *columns)))
             known = known.drop("_changed")
-        if stop is not None and going:
-            _, sent, going = measured(step.join(stop, "node", "left_anti"))
     if masks:
         return (union(found) if found else first.withColumn("depth", F.lit(0)).select(*shown).filter(F.lit(False))), not going
-    return known, not going
+    return (first.limit(0) if known is None else known), not going
 
 
 def numbered(starts: DataFrame) -> DataFrame:
@@ -101,10 +106,10 @@ def numbered(starts: DataFrame) -> DataFrame:
     return staged_table(rows.select("start", F.shiftright("no", 6).alias("group"), bit.alias("bit"), F.expr("shiftleft(1L, CAST(no & 63 AS INT))").alias("mask")))
 
 
-def masks_from(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, most: int = 0) -> tuple[DataFrame, bool]:
+def masks_from(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, most: int = 0, through: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """(group, node, mask, depth) of what ``starts`` (of :func:`numbered`) reach in one step or more, and whether that is all."""
     seeds = starts.select("group", F.col("start").alias("node"), "mask")
-    return spread(edges, seeds, "or", ["mask"], ("group",), max_depth=max_depth, most=most)
+    return spread(edges, seeds, "or", ["mask"], ("group",), through, max_depth=max_depth, most=most)
 
 
 def without_own(masks: DataFrame, starts: DataFrame) -> DataFrame:

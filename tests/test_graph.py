@@ -169,3 +169,23 @@ def test_long_chain_in_few_tables(spark):
     found = graph.reach(chain, spark.createDataFrame([("0",)], "start string"))
     assert found.count() == 40 and found.agg(F.max("depth")).first()[0] == 40
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= graph.COMPACT_STEPS + 1
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_root_causes_of_copied_edges_send_each_label_once(spark, monkeypatch, seed):
+    """One search for both labels; nodes that lead nowhere take part in none. Copies of edges and cycles change nothing."""
+    rng = random.Random(seed)
+    inner = random_edges(seed, 12, 15, False) + [("n0", "n0")]
+    edges = inner + [(f"n{rng.randrange(12)}", f"leaf{i % 20}") for i in range(40)]
+    health = {n: rng.choice(["fail", "ok"]) for n in [*(f"n{i}" for i in range(12)), *(f"leaf{i}" for i in range(22))]}
+    down, up = adjacency(edges), adjacency([(t, s) for s, t in edges])
+    failing = {n for n, h in health.items() if h == "fail"}
+    expected = {n: len(bfs(down, n)) for n in failing if not ((bfs(up, n) - {n}) & failing)}
+    searches, begun = [], []
+    search, number = graph.spread, graph.numbered
+    monkeypatch.setattr(graph, "spread", lambda *args, **kwargs: searches.append(1) or search(*args, **kwargs))
+    monkeypatch.setattr(graph, "numbered", lambda starts: begun.extend(r.start for r in starts.collect()) or number(starts))
+    nodes = spark.createDataFrame(list(health.items()), "external_id string, health_status string")
+    got = {r.external_id: r.downstream_impact_count for r in graph.root_causes(nodes, spark.createDataFrame(edges + edges, EDGE)).collect()}
+    assert got == expected
+    assert len(searches) == 1 and set(begun) == {n for n in expected if n in down}
