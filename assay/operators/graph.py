@@ -144,20 +144,29 @@ def root_causes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def closes_cycle(edges: DataFrame, candidates: DataFrame, ready: bool = False) -> DataFrame:
     """Candidates (source, target) whose target already reaches their source.
 
-    A self loop always closes a cycle.  The graph of edges and candidates is
-    first trimmed to what may lie on cycles; only candidates left there are
-    asked for, through the edges left there.
+    A self loop always closes a cycle.  Edges and candidates meet once, by the
+    edge's target: that tells which candidates a single edge answers, and which
+    edges lead to a node that leads further.  A target without such an edge
+    reaches nothing else.  Only if some are left, the graph of edges and these
+    candidates is trimmed to what may lie on cycles and searched.  ``ready``
+    says that ``edges`` is a table already.
     """
-    pairs = staged_table(candidates.select("source", "target").distinct())
+    pair = ["source", "target"]
+    pairs = staged_table(candidates.select(*pair).distinct())
     proper = pairs.filter(F.col("source") != F.col("target"))
-    e = edges if ready else edge_set(edges)
-    together = e.select("source", "target", F.lit(True).alias("old"), F.lit(False).alias("new")).unionByName(
-        proper.select("source", "target", F.lit(False).alias("old"), F.lit(True).alias("new")))
-    core = trimmed(staged_table(together.groupBy("source", "target").agg(F.max("old").alias("old"), F.max("new").alias("new"))))
-    asked = core.filter("new").select(F.col("target").alias("start"), F.col("source").alias("node"))
-    hit = reaching_pairs(core.filter("old").select("source", "target"), asked)
-    back = hit.select(F.col("start").alias("target"), F.col("node").alias("source"))
-    return pairs.join(back, ["source", "target"], "left_semi").unionByName(pairs.filter(F.col("source") == F.col("target"))).distinct()
+    e = edges.select(*pair) if ready else staged_table(edges.select(*pair))
+    leading = e.select(F.col("source").alias("target")).distinct().withColumn("_leading", F.lit(True))
+    both = e.withColumns({"old": F.lit(True), "asked": F.lit(False)}).unionByName(reversed_edges(proper).withColumns({"old": F.lit(False), "asked": F.lit(True)}))
+    met = both.repartition("target").groupBy(*pair).agg(F.max("old").alias("old"), F.max("asked").alias("asked"))
+    met = staged_table(met.join(leading, "target", "left").select(*pair, "old", "asked", F.col("_leading").isNotNull().alias("onward")))
+    old = met.filter("old")
+    left, _, going = measured(met.filter("asked AND NOT old").select(*pair).join(old.filter("onward").select("source").distinct(), "source", "left_semi"))
+    hits = [reversed_edges(old.filter("asked")), pairs.filter(F.col("source") == F.col("target"))]
+    if going:
+        core = trimmed(old.select(*pair, "old").unionByName(reversed_edges(left).withColumn("old", F.lit(False))))
+        found = reaching_pairs(core.filter("old").select(*pair), left.select(F.col("source").alias("start"), F.col("target").alias("node")))
+        hits.append(found.select(F.col("node").alias("source"), F.col("start").alias("target")).distinct())
+    return union(hits)
 
 
 def accept_edges(existing: DataFrame, candidates: DataFrame) -> DataFrame:

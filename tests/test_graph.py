@@ -189,3 +189,27 @@ def test_root_causes_of_copied_edges_send_each_label_once(spark, monkeypatch, se
     got = {r.external_id: r.downstream_impact_count for r in graph.root_causes(nodes, spark.createDataFrame(edges + edges, EDGE)).collect()}
     assert got == expected
     assert len(searches) == 1 and set(begun) == {n for n in expected if n in down}
+
+
+def test_candidates_that_one_edge_answers_are_not_searched(spark, monkeypatch):
+    """Orders that would feed their own customer or another one: no edge leaves an order, so nothing is left to search for."""
+    edges = spark.createDataFrame([("c1", "o1"), ("c1", "o2"), ("c2", "o3"), ("root", "c1"), ("root", "c2"), ("c2", "o3")], EDGE)
+    wanted = [("o1", "c1"), ("o2", "c2"), ("o3", "c2"), ("o3", "c3"), ("o9", "o9"), ("o1", "c1"), (None, "c1"), ("o1", None)]
+
+    def search(*_):
+        raise AssertionError("searched")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(graph, "reaching_pairs", search)
+        got = [(r.source, r.target) for r in graph.closes_cycle(edges, spark.createDataFrame(wanted, EDGE)).collect()]
+    assert sorted(got) == [("o1", "c1"), ("o3", "c2"), ("o9", "o9")]
+    both = [(r.source, r.target) for r in graph.closes_cycle(edges, spark.createDataFrame([("o2", "root"), ("o1", "c1"), ("c1", "c2")], EDGE)).collect()]
+    assert sorted(both) == [("o1", "c1"), ("o2", "root")]
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_closing_candidates_equal_search(spark, seed):
+    edges, wanted = random_edges(seed, 12, 16, False), random_edges(seed + 20, 12, 40, False)
+    down = adjacency(edges)
+    got = [(r.source, r.target) for r in graph.closes_cycle(spark.createDataFrame(edges, EDGE), spark.createDataFrame(wanted, EDGE)).collect()]
+    assert sorted(got) == sorted((s, t) for s, t in wanted if s == t or s in bfs(down, t))
