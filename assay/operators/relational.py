@@ -101,11 +101,10 @@ def trailing(df: DataFrame, keys: Sequence[str], ts: str, n: int, exprs: dict[st
     unit_keys = [*keys, "_unit"]
     parts = df.withColumn("_unit", F.date_trunc(unit, F.col(ts)))
     forward = Window.partitionBy(*unit_keys).orderBy(ts)
-    numbered = parts.withColumns({
-        "_pos": F.row_number().over(forward), "_size": F.count(F.lit(1)).over(Window.partitionBy(*unit_keys)),
-        **{name: make(forward.rowsBetween(-n, -1)) for name, make in exprs.items()}})
-    inner = numbered.filter(F.col("_pos") > n)
-    edges = numbered.filter((F.col("_pos") <= n) | (F.col("_pos") > F.col("_size") - n)).drop(*exprs)
+    numbered = parts.withColumns({"_pos": F.row_number().over(forward), "_size": F.count(F.lit(1)).over(Window.partitionBy(*unit_keys))})
+    # Units without inner rows, all of them if runs are rare, take no part in the windows inside units.
+    inner = numbered.filter(F.col("_size") > n).withColumns({name: make(forward.rowsBetween(-n, -1)) for name, make in exprs.items()}).filter(F.col("_pos") > n)
+    edges = numbered.filter((F.col("_pos") <= n) | (F.col("_pos") > F.col("_size") - n))
     across = Window.partitionBy(*keys).orderBy(ts).rowsBetween(-n, -1)
     heads = edges.withColumns({name: make(across) for name, make in exprs.items()}).filter(F.col("_pos") <= n)
     return inner.unionByName(heads).drop("_unit", "_pos", "_size")

@@ -116,3 +116,26 @@ def test_fingerprints_need_a_note_and_are_new(spark):
     fp = anomaly.fingerprints_from(acked.withColumn("ack_note", F.lit(" reload ")), none, as_of)
     assert (fp.first().resolution, fp.first().incident_day) == ("reload", "Saturday")
     assert anomaly.fingerprints_from(acked.withColumn("ack_note", F.lit("reload")), fp, as_of).count() == 0
+
+
+def test_trailing_rows_of_sparse_and_dense_units(spark):
+    """Months with one run and with twenty give what one window per key gives; the former take no part in windows inside months."""
+    from assay.operators.relational import trailing
+
+    days = [f"2023-{m:02d}-01" for m in range(1, 9)] + [f"2023-09-{d:02d}" for d in range(1, 21)] + ["2023-10-05", "2023-12-01"]
+    rows = [(k, d, (i * 7 + len(k)) % 11) for k in ("a", "bb") for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "k string, d string, v int").withColumn("at", F.to_timestamp("d"))
+    out = trailing(df, ["k"], "at", 3, {"total": lambda w: F.sum("v").over(w)})
+    got = {(r.k, r.d): r.total for r in out.collect()}
+    by_key = {k: [v for key, _, v in rows if key == k] for k in ("a", "bb")}
+    assert len(rows) == len(got) == out.count()
+    assert got == {(k, d): sum(vs[max(0, i - 3):i]) if i else None for k, vs in by_key.items() for i, d in enumerate(days)}
+    assert "_size" in out._jdf.queryExecution().optimizedPlan().toString().split("sum(v")[1].split("Window [count")[0].split("Filter")[1]
+
+
+def test_reasons_read_the_log_that_was_written(spark, sf):
+    """The detectors of the whole history run once, not once for each use of the log."""
+    from workbench import load
+
+    plan = load().QUERIES["i10_reasons"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "stddev" not in plan

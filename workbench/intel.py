@@ -122,7 +122,7 @@ def _reasons(spark, sf, log, results, reports):
 
 @query("i10_reasons", "SELECT * FROM w_reasons")
 def i10(spark, sf):
-    return _reasons(spark, sf, *_history(spark, sf)[:3])
+    return _reasons(spark, sf, *_history(spark, sf, keep_log=True)[:3])
 
 
 cte("w_tabrun", "SELECT x.* FROM w_results x JOIN (SELECT connection_id, table_fqn, arg_max(run_id, run_timestamp) AS run_id FROM w_results GROUP BY 1, 2) r USING (connection_id, table_fqn, run_id)")
