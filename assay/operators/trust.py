@@ -40,8 +40,12 @@ def layers_frame(spark) -> DataFrame:
 
 
 def latest_runs(results: DataFrame, keys: Sequence[str] = ("connection_id",)) -> DataFrame:
-    """Newest run of each connection, or of each value of ``keys``."""
-    return results.groupBy(*keys).agg(F.max_by("run_id", F.struct("run_timestamp", "run_id")).alias("run_id"))
+    """Newest run of each connection, or of each value of ``keys``.
+
+    A connection has few runs with many results: these are hashed to one row a run before runs are compared, which sorts.
+    """
+    runs = results if "table_fqn" in keys else results.groupBy(*keys, "run_id").agg(F.max("run_timestamp").alias("run_timestamp"))
+    return runs.groupBy(*keys).agg(F.max_by("run_id", F.struct("run_timestamp", "run_id")).alias("run_id"))
 
 
 def in_latest_run(results: DataFrame, keys: Sequence[str] = ("connection_id",)) -> DataFrame:

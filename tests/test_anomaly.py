@@ -133,6 +133,16 @@ def test_trailing_rows_of_sparse_and_dense_units(spark):
     assert "_size" in out._jdf.queryExecution().optimizedPlan().toString().split("sum(v")[1].split("Window [count")[0].split("Filter")[1]
 
 
+def test_newest_runs_are_hashed_before_they_are_compared(spark):
+    from assay.operators import trust
+
+    rows = [("x", "r1", "2024-01-01"), ("x", "r2", "2024-01-03"), ("x", "r1", "2024-01-02"), ("x", "r3", "2024-01-03"), ("y", "r9", None), ("y", "r8", None), (None, "r1", "2024-01-01")]
+    results = spark.createDataFrame(rows, "connection_id string, run_id string, at string").withColumn("run_timestamp", F.to_timestamp("at"))
+    newest = trust.latest_runs(results)
+    assert {(r.connection_id, r.run_id) for r in newest.collect()} == {("x", "r3"), ("y", "r9"), (None, "r1")}
+    assert "max(run_timestamp" in newest._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_reasons_read_the_log_that_was_written(spark, sf):
     """The detectors of the whole history run once, not once for each use of the log."""
     from workbench import load
